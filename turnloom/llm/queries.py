@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import decontamination, simhash
+from turnloom.llm import decontamination, mixing, mpeg_audio, repeats, sharding, simhash, token_orc
+
+#: Where the public tokenizers' files are; a parameter of the operator.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,8 +24,28 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(_table(spark, folder, "documents")))
 
 
+def op3_token_orc(spark: SparkSession, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    return token_orc.tokenised(_table(spark, folder, "documents"), tokenizer)
+
+
+def op4_mpeg_audio(spark: SparkSession, folder: str) -> DataFrame:
+    return mpeg_audio.stored_features(_table(spark, folder, "documents"))
+
+
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.digest(mixing.mix(_table(spark, folder, "documents")))
+
+
+def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.digest(sharding.sharded(_table(spark, folder, "documents")))
+
+
+def op10_suffix_trees(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.digest(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_simhash": op2_simhash}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_token_orc, op4_mpeg_audio, op6_mixing, op7_sharding, op10_suffix_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
