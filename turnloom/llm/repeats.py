@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.tokens_np import VISIBLE, grams, pieces, whole_runs
+from turnloom.llm.tokens_np import VISIBLE, grams, mixed, pieces, whole_runs
 from turnloom.session import written
 
 SPAN = 13
@@ -128,22 +128,36 @@ def _blocks(span: int, first: np.ndarray, parts: np.ndarray):
     return run
 
 
-def _subtree(blobs: pd.DataFrame) -> pd.DataFrame:
-    """What of one group is repeats: doc_id and the values of its repeated paths."""
+def _unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    docs = [np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.int32)) for d, c in zip(rows["docs"], rows["counts"], strict=True)]
+    paths = [np.frombuffer(p, np.uint64) for p in rows["paths"]]
+    return (np.concatenate(docs), np.concatenate(paths)) if docs else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
-    def unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        docs = [np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.int32)) for d, c in zip(rows["docs"], rows["counts"], strict=True)]
-        paths = [np.frombuffer(p, np.uint64) for p in rows["paths"]]
-        return (np.concatenate(docs), np.concatenate(paths)) if docs else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
-    known = blobs["known"].to_numpy(dtype=bool)
-    docs, paths = unpacked(blobs[~known])
-    order, _, least = _least_of_runs(docs, paths)
-    late = order[docs[order] > least]
-    early_docs, early_paths = unpacked(blobs[known])
-    ids, counts, paths = _by_document(np.concatenate([docs[late], early_docs]), np.concatenate([paths[late], early_paths]))
+def _subtree(parts: int):
+    """What of one group is repeats, dealt into `parts` by document."""
+
+    def run(blobs: pd.DataFrame) -> pd.DataFrame:
+        known = blobs["known"].to_numpy(dtype=bool)
+        docs, paths = _unpacked(blobs[~known])
+        order, _, least = _least_of_runs(docs, paths)
+        late = order[docs[order] > least]
+        early_docs, early_paths = _unpacked(blobs[known])
+        docs, paths = np.concatenate([docs[late], early_docs]), np.concatenate([paths[late], early_paths])
+        part = (mixed(docs.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[order])) + 1
+        out = [(int(part[x[0]]), *(y.tobytes() for y in _by_document(docs[x], paths[x]))) for x in np.split(order, cuts) if len(x)]
+        return pd.DataFrame(out, columns=["part", "docs", "counts", "paths"])
+
+    return run
+
+
+def _by_id(blobs: pd.DataFrame) -> pd.DataFrame:
+    """One row for each document of a part, with all its repeated paths."""
+    ids, counts, paths = _by_document(*_unpacked(blobs))
     ends = np.cumsum(counts) if len(ids) else np.zeros(0, np.int64)
-    return pd.DataFrame({"of": ids, "paths": [paths[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]})
+    return pd.DataFrame({"of": ids, "repeats": [paths[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]})
 
 
 def _kept(span: int, texts: bool):
@@ -161,7 +175,7 @@ def _kept(span: int, texts: bool):
                         words = piece.hashes() if words is None else words
                         at = piece.words[row - piece.rows[0]]
                         paths = grams(words[at : at + len(line)], span)
-                        hit = np.isin(paths, np.concatenate([np.frombuffer(x, np.uint64) for x in lists[row]]))
+                        hit = np.isin(paths, np.frombuffer(lists[row], np.uint64))
                         gone[: len(hit)] += hit
                         gone[span : span + len(hit)] -= hit
                     keep = np.cumsum(gone)[: len(line)] == 0
@@ -182,10 +196,12 @@ def repeated_paths(documents: DataFrame, span: int = SPAN, group: int = GROUP) -
     counts = np.zeros(BINS, dtype=np.int64)
     for row in census.collect():  # one number for each of the BINS bins
         counts[row[0]] = row[1]
-    size = max(1, min(group, int(counts.sum()) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = max(1, min(group, int(counts.sum()) // (4 * partitions)))
+    parts = max(4 * partitions, int(counts.sum()) // group)
     blobs = source.mapInArrow(_blocks(span, *prefix_groups(counts, size)), _BLOB)
-    found = blobs.groupBy("group").applyInPandas(_subtree, "of long, paths binary")
-    return written(found.groupBy("of").agg(F.collect_list("paths").alias("repeats")), "repeats")
+    found = blobs.groupBy("group").applyInPandas(_subtree(parts), "part int, docs binary, counts binary, paths binary")
+    return written(found.groupBy("part").applyInPandas(_by_id, "of long, repeats binary"), "repeats")
 
 
 def without_repeats(documents: DataFrame, span: int = SPAN, group: int = GROUP, texts: bool = True) -> DataFrame:
