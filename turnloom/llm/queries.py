@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import decontamination, mixing, mpeg_audio, repeats, sharding, simhash, token_orc
+from turnloom.llm import decontamination, license_rules, mixing, mpeg_audio, repeats, sharding, simhash, token_orc, toxicity
 
 #: Where the public tokenizers' files are; a parameter of the operator.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -40,13 +40,21 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.digest(sharding.sharded(_table(spark, folder, "documents")))
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op9_license_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return license_rules.digest(license_rules.scanned(_table(spark, folder, "documents")))
+
+
 def op10_suffix_trees(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.digest(_table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_token_orc, op4_mpeg_audio, op6_mixing, op7_sharding, op10_suffix_trees)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_token_orc, op4_mpeg_audio, op6_mixing, op7_sharding, op8_toxicity, op9_license_rules, op10_suffix_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_license_rules": license_rules.oracle_sql()}
