@@ -178,6 +178,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
     )
 
 
+def clean_documents(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, most_sent: int = MOST_SENT) -> DataFrame:
+    """The documents without any window of an item, with all their columns."""
+    found = contamination(documents, benchmark, span, most_sent).where("n_hit > 0").select(F.col("doc_id").alias("of")).distinct()
+    leaks = written(found, "contaminated")
+    return documents.join(leaks, F.col("doc_id").eqNullSafe(F.col("of")), "left_anti")
+
+
 def digest(result: DataFrame) -> DataFrame:
     """The contract's columns of a result of contamination()."""
     return result.select(

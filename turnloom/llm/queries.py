@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import decontamination, license_rules, mixing, mpeg_audio, repeats, sharding, simhash, token_orc, toxicity
+from turnloom.llm import decontamination, license_rules, mixing, mpeg_audio, repeats, secret_forest, sharding, simhash, token_orc, toxicity
 
 #: Where the public tokenizers' files are; a parameter of the operator.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -32,6 +32,10 @@ def op4_mpeg_audio(spark: SparkSession, folder: str) -> DataFrame:
     return mpeg_audio.stored_features(_table(spark, folder, "documents"))
 
 
+def op5_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_forest.digest(secret_forest.scanned(_table(spark, folder, "documents")))
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.digest(mixing.mix(_table(spark, folder, "documents")))
 
@@ -53,7 +57,7 @@ def op10_suffix_trees(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_token_orc, op4_mpeg_audio, op6_mixing, op7_sharding, op8_toxicity, op9_license_rules, op10_suffix_trees)}
+    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_token_orc, op4_mpeg_audio, op5_secret_forest, op6_mixing, op7_sharding, op8_toxicity, op9_license_rules, op10_suffix_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
