@@ -4,6 +4,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -11,7 +13,8 @@ from turnloom.llm import token_orc as T
 from turnloom.llm.queries import TOKENIZER
 from turnloom.session import new_folder
 
-ODD = ["", "a", " ", "  ", " a", "a ", "a  b", "a   b", "a\n b", "a \nb", "it's we'll  I'd", "x  y", "x  y", "\x1c a", "tab\t b", "é ü  ß", "1 22  333", "... !!! ?", "🙂 🙂  🙂", "a" * 300 + " b", "w " * 5000, "<|endoftext|> a", "a <|endoftext|> b", "\r\n \r\n x"]
+ENCODER = T.Encoder(TOKENIZER)
+ODD = ["", "a", " ", "  ", " a", "a ", "a  b", "a   b", "a\n b", "a \nb", "it's we'll  I'd", "x  y", "x  y", "\x1c a", "tab\t b", "é ü  ß", "1 22  333", "... !!! ?", "🙂 🙂  🙂", "a" * 300 + " b", "w " * 5000, "<|endoftext|> a", "a <|endoftext|> b", "\r\n \r\n x", "end. of, a: list; of! marks? a.b c., ñandú, 12, a1, (x), \u4f60\u597d, \u0251,"]
 
 
 def brute(docs):
@@ -23,17 +26,33 @@ def brute(docs):
     return out
 
 
+def encoded(encoder, texts):
+    raw = [t.encode() for t in texts]
+    values, offsets = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    return [values[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def plain(texts):
+    return [[*ENCODER.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+
+
 @pytest.mark.parametrize("text", ODD)
 def test_encoder(text):
-    plain = Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids
-    assert T.Encoder(TOKENIZER).ids(text).tolist() == plain
+    texts = [text, "x", text, "", text, ".", text, "\n", text, " ", text]
+    assert encoded(T.Encoder(TOKENIZER), texts) == plain(texts)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="ab Z.,\n\t'é×ß\u00a0\u2003\u0451你1!", max_size=12), min_size=1, max_size=6))
+def test_encoder_random(texts):
+    assert encoded(ENCODER, texts) == plain(texts)
 
 
 def test_small_memo(monkeypatch):
-    monkeypatch.setattr(T, "_MEMO", 3)
-    encoder, tokenizer = T.Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    monkeypatch.setattr(T, "MOST_PIECES", 3)
+    encoder = T.Encoder(TOKENIZER)
     for text in ("a b c d e f g", "a b", "h i j k", "a b c d"):
-        assert encoder.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoded(encoder, [text]) == plain([text])
 
 
 def test_cases(spark):

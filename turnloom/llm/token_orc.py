@@ -4,8 +4,8 @@ Texts are range-partitioned and sorted by doc_id, encoded, and written as ORC: i
 indexes, and Bloom filters on doc_id, so that readers take stripes in parallel and skip those without their ids. Files
 follow each other in the order of doc_id; each document's ids end with `end_id`.
 
-Encoding: the tokenizer splits before a single space between two visible characters anyway, so texts are cut there and
-each distinct piece is encoded by the tokenizer once per task, from a bounded memo. Other white space is never cut at.
+Encoding: texts are cut at borders where the tokenizer's own splitting cuts anyway, and each distinct piece goes through
+the tokenizer once for each worker, as long as its bounded memo lasts. Pieces are told apart by 64-bit values.
 
 Defined results: null and empty texts have the end id alone; null doc_ids come first; rows with equal doc_ids follow
 each other; other columns are ignored; an empty table gives no rows.
@@ -13,68 +13,127 @@ each other; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnloom.llm.tokens_np import run_values, strings
 from turnloom.session import new_folder, written
 
 END_ID = 0
-_MEMO = 200_000
-_LONGEST = 64
-_UNSAFE = re.compile(r"\s |  | \s")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Pieces, and ids in them, that a worker remembers at most before it starts anew.
+MOST_PIECES = 1_500_000
+_SLICE = 4 << 20
+_SPACE, _LINE = 0x20, 0x0A
+
+
+def _bytes(*ranges: tuple[int, int]) -> np.ndarray:
+    table = np.zeros(256, dtype=bool)
+    for low, high in ranges:
+        table[low : high + 1] = True
+    return table
+
+
+_LETTER = _bytes((0x41, 0x5A), (0x61, 0x7A))
+_SEEN = _bytes((0x21, 0x7E))
+#: Bytes that begin a character which is no white space; C2, E1, E2 and E3 may begin some.
+_SEEN_NEXT = _bytes((0x21, 0x7E), (0xC3, 0xE0), (0xE4, 0xF4))
+_MARK = _bytes((0x2C, 0x2C), (0x2E, 0x2E))
+
+
+def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where pieces start: at each text and where the tokenizer's own splitting has a border whatever else the text has.
+
+    Borders are before a space that a visible character follows, between a letter (ASCII or Latin-1) and a comma or full
+    stop, and between a line feed and a letter if the line feed stands alone after a visible character.
+    """
+    cut = np.zeros(len(data), dtype=bool)
+    if len(data) > 2:
+        here, next_, last, before = data[1:-1], data[2:], data[:-2], data
+        cut[1:-1] = (here == _SPACE) & _SEEN_NEXT[next_]
+        latin = np.zeros(len(here), dtype=bool)
+        latin[1:] = (before[: len(here) - 1] == 0xC3) & (last[1:] != 0x97) & (last[1:] != 0xB7) & (last[1:] >= 0x80)
+        cut[1:-1] |= _MARK[here] & (_LETTER[last] | latin)
+        alone = (data[1:-1] == _LINE) & _SEEN[data[:-2]] & _LETTER[data[2:]]
+        cut[2:] |= alone
+    cut[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+    # a border looks at the bytes around it, which must be of one text
+    ends = bounds[1:-1]
+    for shift in (-1, 1):
+        near = ends + shift
+        near = near[(near >= 0) & (near < len(data))]
+        cut[near[~np.isin(near, bounds)]] = False
+    return np.flatnonzero(cut)
 
 
 class Encoder:
-    """Encodes texts piece by piece with a memo of at most _MEMO short pieces."""
+    """Encodes texts by pieces with a memo: each distinct piece goes through the tokenizer once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = END_ID):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, np.ndarray] = {}
-
-    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, dtype=np.int32) for x in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-
-    def ids(self, text: str) -> np.ndarray:
-        """The ids of one text."""
-        if not text:
-            return np.zeros(0, dtype=np.int32)
-        safe = text[0] != " " and text[-1] != " " and not _UNSAFE.search(text)
-        pieces = text.split(" ") if safe else _CUT.split(text)
-        head, rest = pieces[0], pieces[1:]
-        memo = self.memo
-        new = list({p for p in rest if p not in memo})
-        if len(memo) + len(new) > _MEMO:
-            memo.clear()
-            new = list(set(rest))
-        longer = {}
-        for piece, ids in zip(new, self.encode_pieces([" " + p for p in new]), strict=True):
-            (memo if len(piece) <= _LONGEST else longer)[piece] = ids
-        first = self.encode_pieces([head])
-        if longer:
-            return np.concatenate(first + [longer[p] if p in longer else memo[p] for p in rest])
-        return np.concatenate(first + [memo[p] for p in rest])
+        self.end_id = end_id
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.starts, self.lengths = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype=np.int32)
+
+    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        """Adds pieces; their keys come in order."""
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        starts = len(self.flat) + np.cumsum(lengths) - lengths
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(lengths.sum()))])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.starts, self.lengths = (np.insert(old, at, new) for old, new in ((self.keys, keys), (self.starts, starts), (self.lengths, lengths)))
+
+    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that lie end to end in `data`, each with the end id behind, and the texts' offsets in the ids."""
+        if max(len(self.keys), len(self.flat) // 4) > MOST_PIECES:
+            self.clear()
+        starts = piece_starts(data, bounds)
+        ends = np.append(starts[1:], len(data))[: len(starts)]
+        keys, first, which = np.unique(run_values(data, starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        if not known.all():
+            new = first[~known]
+            self.learn(keys[~known], [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[new], ends[new], strict=True)])
+            at = np.searchsorted(self.keys, keys)
+        lengths, sources = self.lengths[at][which], self.starts[at][which]
+        upto = np.cumsum(lengths)
+        values = self.flat[np.repeat(sources - (upto - lengths), lengths) + np.arange(int(lengths.sum()))] if len(starts) else self.flat[:0]
+        per_text = np.concatenate(([0], upto))[np.searchsorted(starts, bounds)]
+        values = np.insert(values, per_text[1:], np.int32(self.end_id))
+        return values, (per_text + np.arange(len(bounds))).astype(np.int32)
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        end = np.array([end_id], dtype=np.int32)
+        encoder = _ENCODERS.setdefault((path, end_id), None) or Encoder(path, end_id)
+        _ENCODERS[path, end_id] = encoder  # a worker's later tasks go on with its memo
         for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                ids = [x for t in part.column("text").to_pylist() for x in (encoder.ids(t or ""), end)]
-                lengths = np.array([len(x) for x in ids], dtype=np.int64)
-                offsets = np.concatenate(([0], np.cumsum(lengths)))[::2].astype(np.int32)
-                values = np.concatenate(ids) if ids else end[:0]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "ids"])
+            at, data = strings(batch.column("text"))
+            first = 0
+            while first < batch.num_rows:
+                last = min(batch.num_rows, max(first + 1, int(np.searchsorted(at, at[first] + _SLICE, "right")) - 1))
+                values, offsets = encoder.encode(data[at[first] : at[last]], at[first : last + 1] - at[first])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "ids"])
+                first = last
 
     return run
 

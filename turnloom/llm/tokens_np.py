@@ -56,6 +56,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def run_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit value for each run of bytes, equal for equal bytes wherever they stand."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    up, down = _powers(len(data) + 1)
+    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=prefix[1:])
+    return mixed((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 @dataclass
 class Piece:
     """Documents rows[0] to rows[1] of a batch; words[d] to words[d + 1] are the words of the d-th of them."""
@@ -68,12 +78,7 @@ class Piece:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit value for each word, equal for equal bytes."""
-        if not len(self.starts):
-            return np.zeros(0, dtype=np.uint64)
-        up, down = _powers(len(self.data) + 1)
-        prefix = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_VALUE[self.data] * up[: len(self.data)], out=prefix[1:])
-        return mixed((prefix[self.ends] - prefix[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        return run_values(self.data, self.starts, self.ends)
 
     def owner(self) -> np.ndarray:
         """The document of each word, counted from the piece's first."""
