@@ -72,7 +72,7 @@ RULES = (
     ("Unlicense", ("unlicense",)),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_ENDS = r"[.!?;:]+[ \t\r\n]+"
+_ENDS = r"[.!?;:]+[ \t\r\n]+|\n[ \t\r]*\n[ \t\r\n]*"
 _OTHER = r"[^a-z0-9]+"
 #: Every known sentence has one of these; texts without any are not cut.
 _GATE = r"(?i)licen[cs]|permission|redistribut|copyright|warrant|public domain|liable|applicable law|mozilla|mpl"
