@@ -29,7 +29,8 @@ from turnloom.session import new_folder, written
 END_ID = 0
 #: Pieces, and ids in them, that a worker remembers at most before it starts anew.
 MOST_PIECES = 1_500_000
-_SLICE = 4 << 20
+_SLICE = 2 << 20
+_CALL = 2_000
 _SPACE, _LINE = 0x20, 0x0A
 
 
@@ -40,6 +41,13 @@ def _bytes(*ranges: tuple[int, int]) -> np.ndarray:
     return table
 
 
+#: Byte-level vocabularies name bytes by characters: visible ones by themselves, the rest by those from U+0100 on.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_NAMES = np.arange(256, dtype="<u4")
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+_BYTE_NAMES[_HIDDEN] = np.arange(len(_HIDDEN)) + 0x100
+_BYTE_NAMES[_LINE] = _LINE  # never in a word; it parts them
+_PLAIN = "\u0250"
 _LETTER = _bytes((0x41, 0x5A), (0x61, 0x7A))
 _SEEN = _bytes((0x21, 0x7E))
 #: Bytes that begin a character which is no white space; C2, E1, E2 and E3 may begin some.
@@ -85,14 +93,31 @@ class Encoder:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)
-        self.starts, self.lengths = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.starts, self.lengths = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
         self.flat = np.zeros(0, dtype=np.int32)
 
+    def tokens(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of each piece. A run of letters is one word for the tokenizer's model; the rest goes its whole way."""
+        ids: list[list[int]] = [[]] * len(pieces)
+        words = [i for i, p in enumerate(pieces) if (p.isalpha() or p[:1] == " " and p[1:].isalpha()) and max(p) < _PLAIN]
+        raw = np.frombuffer("\n".join(pieces[i] for i in words).encode(), np.uint8)
+        named = _BYTE_NAMES[raw].tobytes().decode("utf-32-le").split("\n")
+        model = self.tokenizer.model
+        for i, name in zip(words, named, strict=False):
+            ids[i] = [t.id for t in model.tokenize(name)]
+        known = set(words)
+        rest = [i for i in range(len(pieces)) if i not in known]
+        for at in range(0, len(rest), _CALL):
+            some = rest[at : at + _CALL]
+            for i, found in zip(some, self.tokenizer.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False), strict=True):
+                ids[i] = found.ids
+        return ids
+
     def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         """Adds pieces; their keys come in order."""
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        starts = len(self.flat) + np.cumsum(lengths) - lengths
+        ids = self.tokens(pieces)
+        lengths = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
+        starts = (len(self.flat) + np.cumsum(lengths) - lengths).astype(np.int32)
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(lengths.sum()))])
         at = np.searchsorted(self.keys, keys)
         self.keys, self.starts, self.lengths = (np.insert(old, at, new) for old, new in ((self.keys, keys), (self.starts, starts), (self.lengths, lengths)))
@@ -112,7 +137,7 @@ class Encoder:
             self.learn(keys[~known], [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[new], ends[new], strict=True)])
             at = np.searchsorted(self.keys, keys)
         lengths, sources = self.lengths[at][which], self.starts[at][which]
-        upto = np.cumsum(lengths)
+        upto = np.cumsum(lengths, dtype=np.int64)
         values = self.flat[np.repeat(sources - (upto - lengths), lengths) + np.arange(int(lengths.sum()))] if len(starts) else self.flat[:0]
         per_text = np.concatenate(([0], upto))[np.searchsorted(starts, bounds)]
         values = np.insert(values, per_text[1:], np.int32(self.end_id))
@@ -138,7 +163,7 @@ def _encode(path: str, end_id: int):
     return run
 
 
-def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, stripe_bytes: int = 64 << 20) -> None:
+def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, stripe_bytes: int = 32 << 20) -> None:
     """Writes doc_id and ids of every document in ascending order of doc_id."""
     source = documents.select("doc_id", "text")
     ordered = source.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
