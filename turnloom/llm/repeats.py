@@ -28,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.tokens_np import VISIBLE, grams, mixed, pieces, whole_runs
-from turnloom.session import written
+from turnloom.llm.tokens_np import VISIBLE, grams, pieces, strings, whole_runs
 
 SPAN = 13
 PREFIX = 4
@@ -144,7 +143,7 @@ def _subtree(parts: int):
         late = order[docs[order] > least]
         early_docs, early_paths = _unpacked(blobs[known])
         docs, paths = np.concatenate([docs[late], early_docs]), np.concatenate([paths[late], early_paths])
-        part = (mixed(docs.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        part = np.mod(docs, parts)
         order = np.argsort(part, kind="stable")
         cuts = np.flatnonzero(np.diff(part[order])) + 1
         out = [(int(part[x[0]]), *(y.tobytes() for y in _by_document(docs[x], paths[x]))) for x in np.split(order, cuts) if len(x)]
@@ -153,63 +152,71 @@ def _subtree(parts: int):
     return run
 
 
-def _by_id(blobs: pd.DataFrame) -> pd.DataFrame:
-    """One row for each document of a part, with all its repeated paths."""
-    ids, counts, paths = _by_document(*_unpacked(blobs))
-    ends = np.cumsum(counts) if len(ids) else np.zeros(0, np.int64)
-    return pd.DataFrame({"of": ids, "repeats": [paths[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]})
-
-
 def _kept(span: int, texts: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_removed, out = [], [], []
-            lists = batch.column("repeats").to_pylist()
-            raw = batch.column("text").to_pylist()
-            for piece in pieces(batch.column("text"), VISIBLE):
-                words = None
-                for row in range(*piece.rows):
-                    line = (raw[row] or "").encode().split()
-                    gone = np.zeros(len(line) + 1, dtype=np.int64)
-                    if lists[row]:
-                        words = piece.hashes() if words is None else words
-                        at = piece.words[row - piece.rows[0]]
-                        paths = grams(words[at : at + len(line)], span)
-                        hit = np.isin(paths, np.frombuffer(lists[row], np.uint64))
-                        gone[: len(hit)] += hit
-                        gone[span : span + len(hit)] -= hit
-                    keep = np.cumsum(gone)[: len(line)] == 0
-                    rest = b" ".join(compress(line, keep)) if lists[row] else b" ".join(line)
-                    n_words.append(len(line))
-                    n_removed.append(int(len(line) - keep.sum()))
-                    out.append(rest.decode() if texts else hashlib.sha256(rest).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+    """Documents of one part without the repeats that the part's blobs name."""
+
+    def run(documents: pa.Table, blobs: pa.Table) -> pa.Table:
+        ids, counts, paths = _by_document(*_unpacked(blobs.select(["docs", "counts", "paths"]).to_pandas()))
+        ends = np.cumsum(counts, dtype=np.int64)
+        place = {d: n for n, d in enumerate(ids.tolist())}
+        column = documents.column("text").combine_chunks()
+        own = documents.column("doc_id").to_pylist()
+        n_words, n_removed, out = [], [], []
+        at, data = strings(column)
+        whole = data.tobytes()
+        for piece in pieces(column, VISIBLE):
+            words = None
+            for row in range(*piece.rows):
+                line = whole[at[row] : at[row + 1]].split()
+                found = place.get(_NULL_ID if own[row] is None else own[row])
+                n_words.append(len(line))
+                if found is None:
+                    rest, gone = line, 0
+                else:
+                    words = piece.hashes() if words is None else words
+                    first = piece.words[row - piece.rows[0]]
+                    own_paths = grams(words[first : first + len(line)], span)
+                    hit = np.isin(own_paths, paths[ends[found] - counts[found] : ends[found]]).astype(np.int64)
+                    change = np.zeros(len(line) + 1, dtype=np.int64)
+                    change[: len(hit)] += hit
+                    change[span : span + len(hit)] -= hit
+                    keep = np.cumsum(change)[: len(line)] == 0
+                    rest, gone = list(compress(line, keep)), int(len(line) - keep.sum())
+                text = b" ".join(rest)
+                n_removed.append(gone)
+                out.append(text.decode() if texts else hashlib.sha256(text).hexdigest())
+        return pa.table([documents.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
 
-def repeated_paths(documents: DataFrame, span: int = SPAN, group: int = GROUP) -> DataFrame:
-    """(of, repeats): for each doc_id with repeats, the values of its paths of `span` words that a smaller doc_id has."""
-    spark = documents.sparkSession
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    census = source.select("text").mapInArrow(_census(span), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+def _counted(documents: DataFrame, span: int) -> np.ndarray:
+    """Suffixes by the bin of their first word, of all documents."""
+    census = documents.select("text").mapInArrow(_census(span), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
     counts = np.zeros(BINS, dtype=np.int64)
     for row in census.collect():  # one number for each of the BINS bins
         counts[row[0]] = row[1]
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = max(1, min(group, int(counts.sum()) // (4 * partitions)))
-    parts = max(4 * partitions, int(counts.sum()) // group)
-    blobs = source.mapInArrow(_blocks(span, *prefix_groups(counts, size)), _BLOB)
-    found = blobs.groupBy("group").applyInPandas(_subtree(parts), "part int, docs binary, counts binary, paths binary")
-    return written(found.groupBy("part").applyInPandas(_by_id, "of long, repeats binary"), "repeats")
+    return counts
 
 
 def without_repeats(documents: DataFrame, span: int = SPAN, group: int = GROUP, texts: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, and kept, the text that stays (or its SHA-256) with single spaces."""
-    repeats = repeated_paths(documents, span, group)
+    """One row per document: doc_id, n_words, n_removed, and kept, the text that stays (or its SHA-256) with single spaces.
+
+    Groups hold at most about `group` suffixes and parts about four times as many words; with fewer suffixes there are
+    as many as the session has shuffle partitions. A group's repeats go to the parts of their documents (doc_id modulo
+    an odd number), where they meet the texts.
+    """
+    partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = source.join(repeats, F.coalesce("doc_id", F.lit(int(_NULL_ID))) == F.col("of"), "left").drop("of")
-    return joined.mapInArrow(_kept(span, texts), "doc_id long, n_words long, n_removed long, kept string")
+    counts = _counted(source, span)
+    total = int(counts.sum())
+    first, bins = prefix_groups(counts, max(1, min(group, total // (2 * partitions))))
+    parts = max(partitions, total // (4 * group)) | 1
+    blobs = source.mapInArrow(_blocks(span, first, bins), _BLOB)
+    found = blobs.groupBy("group").applyInPandas(_subtree(parts), "part long, docs binary, counts binary, paths binary")
+    part = F.pmod(F.coalesce("doc_id", F.lit(int(_NULL_ID))), F.lit(parts)).cast("long")
+    dealt = source.withColumn("part", part).groupBy("part").cogroup(found.groupBy("part"))
+    return dealt.applyInArrow(_kept(span, texts), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digest(documents: DataFrame) -> DataFrame:
