@@ -125,6 +125,21 @@ def _entries(values: np.ndarray, first: int):
     return run
 
 
+def _placed(place: np.ndarray):
+    """Rows of _entries() with only the entries that have a place, by that place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("entries")
+            of = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+            at = place[column.flatten().to_numpy()]
+            of, at = of[at >= 0], at[at >= 0]
+            offsets = np.searchsorted(of, np.arange(len(column) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.ListArray.from_arrays(offsets, at.astype(np.int32))], ["toxic", "entries"])
+
+    return run
+
+
 # -- models ----------------------------------------------------------------------------------------------------------
 
 
@@ -227,12 +242,11 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mo
     turn[place[good]] = np.arange(len(good)) % LEXICON_VOTERS
     turn[len(values) :] = LEXICON_VOTERS + np.arange(len(_PATTERNS) + 1)
     share = min(1.0, fit_rows / (n1 + n0))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(fit_rows).toArrow()
+    sampled = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(fit_rows)
+    sample = sampled.mapInArrow(_placed(place), "toxic int, entries array<int>").toArrow()
     column = sample.column("entries").combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    of = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
-    at = place[column.flatten().to_numpy()]
-    of, at = of[at >= 0], at[at >= 0]
+    of, at = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())), column.flatten().to_numpy()
     votes = np.zeros((len(column), LEXICON_VOTERS + len(_PATTERNS) + 2), dtype=bool)
     votes[of, turn[at]] = True
     votes[:, -1] = sample.column("toxic").to_numpy() == 1
