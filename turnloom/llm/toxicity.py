@@ -209,7 +209,7 @@ def _taught(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text and toxic of all training rows."""
     lessons = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     lessons = lessons.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    few = lessons.limit(MOST_SENT + 1).count() <= MOST_SENT
+    few = lessons.count() <= MOST_SENT
     return documents.select("doc_id", "text").join(F.broadcast(lessons) if few else lessons, "doc_id").select("doc_id", "text", "toxic")
 
 
@@ -242,8 +242,8 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mo
     turn[place[good]] = np.arange(len(good)) % LEXICON_VOTERS
     turn[len(values) :] = LEXICON_VOTERS + np.arange(len(_PATTERNS) + 1)
     share = min(1.0, fit_rows / (n1 + n0))
-    sampled = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(fit_rows)
-    sample = sampled.mapInArrow(_placed(place), "toxic int, entries array<int>").toArrow()
+    sampled = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    sample = sampled.mapInArrow(_placed(place), "toxic int, entries array<int>").toArrow().slice(0, fit_rows)
     column = sample.column("entries").combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
     of, at = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())), column.flatten().to_numpy()
