@@ -1,0 +1 @@
+"""Export queries."""
