@@ -1 +1,189 @@
-"""Export queries."""
+"""Queries that write, check and read back exports, and streaming forms compared with batch. Registered with queries.py."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from turnloom.operators import catalog
+from turnloom.plans import export, report, transfer, validate
+from turnloom.queries import BLOCKED, DROPPED, PLANS, SHARE, planned, query, table
+from turnloom.session import new_folder, written
+from turnloom.sources import claude, codex, pi, tables
+from turnloom.streaming import ingest
+
+SESSION = ["agent", "home", "session_id"]
+NOW = "2026-02-03T04:05:06.000Z"
+
+
+def _exportable(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Kept turns and session facts of all plans that are not blocked."""
+    turns = written(planned(spark, folder), "planned")
+    plans = transfer.plans(turns, SHARE).where("blocked_reason is null")
+    facts = plans.withColumns({
+        "target_home": F.lit("/t"), "cwd": F.lit("/repo"), "branch": F.lit("main"), "commit": F.lit(None).cast("string"), "imported_at": F.lit(NOW),
+        "updated_at": F.lit(None).cast("string"), "started_at": F.lit(None).cast("string"), "drop_summary": report.drop_summary(),
+    })
+    lines = report.marker_lines(F.col("agent"), F.col("session_id"), F.col("home"), F.col("imported_at"), F.col("cwd"), F.col("branch"), F.lit("/home/u"))
+    facts = written(export.new_ids(facts.withColumn("marker_lines", lines), "default"), "export-sessions")
+    return turns.where("drop_reason is null").join(facts.select(*SESSION), SESSION, "left_semi"), facts
+
+
+OPEN = f"open as (select * from (select *, {BLOCKED} as b from plans) where b is null), kept as (select p.* from planned p join open using (agent, session_id) where drop_reason is null)"
+
+
+def _lines(spark: SparkSession, folder: str, layout: str) -> DataFrame:
+    turns, facts = _exportable(spark, folder)
+    return export.LINES[layout](turns, facts)
+
+
+# The registry takes functions by name, so each layout's function is named before it is registered.
+def _named(function, name: str):
+    function.__name__ = name
+    return function
+
+
+def _register() -> None:
+    sql = "{plans}, {open} select agent, session_id, cast(count(*) + {extra} as bigint) as n_lines, count(*) filter (role = 'user') as n_user, cast(0 as bigint) as n_defects from kept group by agent, session_id"
+    for layout, extra, name in (("claude-code", 1, "export_claude"), ("codex", 1, "export_codex"), ("pi", 2, "export_pi")):
+
+        def run(spark: SparkSession, folder: str, layout: str = layout) -> DataFrame:
+            lines = written(_lines(spark, folder, layout), "export-lines")
+            wrong = validate.DEFECTS[layout](lines, export.item_counts(lines, layout)).where("message not like 'no non-empty user message%'").groupBy("new_id").agg(F.count("*").alias("n_defects"))
+            asks = F.get_json_object("value", "$.payload.type") == "user_message" if layout == "codex" else F.get_json_object("value", "$.message.role") == "user"
+            counts = lines.groupBy("agent", "session_id", "new_id").agg(F.count("*").alias("n_lines"), F.count_if(F.coalesce(asks, F.lit(False))).alias("n_user"))
+            return counts.join(wrong, "new_id", "left").select("agent", "session_id", "n_lines", "n_user", F.coalesce("n_defects", F.lit(0)).cast("long").alias("n_defects"))
+
+        query(sql.format(plans=PLANS, open=OPEN, extra=extra))(_named(run, name))
+
+
+_register()
+
+
+@query(f"""{PLANS}, {OPEN}, n as (select agent, session_id, count(*) as n, count(*) filter (role = 'user') as users, row_number() over (partition by agent, session_id) as one from kept group by agent, session_id)
+  select agent, session_id, case when users = 0 then 1 else 0 end + case when n >= 3 then 1 else 0 end + case when n >= 5 then 1 else 0 end + 1 as n_defects from n""")
+def validate_defects(spark: SparkSession, folder: str) -> DataFrame:
+    """Damaged rollouts: the metadata names another session, line 3 is model history, line 5 is no JSON; the counts stay."""
+    lines = _lines(spark, folder, "codex")
+    value = (
+        F.when(F.col("pos") == 0, F.regexp_replace("value", '"id":"[^"]*"', '"id":"other"')).when(F.col("pos") == 3, F.lit('{"type":"response_item","payload":{}}'))
+        .when(F.col("pos") == 5, F.concat("value", F.lit(" x"))).otherwise(F.col("value"))
+    )
+    damaged = written(lines.withColumn("value", value), "damaged-lines")
+    expected = damaged.groupBy("new_id").agg(F.count_if((F.get_json_object("value", "$.type") == "event_msg") & F.col("pos").isNotNull()).alias("items"))
+    wrong = validate.codex_defects(damaged, expected).where("path <> 'itemCount'")
+    keys = damaged.select("agent", "session_id", "new_id").distinct()
+    return wrong.join(keys, "new_id").groupBy("agent", "session_id").agg(F.count("*").cast("int").alias("n_defects"))
+
+
+@query(f"{PLANS}, {OPEN} select agent, session_id, count(*) as sent, count(*) - case when session_id in ('3', '4') then 1 else 0 end as stored, session_id not in ('3', '4') as ok from kept group by agent, session_id")
+def reconcile(spark: SparkSession, folder: str) -> DataFrame:
+    """Rollouts written as text and read back; of two sessions the last line is lost on the way."""
+    lines = written(_lines(spark, folder, "codex"), "sent-lines")
+    last = Window.partitionBy("new_id")
+    lost = F.col("session_id").isin("3", "4") & (F.col("pos") == F.max("pos").over(last))
+    target = new_folder(spark, "rollouts")
+    export.write_lines(lines.withColumn("lost", lost).where("not lost"), target)
+    order = Window.partitionBy("path").orderBy("block", "row")
+    stored = spark.read.text(target).select("path", "value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    stored = stored.select(F.regexp_extract("path", r"-([0-9a-f]{8}-[0-9a-f-]{27})\.jsonl$", 1).alias("new_id"), (F.row_number().over(order) - 1).alias("pos"), "value")
+    keys = lines.select("agent", "session_id", "new_id").distinct()
+    return export.reconciled(lines, stored, "codex").join(keys, "new_id").select("agent", "session_id", "sent", "stored", "ok")
+
+
+def _round_trip(read) -> DataFrame:
+    return read.select("session_id", "idx", "role", "text")
+
+
+ROUND = f"{PLANS}, {OPEN} select session_id, row_number() over (partition by session_id order by idx) - 1 as idx, role, text from kept where agent = 'table'"
+
+
+def _reread(spark: SparkSession, folder: str, layout: str) -> DataFrame:
+    """Exported lines of conversations, as the layout's own reader reads them."""
+    lines = _lines(spark, folder, layout).where("agent = 'table'")
+    return lines.select(F.lit(layout).alias("agent"), F.lit("/t").alias("home"), "session_id", F.col("path").alias("file"), "pos", "value", F.lit(NOW).alias("file_time"))
+
+
+@query(ROUND)
+def round_trip_claude(spark: SparkSession, folder: str) -> DataFrame:
+    return _round_trip(claude.turns(_reread(spark, folder, "claude-code"))[0])
+
+
+@query(ROUND)
+def round_trip_codex(spark: SparkSession, folder: str) -> DataFrame:
+    return _round_trip(codex.turns(codex.entries(_reread(spark, folder, "codex"))))
+
+
+@query(ROUND)
+def round_trip_pi(spark: SparkSession, folder: str) -> DataFrame:
+    return _round_trip(pi.turns(_reread(spark, folder, "pi"))[0])
+
+
+@query(f"""{PLANS} select agent, session_id, '↻ Restored from ' || agent || ' ' || substr(session_id, 1, 8) || ' () · 2026-02-03 04:05Z' || chr(10) || '  /repo · main' || chr(10) ||
+  kept_turns || case when kept_turns = 1 then ' turn' else ' turns' end || ' kept · ' || {DROPPED} as marker from (select *, {BLOCKED} as b from plans) where b is null""")
+def provenance_marker(spark: SparkSession, folder: str) -> DataFrame:
+    _, facts = _exportable(spark, folder)
+    return facts.select("agent", "session_id", F.array_join("marker_lines", "\n").alias("marker"))
+
+
+COMMITS = """with c as (select distinct conv_id, substr(md5(cast(conv_id as varchar)), 1, 12) as source, substr(md5(cast(conv_id // 2 * 2 as varchar)), 1, 12) as head from conversations)
+  select conv_id, case when conv_id % 5 = 0 then '⚠ The source session did not record a commit, so the repository state is not known here.' when conv_id % 2 = 0 then null
+    when conv_id % 3 = 0 then '⚠ Source ran at ' || substr(source, 1, 7) || ', which is not known here. The tree is now at ' || substr(head, 1, 7) || '.'
+    else '⚠ Source ran at ' || substr(source, 1, 7) || '. The tree is now at ' || substr(head, 1, 7) || case when conv_id % 7 = 0 then '' when conv_id % 7 = 1 then ' (1 commit ahead)' else ' (' || conv_id % 7 || ' commits ahead)' end || '.' end as line from c"""
+
+
+@query(COMMITS)
+def commit_state(spark: SparkSession, folder: str) -> DataFrame:
+    c = F.col("conv_id")
+    short = lambda x: F.substring(F.md5(x.cast("string").cast("binary")), 1, 12)
+    rows = table(spark, folder, "conversations").select("conv_id").distinct()
+    commit = F.when(c % 5 != 0, F.upper(short(c)))
+    line = report.repository_warning(F.lower(commit), F.lit("/repo"), short(F.floor(c / 2) * 2), c % 3 != 0, c % 7, F.lit(0))
+    return rows.select("conv_id", line.alias("line"))
+
+
+@query()
+def stream_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """The running catalog over a stream of events, all that is there; equals the batch catalog (tested)."""
+    schema = table(spark, folder, "events").schema
+    stream = spark.readStream.schema(schema).parquet(_parent(spark, folder))
+    turns = tables.with_turn_columns(stream.select(
+        F.lit("events").alias("agent"), F.lit("").alias("home"), F.col("user_id").cast("string").alias("session_id"), F.struct("ts", "event_id").alias("idx"), F.lit("agent").alias("role"),
+        F.lit("tool-call").alias("kind"), F.lit("").alias("text"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ts"),
+    ))
+    name = "stream_catalog_" + new_folder(spark, "q").rsplit("-", 1)[1]
+    return ingest.available_now(ingest.stream_catalog(turns), name, new_folder(spark, "stream"), "complete").select("session_id", "started_at", "updated_at", "turn_count")
+
+
+def _parent(spark: SparkSession, folder: str) -> str:
+    """A folder with the events as files, since streams read folders."""
+    target = new_folder(spark, "events")
+    table(spark, folder, "events").write.parquet(target)
+    return target
+
+
+@query()
+def stream_pairing(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls and results of events joined as streams: each click's user's purchases within the hour."""
+    schema = table(spark, folder, "events").schema
+    source = _parent(spark, folder)
+    keys = [F.lit("events").alias("agent"), F.lit("").alias("home"), F.col("user_id").cast("string").alias("session_id"), F.floor(F.col("event_id") / 4).cast("string").alias("call_id")]
+    stream = lambda: spark.readStream.schema(schema).parquet(source)
+    calls = stream().where("event_id % 4 = 0").select(*keys, F.col("ts").alias("called_at"))
+    results = stream().where("event_id % 4 = 1").select(*keys, F.col("ts").alias("answered_at"), F.col("event_type").alias("body"))
+    name = "stream_pairing_" + new_folder(spark, "q").rsplit("-", 1)[1]
+    return ingest.available_now(ingest.stream_paired(calls, results), name, new_folder(spark, "stream")).select("session_id", "call_id", "result_recorded", "body")
+
+
+@query("select doc_id, cast(ceil(strlen(t) / 4.0) as bigint) + len(regexp_extract_all(t, '[\\x{10000}-\\x{10FFFF}]')) as cost from (select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(token\\s*=\\s*)\"[^\"]*\"', '\\1[REDACTED]', 'g'), '(password\\s*=\\s*)[^\\s;&|]+', '\\1[REDACTED]', 'g'), '\\bAKIA[0-9A-Z]{16}\\b', '[REDACTED]', 'g') as t from documents)")
+def redacted_cost(spark: SparkSession, folder: str) -> DataFrame:
+    from turnloom.functions import redact, tokens
+
+    clean = table(spark, folder, "documents").select("doc_id", redact.redact_text(F.col("text")).alias("t"))
+    return clean.select("doc_id", tokens.estimate(F.col("t")).alias("cost"))
+
+
+@query("select cast(user_id as varchar) as session_id, max(event_id) as event_id, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as updated_at from events group by user_id")
+def newest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "events").select(F.lit("events").alias("agent"), F.lit("").alias("home"), F.col("user_id").cast("string").alias("session_id"), "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("updated_at"))
+    return catalog.newest(rows).select("session_id", "event_id", "updated_at")
