@@ -169,8 +169,8 @@ def stream_pairing(spark: SparkSession, folder: str) -> DataFrame:
     source = _parent(spark, folder)
     keys = [F.lit("events").alias("agent"), F.lit("").alias("home"), F.col("user_id").cast("string").alias("session_id"), F.floor(F.col("event_id") / 4).cast("string").alias("call_id")]
     stream = lambda: spark.readStream.schema(schema).parquet(source)
-    calls = stream().where("event_id % 4 = 0").select(*keys, F.col("ts").alias("called_at"))
-    results = stream().where("event_id % 4 = 1").select(*keys, F.col("ts").alias("answered_at"), F.col("event_type").alias("body"))
+    calls = stream().where("event_id % 4 = 0").select(*keys, F.col("ts").cast("timestamp").alias("called_at"))
+    results = stream().where("event_id % 4 = 1").select(*keys, F.col("ts").cast("timestamp").alias("answered_at"), F.col("event_type").alias("body"))
     name = "stream_pairing_" + new_folder(spark, "q").rsplit("-", 1)[1]
     return ingest.available_now(ingest.stream_paired(calls, results), name, new_folder(spark, "stream")).select("session_id", "call_id", "result_recorded", "body")
 
