@@ -35,6 +35,8 @@ MOST_SENT = 1_000_000
 MOST_CANDIDATES = 40_000
 MOST_ENTRIES = 2_000
 LEXICON_VOTERS = 24
+#: Of the documents with an entry at least so many are toxic, at the lower end of a 95 % interval.
+LEAST_PRECISION = 0.5
 THRESHOLD = 0.3
 _BEGINNINGS = (4, 5, 6)
 _PATTERNS = ("!!", "???", "***", "###")
@@ -151,6 +153,13 @@ def likelihood_ratio(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int) -> np.nda
     return np.sign(p1 - p0) * np.sqrt(np.maximum(twice, 0))
 
 
+def surely(hits: np.ndarray, n: np.ndarray, z: float = 1.96) -> np.ndarray:
+    """The lower end of Wilson's interval for the share hits / n."""
+    n = np.maximum(n, 1e-9)
+    share = hits / n
+    return (share + z * z / (2 * n) - z * np.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> np.ndarray:
     """Posterior of the positive class for rows of 0/1 votes; the given labels are one voter, the last, of unknown accuracy.
 
@@ -231,7 +240,9 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mo
         counts[r[0], r[1]] = r[2]
     c0, c1 = counts[:, : len(candidates)]
     strength = likelihood_ratio(c1, c0, n1, n0)
-    good = np.flatnonzero(strength > np.sqrt(2 * np.log(max(2, len(candidates)))))  # chance alone would pass about one
+    # Chance alone would let about one entry pass the first test. The second asks that the entry, wherever it stands, speaks
+    # for toxicity: long clean texts have many entries that are only commoner in toxic ones.
+    good = np.flatnonzero((strength > np.sqrt(2 * np.log(max(2, len(candidates))))) & (surely(c1, c1 + c0) >= LEAST_PRECISION))
     good = good[np.argsort(-strength[good], kind="stable")][:MOST_ENTRIES]
     place = np.full(counts.shape[1], -1, dtype=np.int64)
     values = np.sort(candidates[good])
