@@ -14,7 +14,7 @@ def test_stages(spark):
     scores = toxicity.toxicity(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
     kept = docs.join(scores.where("predicted = 0").select("doc_id"), "doc_id")
     assert ids(P.reject_toxic(spark, docs, FOLDER)) == ids(kept)
-    groups = simhash.near_duplicates(docs).where("doc_id = component_id")
+    groups = simhash.similar_groups(docs).where("doc_id = component_id")
     assert ids(P.drop_near_duplicates(spark, docs, FOLDER)) == ids(groups)
     bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     assert ids(P.decontaminate(spark, docs, FOLDER)) == ids(decontamination.contamination(docs, bench).where("n_hit = 0"))
