@@ -191,3 +191,21 @@ def digest(result: DataFrame) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def oracle_sql(span: int = SPAN) -> str:
+    """The digest's rows in DuckDB."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = rf"coalesce(regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+    return f"""
+with d as (select row_number() over () as r, doc_id, {words} as ws from documents),
+b as (select coalesce(cast(item_id as varchar), 'null') as item, {words} as ws from benchmark),
+spans as (select item, ws, least({span}, len(ws)) as n from b where len(ws) > 0),
+windows as (select distinct item, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') as w from (select *, unnest(generate_series(1, len(ws) - n + 1)) as i from spans)),
+lengths as (select distinct n from windows),
+places as (select r, n, i, array_to_string(list_slice(ws, i, i + n - 1), ' ') as w from (select r, ws, n, unnest(generate_series(1, len(ws) - n + 1)) as i from d, lengths where len(ws) >= n)),
+hits as (select r, i, n, item from places join windows using (n, w)),
+words as (select r, count(*) as n_hit from (select distinct r, unnest(generate_series(i, i + n - 1)) as p from hits) group by r),
+found as (select r, count(*) as n_items, array_to_string(list(item order by item), ',') as items from (select distinct r, item from hits) group by r)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (r) left join found using (r)"""

@@ -77,7 +77,9 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     thin = written(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     sizes = thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = written(_planned(sizes, F.col("n"), total_buckets(spark), weights=weights, share=share, most_epochs=most_epochs), "mix-plan")
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("epochs"))
+    # 60 bits of an MD5, which other engines have too, spread over the signed 64-bit numbers.
+    named = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("epochs").cast("string"))
+    key = (F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long") - F.lit(1 << 59)) * F.lit(16)
 
     def placed(rows: DataFrame) -> DataFrame:
         joined = rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
@@ -103,3 +105,20 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each repeated as often as it is used; a boundary document is used whole."""
     rows = mix(documents, keep_rows=True, **options)
     return rows.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+
+
+def oracle_sql(weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most_epochs: int = MOST_EPOCHS) -> str:
+    """The digest's rows in DuckDB."""
+    return rf"""
+with sized as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size from documents),
+sources as (select source, cast(sum(size) as bigint) as source_size, {list(weights)}[cast((row_number() over (order by source nulls last) - 1) % {len(weights)} as integer) + 1] as weight from sized group by source),
+ranked as (select *, source_size * {float(most_epochs)} as most, {share} * sum(source_size) over () as pool, sum(weight) over () as weights from sources),
+filled as (select *, pool - coalesce(sum(most) over w, 0) as rest, weights - coalesce(sum(weight) over w, 0) as sharers from ranked
+  window w as (order by most / weight, source nulls last rows between unbounded preceding and 1 preceding)),
+marked as (select *, most * sharers <= weight * rest as is_full from filled),
+opened as (select rest as open_rest, sharers as open_sharers from marked where not is_full order by most / weight, source nulls last limit 1),
+plan as (select source, source_size, case when is_full then most else cast(weight as double) * open_rest / open_sharers end as target from marked left join opened on true),
+steps as (select *, case when source_size > 0 then cast(floor(round(target) / source_size) as bigint) else 0 end as epochs from plan),
+placed as (select s.doc_id, s.size, p.*, cast(round(target) as bigint) - epochs * source_size as rest, substr(md5(coalesce(cast(doc_id as varchar), 'null') || ':' || epochs), 1, 15) as key from sized s join steps p on s.source is not distinct from p.source),
+summed as (select *, coalesce(sum(size) over (partition by source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before from placed)
+select doc_id, size, source_size, target, cast(epochs * size + greatest(0, least(size, rest - before)) as bigint) as taken from summed"""

@@ -222,3 +222,15 @@ def without_repeats(documents: DataFrame, span: int = SPAN, group: int = GROUP,
 def digest(documents: DataFrame) -> DataFrame:
     """The contract's columns for a table of documents."""
     return without_repeats(documents, texts=False).withColumnRenamed("kept", "kept_sha256")
+
+
+def oracle_sql(span: int = SPAN) -> str:
+    """The digest's rows in DuckDB."""
+    return rf"""
+with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as ws from documents),
+places as (select doc_id, i, array_to_string(list_slice(ws, i, i + {span - 1}), ' ') as w from (select *, unnest(generate_series(1, len(ws) - {span - 1})) as i from d where len(ws) >= {span})),
+least_ids as (select w, min(doc_id) as first from places group by w),
+gone as (select doc_id, list(distinct p) as ps from (select doc_id, unnest(generate_series(i, i + {span - 1})) as p from places join least_ids using (w) where first < doc_id) group by doc_id)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(len(ps), 0) as bigint) as n_removed,
+  sha256(coalesce(array_to_string(case when ps is null then ws else list_filter(ws, lambda x, i: not list_contains(ps, i)) end, ' '), '')) as kept_sha256
+from d left join gone using (doc_id)"""
