@@ -29,11 +29,12 @@ def defects(entries: DataFrame, label: str = "uuid") -> DataFrame:
 def active_path(entries: DataFrame, label: str = "uuid") -> tuple[DataFrame, DataFrame]:
     """(keys, pos, depth) of the entries from the root to the last entry, and rejects (keys, reason).
 
-    entries has the keys, pos, id and parent (null at a root), without entries that are off every chain. Rejected are
-    sessions with defects, with a missing parent on the path, or with a cycle.
+    entries has the keys, pos, id and parent (null at a root), without entries that are off every chain; it is read
+    several times, so it should be a table. Rejected are sessions with defects, with a missing parent on the path, or
+    with a cycle.
     """
-    rows = written(entries.select(*SESSION, "pos", "id", "parent"), "branch-entries")
-    wrong = written(defects(rows, label), "branch-defects")
+    rows = entries.select(*SESSION, "pos", "id", "parent")
+    wrong = defects(rows, label)
     sound = rows.join(wrong.select(*SESSION), SESSION, "left_anti")
     w = Window.partitionBy(*SESSION).orderBy("pos")
     chained = sound.withColumns({"depth": F.row_number().over(w) - 1, "before": F.lag("id").over(w)})

@@ -72,7 +72,7 @@ def turns(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = written(rows, "claude-entries")
     chain = rows.where(~F.col("broken") & ~F.col("side") & F.col("id").isNotNull())
     path, wrong = active_path(chain)
-    rejects = written(broken.unionByName(wrong), "claude-rejects")
+    rejects = broken.unionByName(wrong)
     active = written(rows.join(path, [*SESSION, "pos"]), "claude-active")
 
     results = active.where(F.col("type") == "user").select(*SESSION, "depth", "structured", F.posexplode(F.arrays_zip("blocks", "inner")).alias("n", "z"))
@@ -121,7 +121,6 @@ def turns(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.when(tool, line).alias("outcome_line"), effect.alias("effect"), F.when(tool, dropped).alias("body_dropped"), F.when(tool, recorded).alias("result_recorded"),
         F.col("stamp").alias("ts"), F.when(effect == "mutating", F.array_compact(F.array(path_of))).alias("changed_paths"),
     )
-    out = written(out, "claude-turns")
 
     # Facts come from the live branch; of broken files from all entries before the cut.
     on_path = active.select(*SESSION, "pos", F.col("depth").alias("at"))

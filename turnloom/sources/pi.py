@@ -45,11 +45,11 @@ def entries(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def turns(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(turns, catalog, rejects) of the files' lines."""
     heads, body, cut = entries(lines)
-    heads, body = written(heads, "pi-heads"), written(body, "pi-entries")
+    body = written(body, "pi-entries")
     sound = body.join(cut.select(*SESSION), SESSION, "left_anti")
     path, wrong = active_path(sound, "id")
-    rejects = written(cut.unionByName(wrong), "pi-rejects")
-    live = written(sound.join(path, [*SESSION, "pos"]), "pi-active")
+    rejects = cut.unionByName(wrong)
+    live = sound.join(path, [*SESSION, "pos"])
     context = compacted(live).withColumn("message", F.coalesce("item", "message")).withColumn("type", F.when(F.col("item").isNotNull(), F.lit("message")).otherwise(F.col("type")))
     message = F.from_json("message", "role string, content string, toolCallId string, isError boolean")
     blocks = F.from_json("message", f"content array<struct<{_BLOCK}>>")["content"]
@@ -93,7 +93,6 @@ def turns(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.when(tool, line).alias("outcome_line"), effect.alias("effect"), F.when(tool, dropped).alias("body_dropped"), F.when(tool, recorded).alias("result_recorded"),
         F.col("stamp").alias("ts"), F.when(effect == "mutating", F.array_compact(F.array(path_of))).alias("changed_paths"),
     )
-    out = written(out, "pi-turns")
 
     m = F.from_json("message", "role string, content string")
     b = F.from_json("message", f"content array<struct<{_BLOCK}>>")["content"]
