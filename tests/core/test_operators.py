@@ -1,8 +1,10 @@
 """Catalog, membership, lookup, pairing and streaming against small expected tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from turnloom.operators import catalog, lookup, membership, pairing
+from turnloom.sources.lines import scan_homes
 from turnloom.sources.tables import with_turn_columns
 from turnloom.streaming import ingest
 
@@ -85,3 +87,27 @@ def test_whole_registry_without_llm():
 
     names = set(entry.queries())
     assert set(entry.oracle_sql()) <= names and len([n for n in names if not n.startswith(("op", "pipeline"))]) >= 45
+
+
+def test_changed_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for name in ("x", "a/y"):
+        (tmp_path / name).write_text(name)
+    before = catalog.file_digests(spark, str(tmp_path)).collect()
+    frame = lambda rows: spark.createDataFrame(rows, "path string, sha256 string")
+    assert catalog.changed_files(frame(before), catalog.file_digests(spark, str(tmp_path))).count() == 0
+    (tmp_path / "x").write_text("other")
+    assert sorted(r.side for r in catalog.changed_files(frame(before), frame(catalog.file_digests(spark, str(tmp_path)).collect())).collect()) == ["after", "before"]
+
+
+def test_homes(spark, tmp_path):
+    home = tmp_path / "h" / "sessions" / "2026" / "01" / "01"
+    home.mkdir(parents=True)
+    (home / "rollout-2026-01-01T00-00-00-abc.jsonl").write_text('{"timestamp":"2026-01-01T00:00:00Z","type":"session_meta","payload":{"id":"abc"}}\n')
+    rows, missing = scan_homes(spark, [("codex", "h", str(tmp_path / "h")), ("codex", "h", str(tmp_path / "h")), ("pi", "gone", str(tmp_path / "gone"))])
+    assert [(r.agent, r.session_id, r.pos) for r in rows.collect()] == [("codex", "abc", 0)]
+    assert [(r.agent, r.home) for r in missing.collect()] == [("pi", "gone")]
+    good, lost = rows.select("agent", "home"), spark.createDataFrame([("pi", "bad")], "agent string, home string")
+    catalog.check_not_all_failed(good, lost.where("false"))
+    with pytest.raises(RuntimeError, match="pi bad"):
+        catalog.check_not_all_failed(good, lost)

@@ -80,7 +80,7 @@ def test_closed_form_equals_loop(spark, window, recent):
         assert t.blocked_reason or t.estimated_tokens <= t.budget_tokens
 
 
-def test_reference_session(spark):
+def test_known_session(spark):
     kinds = [("user", "message", None), ("agent", "message", None), ("agent", "tool-call", ("Read", "read-only", True)), ("agent", "tool-call", ("Grep", "read-only", True)), ("agent", "message", None), ("agent", "tool-call", ("Edit", "mutating", False)),
              ("agent", "tool-call", ("Write", "mutating", False)), ("agent", "tool-call", ("shell", "unknown", True)), ("agent", "summary", None), ("user", "message", None), ("agent", "message", None)]
     rows = [("codex", "/h", "id", i, role, kind, "" if tool else "text", tool and tool[0], tool and "a", tool and "o", tool and tool[1], tool and tool[2], tool and True, None) for i, (role, kind, tool) in enumerate(kinds)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions.text import cut_after, cut_within, first_line, first_visible_line
@@ -81,3 +81,15 @@ def check_not_all_failed(ok: DataFrame, rejects: DataFrame) -> None:
     lost = rejects.select("agent", "home").distinct().join(good, ["agent", "home"], "left_anti").limit(20).collect()
     if lost:
         raise RuntimeError("no session could be read: " + ", ".join(f"{r.agent} {r.home}" for r in lost))
+
+
+def file_digests(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
+    """path and SHA-256 of every file below a path. Whole files are read, so this is for session files, not archives."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(path)
+    return files.select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Digests that are in one of two snapshots of a tree only, with side "before" or "after"; none if nothing changed."""
+    lost, new = before.exceptAll(after), after.exceptAll(before)
+    return lost.withColumn("side", F.lit("before")).unionByName(new.withColumn("side", F.lit("after")))

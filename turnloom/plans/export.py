@@ -18,8 +18,8 @@ SESSION = ["agent", "home", "session_id"]
 EPOCH = "1970-01-01T00:00:00.000Z"
 # Names and numbers that the layouts' readers expect.
 CLAUDE_VERSION, CLAUDE_MODEL, CLAUDE_EMPTY = "2.1.220", "<synthetic>", "(empty message)"
-CODEX_ORIGIN, CODEX_VERSION = "codex_cli_rs", "0.146.0"
-PI_VERSION, PI_EMPTY, PI_MARKER, PI_API, PI_PROVIDER, PI_MODEL = 3, "(empty turn)", "session-import", "imported", "imported", "imported"
+CODEX_ORIGIN, CODEX_VERSION = "turnloom", "0.146.0"
+PI_VERSION, PI_EMPTY, PI_MARKER, PI_API, PI_PROVIDER, PI_MODEL = 3, "(empty turn)", "turnloom-provenance", "pi-virtual", "turnloom", "imported-session"
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 

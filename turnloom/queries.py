@@ -318,6 +318,60 @@ def place_status(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("conv_id", "directory", "place", "recovery_root", F.coalesce("branch_moved", F.lit(False)).alias("branch_moved"))
 
 
+@query("""with c as (select distinct conv_id from conversations)
+  select conv_id, '/h' || conv_id % 3 || '/sessions/f' || conv_id || '.jsonl' as path, case conv_id % 3 when 0 then 'codex' when 1 then 'codex,pi' else '' end as agents from c""")
+def path_attribution(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "conversations").select("conv_id").distinct().withColumn("path", F.concat(F.lit("/h"), (F.col("conv_id") % 3).cast("string"), F.lit("/sessions/f"), F.col("conv_id").cast("string"), F.lit(".jsonl")))
+    roots = spark.createDataFrame([("/h0", "codex"), ("/h1/", "codex"), ("/h1/sessions", "pi"), ("/h", "claude-code")], "root string, agent string")
+    return lookup.owner_by_path(files, roots).select("conv_id", "path", F.array_join("agents", ",").alias("agents"))
+
+
+@query("""with e as (select event_id, case when event_id % 3 = 0 then '/real/' || event_id // 6 else '/link/' || event_id // 6 end as path from events)
+  select '/real/' || event_id // 6 as canonical_path, min(event_id) as event_id from e group by 1""")
+def canonical_dedupe(spark: SparkSession, folder: str) -> DataFrame:
+    number = F.expr("event_id div 6").cast("string")
+    rows = table(spark, folder, "events").select("event_id", F.concat(F.when(F.col("event_id") % 3 == 0, F.lit("/real/")).otherwise(F.lit("/link/")), number).alias("path"))
+    aliases = rows.where("path like '/link/%'").select("path", F.regexp_replace("path", "^/link", "/real").alias("canonical")).distinct()
+    return membership.one_spelling(rows, aliases, "path", "event_id").select("canonical_path", "event_id")
+
+
+def _recoverable(spark: SparkSession, folder: str) -> DataFrame:
+    c = F.col("conv_id")
+    rows = table(spark, folder, "conversations").select("conv_id").distinct()
+    return rows.select("conv_id", F.lit("recoverable").alias("place"), F.lit("/repo").alias("recovery_root"), F.concat(F.lit("b"), (c % 4).cast("string")).alias("branch"), F.concat(F.lit("c"), (c % 3).cast("string")).alias("commit"))
+
+
+@query("""with c as (select distinct conv_id from conversations)
+  select conv_id, case when conv_id % 4 = 0 then 'b0' when conv_id % 4 = 1 then 'origin/b1' when conv_id % 3 = 0 then 'c0' else 'HEAD' end as start_ref from c""")
+def recovery_choice(spark: SparkSession, folder: str) -> DataFrame:
+    refs = spark.createDataFrame([("/repo", r) for r in ("b0", "b1", "origin/b1", "c0")] + [("/other", "b2")], "root string, ref string")
+    busy = spark.createDataFrame([("/repo", "b1")], "root string, branch string")
+    return membership.recovery_reference(_recoverable(spark, folder), refs, busy).select("conv_id", "start_ref")
+
+
+@query("""with c as (select distinct conv_id from conversations)
+  select conv_id, case conv_id % 5 when 0 then 'missing' when 1 then 'ok' when 2 then 'other-repository' when 3 then 'no-directory' else 'ok' end as dest_status from c""")
+def destination_check(spark: SparkSession, folder: str) -> DataFrame:
+    c = F.col("conv_id")
+    asked = F.when(c % 5 == 1, F.lit("/repo/sub")).when(c % 5 == 2, F.lit("/else")).when(c % 5 == 3, F.lit("/nowhere")).when(c % 5 == 4, F.lit("/repo"))
+    rows = _recoverable(spark, folder).withColumns({"asked": asked, "directory": F.lit("/gone")})
+    identity = spark.createDataFrame([("/repo", "/r"), ("/repo/sub", "/r"), ("/else", "/q")], "directory string, common_dir string")
+    return membership.destination_status(rows, identity).select("conv_id", "dest_status")
+
+
+@query("""with c as (select distinct conv_id, md5(cast(conv_id as varchar)) as id from conversations)
+  select conv_id, '↻ table ' || substr(id, 1, 8) || ' · ~/h · 2026-01-02 03:04Z · ' || case when conv_id % 2 = 0 then 'Title ' || conv_id else '(untitled)' end || chr(10) ||
+    '  ' || case when conv_id % 3 = 0 then '(no recorded directory) · no branch · directory missing and cannot be recovered' when conv_id % 3 = 1 then '/repo · main' else '~/w · main · directory missing; it can be recreated' end as lines from c""")
+def summary_lines(spark: SparkSession, folder: str) -> DataFrame:
+    c = F.col("conv_id")
+    rows = table(spark, folder, "conversations").select("conv_id").distinct().select(
+        "conv_id", F.lit("table").alias("agent"), F.lit("/home/u/h").alias("home"), F.md5(c.cast("string").cast("binary")).alias("session_id"), F.lit("2026-01-02T03:04:05.000Z").alias("updated_at"),
+        F.when(c % 2 == 0, F.concat(F.lit(" Title\n"), c.cast("string"))).otherwise(F.lit(" \t")).alias("title"), F.when(c % 3 == 0, F.lit("")).when(c % 3 == 1, F.lit("/repo")).otherwise(F.lit("/home/u/w")).alias("directory"),
+        F.when(c % 3 != 0, F.lit("main")).alias("branch"), F.when(c % 3 == 0, F.lit("unrecoverable")).when(c % 3 == 1, F.lit("present")).otherwise(F.lit("recoverable")).alias("place"),
+    )
+    return rows.select("conv_id", F.array_join(report.summary_lines(F.lit("/home/u")), "\n").alias("lines"))
+
+
 # Calls ------------------------------------------------------------------------------------------------------------------
 
 
