@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnloom.session import written
+
 _SPREAD = 16
+_RUN = 64
 
 
 def total_buckets(spark: SparkSession) -> int:
@@ -25,10 +28,18 @@ def bucket_of(key: Column, buckets: Column) -> Column:
 
 
 def bucket_offsets(rows: DataFrame, group: str, measure: Column) -> DataFrame:
-    """(of_group, of_bucket, offset): what the measure sums to in the buckets before, for rows with `group` and `bucket`."""
+    """(of_group, of_bucket, offset): what the measure sums to in the buckets before, for rows with `group` and `bucket`.
+
+    Sums run within runs of _RUN buckets and over the runs' totals, so a group's buckets need not meet in one task.
+    """
     totals = rows.groupBy(F.col(group).alias("of_group"), F.col("bucket").alias("of_bucket")).agg(F.sum(measure).alias("subtotal"))
-    earlier = Window.partitionBy("of_group").orderBy("of_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select("of_group", "of_bucket", F.coalesce(F.sum("subtotal").over(earlier), F.lit(0)).alias("offset"))
+    totals = written(totals.withColumn("run", F.floor(F.col("of_bucket") / _RUN)), "bucket-totals")
+    whole = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    runs = totals.groupBy(F.col("of_group").alias("g"), F.col("run").alias("r")).agg(F.sum("subtotal").alias("total"))
+    runs = runs.select("g", "r", F.coalesce(F.sum("total").over(whole("g").orderBy("r")), F.lit(0)).alias("earlier"))
+    inside = totals.withColumn("inner", F.coalesce(F.sum("subtotal").over(whole("of_group", "run").orderBy("of_bucket")), F.lit(0)))
+    joined = inside.join(runs, F.col("of_group").eqNullSafe(F.col("g")) & (F.col("run") == F.col("r")))
+    return joined.select("of_group", "of_bucket", (F.col("earlier") + F.col("inner")).alias("offset"))
 
 
 def running_sums(rows: DataFrame, offsets: DataFrame, group: str, order: list[str], measure: Column, name: str) -> DataFrame:
