@@ -47,7 +47,6 @@ _BYTE_NAMES = np.arange(256, dtype="<u4")
 _HIDDEN = [b for b in range(256) if b not in _SHOWN]
 _BYTE_NAMES[_HIDDEN] = np.arange(len(_HIDDEN)) + 0x100
 _BYTE_NAMES[_LINE] = _LINE  # never in a word; it parts them
-_PLAIN = "\u0250"
 _LETTER = _bytes((0x41, 0x5A), (0x61, 0x7A))
 _SEEN = _bytes((0x21, 0x7E))
 #: Bytes that begin a character which is no white space; C2, E1, E2 and E3 may begin some.
@@ -55,6 +54,14 @@ _SEEN_NEXT = _bytes((0x21, 0x7E), (0xC3, 0xE0), (0xE4, 0xF4))
 _MARK = _bytes((0x2C, 0x2C), (0x2E, 0x2E))
 
 
+def letters(data: np.ndarray) -> np.ndarray:
+    """Which bytes are of ASCII or Latin-1 letters (those of C3 and a second byte but the two signs among them)."""
+    out = _LETTER[data]
+    two = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+    out[two] = out[two + 1] = True
+    return out
+
+
 def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Where pieces start: at each text and where the tokenizer's own splitting has a border whatever else the text has.
 
@@ -96,26 +103,28 @@ class Encoder:
         self.starts, self.lengths = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
         self.flat = np.zeros(0, dtype=np.int32)
 
-    def tokens(self, pieces: list[str]) -> list[list[int]]:
+    def tokens(self, pieces: list[bytes], words: np.ndarray) -> list[list[int]]:
         """The ids of each piece. A run of letters is one word for the tokenizer's model; the rest goes its whole way."""
         ids: list[list[int]] = [[]] * len(pieces)
-        words = [i for i, p in enumerate(pieces) if (p.isalpha() or p[:1] == " " and p[1:].isalpha()) and max(p) < _PLAIN]
-        raw = np.frombuffer("\n".join(pieces[i] for i in words).encode(), np.uint8)
-        named = _BYTE_NAMES[raw].tobytes().decode("utf-32-le").split("\n")
-        model = self.tokenizer.model
-        for i, name in zip(words, named, strict=False):
-            ids[i] = [t.id for t in model.tokenize(name)]
-        known = set(words)
-        rest = [i for i in range(len(pieces)) if i not in known]
+        plain = np.flatnonzero(words).tolist()
+        raw = np.frombuffer(b"\n".join([pieces[i] for i in plain]), np.uint8)
+        tokenize = self.tokenizer.model.tokenize
+        for i, name in zip(plain, _BYTE_NAMES[raw].tobytes().decode("utf-32-le").split("\n"), strict=False):
+            ids[i] = [t.id for t in tokenize(name)]
+        rest = np.flatnonzero(~words).tolist()
         for at in range(0, len(rest), _CALL):
             some = rest[at : at + _CALL]
-            for i, found in zip(some, self.tokenizer.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False), strict=True):
+            texts = [pieces[i].decode("utf-8", "replace") for i in some]
+            for i, found in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
                 ids[i] = found.ids
         return ids
 
-    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        """Adds pieces; their keys come in order."""
-        ids = self.tokens(pieces)
+    def learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Adds pieces of the data; their keys come in order."""
+        other = np.concatenate(([0], np.cumsum(~letters(data))))
+        first = starts + (data[starts] == _SPACE)
+        words = (ends > first) & (other[ends] == other[first])
+        ids = self.tokens([data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], words)
         lengths = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
         starts = (len(self.flat) + np.cumsum(lengths) - lengths).astype(np.int32)
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(lengths.sum()))])
@@ -134,7 +143,7 @@ class Encoder:
         known[known] = self.keys[at[known]] == keys[known]
         if not known.all():
             new = first[~known]
-            self.learn(keys[~known], [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[new], ends[new], strict=True)])
+            self.learn(keys[~known], data, starts[new], ends[new])
             at = np.searchsorted(self.keys, keys)
         lengths, sources = self.lengths[at][which], self.starts[at][which]
         upto = np.cumsum(lengths, dtype=np.int64)
