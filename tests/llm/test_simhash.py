@@ -76,3 +76,40 @@ def test_similar_groups(spark):
     assert all(r.component_id // 3 == r.doc_id // 3 for r in rows)
     assert sum(r.component_id == truth[r.doc_id] for r in rows) >= 0.95 * len(rows)
     assert S.most_bits(0.8) == 39 and S.most_bits(1.0) == 0
+
+
+def test_similar_pairs_at_the_limit(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    docs = []
+    for g in range(300):
+        base = [word() for _ in range(184)]  # 180 shingles
+        alike = list(base)
+        for i in range(4):
+            alike[20 + 40 * i] = word()  # 160 of 200 shingles are shared: 0.8
+        other = list(base)
+        for i in range(5):
+            other[20 + 30 * i] = word()  # 155 of 205 shingles are shared: 0.756
+        docs.append((2 * g, " ".join(base)))
+        docs.append((2 * g + 1, " ".join(alike if g % 2 else other)))
+    rows = {r.doc_id: r.component_id for r in S.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(rows[2 * g + 1] == 2 * g for g in range(1, 300, 2)) >= 0.9 * 150
+    assert all(rows[2 * g + 1] == 2 * g + 1 for g in range(0, 300, 2))
+
+
+def test_members_unlike_the_first_are_compared(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    common = " ".join(word() for _ in range(120))
+    docs = []
+    for g in range(40):  # all meet through the common words, but only pairs are alike
+        own = " ".join(word() for _ in range(40))
+        docs += [(2 * g, f"{common} {own}"), (2 * g + 1, f"{common} {own} {word()}")]
+    rows = S.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == {(d, d // 2 * 2) for d, _ in docs}
+
+
+def test_texts_that_share_an_id_stay(spark):
+    docs = [(3, "a b c d e f g"), (3, "k l m n o p q"), (None, "t u v w x y z")]
+    kept = S.representatives(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted(docs, key=str)

@@ -7,18 +7,21 @@ as many as the ball has members, whatever the data) are linked to the least of t
 The links of one variant are a star over a clique, so no connection is lost. Groups are connected components.
 
 near_duplicates() is that, exactly, at a small radius. similar_groups() looks for texts of a given similarity of word
-shingles, whose fingerprints are further apart than a ball can reach: it hashes balls in 32-bit pieces of a 256-bit
-fingerprint and checks candidates on all its bits.
+shingles, whose fingerprints are further apart than a ball can reach: texts that agree in a band of least hashes are
+candidates, and a link is kept only if the Jaccard similarity of the two sets of shingles, compared word by word, is
+at least the one asked for.
 
 Defined results: null, empty and blank texts have fingerprint zero, which is linked like any other; a text of fewer
 words than a shingle has one shingle, all its words; equal texts always share a group; a null doc_id is a component's
-id only where no row of that fingerprint has an id, and such fingerprints keep to themselves; other columns are ignored.
+id only where no row of that fingerprint has an id, and such fingerprints of near_duplicates() keep to themselves;
+similar_groups() tells texts apart by themselves, whatever their ids; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +32,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from turnloom.llm.components import connected
-from turnloom.llm.tokens_np import mixed, strings
+from turnloom.llm.tokens_np import strings
 from turnloom.session import written
 
 SHINGLE = 3
@@ -115,8 +118,12 @@ def digest(result: DataFrame) -> DataFrame:
 # -- similar texts -----------------------------------------------------------------------------------------------------
 
 WIDE = 4
-PIECE_BITS = 32
-_TURNS = np.array([0, 0x9E3779B97F4A7C15, 0x3C6EF372FE94F82A, 0xDAA66D2C7DDF743F], dtype=np.uint64)
+#: A pair of similarity s agrees in a band with odds s**ROWS, and in any of them with 1 - (1 - s**ROWS)**BANDS: 0.97 at 0.8.
+BANDS, ROWS = 32, 10
+#: In groups of at most so many candidates all pairs are compared; in larger ones all members with so many at first.
+FEW = 8
+_SALTS = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_CHUNK = 2048
 
 
 def most_bits(similarity: float) -> int:
@@ -127,67 +134,127 @@ def most_bits(similarity: float) -> int:
     return round(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def wide_fingerprint(text: bytes, shingle: int) -> list[int]:
-    """WIDE fingerprints of a text's distinct shingles: the same XXH64 values, mixed anew for each."""
-    words = text.lower().split()
-    if not words:
-        return [0] * WIDE
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    n = max(1, len(words) - shingle + 1)
-    starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
-    hashes = np.unique(np.array([xxh64_intdigest(line[a:b], _SEED) for a, b in zip(starts, ends[-n:].tolist(), strict=True)], dtype=np.uint64))
-    return [_majority(mixed(hashes + turn).astype(">u8")) for turn in _TURNS]
+def _line(text: bytes) -> bytes:
+    """A text's words, lower-cased (A-Z), with single blanks between."""
+    return b" ".join(text.lower().split())
+
+
+def shingles(line: bytes, shingle: int) -> list[bytes]:
+    """The shingles of a text's words; one of all words where they are fewer."""
+    words = line.split(b" ")
+    return [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+
 
+def bands(line: bytes, shingle: int) -> list[int]:
+    """BANDS values, each of the least values of ROWS orders of the distinct shingles."""
+    hashes = np.array([xxh64_intdigest(x, _SEED) for x in set(shingles(line, shingle))], dtype=np.uint64)
+    least = np.full(len(_SALTS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(hashes), _CHUNK):
+        least = np.minimum(least, (_SALTS[:, None] * hashes[None, i : i + _CHUNK]).min(axis=1))
+    data, size = least.tobytes(), 8 * ROWS
+    return [int(np.uint64(xxh64_intdigest(data[i * size : (i + 1) * size], i)).astype(np.int64)) for i in range(BANDS)]
 
-def _wide(shingle: int):
+
+def _lines(column: pa.Array) -> list[bytes]:
+    at, data = strings(column)
+    whole = data.tobytes()
+    return [_line(whole[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def _node(line: bytes) -> bytes:
+    return blake2b(line, digest_size=16).digest()
+
+
+def _banded(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, data = strings(batch.column("text"))
-            whole = data.tobytes()
-            prints = [wide_fingerprint(whole[a:b], shingle) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            columns = [pa.array(p, pa.int64()) for p in zip(*prints, strict=True)] if prints else [pa.array([], pa.int64())] * WIDE
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *_PRINTS])
+            lines = _lines(batch.column("text"))
+            values = pa.array([bands(x, shingle) for x in lines], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_node, lines), pa.binary()), values], ["doc_id", "node", "bands"])
+
+    return run
+
+
+def _with_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(_node, _lines(batch.column("text"))), pa.binary())], [*batch.schema.names, "node"])
+
+
+def _compared(shingle: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, known = None, set()
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column("a_line").to_pylist(), batch.column("b_line").to_pylist(), strict=True):
+                if b != before:
+                    before, known = b, set(shingles(b, shingle))
+                own = set(shingles(a, shingle))
+                both = len(own & known)
+                good.append(both >= similarity * (len(own) + len(known) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], ["a", "b", "good"])
 
     return run
 
 
-_PRINTS = [f"p{i}" for i in range(WIDE)]
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines = _lines(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([pa.array(map(_node, lines), pa.binary()), pa.array(lines, pa.binary())], ["node", "line"])
 
 
-def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes (rep, p0 ...) whose fingerprints are as near as texts of this similarity are.
+def similar_links(prints: DataFrame, documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes whose sets of shingles have at least this Jaccard similarity.
 
-    The bits are cut into pieces of PIECE_BITS, and ball hashing of radius 2 runs in each: nodes of equal piece are linked
-    to their least, and the distinct pieces (at most a ball's worth in each variant) to the least of their variant. Every
-    link is checked on all bits. How likely a pair meets falls with its distance: about 2 of 3 pairs of similarity 0.8
-    do, 17 of 20 of 0.85 and nearly all from 0.9 on.
+    Members of a small bucket are all compared with each other, those of a large one with some of them (the same ones in
+    all buckets that have them). Members that are like none of these are compared anew with four times as many of their
+    own, until none is left.
     """
-    halves = [F.expr(f"shiftrightunsigned(p{i // 2}, {32 * (i % 2)}) & 4294967295L") for i in range(2 * WIDE)]
-    cut = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("block"), h.alias("piece")) for i, h in enumerate(halves)]))
-    pieces = written(nodes.select("rep", cut.alias("c")).select("rep", F.expr("(c.block << 32) | c.piece").alias("piece")), "simhash-pieces")
-    least = written(pieces.groupBy("piece").agg(F.min("rep").alias("first"), F.count("*").alias("n")), "simhash-least-pieces")
-    shared = pieces.join(least.where("n > 1"), "piece").where("rep != first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    masks = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << b for b in range(PIECE_BITS))]])
-    spread = least.select(F.col("first").alias("rep"), "piece", F.explode(masks).alias("mask")).select("rep", F.expr("piece ^ mask").alias("variant"))
-    met = spread.withColumn("b", F.min("rep").over(Window.partitionBy("variant"))).where("rep != b").select(F.col("rep").alias("a"), "b")
-    pairs = written(shared.unionByName(met).distinct(), "simhash-candidates")
-    side = lambda name: nodes.select(F.col("rep").alias(name), *[F.col(p).alias(f"{name}_{p}") for p in _PRINTS])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = sum((F.bit_count(F.expr(f"a_{p} ^ b_{p}")) for p in _PRINTS[1:]), F.bit_count(F.expr("a_p0 ^ b_p0")))
-    return both.where(apart <= most_bits(similarity)).select("a", "b")
+    distinct = prints.groupBy("node").agg(F.first("bands").alias("bands"))
+    members = written(distinct.select("node", F.explode("bands").alias("bucket")).distinct(), "similar-members")
+    shared = written(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "similar-buckets")
+    live = written(members.join(shared, "bucket").select("node", "bucket"), "similar-live")
+    wanted = live.select(F.col("node").alias("of")).distinct()
+    lines = documents.select("text").mapInArrow(_words_of, "node binary, line binary")
+    lines = written(lines.join(wanted, F.col("node") == F.col("of"), "left_semi").groupBy("node").agg(F.first("line").alias("line")), "similar-lines")
+    side = lambda name: lines.select(F.col("node").alias(name), F.col("line").alias(f"{name}_line"))
+    links, turn = None, 0
+    while links is None or live.limit(1).count():
+        place = F.xxhash64("node", F.lit(turn))
+        groups = written(live.groupBy("bucket").agg(F.count("*").alias("n"), F.min(place).alias("first")), "similar-groups")
+        share = F.lit(float(FEW * 4**turn)) / F.col("n")
+        ranked = live.join(groups.where("n > 1"), "bucket").withColumn("chosen", (place == F.col("first")) | (F.pmod(place, F.lit(1 << 30)) < share * (1 << 30)))
+        ranked = written(ranked.select("node", "bucket", "chosen"), "similar-ranked")
+        chosen = written(ranked.where("chosen").select("bucket", F.col("node").alias("b")), "similar-chosen")
+        met = ranked.join(chosen, "bucket").where("node != b and (not chosen or node > b)").select("bucket", "node", F.col("node").alias("a"), "b")
+        met = written(met, "similar-met")
+        pairs = written(met.select("a", "b").distinct(), "similar-candidates")
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_line", "b_line")
+        judged = written(both.mapInArrow(_compared(shingle, similarity), "a binary, b binary, good boolean"), "similar-judged")
+        good = judged.where("good").select("a", "b")
+        links = good if links is None else links.unionByName(good)
+        placed = met.join(good, ["a", "b"]).select("bucket", "node").distinct()
+        live = written(ranked.where("not chosen").select("node", "bucket").join(placed, ["node", "bucket"], "left_anti"), "similar-live")
+        turn += 1
+    return links
+
+
+def _labelled(documents: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id and node of every row, and the label of every node that has links."""
+    source = documents.select("doc_id", "text")
+    prints = written(source.mapInArrow(_banded(shingle), f"doc_id {dict(source.dtypes)['doc_id']}, node binary, bands array<long>"), "similar-bands")
+    labels = connected(similar_links(prints, documents, shingle, similarity))
+    return prints.select("doc_id", "node"), labels.select(F.col("node").alias("of"), "label")
 
 
 def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per document: doc_id and component_id, over links of at least this similarity of shingle sets, as the bits tell it."""
-    source = documents.select("doc_id", "text")
-    prints = written(source.mapInArrow(_wide(shingle), f"doc_id {dict(source.dtypes)['doc_id']}, " + ", ".join(f"{p} long" for p in _PRINTS)), "wide-simhash")
-    nodes = written(prints.groupBy(*_PRINTS).agg(F.min("doc_id").alias("rep")), "wide-simhash-nodes")
-    labels = connected(similar_links(nodes.where("rep is not null"), similarity))
-    named = nodes.join(labels, nodes.rep == labels.node, "left").select(*[F.col(p).alias(f"n_{p}") for p in _PRINTS], F.coalesce("label", "rep").alias("component_id"))
-    named = written(named, "wide-simhash-components")
-    same = [F.col(p) == F.col(f"n_{p}") for p in _PRINTS]
-    return prints.join(named, same, "left").select("doc_id", *_PRINTS, "component_id")
+    """One row per document: doc_id, node (what its words hash to), group, and component_id (the group's least doc_id).
+
+    Groups are connected by links of at least this similarity of shingle sets.
+    """
+    prints, labels = _labelled(documents, shingle, similarity)
+    rows = written(prints.join(labels, F.col("node") == F.col("of"), "left").select("doc_id", "node", F.coalesce("label", "node").alias("group")), "similar-named")
+    least = written(rows.groupBy("group").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("group", "of"), "similar-components")
+    return rows.join(least, F.col("group") == F.col("of")).select("doc_id", "node", "group", "component_id")
 
 
 def representatives(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -195,22 +262,12 @@ def representatives(documents: DataFrame, shingle: int = 5, similarity: float =
     groups = written(similar_groups(documents, shingle, similarity), "simhash-groups")
     if not groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count():
         return documents.join(groups.where("doc_id != component_id").select("doc_id"), "doc_id", "left_anti").select(documents.columns)
-    # Ids that are null or repeat can't tell rows apart: rows are told apart by fingerprint and text instead.
+    # Ids that are null or repeat can't tell rows apart: rows are told apart by their words and text instead.
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "text")
-    shape = T.StructType([*packed.schema.fields, *[T.StructField(p, T.LongType()) for p in _PRINTS]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, data = strings(batch.column("text"))
-            whole = data.tobytes()
-            prints = [wide_fingerprint(whole[a:b], shingle) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            columns = [pa.array(p, pa.int64()) for p in zip(*prints, strict=True)] if prints else [pa.array([], pa.int64())] * WIDE
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *_PRINTS])
-
-    name = F.coalesce(F.col("component_id").cast("string"), F.concat_ws("/", *[F.hex(p) for p in _PRINTS]))
-    group = groups.select(*_PRINTS, name.alias("group")).distinct()
+    shape = T.StructType([*packed.schema.fields, T.StructField("node", T.BinaryType())])
+    group = groups.select(F.col("node").alias("of_node"), "group").distinct()
     rank = F.struct(F.col("row.doc_id").isNull().alias("unnamed"), F.col("row.doc_id").alias("id"), F.sha2("text", 256).alias("sha"))
-    rows = packed.mapInArrow(run, shape).join(group, _PRINTS).withColumn("rank", rank)
+    rows = packed.mapInArrow(_with_nodes, shape).join(group, F.col("node") == F.col("of_node")).withColumn("rank", rank)
     best = rows.groupBy("group").agg(F.min("rank").alias("best")).withColumnRenamed("group", "of")
-    kept = rows.join(best, F.col("group").eqNullSafe(F.col("of")) & F.col("rank").eqNullSafe(F.col("best")))
+    kept = rows.join(best, (F.col("group") == F.col("of")) & F.col("rank").eqNullSafe(F.col("best")))
     return kept.dropDuplicates(["group"]).select("row.*")
