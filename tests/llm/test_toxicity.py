@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from turnloom.llm import toxicity as T
@@ -66,3 +67,13 @@ def test_label_model_finds_noise():
     votes[:, -1] = np.where(rng.random(4000) < 0.05, ~truth, truth)
     posterior = T.label_model(votes, float(votes[:, -1].mean()))
     assert ((posterior > 0.5) == truth).mean() > 0.995
+
+
+def test_rare_toxic_words_are_found_among_many_common_ones(spark):
+    """60,000 common words are in more toxic documents than the toxic word is."""
+    common = [" ".join(f"{chr(97 + i % 26)}{i:05d}" for i in range(part, 60_000, 4)) for part in range(4)]
+    docs = [(i, common[i // 2 % 4] if i < 200 else f"vilebad{i % 3} x{i}" if i < 260 else f"fine day {i}") for i in range(600)]
+    labels = [(i, int(i < 200 and i % 2 or 200 <= i < 216)) for i, _ in docs if not 216 <= i < 260]
+    model = T.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    beginnings = next(T._features(pa.array(["vilebad1"])))[1][1:]
+    assert len(beginnings) == 3 and set(beginnings) <= set(model.values)

@@ -32,8 +32,6 @@ from turnloom.session import written
 FIT_ROWS = 60_000
 #: Labelled rows that tasks get as a table (16 bytes each); more are joined by a shuffle.
 MOST_SENT = 1_000_000
-MOST_CANDIDATES = 40_000
-MOST_ENTRIES = 2_000
 LEXICON_VOTERS = 24
 #: Of the documents with an entry at least so many are toxic, at the lower end of a 95 % interval.
 LEAST_PRECISION = 0.5
@@ -95,15 +93,20 @@ def _patterns(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def _toxic_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many toxic and clean documents of a piece each value is."""
     for batch in batches:
+        toxic = batch.column("toxic").to_numpy() == 1
         for rows, values in _features(batch.column("text")):
-            order = np.lexsort((values, rows))
+            order = np.lexsort((rows, values))
             r, v = rows[order], values[order]
             new = np.ones(len(r), dtype=bool)
             new[1:] = (r[1:] != r[:-1]) | (v[1:] != v[:-1])
-            found, counts = np.unique(v[new], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(counts)], ["value", "n"])
+            r, v = r[new], v[new]
+            first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+            c1 = np.add.reduceat(toxic[r].astype(np.int64), first)
+            n = np.diff(np.append(first, len(v)))
+            yield pa.RecordBatch.from_arrays([pa.array(v[first].astype(np.int64)), pa.array(c1), pa.array(n - c1)], ["value", "c1", "c0"])
 
 
 def _entries(values: np.ndarray, first: int):
@@ -127,21 +130,6 @@ def _entries(values: np.ndarray, first: int):
     return run
 
 
-def _placed(place: np.ndarray):
-    """Rows of _entries() with only the entries that have a place, by that place."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("entries")
-            of = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
-            at = place[column.flatten().to_numpy()]
-            of, at = of[at >= 0], at[at >= 0]
-            offsets = np.searchsorted(of, np.arange(len(column) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.ListArray.from_arrays(offsets, at.astype(np.int32))], ["toxic", "entries"])
-
-    return run
-
-
 # -- models ----------------------------------------------------------------------------------------------------------
 
 
@@ -160,6 +148,25 @@ def surely(hits: np.ndarray, n: np.ndarray, z: float = 1.96) -> np.ndarray:
     return (share + z * z / (2 * n) - z * np.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
+def _likelihood_ratio(n1: int, n0: int) -> Column:
+    """likelihood_ratio() of columns c1 and c0."""
+
+    def part(k: Column, n: int, p: Column) -> Column:
+        return k * F.log(F.greatest(p, F.lit(1e-300))) + (F.lit(float(n)) - k) * F.log(F.greatest(1 - p, F.lit(1e-300)))
+
+    c1, c0 = F.col("c1").cast("double"), F.col("c0").cast("double")
+    p1, p0, p = c1 / n1, c0 / n0, (c1 + c0) / (n1 + n0)
+    twice = 2 * (part(c1, n1, p1) + part(c0, n0, p0) - part(c1, n1, p) - part(c0, n0, p))
+    return F.signum(p1 - p0) * F.sqrt(F.greatest(twice, F.lit(0.0)))
+
+
+def _surely(z: float = 1.96) -> Column:
+    """surely() of c1 among c1 + c0."""
+    n = (F.col("c1") + F.col("c0")).cast("double")
+    share = F.col("c1") / n
+    return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> np.ndarray:
     """Posterior of the positive class for rows of 0/1 votes; the given labels are one voter, the last, of unknown accuracy.
 
@@ -226,35 +233,27 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mo
     """Mines entries, fits the label model and the classifier."""
     taught = _taught(documents, labels)
     kind = dict(taught.dtypes)["doc_id"]
-    toxic = taught.where("toxic = 1").select("text").mapInArrow(_toxic_counts, "value long, n long")
-    counted = written(toxic.groupBy("value").agg(F.sum("n").alias("n")).where("n >= 3"), "toxic-counts")
-    top = counted.orderBy(F.desc("n"), "value").limit(MOST_CANDIDATES).collect()
-    candidates = np.sort(np.array([r[0] for r in top], dtype=np.int64).view(np.uint64))
-    rows = written(taught.mapInArrow(_entries(candidates, len(candidates)), f"doc_id {kind}, toxic int, entries array<int>"), "toxic-entries")
-    totals = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+    totals = {r[0]: r[1] for r in taught.groupBy("toxic").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return _constant(n1 / max(1, n1 + n0))
-    counts = np.zeros((2, len(candidates) + len(_PATTERNS) + 1))
-    for r in rows.select("toxic", F.explode("entries").alias("entry")).groupBy("toxic", "entry").count().collect():  # two numbers for each candidate
-        counts[r[0], r[1]] = r[2]
-    c0, c1 = counts[:, : len(candidates)]
-    strength = likelihood_ratio(c1, c0, n1, n0)
+    counts = taught.select("text", "toxic").mapInArrow(_counts, "value long, c1 long, c0 long")
+    # Fewer than three toxic documents never pass the second test.
+    counted = written(counts.groupBy("value").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")).where("c1 >= 3"), "toxic-counts")
     # Chance alone would let about one entry pass the first test. The second asks that the entry, wherever it stands, speaks
     # for toxicity: long clean texts have many entries that are only commoner in toxic ones.
-    good = np.flatnonzero((strength > np.sqrt(2 * np.log(max(2, len(candidates))))) & (surely(c1, c1 + c0) >= LEAST_PRECISION))
-    good = good[np.argsort(-strength[good], kind="stable")][:MOST_ENTRIES]
-    place = np.full(counts.shape[1], -1, dtype=np.int64)
-    values = np.sort(candidates[good])
-    place[good] = np.searchsorted(values, candidates[good])
-    place[len(candidates) :] = len(values) + np.arange(len(_PATTERNS) + 1)
+    least = float(np.sqrt(2 * np.log(max(2, counted.count()))))
+    good = counted.withColumn("strength", _likelihood_ratio(n1, n0)).where((F.col("strength") > least) & (_surely() >= LEAST_PRECISION))
+    passed = good.select("value", "strength").toArrow()  # two numbers for each entry
+    found, strength = passed.column("value").to_numpy().view(np.uint64), passed.column("strength").to_numpy()
+    values = np.sort(found)
     size = len(values) + len(_PATTERNS) + 1
     turn = np.zeros(size, dtype=np.int64)
-    turn[place[good]] = np.arange(len(good)) % LEXICON_VOTERS
+    turn[np.searchsorted(values, found[np.lexsort((found, -strength))])] = np.arange(len(found)) % LEXICON_VOTERS
     turn[len(values) :] = LEXICON_VOTERS + np.arange(len(_PATTERNS) + 1)
     share = min(1.0, fit_rows / (n1 + n0))
-    sampled = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    sample = sampled.mapInArrow(_placed(place), "toxic int, entries array<int>").toArrow().slice(0, fit_rows)
+    sampled = taught.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    sample = sampled.mapInArrow(_entries(values, len(values)), f"doc_id {kind}, toxic int, entries array<int>").select("toxic", "entries").toArrow().slice(0, fit_rows)
     column = sample.column("entries").combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
     of, at = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())), column.flatten().to_numpy()
