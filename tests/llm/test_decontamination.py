@@ -62,3 +62,13 @@ def test_whole_tables(spark):
     want = brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
     assert sorted((tuple(r) for r in D.digest(D.contamination(docs, items)).collect()), key=str) == want
     assert any(r[-1] for r in want)
+
+
+def test_clean_rows_keep_although_ids_repeat(spark):
+    leak = " ".join(f"w{i}" for i in range(12))
+    docs = [(None, leak), (None, "clean one"), (7, f"x {leak}"), (7, "clean two"), (8, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([("a", leak)], "item_id string, text string")
+    for most in (D.MOST_SENT, 0):
+        kept = D.clean_documents(frame, bench, most_sent=most)
+        assert kept.columns == frame.columns and {tuple(r) for r in kept.collect()} == {docs[1], docs[3], docs[4]}

@@ -180,9 +180,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, most_sent: int = MOST_SENT) -> DataFrame:
     """The documents without any window of an item, with all their columns."""
-    found = contamination(documents, benchmark, span, most_sent).where("n_hit > 0").select(F.col("doc_id").alias("of")).distinct()
+    # Ids may be null or repeat, and the text alone decides: rows are told apart by it.
+    named = documents.select(F.sha2("text", 256).alias("doc_id"), "text")
+    found = contamination(named, benchmark, span, most_sent).where("n_hit > 0").select(F.col("doc_id").alias("_of")).distinct()
     leaks = written(found, "contaminated")
-    return documents.join(leaks, F.col("doc_id").eqNullSafe(F.col("of")), "left_anti")
+    return documents.join(leaks, F.sha2(documents["text"], 256) == F.col("_of"), "left_anti")
 
 
 def digest(result: DataFrame) -> DataFrame:
