@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from turnloom.llm import decontamination, license_rules, mixing, mpeg_audio, repeats, secret_forest, sharding, simhash, token_orc, toxicity
 
 #: Where the public tokenizers' files are; a parameter of the operator.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
