@@ -1,5 +1,7 @@
 """The pipeline: each stage on what the one before kept, against the operators' own results."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from turnloom.llm import decontamination, sharding, simhash, toxicity
 
@@ -34,3 +36,24 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, FOLDER).count() == 0
+
+
+def test_clashing_names(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    names = ["my col", "a.b", "x:y", "of", "_of", "leak", "key", "row", "to_shard", "to_slot", "shard", "slot", "node", "group", "score", "digits", "bucket", "before", "rank", "best", "toxic"]
+    wide = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, wide, FOLDER)
+        assert out.columns == wide.columns
+        first = out.first()
+        assert [first[n] for n in names] == list(range(len(names)))
+    out = P.shard(spark, wide, FOLDER)
+    assert out.columns == [*wide.columns, "to_shard_", "to_slot_"]
+    assert out.count() == docs.count() and {r[-1] for r in out.select("`to_slot`").collect()} == {names.index("to_slot")}
+
+
+def test_rows_of_one_id_mix_alike(spark):
+    """Which of several rows with one id is repeated does not depend on how the rows lie."""
+    docs = spark.createDataFrame([(None if i % 2 else 3, f"w{i} b c", "s" if i % 3 else None) for i in range(60)], "doc_id long, text string, source string")
+    rows = lambda n: sorted(map(str, P.mix_sources(spark, docs.repartition(n), FOLDER).collect()))
+    assert rows(1) == rows(7)

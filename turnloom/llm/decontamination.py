@@ -182,9 +182,10 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, span: int = SPAN
     """The documents without any window of an item, with all their columns."""
     # Ids may be null or repeat, and the text alone decides: rows are told apart by it.
     named = documents.select(F.sha2("text", 256).alias("doc_id"), "text")
-    found = contamination(named, benchmark, span, most_sent).where("n_hit > 0").select(F.col("doc_id").alias("_of")).distinct()
+    found = contamination(named, benchmark, span, most_sent).where("n_hit > 0").select(F.col("doc_id").alias("leak")).distinct()
     leaks = written(found, "contaminated")
-    return documents.join(leaks, F.sha2(documents["text"], 256) == F.col("_of"), "left_anti")
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.sha2("text", 256).alias("key"))
+    return packed.join(leaks, packed.key == leaks.leak, "left_anti").select("row.*")
 
 
 def digest(result: DataFrame) -> DataFrame:

@@ -3,11 +3,12 @@
 Sources are ordered by code point, null last, and take the given weights in turn, repeating. A share of all words is
 divided by weight; no source gets more than `most_epochs` times its own words, and what that leaves over goes to the
 others by weight until none is above. Each source repeats whole epochs and then takes documents in the order of a hash
-of doc_id and epoch, with the running sum of words from bucketed prefix sums, up to its exact budget; the document on
-the boundary is cut there.
+of doc_id, epoch and text, with the running sum of words from bucketed prefix sums, up to its exact budget; the document
+on the boundary is cut there.
 
-Defined results: null and empty texts have size 0 and take 0; a null doc_id hashes as the word "null"; repeated rows
-are separate documents; other columns pass through or are ignored; an empty table gives an empty mix. Sources are
+Defined results: null and empty texts have size 0 and take 0; a null doc_id hashes as the word "null", and the text
+tells rows of one id apart, so that reruns take the same ones; rows equal in id and text are separate documents whose
+order does not show; other columns pass through or are ignored; an empty table gives an empty mix. Sources are
 assumed to be few against documents (one row each in the plan).
 """
 
@@ -74,11 +75,12 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     With keep_rows, `row` holds the whole input row as well. Texts are then read twice: for the plan and for the rows.
     """
     spark = documents.sparkSession
-    thin = written(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    digits = F.substring(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")), 1, 12).alias("digits")
+    thin = written(documents.select("doc_id", "source", digits, word_count(F.col("text")).alias("size")), "mix-sizes")
     sizes = thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = written(_planned(sizes, F.col("n"), total_buckets(spark), weights=weights, share=share, most_epochs=most_epochs), "mix-plan")
     # 60 bits of an MD5, which other engines have too, spread over the signed 64-bit numbers.
-    named = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("epochs").cast("string"))
+    named = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("epochs").cast("string"), F.col("digits"))
     key = (F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long") - F.lit(1 << 59)) * F.lit(16)
 
     def placed(rows: DataFrame) -> DataFrame:
@@ -88,8 +90,8 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     offsets = written(bucket_offsets(placed(thin), "source", F.col("size")), "mix-offsets")
     source = thin
     if keep_rows:
-        source = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    sums = running_sums(placed(source), offsets, "source", ["key", "doc_id", "size"], F.col("size"), "before")
+        source = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "doc_id", "source", digits, word_count(F.col("text")).alias("size"))
+    sums = running_sums(placed(source), offsets, "source", ["key", "doc_id", "digits", "size"], F.col("size"), "before")
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
     copies = (F.col("epochs") + (F.col("before") < F.col("rest")).cast("long")).alias("copies")
     taken = (F.col("epochs") * F.col("size") + last).cast("long").alias("taken")
@@ -110,7 +112,7 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
 def oracle_sql(weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most_epochs: int = MOST_EPOCHS) -> str:
     """The digest's rows in DuckDB."""
     return rf"""
-with sized as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size from documents),
+with sized as (select doc_id, source, substr(md5(coalesce(text, '')), 1, 12) as digits, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size from documents),
 sources as (select source, cast(sum(size) as bigint) as source_size, {list(weights)}[cast((row_number() over (order by source nulls last) - 1) % {len(weights)} as integer) + 1] as weight from sized group by source),
 ranked as (select *, source_size * {float(most_epochs)} as most, {share} * sum(source_size) over () as pool, sum(weight) over () as weights from sources),
 filled as (select *, pool - coalesce(sum(most) over w, 0) as rest, weights - coalesce(sum(weight) over w, 0) as sharers from ranked
@@ -119,6 +121,6 @@ marked as (select *, most * sharers <= weight * rest as is_full from filled),
 opened as (select rest as open_rest, sharers as open_sharers from marked where not is_full order by most / weight, source nulls last limit 1),
 plan as (select source, source_size, case when is_full then most else cast(weight as double) * open_rest / open_sharers end as target from marked left join opened on true),
 steps as (select *, case when source_size > 0 then cast(floor(round(target) / source_size) as bigint) else 0 end as epochs from plan),
-placed as (select s.doc_id, s.size, p.*, cast(round(target) as bigint) - epochs * source_size as rest, substr(md5(coalesce(cast(doc_id as varchar), 'null') || ':' || epochs), 1, 15) as key from sized s join steps p on s.source is not distinct from p.source),
-summed as (select *, coalesce(sum(size) over (partition by source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before from placed)
+placed as (select s.doc_id, s.size, s.digits, p.*, cast(round(target) as bigint) - epochs * source_size as rest, substr(md5(coalesce(cast(doc_id as varchar), 'null') || ':' || epochs || ':' || digits), 1, 15) as key from sized s join steps p on s.source is not distinct from p.source),
+summed as (select *, coalesce(sum(size) over (partition by source order by key, doc_id, digits, size rows between unbounded preceding and 1 preceding), 0) as before from placed)
 select doc_id, size, source_size, target, cast(epochs * size + greatest(0, least(size, rest - before)) as bigint) as taken from summed"""

@@ -261,8 +261,11 @@ def representatives(documents: DataFrame, shingle: int = 5, similarity: float =
     """The documents without similar ones: one row of each group stays, that of the least doc_id (null last)."""
     groups = written(similar_groups(documents, shingle, similarity), "simhash-groups")
     if not groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count():
-        return documents.join(groups.where("doc_id != component_id").select("doc_id"), "doc_id", "left_anti").select(documents.columns)
-    # Ids that are null or repeat can't tell rows apart: rows are told apart by their words and text instead.
+        gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("of"))
+        packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "doc_id")
+        return packed.join(gone, F.col("doc_id") == F.col("of"), "left_anti").select("row.*")
+    # Ids that are null or repeat can't tell rows apart: rows are told apart by their words and text instead, which
+    # gives the same rows where ids do tell them apart.
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "text")
     shape = T.StructType([*packed.schema.fields, T.StructField("node", T.BinaryType())])
     group = groups.select(F.col("node").alias("of_node"), "group").distinct()
