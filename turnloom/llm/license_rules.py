@@ -1,104 +1,106 @@
 """Licence recognition by sentence rules, in DataFrame expressions only.
 
-Texts are cut into sentences, each sentence is normalised and mapped to the identifier of a known licence sentence, and
-each text's sequence of identifiers is matched against ordered rules: a rule's identifiers must follow one another, with
-nothing but copyright notices or repeats between. Longer rules come first and use up what they match.
-
-A sentence that is not known as a whole is tried by its last line, since headings often end without a mark.
-
-Defined results: null and empty texts have no sentences; texts without known sentences get an empty list of licences;
-known sentences that no rule uses give the licence "unknown"; repeated rows are scanned each; other columns are ignored.
+Comment marks at the beginning of lines go, texts are cut into sentences (at marks before white space, at blank lines
+and at ends of comments), each sentence is normalised and mapped to the identifier of a known licence sentence, and each text's sequence
+of identifiers is matched against ordered rules: a rule's identifiers must follow one another, with nothing but
+copyright notices or repeats between. Longer rules come first and use up what they match.
+
+The known sentences and the rules are cut from published notices (license_notices) by the same splitting, so a rule is
+the very sequence that its notice gives. A sentence that is not known as a whole may name licences ("licensed under the
+..."); failing that its last line is tried, since headings often end without a mark. SPDX-License-Identifier lines add
+the identifiers they list.
+
+Defined results: null and empty texts have no sentences; texts without any word of GATE are not read further and get
+an empty list, like texts without known sentences; texts with known sentences but no licence get "unknown"; repeated
+rows are scanned each; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Normal forms (lower case, other characters as one space) of sentences of published licences.
-SENTENCES = {
-    "mit_by_name": ("released under the mit license", "licensed under the mit license", "this project is licensed under the mit license", "distributed under the mit license"),
-    "mit_grant": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",),
-    "mit_notice": ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",),
-    "mit_as_is": ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",),
-    "mit_liability": ("in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",),
-    "apache2_by_name": ("licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license"),
-    "apache2_comply": ("you may not use this file except in compliance with the license",),
-    "apache2_copy": ("you may obtain a copy of the license at http www apache org licenses license 2 0", "you may obtain a copy of the license at https www apache org licenses license 2 0"),
-    "apache2_as_is": ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",),
-    "apache2_limits": ("see the license for the specific language governing permissions and limitations under the license",),
-    "gpl3_by_name": ("this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3"),
-    "gpl2_by_name": ("this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2"),
-    "gpl3_or_later": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
-    "gpl2_or_later": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",),
-    "gpl_no_warranty": ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",),
-    "gpl_details": ("see the gnu general public license for more details",),
-    "cc_by_nc4_by_name": ("licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    "cc_by4_by_name": ("licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"),
-    "cc_by_sa4_by_name": ("licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
-    "cc0_by_name": ("licensed under cc0 1 0", "released into the public domain under cc0 1 0"),
-    "bsd_redistribution": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",),
-    "bsd_source": ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",),
-    "bsd_binary": ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",),
-    "bsd_no_endorsement": ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",),
-    "bsd_as_is": ("this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",),
-    "isc_grant": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",),
-    "isc_as_is": ("the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",),
-    "mpl2_by_name": ("this source code form is subject to the terms of the mozilla public license v 2 0",),
-    "mpl2_copy": ("if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
-    "unlicense": ("this is free and unencumbered software released into the public domain",),
-}
-# Ordered rules, longest first. A licence's identifier is its SPDX short name.
-RULES = (
-    ("BSD-3-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_no_endorsement", "bsd_as_is")),
-    ("Apache-2.0", ("apache2_by_name", "apache2_comply", "apache2_copy", "apache2_as_is", "apache2_limits")),
-    ("MIT", ("mit_grant", "mit_notice", "mit_as_is", "mit_liability")),
-    ("BSD-2-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_as_is")),
-    ("GPL-3.0-or-later", ("gpl3_or_later", "gpl_no_warranty", "gpl_details")),
-    ("GPL-2.0-or-later", ("gpl2_or_later", "gpl_no_warranty", "gpl_details")),
-    ("ISC", ("isc_grant", "isc_as_is")),
-    ("MPL-2.0", ("mpl2_by_name", "mpl2_copy")),
-    ("GPL-3.0-or-later", ("gpl3_or_later",)),
-    ("GPL-2.0-or-later", ("gpl2_or_later",)),
-    ("MIT", ("mit_by_name",)),
-    ("Apache-2.0", ("apache2_by_name",)),
-    ("GPL-3.0-only", ("gpl3_by_name",)),
-    ("GPL-2.0-only", ("gpl2_by_name",)),
-    ("CC-BY-NC-4.0", ("cc_by_nc4_by_name",)),
-    ("CC-BY-4.0", ("cc_by4_by_name",)),
-    ("CC-BY-SA-4.0", ("cc_by_sa4_by_name",)),
-    ("CC0-1.0", ("cc0_by_name",)),
-    ("MPL-2.0", ("mpl2_by_name",)),
-    ("Unlicense", ("unlicense",)),
-)
+from turnloom.llm.license_notices import NAMES, NOTICES
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_ENDS = r"[.!?;:]+[ \t\r\n]+|\n[ \t\r]*\n[ \t\r\n]*"
+_ENDS = r"[.!?;:]+[ \t\r\n]+|\n[ \t\r]*\n[ \t\r\n]*|\*+/"
 _OTHER = r"[^a-z0-9]+"
-#: Every known sentence has one of these; texts without any are not cut.
-_GATE = r"(?i)licen[cs]|permission|redistribut|copyright|warrant|public domain|liable|applicable law|mozilla|mpl"
-
-
-def known_sentences() -> dict[str, str]:
-    """Identifier by normal form."""
-    return {s: i for i, forms in SENTENCES.items() for s in forms}
+_COMMENT = r"(^|\n)[ \t]*(?:/+\*+|\*+/?|//+|#+|--+|;+|%+|dnl )"
+_NOTICE = r"^(?:c )?copyright (?:c )?[0-9]{4}(?: |$)"
+_SPDX = r"SPDX-License-Identifier:[ \t]*([^\r\n]*)"
+GATE = r"(?i)licen[cs]|permission|redistribut|copyright|warrant|public domain|liab|gpl|wtfpl|cc0|cc[ -]by|spdx"
+#: Shorter parts of notices ("this program is free software", "2 0") are too common or too varied to be known sentences.
+_LEAST_WORDS = 6
+_LEAD = r"(?:licen[cs]ed|released|distributed|available|provided|published|offered|dual licen[cs]ed) (?:to you )?(?:under|into) "
+
+
+def fragments(text: str) -> list[str]:
+    """The sentences of a text in normal form, as sentence_ids() cuts them."""
+    parts = re.split(_ENDS, re.sub(_COMMENT, r"\1", text))
+    return [re.sub(_OTHER, " ", p.translate(str.maketrans(_UPPER, _LOWER))).strip(" ") for p in parts]
+
+
+def _tables() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
+    """Identifier by known sentence, and the rules, longest first."""
+    known, rules = {}, []
+    for licence, notice in NOTICES:
+        stem, ids = re.sub(r"[^a-z0-9]+", "_", licence.lower()), []
+        for part in fragments(notice):
+            if part.count(" ") + 1 >= _LEAST_WORDS:
+                name = known.setdefault(part, f"{stem}_{1 + len({x for x in known.values() if x.startswith(stem + '_')})}")
+                ids.append(name)
+                for scheme in ("http", "https"):
+                    known.setdefault(re.sub(r"\bhttps?\b", scheme, part), name)
+        rules.append((licence, tuple(ids)))
+    return known, sorted(dict.fromkeys(rules), key=lambda r: -len(r[1]))
+
+
+SENTENCES, RULES = _tables()
+_BY_NAME = {name: licence for licence, names in NAMES.items() for name in names}
+#: Licence identifiers that SPDX lines may list.
+_DECLARED = sorted({licence for licence, _ in NOTICES} | set(NAMES))
+_NAMED = r"(?:under|into|of|or|and) (?:either )?(?:of )?(?:the |an? )?(" + "|".join(sorted(_BY_NAME, key=len, reverse=True)) + ")(?: |$)"
 
 
 def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), _OTHER, " "))
 
 
+def _map(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+
+
 def sentence_ids(text: Column) -> Column:
-    """The identifiers of the known sentences of a text, in order; copyright notices are "copyright"."""
-    table = F.create_map(*[F.lit(x) for pair in known_sentences().items() for x in pair])
+    """The identifiers of the known sentences of a text, in order.
+
+    Copyright notices are "copyright"; a sentence that names licences has "by name " and the licence for each.
+    """
+    known, names = _map(SENTENCES), _map(_BY_NAME)
 
-    def identifier(sentence: Column) -> Column:
+    def named(normal: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(normal, F.lit(_NAMED), F.lit(1)), lambda n: F.concat(F.lit("by name "), F.element_at(names, n)))
+        return F.when(normal.rlike(_LEAD) & (F.size(found) > 0), found)
+
+    def identifiers(sentence: Column) -> Column:
         whole = _normal(sentence)
-        notice = whole.rlike(r"^copyright (c )?[0-9]{4}( |$)")
         last = _normal(F.regexp_extract(sentence, r"[^\n]*$", 0))
-        return F.coalesce(F.element_at(table, whole), F.element_at(table, last), F.when(notice, F.lit("copyright")))
+        one = lambda x: F.when(x.isNotNull(), F.array(x))
+        return F.coalesce(
+            one(F.element_at(known, whole)), named(whole), one(F.element_at(known, last)), named(last),
+            F.when(whole.rlike(_NOTICE), F.array(F.lit("copyright"))), F.array().cast("array<string>"),
+        )
+
+    plain = F.regexp_replace(text, _COMMENT, "$1")
+    cut = F.flatten(F.transform(F.split(plain, _ENDS), identifiers))
+    return F.when(text.rlike(GATE), cut).otherwise(F.array().cast("array<string>"))
 
-    cut = F.filter(F.transform(F.split(text, _ENDS), identifier), lambda x: x.isNotNull())
-    return F.when(text.rlike(_GATE), cut).otherwise(F.array().cast("array<string>"))
+
+def declared(text: Column) -> Column:
+    """The known identifiers that SPDX lines of a text list."""
+    listed = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_SPDX), F.lit(1)), lambda x: F.split(x, r"[ \t()*/]+")))
+    return F.filter(listed, lambda x: x.isin(_DECLARED))
 
 
 def _pattern(parts: tuple[str, ...]) -> str:
@@ -106,22 +108,29 @@ def _pattern(parts: tuple[str, ...]) -> str:
     return "(?:<copyright>)*".join(f"(?:<{p}>)+" for p in parts)
 
 
-def licences(ids: Column) -> Column:
-    """Sorted distinct licences of a sequence of identifiers."""
+_USED = r"<copyright>|<by name [^>]*>|\|"
+
+
+def licences(ids: Column, listed: Column) -> Column:
+    """Sorted distinct licences of a sequence of identifiers and of what SPDX lines list."""
     rest = F.array_join(F.transform(ids, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
     found = []
     for licence, parts in RULES:
         found.append(F.when(rest.rlike(_pattern(parts)), F.lit(licence)))
         rest = F.regexp_replace(rest, _pattern(parts), "|")
-    found.append(F.when(F.regexp_replace(rest, r"<copyright>|\|", "") != "", F.lit("unknown")))
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
+    names = F.transform(F.filter(ids, lambda x: x.startswith("by name ")), lambda x: F.substring(x, 9, 99))
+    every = F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*found)), names, listed)))
+    left = F.regexp_replace(rest, _USED, "") != ""
+    return F.when((F.size(every) == 0) & left, F.array(F.lit("unknown"))).otherwise(every)
 
 
 def scanned(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, sentence_ids, licences."""
-    ids = documents.select("doc_id", sentence_ids(F.coalesce(F.col("text"), F.lit(""))).alias("sentence_ids"))
-    sequence = F.col("sentence_ids")
-    some = F.when(F.size(sequence) > 0, licences(sequence)).otherwise(F.array().cast("array<string>"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    none = F.array().cast("array<string>")
+    listed = F.when(text.contains("SPDX-License-Identifier:"), declared(text)).otherwise(none)
+    ids = documents.select("doc_id", sentence_ids(text).alias("sentence_ids"), listed.alias("listed"))
+    some = F.when((F.size("sentence_ids") > 0) | (F.size("listed") > 0), licences(F.col("sentence_ids"), F.col("listed"))).otherwise(none)
     return ids.select("doc_id", "sentence_ids", some.alias("licences"))
 
 
@@ -132,21 +141,33 @@ def digest(result: DataFrame) -> DataFrame:
 
 def oracle_sql() -> str:
     """The same rows in DuckDB."""
-    table = ", ".join(f"'{s}': '{i}'" for s, i in known_sentences().items())
+    table = lambda pairs: ", ".join(f"'{a}': '{b}'" for a, b in pairs.items())
     normal = f"trim(regexp_replace(translate(%s, '{_UPPER}', '{_LOWER}'), '{_OTHER}', ' ', 'g'))"
     whole, last = normal % "s", normal % "regexp_extract(s, '[^\\n]*$')"
-    steps, rest = [], "joined"
-    for n, (licence, parts) in enumerate(RULES):
-        steps.append(f"r{n} as (select *, case when regexp_matches({rest}, '{_pattern(parts)}') then '{licence}' end as l{n}, regexp_replace({rest}, '{_pattern(parts)}', '|', 'g') as rest{n} from {f'r{n - 1}' if n else 'ids'})")
-        rest = f"rest{n}"
-    final = f"case when regexp_replace({rest}, '<copyright>|\\|', '', 'g') <> '' then 'unknown' end"
-    names = ", ".join(f"l{n}" for n in range(len(RULES)))
+    tried = []
+    for form in ("whole", "last"):
+        tried.append(f"case when m[{form}] is not null then [m[{form}]] end")
+        found = f"list_transform(regexp_extract_all({form}, '{_NAMED}', 1), lambda n: 'by name ' || names[n])"
+        tried.append(f"case when regexp_matches({form}, '{_LEAD}') and len({found}) > 0 then {found} end")
+    steps = [
+        f"r{n} as (select r, case when regexp_matches(rest, '{_pattern(parts)}') then list_append(found, '{licence}') else found end as found, regexp_replace(rest, '{_pattern(parts)}', '|', 'g') as rest from {f'r{n - 1}' if n else 'joined'})"
+        for n, (licence, parts) in enumerate(RULES)
+    ]
+    listed = ", ".join(f"'{x}'" for x in _DECLARED)
     return f"""
-with known as (select map {{{table}}} as m),
-cut as (select doc_id, string_split_regex(coalesce(text, ''), '{_ENDS}') as parts from documents),
-named as (select doc_id, list_filter(list_transform(parts, lambda s: coalesce(m[{whole}], m[{last}], case when regexp_matches({whole}, '^copyright (c )?[0-9]{{4}}( |$)') then 'copyright' end)), lambda x: x is not null) as sentence_ids from cut, known),
-ids as (select *, coalesce(array_to_string(list_transform(sentence_ids, lambda x: '<' || x || '>'), ''), '') as joined from named),
-{", ".join(steps)}
+with d as materialized (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+known as (select map {{{table(SENTENCES)}}} as m, map {{{table(_BY_NAME)}}} as names),
+cut as (select r, string_split_regex(regexp_replace(text, '{_COMMENT}', '\\1', 'g'), '{_ENDS}') as parts from d where regexp_matches(text, '{GATE}')),
+sentences as (select r, unnest(parts) as s, unnest(generate_series(1, len(parts))) as i from cut),
+forms as (select r, i, {whole} as whole, {last} as last from sentences),
+told as (select r, i, coalesce({", ".join(tried)}, case when regexp_matches(whole, '{_NOTICE}') then ['copyright'] end) as x from forms, known),
+ids as (select r, flatten(list(x order by i)) as sentence_ids from told where x is not null group by r),
+joined as (select r, cast([] as varchar[]) as found, array_to_string(list_transform(sentence_ids, lambda x: '<' || x || '>'), '') as rest from ids),
+{", ".join(steps)},
+lists as (select d.r, doc_id, coalesce(sentence_ids, []) as sentence_ids, list_sort(list_distinct(list_concat(coalesce(found, []),
+    list_transform(list_filter(coalesce(sentence_ids, []), lambda x: starts_with(x, 'by name ')), lambda x: substr(x, 9)),
+    list_filter(flatten(list_transform(regexp_extract_all(text, '{_SPDX}', 1), lambda x: string_split_regex(x, '[ \\t()*/]+'))), lambda x: list_contains([{listed}], x))))) as names, rest
+  from d left join ids using (r) left join r{len(RULES) - 1} using (r))
 select doc_id, cast(len(sentence_ids) as bigint) as n_sentences, coalesce(array_to_string(sentence_ids, ' '), '') as sentence_ids,
-  coalesce(array_to_string(list_sort(list_distinct(list_filter([{names}, {final}], lambda x: x is not null))), ','), '') as licences
-from r{len(RULES) - 1}"""
+  case when len(names) > 0 then array_to_string(names, ',') when regexp_replace(coalesce(rest, ''), '{_USED}', '', 'g') <> '' then 'unknown' else '' end as licences
+from lists"""
