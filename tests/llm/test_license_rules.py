@@ -137,7 +137,7 @@ def test_sql_agrees(spark):
 
 def test_plan_is_native(spark):
     plan = L.digest(L.scanned(frame(spark, CASES)))._jdf.queryExecution().toString()
-    assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Exchange"))
+    assert not any(x in plan for x in ("EvalPython", "PythonUDF", "Pandas", "Arrow", "Exchange"))
 
 
 def test_empty(spark):
