@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from turnloom.llm import repeats as R
@@ -34,29 +35,69 @@ PASSAGE = " ".join(f"p{i}" for i in range(60))
 DOCS = [(i, f"start{i} " * (i % 3) + PASSAGE + f"\n end{i} é") for i in range(40)] + [(50, None), (51, ""), (52, " \t\n"), (53, "short one"), (54, "same " * 400), (55, "same " * 12), (56, "same " * 13), (None, PASSAGE), (None, "lonely " + PASSAGE), (57, " ".join(f"q{i}" for i in range(13))), (57, " ".join(f"q{i}" for i in range(13))), (58, " ".join(f"q{i}" for i in range(14))), (59, "word joined " * 30)]
 
 
-@pytest.mark.parametrize("block", [1 << 19, 50])
-def test_cases(spark, monkeypatch, block):
-    monkeypatch.setattr(R, "BLOCK", block)
-    frame = spark.createDataFrame([(d, t, "x", 3) for d, t in DOCS], "doc_id long, text string, of string, kept int").repartition(3)
-    assert sorted((tuple(r) for r in R.digest(frame).collect()), key=str) == brute(DOCS)
+def rows(spark, docs, parts=3, **options):
+    frame = spark.createDataFrame([(d, t, "x", 3, "y") for d, t in docs], "doc_id long, text string, of string, kept int, part string").repartition(parts)
+    result = R.without_repeats(frame, texts=False, **options).select("doc_id", "n_words", "n_removed", "kept")
+    return sorted((tuple(r) for r in result.collect()), key=str)
 
 
-def test_blocks_drop_known_repeats():
-    import pyarrow as pa
+@pytest.mark.parametrize("options", [{}, {"part_bytes": 200, "group": 40}, {"part_bytes": 1 << 30}])
+def test_cases(spark, options):
+    assert rows(spark, DOCS, **options) == brute(DOCS)
 
-    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array([PASSAGE] * 30)], ["doc_id", "text"])
-    counts = np.full(R.BINS, 1)
-    out = [r for b in R._blocks(13, *R.prefix_groups(counts, 100))([batch]) for r in b.to_pylist()]
-    assert sum(len(r["paths"]) // 8 for r in out if not r["known"]) == 48
-    assert sum(len(r["paths"]) // 8 for r in out if r["known"]) == 48 * 29
 
+def test_one_hot_prefix(spark):
+    """Many different suffixes with one beginning of four words, and a passage that half of the documents have."""
+    docs = [(i, " ".join(f"a b c d {i} {j}" for j in range(30)) + (" " + PASSAGE if i % 2 else "")) for i in range(80)]
+    assert rows(spark, docs, group=100, part_bytes=4000) == brute(docs)
 
-def test_prefix_groups():
-    counts = np.array([5, 5, 95, 0, 3, 250])
-    first, parts = R.prefix_groups(counts, 10)
-    assert parts.tolist() == [1, 1, 10, 1, 1, 25]
-    used = [set(range(f, f + p)) for f, p in zip(first, parts, strict=True)]
-    assert used[2] & used[5] == set() and not (used[2] | used[5]) & (used[0] | used[1] | used[3] | used[4])
+
+def test_short_texts_and_null_ids(spark):
+    short = [(i if i % 3 else None, "a few words only") for i in range(200)]
+    assert rows(spark, short) == brute(short)
+    unnamed = [(None, f"{PASSAGE} {i % 5}") for i in range(60)]
+    assert rows(spark, unnamed, part_bytes=1000) == brute(unnamed)
+    assert rows(spark, [*unnamed, (3, PASSAGE)], part_bytes=1000) == brute([*unnamed, (3, PASSAGE)])
+
+
+def test_words_are_compared(spark):
+    """Two words of one 64-bit value make windows of one value, which are not repeats."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << 12)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    others = " ".join(f"z{i}" for i in range(12))
+    docs = [(1, f"{one} {others}"), (2, f"{two} {others}"), (3, f"{two} {others}")]
+    assert [r[2] for r in rows(spark, docs)] == [0, 0, 13]
+
+
+def test_all_paths_of_one_value(spark, monkeypatch):
+    """The words decide even if every suffix has one value."""
+    monkeypatch.setattr(R, "grams", lambda words, n: np.full(max(0, len(words) - n + 1), 5, np.uint64))
+    frame = pa.table({"doc_id": [1, 2, 3], "text": [PASSAGE, " ".join(f"q{i}" for i in range(60)), PASSAGE + " end"], "part": [0, 0, 0]})
+    prefixes = R.Prefixes(np.ones((len(R.levels(13)), 4), dtype=np.int64), 10)
+    shared = R._shared_values(R._sent_values(13, 0)(frame))
+    found = R._subtree(R._leaves(13, 0, prefixes)(frame, shared))
+    assert R._kept(13, False)(frame, found).column("n_removed").to_pylist() == [0, 0, 60]
+
+
+def test_spans_are_maximal_repeats(spark):
+    docs = [(1, PASSAGE), (2, f"x y {PASSAGE} z {PASSAGE} w"), (3, "nothing here")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.kept, [tuple(s) for s in r.spans]) for r in R.without_repeats(frame).collect()}
+    assert got == {1: (PASSAGE, []), 2: ("x y z w", [(2, 62), (63, 123)]), 3: ("nothing here", [])}
+
+
+def test_prefixes_split_heavy_bins():
+    counts = np.array([[5, 95, 0, 3], [10, 20, 30, 43], [1, 99, 1, 2]])
+    prefixes = R.Prefixes(counts, 40)
+    assert prefixes.of[0].tolist() == [0, -1, 0, 0] and prefixes.of[1][3] == -1 and min(prefixes.of[2]) > max(prefixes.of[1])
+    assert all(np.bincount(t[t >= 0], weights=c[t >= 0]).max() <= 80 for t, c in zip(prefixes.of[:2], counts, strict=False))
+
+
+def test_a_part_sends_equal_suffixes_once():
+    frame = pa.table({"doc_id": list(range(30)), "text": [PASSAGE] * 30, "part": [0] * 30})
+    prefixes = R.Prefixes(np.ones((len(R.levels(13)), 16), dtype=np.int64), 100)
+    sent = R._leaves(13, 0, prefixes)(frame, R._shared_values(R._sent_values(13, 0)(frame)))
+    assert sum(len(w.split(b"\n")) for w in sent.column("words").to_pylist() if w is not None) == 48
 
 
 def test_empty(spark):

@@ -1,19 +1,25 @@
 """Substring dedup with prefix-partitioned suffix trees.
 
-Every start of `span` words in a document is a suffix. A census counts suffixes by the hash of their first word; bins of
-more than a memory-sized group are split by longer prefixes (PREFIX words), so each group holds the suffixes of a set of
-variable-length prefixes. A group's subtree is built as its sorted suffixes, each by the 64-bit value of its path down
-to depth `span`: the runs of equal values are the internal nodes of that depth, and a run with several documents is a
-repeat. Only that depth decides what goes, so suffixes carry the value of their path and not their words; the odds of
-any two of n different paths meeting are n * n / 2**65. A node's leaves but those of its least document are repeats,
-and neighbouring repeats join to maximal ones in the document.
-
-A path that is very common meets pre-aggregated: each block of about BLOCK suffixes keeps a path's least document only,
-and the rest of the block's are repeats already. So a group gets one suffix of a path from each block at most, and
-repeats known early do not pass through the groups of their path.
-
-Defined results: null, empty and short texts have nothing to remove; equal doc_ids never remove from each other;
-a null doc_id counts as greater than all ids; other columns are ignored; an empty table gives no rows.
+Every start of `span` words in a document is a suffix. Documents are dealt into parts of about PART_BYTES by a hash of
+the row, and three steps run over the parts, which all read one shuffle of the texts:
+
+1. Which suffixes can be shared: each part sends the distinct 64-bit values of its suffixes' first `span` words, less
+   their top bits, to groups by those top bits, and learns which of them other parts or documents have too. Two different
+   beginnings of one value only make a suffix look shared; none that is shared is missed.
+2. Trees: suffixes that may be shared go, with their words, to groups by prefix. Prefixes have 1, 2, 4, ... up to `span`
+   words: a census of all suffixes tells which prefixes have more than a group's worth, and these are split by the next
+   longer one. A part sends equal suffixes once, for its least document, so a prefix of `span` words has at most one
+   suffix of each part and can't be heavy. A group sorts its suffixes by their words; neighbours that agree in `span`
+   words are leaves of one internal node of that depth, which is where the tree is cut: what lies deeper splits nodes
+   that are repeats already. Of a node, the leaves of greater documents than its least are repeats.
+3. Each part removes what the nodes and its own comparison name. Neighbouring repeats join to maximal ones (`spans`).
+
+Words are compared in steps 2 and 3, so no two different sequences are taken for one. A part's rows for the groups are
+parts times groups in number: for very large tables raise `part_bytes` and `group` together.
+
+Defined results: null, empty and short texts have nothing to remove; doc_ids are numbers (others end in a cast error);
+equal doc_ids never remove from each other; a null doc_id counts as greater than all ids, so rows without an id don't
+remove from each other; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,216 +27,342 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import compress
+from operator import ne
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.tokens_np import VISIBLE, grams, pieces, strings, whole_runs
+from turnloom.llm.tokens_np import _GRAM as GRAM
+from turnloom.llm.tokens_np import VISIBLE, grams, mixed, pieces, strings, whole_runs
 
 SPAN = 13
-PREFIX = 4
-BINS = 1 << 14
-BLOCK = 1 << 19
+#: About so many bytes of text make a part, and so many suffixes at most a group.
+PART_BYTES = 24 << 20
 GROUP = 1 << 20
+#: Bins of the census, at each length of prefixes, for each group.
+_BINS_A_GROUP = 16
 _NULL_ID = np.iinfo(np.int64).max
+_START = np.int64((1 << 32) - 1)
 
 
-def _bin(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint64(50)).astype(np.int64)
+def levels(span: int) -> list[int]:
+    """Lengths of prefixes: 1, 2, 4, ... and span."""
+    return [*(1 << k for k in range(span.bit_length()) if 1 << k < span), span]
 
 
-def _suffixes(column: pa.Array, span: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Row of the batch, path value, first word's value and PREFIX words' value of each suffix, piece by piece."""
-    for piece in pieces(column, VISIBLE):
-        words = piece.hashes()
-        whole = np.flatnonzero(whole_runs(piece, span))
-        if len(whole):
-            yield piece.rows[0] + piece.owner()[whole], grams(words, span)[whole], words[whole], grams(words, min(PREFIX, span))[whole]
+def _prefix_values(words: np.ndarray, at: np.ndarray, span: int) -> Iterator[np.ndarray]:
+    """Values of the prefixes at some places, for each of the levels, shortest first."""
+    value = words[at]
+    for n in range(1, span + 1):
+        if n > 1:
+            value = value * GRAM + words[at + n - 1]
+        if n in levels(span):
+            yield mixed(value + np.uint64(n))
 
 
-def _census(span: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BINS, dtype=np.int64)
-        for batch in batches:
-            for _, _, first, _ in _suffixes(batch.column("text"), span):
-                total += np.bincount(_bin(first), minlength=BINS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bin", "n"])
-
-    return run
-
-
-def prefix_groups(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each bin its first group and how many groups its suffixes are split into by longer prefixes."""
-    parts = np.maximum(1, -(-counts // size))
-    light = np.where(parts == 1, counts, 0)
-    packed = np.cumsum(light) // size
-    first = np.where(parts == 1, packed, packed[-1] + 1 + np.cumsum(np.where(parts > 1, parts, 0)) - parts)
-    return first, parts
-
-
-def _by_document(docs: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents, how many values each has, and the values in the order of documents."""
-    order = np.argsort(docs, kind="stable")
-    ids, counts = np.unique(docs[order], return_counts=True)
-    return ids, counts.astype(np.int32), values[order]
-
-
-def _least_of_runs(docs: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by value and document, whether each begins its value's run, and the least document of each one's run."""
-    order = np.lexsort((docs, values))
-    heads = np.ones(len(order), dtype=bool)
-    heads[1:] = values[order][1:] != values[order][:-1]
-    least = docs[order][heads][np.cumsum(heads) - 1]
-    return order, heads, least
-
-
-_BLOB = "group int, known boolean, docs binary, counts binary, paths binary"
+# -- the census of prefixes --------------------------------------------------------------------------------------------
 
 
-def _blob(group: int, known: bool, docs: np.ndarray, paths: np.ndarray) -> tuple:
-    ids, counts, paths = _by_document(docs, paths)
-    return group, known, ids.tobytes(), counts.tobytes(), paths.tobytes()
-
-
-def _blocks(span: int, first: np.ndarray, parts: np.ndarray):
-    groups = int((first + parts).max()) if len(first) else 1
-
-    def blobs(docs: np.ndarray, paths: np.ndarray, group: np.ndarray, turn: int) -> pa.RecordBatch:
-        order, heads, least = _least_of_runs(docs, paths)
-        docs, paths, group = docs[order], paths[order], group[order]
-        late = docs > least
-        out = [_blob((int(paths[0]) + turn) % groups, True, docs[late], paths[late])] if late.any() else []
-        docs, paths, group = docs[heads], paths[heads], group[heads]
-        order = np.argsort(group, kind="stable")
-        cuts = np.flatnonzero(np.diff(group[order])) + 1
-        out += [_blob(int(group[x[0]]), False, docs[x], paths[x]) for x in np.split(order, cuts)]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["group", "known", "docs", "counts", "paths"])
-
+def _census(span: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, size, turn = [], 0, 0
+        total = np.zeros((len(levels(span)), 1 << bits), dtype=np.int64)
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
-            for rows, path, word, prefix in _suffixes(batch.column("text"), span):
-                at = _bin(word)
-                kept.append((ids[rows], path, (first[at] + (prefix % parts[at].astype(np.uint64)).astype(np.int64)).astype(np.int32)))
-                size += len(path)
-                if size >= BLOCK:
-                    yield blobs(*map(np.concatenate, zip(*kept, strict=True)), turn)
-                    kept, size, turn = [], 0, turn + 1
-        if size:
-            yield blobs(*map(np.concatenate, zip(*kept, strict=True)), turn)
+            for piece in pieces(batch.column("text"), VISIBLE):
+                words, at = piece.hashes(), np.flatnonzero(whole_runs(piece, span))
+                if len(at):
+                    for level, values in enumerate(_prefix_values(words, at, span)):
+                        total[level] += np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        level, place = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(level), pa.array(place), pa.array(total[level, place])], ["level", "bin", "n"])
 
     return run
 
 
-def _unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    docs = [np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.int32)) for d, c in zip(rows["docs"], rows["counts"], strict=True)]
-    paths = [np.frombuffer(p, np.uint64) for p in rows["paths"]]
-    return (np.concatenate(docs), np.concatenate(paths)) if docs else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+class Prefixes:
+    """Which group each suffix belongs to, by the shortest prefix whose bin is not too heavy."""
+
+    def __init__(self, counts: np.ndarray, group: int):
+        """counts: suffixes by level and bin; a bin of the last level is never split."""
+        self.bits = counts.shape[1].bit_length() - 1
+        self.groups, self.of = 0, []
+        heavy = np.ones(counts.shape[1], dtype=bool)
+        for level, row in enumerate(counts):
+            heavy = (row > group) if level + 1 < len(counts) else np.zeros(len(row), dtype=bool)
+            packed = np.cumsum(np.where(heavy, 0, row)) // group
+            self.of.append(np.where(heavy, -1, self.groups + packed).astype(np.int32))
+            self.groups += int(packed[-1]) + 1
+            if not heavy.any():
+                break
+
+    def groups_of(self, words: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+        out = np.full(len(at), -1, dtype=np.int32)
+        open_ = np.arange(len(at))
+        for table, values in zip(self.of, _prefix_values(words, at, span), strict=False):
+            found = table[(values[open_] >> np.uint64(64 - self.bits)).astype(np.int64)]
+            out[open_] = found
+            open_ = open_[found < 0]
+            if not len(open_):
+                break
+        return out
+
+
+# -- parts of documents ------------------------------------------------------------------------------------------------
+
+
+class _Part:
+    """The documents of a part in the order of ids: their words' values, and the values of whole suffixes."""
+
+    def __init__(self, table: pa.Table, span: int):
+        order = pc.sort_indices(table.select(["doc_id", "text"]), sort_keys=[("doc_id", "ascending"), ("text", "ascending")])
+        table = table.take(order)
+        self.span, self.ids, column = span, table.column("doc_id"), table.column("text").combine_chunks()
+        self.ranks = self.ids.combine_chunks().fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
+        self.at, data = strings(column)
+        self.data = data.tobytes()
+        hashes, sizes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for piece in pieces(column, VISIBLE):
+            hashes.append(piece.hashes())
+            sizes.append(piece.ends - piece.starts)
+            counts.append(np.diff(piece.words))
+        self.words, sizes = np.concatenate(hashes), np.concatenate(sizes)
+        self.first = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+        #: Where words begin and end in a document's line: its words with single blanks between.
+        ends = np.cumsum(sizes + 1)
+        base = np.concatenate(([0], ends))[self.first[:-1]]
+        of = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        self.ends = ends - 1 - base[of]
+        self.starts = self.ends - sizes
+        self.paths = grams(self.words, span)
+        self.owner = of[: len(self.paths)]
+        self.whole = np.flatnonzero(self.owner == of[span - 1 :]) if len(self.paths) else np.zeros(0, np.int64)
+
+    def split(self, document: int) -> list[bytes]:
+        return self.data[self.at[document] : self.at[document + 1]].split()
+
+    def windows(self, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
+        """Document, places and words of the suffixes at some places (ascending), document by document."""
+        cuts = np.searchsorted(at, self.first)
+        for document in np.flatnonzero(np.diff(cuts)).tolist():
+            own = at[cuts[document] : cuts[document + 1]]
+            line = b" ".join(self.split(document))
+            yield document, own, [line[a:b] for a, b in zip(self.starts[own].tolist(), self.ends[own + self.span - 1].tolist(), strict=True)]
+
+    def among(self, values: np.ndarray, shift: int) -> np.ndarray:
+        """Places of whole suffixes whose path value, without its last `shift` bits, is one of the values."""
+        if not len(values):
+            return self.whole[:0]
+        known = np.unique(values)
+        own = self.paths[self.whole] >> np.uint64(shift)
+        table = np.zeros(1 << 20, dtype=bool)
+        table[known & np.uint64((1 << 20) - 1)] = True
+        some = np.flatnonzero(table[own & np.uint64((1 << 20) - 1)])
+        place = np.minimum(np.searchsorted(known, own[some]), len(known) - 1)
+        return self.whole[some[known[place] == own[some]]]
+
+
+def _pieces_by(key: np.ndarray) -> list[np.ndarray]:
+    """Indices of equal keys, for each key."""
+    order = np.argsort(key, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(key) else []
+
+
+_VALUES = "part long, top long, several boolean, paths binary"
+
+
+def _sent_values(span: int, bits: int):
+    """Step 1: the distinct path values of a part, by their top bits; `several` are those of more than one id."""
+
+    def run(table: pa.Table) -> pa.Table:
+        number, part = table.column("part")[0].as_py(), _Part(table, span)
+        paths, ranks = part.paths[part.whole], part.ranks[part.owner[part.whole]]
+        order = np.argsort(paths, kind="stable")  # documents stay in the order of ids
+        paths, ranks = paths[order], ranks[order]
+        heads = np.flatnonzero(np.concatenate(([True], paths[1:] != paths[:-1]))) if len(paths) else np.zeros(0, np.int64)
+        several = ranks[np.append(heads[1:], len(paths)) - 1] != ranks[heads] if len(heads) else np.zeros(0, bool)
+        values, rows = paths[heads], []
+        for flag in (False, True):
+            own = values[several == flag]
+            top = (own >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(own), np.int64)
+            low = (own << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
+            cuts = np.flatnonzero(np.diff(top)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(top)], strict=True):
+                if b > a:
+                    rows.append((number, int(top[a]), flag, low[a:b].tobytes()))
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["part", "top", "several", "paths"])
 
+    return run
 
-def _subtree(parts: int):
-    """What of one group is repeats, dealt into `parts` by document."""
 
-    def run(blobs: pd.DataFrame) -> pd.DataFrame:
-        known = blobs["known"].to_numpy(dtype=bool)
-        docs, paths = _unpacked(blobs[~known])
-        order, _, least = _least_of_runs(docs, paths)
-        late = order[docs[order] > least]
-        early_docs, early_paths = _unpacked(blobs[known])
-        docs, paths = np.concatenate([docs[late], early_docs]), np.concatenate([paths[late], early_paths])
-        part = np.mod(docs, parts)
-        order = np.argsort(part, kind="stable")
-        cuts = np.flatnonzero(np.diff(part[order])) + 1
-        out = [(int(part[x[0]]), *(y.tobytes() for y in _by_document(docs[x], paths[x]))) for x in np.split(order, cuts) if len(x)]
-        return pd.DataFrame(out, columns=["part", "docs", "counts", "paths"])
+def _shared_values(table: pa.Table) -> pa.Table:
+    """For each part of a group, the values that may be shared."""
+    parts, flags = table.column("part").to_numpy(), table.column("several").to_numpy()
+    blobs = [np.frombuffer(x, np.uint32) for x in table.column("paths").to_pylist()]
+    every, n = np.unique(np.concatenate(blobs), return_counts=True)
+    shared = every[n > 1]
+    shared = np.union1d(shared, np.concatenate([shared[:0], *(b for b, f in zip(blobs, flags, strict=True) if f)]))
+    out = []
+    for part, blob in zip(parts.tolist(), blobs, strict=True):
+        own = blob[np.isin(blob, shared)]
+        if len(own):
+            out.append((part, own.tobytes()))
+    top = table.column("top")[0].as_py()
+    return pa.table([pa.array([p for p, _ in out], pa.int64()), pa.array([top] * len(out), pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["part", "top", "paths"])
+
+
+_LEAVES = "group int, part long, words binary, docs binary, refs binary"
+
+
+def _spans(places: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches that windows at some places (ascending) cover."""
+    heads = np.flatnonzero(np.concatenate(([True], np.diff(places) > span)))
+    return places[heads], places[np.append(heads[1:], len(places)) - 1] + span
+
+
+def _leaves(span: int, bits: int, prefixes: Prefixes):
+    """Step 2, on the side of the parts: suffixes that may be shared, by group, and repeats that the part knows itself."""
+
+    def run(table: pa.Table, shared: pa.Table) -> pa.Table:
+        if not table.num_rows or not shared.num_rows:
+            return pa.Table.from_batches([], pa.schema([("group", pa.int32()), ("part", pa.int64()), ("words", pa.binary()), ("docs", pa.binary()), ("refs", pa.binary())]))
+        number, part = table.column("part")[0].as_py(), _Part(table, span)
+        tops = shared.column("top").to_numpy().astype(np.uint64)
+        values = [np.frombuffer(b, np.uint32).astype(np.uint64) | t << np.uint64(32) for b, t in zip(shared.column("paths").to_pylist(), tops, strict=True)]
+        at = part.among(np.concatenate(values), 32 - bits)
+        groups = prefixes.groups_of(part.words, at, span)
+        seen: dict[bytes, int] = {}
+        texts, places, known, done = [], [], [np.zeros((0, 2), np.int64)], 0
+        for document, own, windows in part.windows(at):
+            late = []
+            for n, window in enumerate(windows):
+                first = seen.setdefault(window, document)
+                if first == document:
+                    texts.append(window)
+                    places.append(done + n)
+                elif part.ranks[first] < part.ranks[document]:
+                    late.append(n)
+            done += len(windows)
+            if late:
+                known.append(np.stack(_spans(own[late], span), axis=1))
+        places = np.array(places, dtype=np.int64)
+        rows = []
+        docs = part.ranks[part.owner[at[places]]]
+        for own in _pieces_by(groups[places]):
+            rows.append((int(groups[places[own[0]]]), number, b"\n".join([texts[i] for i in own.tolist()]), docs[own].tobytes(), at[places[own]].tobytes()))
+        spans = np.concatenate(known)
+        if len(spans):
+            rows.append((number % prefixes.groups, number, None, None, spans.tobytes()))
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["group", "part", "words", "docs", "refs"])
 
     return run
 
 
-def _kept(span: int, texts: bool):
-    """Documents of one part without the repeats that the part's blobs name."""
-
-    def run(documents: pa.Table, blobs: pa.Table) -> pa.Table:
-        ids, counts, paths = _by_document(*_unpacked(blobs.select(["docs", "counts", "paths"]).to_pandas()))
-        ends = np.cumsum(counts, dtype=np.int64)
-        place = {d: n for n, d in enumerate(ids.tolist())}
-        column = documents.column("text").combine_chunks()
-        own = documents.column("doc_id").to_pylist()
-        n_words, n_removed, out = [], [], []
-        at, data = strings(column)
-        whole = data.tobytes()
-        for piece in pieces(column, VISIBLE):
-            words = None
-            for row in range(*piece.rows):
-                line = whole[at[row] : at[row + 1]].split()
-                found = place.get(_NULL_ID if own[row] is None else own[row])
-                n_words.append(len(line))
-                if found is None:
-                    rest, gone = line, 0
-                else:
-                    words = piece.hashes() if words is None else words
-                    first = piece.words[row - piece.rows[0]]
-                    own_paths = grams(words[first : first + len(line)], span)
-                    hit = np.isin(own_paths, paths[ends[found] - counts[found] : ends[found]]).astype(np.int64)
-                    change = np.zeros(len(line) + 1, dtype=np.int64)
-                    change[: len(hit)] += hit
-                    change[span : span + len(hit)] -= hit
-                    keep = np.cumsum(change)[: len(line)] == 0
-                    rest, gone = list(compress(line, keep)), int(len(line) - keep.sum())
-                text = b" ".join(rest)
-                n_removed.append(gone)
-                out.append(text.decode() if texts else hashlib.sha256(text).hexdigest())
-        return pa.table([documents.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
-
-    return run
+def repeated_leaves(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
+    """Which suffixes (cut at the depth of interest) are leaves of a node whose least document is a smaller one."""
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    ordered = [texts[i] for i in order]
+    heads = np.flatnonzero(np.fromiter(map(ne, ordered, [None, *ordered[:-1]]), dtype=bool, count=len(ordered)))
+    order = np.array(order, dtype=np.int64)
+    least = np.repeat(np.minimum.reduceat(docs[order], heads), np.diff(np.append(heads, len(order))))
+    out = np.zeros(len(order), dtype=bool)
+    out[order] = docs[order] > least
+    return out
+
+
+def _subtree(table: pa.Table) -> pa.Table:
+    """Step 2, in a group: for each part the places of repeats; spans that parts know themselves pass through."""
+    parts, refs, out = table.column("part").to_pylist(), table.column("refs").to_pylist(), []
+    words = table.column("words").to_pylist()
+    leaves = [i for i, w in enumerate(words) if w is not None]
+    if leaves:
+        lists = [words[i].split(b"\n") for i in leaves]
+        docs = np.concatenate([np.frombuffer(table.column("docs")[i].as_py(), np.int64) for i in leaves])
+        gone = repeated_leaves([t for some in lists for t in some], docs)
+        upto = np.cumsum([0, *map(len, lists)])
+        for n, i in enumerate(leaves):
+            own = np.frombuffer(refs[i], np.int64)[gone[upto[n] : upto[n + 1]]]
+            if len(own):
+                out.append((parts[i], False, own.tobytes()))
+    out += [(parts[i], True, refs[i]) for i, w in enumerate(words) if w is None]
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 3, (pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["part", "covered", "refs"])
 
 
-def _counted(documents: DataFrame, span: int) -> np.ndarray:
-    """Suffixes by the bin of their first word, of all documents."""
-    census = documents.select("text").mapInArrow(_census(span), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
-    counts = np.zeros(BINS, dtype=np.int64)
-    for row in census.collect():  # one number for each of the BINS bins
-        counts[row[0]] = row[1]
-    return counts
+def _kept(span: int, texts: bool):
+    """Step 3: the documents of a part without repeats."""
+
+    def run(table: pa.Table, found: pa.Table) -> pa.Table:
+        part = _Part(table, span)
+        change = np.zeros(len(part.words) + 1, dtype=np.int32)
+        places = [np.zeros(0, np.int64)]
+        for covered, blob in zip(found.column("covered").to_pylist(), found.column("refs").to_pylist(), strict=True):
+            values = np.frombuffer(blob, np.int64)
+            if covered:
+                np.add.at(change, values[::2], 1)
+                np.add.at(change, values[1::2], -1)
+            else:
+                places.append(values)
+        named = np.sort(np.concatenate(places))
+        gone = {window for _, _, windows in part.windows(named) for window in windows}
+        for _, own, windows in part.windows(part.among(part.paths[named], 0)):
+            hit = own[np.fromiter((w in gone for w in windows), dtype=bool, count=len(windows))]
+            change[hit] += 1
+            change[hit + span] -= 1
+        covered = np.cumsum(change[:-1]) > 0
+        n_removed = np.diff(np.concatenate(([0], np.cumsum(covered)))[part.first])
+        out, spans = [], []
+        for document in range(len(part.first) - 1):
+            line = part.split(document)
+            own = covered[part.first[document] : part.first[document + 1]]
+            if n_removed[document]:
+                edges = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
+                spans.append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
+                line = compress(line, (~own).tolist())
+            else:
+                spans.append([])
+            text = b" ".join(line)
+            out.append(text.decode() if texts else hashlib.sha256(text).hexdigest())
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        return pa.table([part.ids, pa.array(np.diff(part.first)), pa.array(n_removed), pa.array(out, pa.string()), pa.array(spans, kind)], names=["doc_id", "n_words", "n_removed", "kept", "spans"])
 
+    return run
 
-def without_repeats(documents: DataFrame, span: int = SPAN, group: int = GROUP, texts: bool = True) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, and kept, the text that stays (or its SHA-256) with single spaces.
 
-    Groups hold at most about `group` suffixes and parts about four times as many words; with fewer suffixes there are
-    as many as the session has shuffle partitions. A group's repeats go to the parts of their documents (doc_id modulo
-    an odd number), where they meet the texts.
-    """
+def without_repeats(documents: DataFrame, span: int = SPAN, part_bytes: int = PART_BYTES, group: int = GROUP, texts: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept (the text that stays, or its SHA-256, with single spaces)
+    and spans (start and end, in words, of each maximal stretch of repeats)."""
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = _counted(source, span)
-    total = int(counts.sum())
-    first, bins = prefix_groups(counts, max(1, min(group, total // (2 * partitions))))
-    parts = max(partitions, total // (4 * group)) | 1
-    blobs = source.mapInArrow(_blocks(span, first, bins), _BLOB)
-    found = blobs.groupBy("group").applyInPandas(_subtree(parts), "part long, docs binary, counts binary, paths binary")
-    part = F.pmod(F.coalesce("doc_id", F.lit(int(_NULL_ID))), F.lit(parts)).cast("long")
-    dealt = source.withColumn("part", part).groupBy("part").cogroup(found.groupBy("part"))
-    return dealt.applyInArrow(_kept(span, texts), "doc_id long, n_words long, n_removed long, kept string")
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(partitions, size // part_bytes) | 1
+    likely = size // 6  # words of usual length
+    bits = max(0, min(likely // group, likely // (1000 * parts), 1 << 24).bit_length())
+    least = max(1000, min(group, likely // partitions))
+    bins = max(12, (_BINS_A_GROUP * (likely // group)).bit_length())
+    counts = np.zeros((len(levels(span)), 1 << bins), dtype=np.int64)
+    census = source.select("text").mapInArrow(_census(span, bins), "level long, bin long, n long").groupBy("level", "bin").agg(F.sum("n").alias("n")).toArrow()
+    counts[census.column("level").to_numpy(), census.column("bin").to_numpy()] = census.column("n").to_numpy()
+    prefixes = Prefixes(counts, least)
+    dealt = source.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
+    shared = dealt.groupBy("part").applyInArrow(_sent_values(span, bits), _VALUES).groupBy("top").applyInArrow(_shared_values, "part long, top long, paths binary")
+    leaves = dealt.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_leaves(span, bits, prefixes), _LEAVES)
+    found = leaves.groupBy("group").applyInArrow(_subtree, "part long, covered boolean, refs binary")
+    return dealt.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_kept(span, texts), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start: long, end: long>>")
 
 
 def digest(documents: DataFrame) -> DataFrame:
     """The contract's columns for a table of documents."""
-    return without_repeats(documents, texts=False).withColumnRenamed("kept", "kept_sha256")
+    return without_repeats(documents, texts=False).select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
 def oracle_sql(span: int = SPAN) -> str:
     """The digest's rows in DuckDB."""
     return rf"""
-with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as ws from documents),
-places as (select doc_id, i, array_to_string(list_slice(ws, i, i + {span - 1}), ' ') as w from (select *, unnest(generate_series(1, len(ws) - {span - 1})) as i from d where len(ws) >= {span})),
+with d as (select row_number() over () as r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as ws from documents),
+places as (select r, doc_id, i, array_to_string(list_slice(ws, i, i + {span - 1}), ' ') as w from (select *, unnest(generate_series(1, len(ws) - {span - 1})) as i from d where len(ws) >= {span})),
 least_ids as (select w, min(doc_id) as first from places group by w),
-gone as (select doc_id, list(distinct p) as ps from (select doc_id, unnest(generate_series(i, i + {span - 1})) as p from places join least_ids using (w) where first < doc_id) group by doc_id)
+gone as (select r, list(distinct p) as ps from (select r, unnest(generate_series(i, i + {span - 1})) as p from places join least_ids using (w) where first < coalesce(doc_id, first + 1)) group by r)
 select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(len(ps), 0) as bigint) as n_removed,
   sha256(coalesce(array_to_string(case when ps is null then ws else list_filter(ws, lambda x, i: not list_contains(ps, i)) end, ' '), '')) as kept_sha256
-from d left join gone using (doc_id)"""
+from d left join gone using (r)"""
