@@ -335,7 +335,7 @@ def without_repeats(documents: DataFrame, span: int = SPAN, part_bytes: int = PA
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(partitions, size // part_bytes) | 1
+    parts = max(4 * partitions, size // part_bytes) | 1  # several a task, so that uneven deals even out
     likely = size // 6  # words of usual length
     bits = max(0, min(likely // group, likely // (1000 * parts), 1 << 24).bit_length())
     least = max(1000, min(group, likely // partitions))
