@@ -75,7 +75,7 @@ def test_all_paths_of_one_value(spark, monkeypatch):
     frame = pa.table({"doc_id": [1, 2, 3], "text": [PASSAGE, " ".join(f"q{i}" for i in range(60)), PASSAGE + " end"], "part": [0, 0, 0]})
     prefixes = R.Prefixes(np.ones((len(R.levels(13)), 4), dtype=np.int64), 10)
     shared = R._shared_values(R._sent_values(13, 0)(frame))
-    found = R._subtree(R._leaves(13, 0, prefixes)(frame, shared))
+    found = R._subtree(R._leaves(13, 0, prefixes)(frame, shared), 13)
     assert R._kept(13, False)(frame, found).column("n_removed").to_pylist() == [0, 0, 60]
 
 
@@ -97,7 +97,9 @@ def test_a_part_sends_equal_suffixes_once():
     frame = pa.table({"doc_id": list(range(30)), "text": [PASSAGE] * 30, "part": [0] * 30})
     prefixes = R.Prefixes(np.ones((len(R.levels(13)), 16), dtype=np.int64), 100)
     sent = R._leaves(13, 0, prefixes)(frame, R._shared_values(R._sent_values(13, 0)(frame)))
-    assert sum(len(w.split(b"\n")) for w in sent.column("words").to_pylist() if w is not None) == 48
+    windows = [x for w in sent.column("words").to_pylist() if w is not None for x in R._windows(w, 13)[0]]
+    assert len(windows) == 48 and set(windows) == {" ".join(PASSAGE.split()[i : i + 13]).encode() for i in range(48)}
+    assert sum(len(stretch) for w in sent.column("words").to_pylist() if w is not None for stretch in w.split(b"\n")) < 6 * len(PASSAGE)
 
 
 def test_empty(spark):

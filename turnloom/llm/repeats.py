@@ -6,12 +6,14 @@ the row, and three steps run over the parts, which all read one shuffle of the t
 1. Which suffixes can be shared: each part sends the distinct 64-bit values of its suffixes' first `span` words, less
    their top bits, to groups by those top bits, and learns which of them other parts or documents have too. Two different
    beginnings of one value only make a suffix look shared; none that is shared is missed.
-2. Trees: suffixes that may be shared go, with their words, to groups by prefix. Prefixes have 1, 2, 4, ... up to `span`
-   words: a census of all suffixes tells which prefixes have more than a group's worth, and these are split by the next
-   longer one. A part sends equal suffixes once, for its least document, so a prefix of `span` words has at most one
-   suffix of each part and can't be heavy. A group sorts its suffixes by their words; neighbours that agree in `span`
-   words are leaves of one internal node of that depth, which is where the tree is cut: what lies deeper splits nodes
-   that are repeats already. Of a node, the leaves of greater documents than its least are repeats.
+2. Trees: suffixes that may be shared go, with their words, to groups by prefix. The prefix is read at the suffix's
+   anchor, where among its first `span` words the 4 words of least hash begin, so that neighbouring suffixes, which
+   mostly have one anchor, travel as one stretch of about 3 words each and not of 13. A census of all suffixes tells
+   which prefixes have more than a group's worth; these are split by prefixes of 8 words and then of `span`. A part
+   sends equal suffixes once, for its least document, so a prefix of `span` words has at most one suffix of each part
+   and can't be heavy. A group sorts its suffixes by their words; neighbours that agree in `span` words are leaves of
+   one internal node of that depth, which is where the tree is cut: what lies deeper splits nodes that are repeats
+   already. Of a node, the leaves of greater documents than its least are repeats.
 3. Each part removes what the nodes and its own comparison name. Neighbouring repeats join to maximal ones (`spans`).
 
 Words are compared in steps 2 and 3, so no two different sequences are taken for one. A part's rows for the groups are
@@ -35,7 +37,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.tokens_np import _GRAM as GRAM
 from turnloom.llm.tokens_np import VISIBLE, grams, mixed, pieces, strings, whole_runs
 
 SPAN = 13
@@ -45,22 +46,22 @@ GROUP = 1 << 20
 #: Bins of the census, at each length of prefixes, for each group.
 _BINS_A_GROUP = 16
 _NULL_ID = np.iinfo(np.int64).max
-_START = np.int64((1 << 32) - 1)
 
 
 def levels(span: int) -> list[int]:
-    """Lengths of prefixes: 1, 2, 4, ... and span."""
-    return [*(1 << k for k in range(span.bit_length()) if 1 << k < span), span]
+    """Lengths of prefixes."""
+    return sorted({min(4, span), min(8, span), span})
 
 
-def _prefix_values(words: np.ndarray, at: np.ndarray, span: int) -> Iterator[np.ndarray]:
-    """Values of the prefixes at some places, for each of the levels, shortest first."""
-    value = words[at]
-    for n in range(1, span + 1):
-        if n > 1:
-            value = value * GRAM + words[at + n - 1]
-        if n in levels(span):
-            yield mixed(value + np.uint64(n))
+def _anchors(words: np.ndarray, at: np.ndarray, length: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """For suffixes at some places, where the words of least hash begin, and a value of these words."""
+    hashes = mixed(grams(words, length) + np.uint64(length))
+    best, place = hashes[at], at.copy()
+    for j in range(1, span - length + 1):
+        other = hashes[at + j]
+        less = np.flatnonzero(other < best)
+        best[less], place[less] = other[less], at[less] + j
+    return place, mixed(best)
 
 
 # -- the census of prefixes --------------------------------------------------------------------------------------------
@@ -73,7 +74,8 @@ def _census(span: int, bits: int):
             for piece in pieces(batch.column("text"), VISIBLE):
                 words, at = piece.hashes(), np.flatnonzero(whole_runs(piece, span))
                 if len(at):
-                    for level, values in enumerate(_prefix_values(words, at, span)):
+                    for level, length in enumerate(levels(span)):
+                        values = _anchors(words, at, length, span)[1]
                         total[level] += np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         level, place = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(level), pa.array(place), pa.array(total[level, place])], ["level", "bin", "n"])
@@ -97,16 +99,16 @@ class Prefixes:
             if not heavy.any():
                 break
 
-    def groups_of(self, words: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
-        out = np.full(len(at), -1, dtype=np.int32)
-        open_ = np.arange(len(at))
-        for table, values in zip(self.of, _prefix_values(words, at, span), strict=False):
-            found = table[(values[open_] >> np.uint64(64 - self.bits)).astype(np.int64)]
-            out[open_] = found
-            open_ = open_[found < 0]
-            if not len(open_):
+    def groups_of(self, words: np.ndarray, at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """Group and anchor of the suffixes at some places."""
+        groups, anchors, left = np.full(len(at), -1, dtype=np.int32), at.copy(), np.arange(len(at))
+        for table, length in zip(self.of, levels(span), strict=False):
+            anchors[left], values = _anchors(words, at[left], length, span)
+            groups[left] = table[(values >> np.uint64(64 - self.bits)).astype(np.int64)]
+            left = left[groups[left] < 0]
+            if not len(left):
                 break
-        return out
+        return groups, anchors
 
 
 # -- parts of documents ------------------------------------------------------------------------------------------------
@@ -142,13 +144,13 @@ class _Part:
     def split(self, document: int) -> list[bytes]:
         return self.data[self.at[document] : self.at[document + 1]].split()
 
-    def windows(self, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[bytes]]]:
-        """Document, places and words of the suffixes at some places (ascending), document by document."""
+    def windows(self, at: np.ndarray) -> Iterator[tuple[int, bytes, np.ndarray, list[bytes]]]:
+        """Document, its line, places and words of the suffixes at some places (ascending), document by document."""
         cuts = np.searchsorted(at, self.first)
         for document in np.flatnonzero(np.diff(cuts)).tolist():
             own = at[cuts[document] : cuts[document + 1]]
             line = b" ".join(self.split(document))
-            yield document, own, [line[a:b] for a, b in zip(self.starts[own].tolist(), self.ends[own + self.span - 1].tolist(), strict=True)]
+            yield document, line, own, [line[a:b] for a, b in zip(self.starts[own].tolist(), self.ends[own + self.span - 1].tolist(), strict=True)]
 
     def among(self, values: np.ndarray, shift: int) -> np.ndarray:
         """Places of whole suffixes whose path value, without its last `shift` bits, is one of the values."""
@@ -169,6 +171,15 @@ def _pieces_by(key: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(key) else []
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Sorted 32-bit values as differences, byte by byte of all, so that compression finds the small ones' zeros."""
+    return np.diff(values, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(blob, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32)
+
+
 _VALUES = "part long, top long, several boolean, paths binary"
 
 
@@ -190,7 +201,7 @@ def _sent_values(span: int, bits: int):
             cuts = np.flatnonzero(np.diff(top)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(top)], strict=True):
                 if b > a:
-                    rows.append((number, int(top[a]), flag, low[a:b].tobytes()))
+                    rows.append((number, int(top[a]), flag, _packed(low[a:b])))
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["part", "top", "several", "paths"])
 
     return run
@@ -198,16 +209,13 @@ def _sent_values(span: int, bits: int):
 
 def _shared_values(table: pa.Table) -> pa.Table:
     """For each part of a group, the values that may be shared."""
-    parts, flags = table.column("part").to_numpy(), table.column("several").to_numpy()
-    blobs = [np.frombuffer(x, np.uint32) for x in table.column("paths").to_pylist()]
-    every, n = np.unique(np.concatenate(blobs), return_counts=True)
-    shared = every[n > 1]
-    shared = np.union1d(shared, np.concatenate([shared[:0], *(b for b, f in zip(blobs, flags, strict=True) if f)]))
-    out = []
-    for part, blob in zip(parts.tolist(), blobs, strict=True):
-        own = blob[np.isin(blob, shared)]
-        if len(own):
-            out.append((part, own.tobytes()))
+    blobs = [_unpacked(x) for x in table.column("paths").to_pylist()]
+    sizes = np.array([len(b) for b in blobs])
+    _, which, n = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
+    shared = n > 1
+    shared[which[np.repeat(table.column("several").to_numpy(), sizes)]] = True
+    marked = np.split(shared[which], np.cumsum(sizes)[:-1])
+    out = [(part, _packed(blob[own])) for part, blob, own in zip(table.column("part").to_pylist(), blobs, marked, strict=True) if own.any()]
     top = table.column("top")[0].as_py()
     return pa.table([pa.array([p for p, _ in out], pa.int64()), pa.array([top] * len(out), pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["part", "top", "paths"])
 
@@ -229,17 +237,16 @@ def _leaves(span: int, bits: int, prefixes: Prefixes):
             return pa.Table.from_batches([], pa.schema([("group", pa.int32()), ("part", pa.int64()), ("words", pa.binary()), ("docs", pa.binary()), ("refs", pa.binary())]))
         number, part = table.column("part")[0].as_py(), _Part(table, span)
         tops = shared.column("top").to_numpy().astype(np.uint64)
-        values = [np.frombuffer(b, np.uint32).astype(np.uint64) | t << np.uint64(32) for b, t in zip(shared.column("paths").to_pylist(), tops, strict=True)]
+        values = [_unpacked(b).astype(np.uint64) | t << np.uint64(32) for b, t in zip(shared.column("paths").to_pylist(), tops, strict=True)]
         at = part.among(np.concatenate(values), 32 - bits)
-        groups = prefixes.groups_of(part.words, at, span)
+        groups, anchors = prefixes.groups_of(part.words, at, span)
         seen: dict[bytes, int] = {}
-        texts, places, known, done = [], [], [np.zeros((0, 2), np.int64)], 0
-        for document, own, windows in part.windows(at):
-            late = []
+        lines, places, known, done = {}, [], [np.zeros((0, 2), np.int64)], 0
+        for document, line, own, windows in part.windows(at):
+            late, lines[document] = [], line
             for n, window in enumerate(windows):
                 first = seen.setdefault(window, document)
                 if first == document:
-                    texts.append(window)
                     places.append(done + n)
                 elif part.ranks[first] < part.ranks[document]:
                     late.append(n)
@@ -247,13 +254,19 @@ def _leaves(span: int, bits: int, prefixes: Prefixes):
             if late:
                 known.append(np.stack(_spans(own[late], span), axis=1))
         places = np.array(places, dtype=np.int64)
-        rows = []
-        docs = part.ranks[part.owner[at[places]]]
-        for own in _pieces_by(groups[places]):
-            rows.append((int(groups[places[own[0]]]), number, b"\n".join([texts[i] for i in own.tolist()]), docs[own].tobytes(), at[places[own]].tobytes()))
+        # neighbours of one anchor and group are one stretch
+        at, anchors, groups = at[places], anchors[places], groups[places]
+        heads = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(anchors) != 0) | (np.diff(groups) != 0)))) if len(at) else at
+        first, last, groups = at[heads], at[np.append(heads[1:], len(at)) - 1] if len(at) else at, groups[heads]
+        owner = part.owner[first]
+        spots = zip(owner.tolist(), part.starts[first].tolist(), part.ends[last + span - 1].tolist(), strict=True)
+        stretches = [lines[document][a:b] for document, a, b in spots]
+        rows, docs = [], part.ranks[owner]
+        for own in _pieces_by(groups):
+            rows.append((int(groups[own[0]]), number, b"\n".join([stretches[i] for i in own.tolist()]), docs[own].tobytes(), first[own].astype(np.int32).tobytes()))
         spans = np.concatenate(known)
         if len(spans):
-            rows.append((number % prefixes.groups, number, None, None, spans.tobytes()))
+            rows.append((number % prefixes.groups, number, None, None, spans.astype(np.int32).tobytes()))
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["group", "part", "words", "docs", "refs"])
 
     return run
@@ -271,20 +284,35 @@ def repeated_leaves(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _subtree(table: pa.Table) -> pa.Table:
-    """Step 2, in a group: for each part the places of repeats; spans that parts know themselves pass through."""
+def _windows(stretches: bytes, span: int) -> tuple[list[bytes], np.ndarray]:
+    """The first `span` words of each suffix of the stretches (one a line) that has so many, and how many each gives."""
+    data = np.frombuffer(stretches, np.uint8)
+    gaps = np.flatnonzero((data == 32) | (data == 10))
+    starts, ends = np.concatenate(([0], gaps + 1)), np.append(gaps, len(data))
+    line = np.concatenate(([0], np.cumsum(data[gaps] == 10)))
+    at = np.flatnonzero(line[: len(line) - span + 1] == line[span - 1 :])
+    return [stretches[a:b] for a, b in zip(starts[at].tolist(), ends[at + span - 1].tolist(), strict=True)], np.bincount(line[at], minlength=line[-1] + 1)
+
+
+def _subtree(table: pa.Table, span: int) -> pa.Table:
+    """Step 2, in a group: for each part the places of repeats, as runs; spans that parts know themselves pass through."""
     parts, refs, out = table.column("part").to_pylist(), table.column("refs").to_pylist(), []
     words = table.column("words").to_pylist()
-    leaves = [i for i, w in enumerate(words) if w is not None]
-    if leaves:
-        lists = [words[i].split(b"\n") for i in leaves]
-        docs = np.concatenate([np.frombuffer(table.column("docs")[i].as_py(), np.int64) for i in leaves])
-        gone = repeated_leaves([t for some in lists for t in some], docs)
-        upto = np.cumsum([0, *map(len, lists)])
-        for n, i in enumerate(leaves):
-            own = np.frombuffer(refs[i], np.int64)[gone[upto[n] : upto[n + 1]]]
+    sent = [i for i, w in enumerate(words) if w is not None]
+    if sent:
+        lists, sizes = zip(*(_windows(words[i], span) for i in sent), strict=True)
+        docs = [np.repeat(np.frombuffer(table.column("docs")[i].as_py(), np.int64), n) for i, n in zip(sent, sizes, strict=True)]
+        gone = repeated_leaves([t for some in lists for t in some], np.concatenate(docs))
+        upto = np.cumsum([0, *(n.sum() for n in sizes)])
+        for k, i in enumerate(sent):
+            before = np.cumsum(sizes[k]) - sizes[k]
+            own = np.flatnonzero(gone[upto[k] : upto[k + 1]])
             if len(own):
-                out.append((parts[i], False, own.tobytes()))
+                of = np.searchsorted(before, own, "right") - 1
+                places = np.frombuffer(refs[i], np.int32)[of] + (own - before[of])
+                heads = np.flatnonzero(np.concatenate(([True], np.diff(places) != 1)))
+                runs = np.stack([places[heads], np.diff(np.append(heads, len(places)))], axis=1)
+                out.append((parts[i], False, runs.astype(np.int32).tobytes()))
     out += [(parts[i], True, refs[i]) for i, w in enumerate(words) if w is None]
     return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 3, (pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["part", "covered", "refs"])
 
@@ -297,15 +325,16 @@ def _kept(span: int, texts: bool):
         change = np.zeros(len(part.words) + 1, dtype=np.int32)
         places = [np.zeros(0, np.int64)]
         for covered, blob in zip(found.column("covered").to_pylist(), found.column("refs").to_pylist(), strict=True):
-            values = np.frombuffer(blob, np.int64)
+            values = np.frombuffer(blob, np.int32).astype(np.int64)
             if covered:
                 np.add.at(change, values[::2], 1)
                 np.add.at(change, values[1::2], -1)
             else:
-                places.append(values)
+                starts, sizes = values[::2], values[1::2]
+                places.append(np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum()))
         named = np.sort(np.concatenate(places))
-        gone = {window for _, _, windows in part.windows(named) for window in windows}
-        for _, own, windows in part.windows(part.among(part.paths[named], 0)):
+        gone = {window for _, _, _, windows in part.windows(named) for window in windows}
+        for _, _, own, windows in part.windows(part.among(part.paths[named], 0)):
             hit = own[np.fromiter((w in gone for w in windows), dtype=bool, count=len(windows))]
             change[hit] += 1
             change[hit + span] -= 1
@@ -335,7 +364,7 @@ def without_repeats(documents: DataFrame, span: int = SPAN, part_bytes: int = PA
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(4 * partitions, size // part_bytes) | 1  # several a task, so that uneven deals even out
+    parts = max(partitions, size // part_bytes) | 1
     likely = size // 6  # words of usual length
     bits = max(0, min(likely // group, likely // (1000 * parts), 1 << 24).bit_length())
     least = max(1000, min(group, likely // partitions))
@@ -346,8 +375,9 @@ def without_repeats(documents: DataFrame, span: int = SPAN, part_bytes: int = PA
     prefixes = Prefixes(counts, least)
     dealt = source.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
     shared = dealt.groupBy("part").applyInArrow(_sent_values(span, bits), _VALUES).groupBy("top").applyInArrow(_shared_values, "part long, top long, paths binary")
+    trees = lambda table: _subtree(table, span)
     leaves = dealt.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_leaves(span, bits, prefixes), _LEAVES)
-    found = leaves.groupBy("group").applyInArrow(_subtree, "part long, covered boolean, refs binary")
+    found = leaves.groupBy("group").applyInArrow(trees, "part long, covered boolean, refs binary")
     return dealt.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_kept(span, texts), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start: long, end: long>>")
 
 
