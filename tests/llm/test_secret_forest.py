@@ -9,11 +9,22 @@ from turnloom.llm import secret_forest as S
 SHAPE = "doc_id long, text string, source string"
 
 
+PAIR = re.compile(r"""(?:([A-Za-z][A-Za-z0-9_-]{1,39})["'`]{0,2}[=:]["'`]{0,2})?([A-Za-z0-9+/_-]{8,}={0,2})""")
+SECRET = re.compile(S.SECRET_NAMES)
+
+
 def brute(docs):
+    """Findings as they are defined, word by word, without the tests that come before in the operator."""
     out = []
     for d, t, _ in docs:
         words = re.split(r"[ \t\r\n\f\x0B]+", t or "")
-        out += [(d, i) for i, w in enumerate(words) if re.search(r"[A-Za-z0-9+/_-]{16,}={0,2}", w) and re.search("[0-9]", w)]
+        for i, w in enumerate(words):
+            before, before2 = (words[i - k] if i >= k else "" for k in (1, 2))
+            for n, (name, value) in enumerate(PAIR.findall(w)):
+                if not name and n == 0:
+                    name = before2 if before in ("=", ":") else before if before.endswith(("=", ":")) else ""
+                if (len(value.rstrip("=")) >= 16 and re.search("[0-9]", value)) or SECRET.search(name):
+                    out.append((d, i, n))
     return sorted(out, key=str)
 
 
@@ -34,13 +45,43 @@ def corpus(n=400):
 def test_findings(spark):
     docs = [*corpus(40)[0], (None, "token=" + "a1" * 20, None), (901, None, "s"), (902, "", "s"), (903, "w " * 40_000 + "token = 'Zz9" + "q8" * 9 + "'", "s"), (903, "short a1", "s")]
     found = S.candidates(spark.createDataFrame([(*d, "x", 1) for d in docs], SHAPE + ", value string, at int"))
-    assert sorted(((r.doc_id, r.at) for r in found.collect()), key=str) == brute(docs)
+    assert sorted(((r.doc_id, r.at, r.run) for r in found.collect()), key=str) == brute(docs)
+
+
+def test_all_runs_of_a_word(spark):
+    """Minified JSON, query strings and lines without blanks give every value with its name."""
+    one, two = "0123456789abcdef" * 2, "ghp_" + "a1B2" * 9
+    docs = [
+        (1, f'{{"commit":"{one}","token":"{two}","n":1}}', "s"), (2, f"https://host/x?commit={one}&token={two}", "s"), (3, f"{one},{two}", "s"),
+        (4, "password=hunterhunter", "s"), (5, "db_password: correcthorse", "s"), (6, "api_key = 'abcdefgh'", "s"), (7, "passwords are short; the password is secret", "s"), (8, ",".join(f'"k{i}":"{i:016d}"' for i in range(3000)), "s"),
+    ]
+    rows = S.candidates(spark.createDataFrame(docs, SHAPE)).collect()
+    assert sorted(((r.doc_id, r.at, r.run) for r in rows), key=str) == brute(docs)
+    pairs = lambda d: [(r.name, r.value) for r in sorted(rows, key=lambda r: r.run) if r.doc_id == d]
+    assert pairs(1) == [("commit", one), ("token", two)] and pairs(3) == [("", one), ("", two)]
+    assert ("token", two) in pairs(2) and len(pairs(8)) == 3000
+    assert pairs(4) == [("password", "hunterhunter")] and pairs(5) == [("db_password:", "correcthorse")] and pairs(6) == [("api_key", "abcdefgh")] and pairs(7) == []
+
+
+def test_dictionary(spark):
+    docs = [(i, "Common words. Common, words\nrare" + str(i), "s") for i in range(30)]
+    assert sorted(r[0] for r in S.dictionary(spark.createDataFrame(docs, SHAPE), 60).collect()) == ["common", "words"]
+
+
+def test_features_of_rules_are_hidden(spark):
+    """Without given labels values that no rule decides are judged by what they are like."""
+    docs, truth = corpus(400)
+    rng = np.random.default_rng(8)
+    free = [(1000 + i, "so " + "".join(rng.choice(list("0123456789abcdef"), 18)) + " it", "s") for i in range(40)]
+    rows = S.scanned(spark.createDataFrame(docs + free, SHAPE)).collect()
+    assert sum(r.doc_id >= 1000 for r in rows) == 40
+    assert np.mean([r.is_secret == truth[r.doc_id] for r in rows if r.doc_id < 1000]) == 1.0
 
 
 def test_trained_on_given_labels(spark):
     docs, truth = corpus()
     frame = spark.createDataFrame(docs, SHAPE)
-    places = {d: i for d, i in brute(docs)}
+    places = {d: i for d, i, _ in brute(docs)}
     known = [(d, places[d], int(truth[d])) for d, _, _ in docs if d % 4]
     labelled = spark.createDataFrame(known, "doc_id long, at int, label int")
     rows = S.scanned(frame, labelled).collect()

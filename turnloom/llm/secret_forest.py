@@ -1,14 +1,19 @@
 """Secret scan with a random forest that removes false positives, in DataFrame expressions and Spark ML only.
 
-Candidates are runs of at least 16 key characters with a digit, with the words around them. Features: length, shares of
-character classes, changes of class, how typical the character transitions are of labelled secrets against labelled
-others, coverage by dictionary words, the path (`source`), and the neighbouring words. The forest is trained on labelled
-findings; where none are given, findings that rules decide for sure are the labels (vendor formats and assignments to
-secret names are secrets; card-like numbers, addresses, and digests next to a digest's name are not).
-
-Defined results: null and empty texts have no candidates; equal rows are scanned each, `at` tells apart the findings of
-a row; a null source is the path ""; with no labelled secret or no labelled other, the score is the share of secrets
-among the labels (null without labels) and rules alone decide; other columns are ignored; an empty table gives no rows.
+Candidates are all runs of key characters in a word that have 16 characters and a digit, or that have 8 and are assigned
+to a secret name ("name=value", "name: value", "\"name\":\"value\""), with the words around them. Features: length,
+shares of character classes, changes of class, how typical the character transitions are of labelled secrets against
+labelled others (counted over all labelled findings), coverage by dictionary words (words of letters that the whole
+corpus uses often), the path (`source`), and name and neighbouring words. The forest is trained on labelled findings.
+
+Where none are given, findings that rules decide for sure are the labels (vendor formats and assignments to secret names
+are secrets; card-like numbers, addresses, and digests next to a digest's name are not). The forest then sees no feature
+that these rules read (NAMED), so that it learns what the values are like and judges those that no rule decides.
+
+Defined results: null and empty texts have no candidates; equal rows are scanned each, `at` (word) and `run` (place in
+the word) tell apart the findings of a row; a null source is the path ""; a labelled finding keeps its label; with no
+labelled secret or no labelled other, the score is the share of secrets among the labels (null without labels) and
+labels alone decide; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,39 +30,65 @@ from turnloom.session import written
 #: Findings that the forest is trained on at most, taken by a hash of document and place.
 TRAIN_ROWS = 50_000
 TREES, DEPTH = 24, 6
-# Names that announce secrets or harmless values, and words of placeholders and identifiers.
+# Names that announce secrets or harmless values, formats of vendors' keys, and paths of tests.
 SECRET_NAMES = r"(?i)token|secret|passw(or)?d|passwd|\bpwd\b|api_?key|access_?key|private_?key|auth|bearer|credential"
 OTHER_NAMES = r"(?i)sha-?(1|256|512)?\b|\bmd5\b|commit|digest|checksum|hash|uuid|etag|revision|\bid\b"
-WORDS = "example sample dummy test demo placeholder changeme your user name default local host data file path index value build version release config class function module package import return string number object array table column"
+VENDORS = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^xox[abprs]-|^AIza[A-Za-z0-9_-]{35}|^sk-[A-Za-z0-9_-]{20}"
 TEST_PATHS = r"(?i)test|example|sample|fixture|docs?/|\.md$"
-_RUN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
+#: A word is in the dictionary if the corpus has it so often.
+LEAST_USES = 50
+_RUN = r"[A-Za-z0-9+/_-]{16,}"
+#: A name and what parts it from its value, if there are any, and the value.
+_PAIR = r"(?:([A-Za-z][A-Za-z0-9_-]{1,39})[\"'`]{0,2}[=:][\"'`]{0,2})?([A-Za-z0-9+/_-]{8,}={0,2})"
+_NAMED_RUN = r"(?i)(?:token|secret|passw|passwd|pwd|key|auth|bearer|credential)[A-Za-z0-9_-]*[\"'`]{0,2}[=:][\"'`]{0,2}[A-Za-z0-9+/_-]{8,}"
+_NAME_BEFORE = r"(?i)(?:token|secret|passw|passwd|pwd|key|auth|bearer|credential)[A-Za-z0-9_-]*[\"'`]{0,2}[=:]?$"
 _SPACE = r"[ \t\r\n\f\x0B]+"
+#: Of a neighbouring word at most so many characters are kept.
+_NEAR = 64
 
 
 def candidates(documents: DataFrame) -> DataFrame:
-    """doc_id, path, at (word number), word, before, before2, after, name (assigned to), value."""
+    """doc_id, path, at (word number), run (number in the word), before, before2, after, name (assigned to), value, and
+    what the word is like (address, quoted)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.when(text.rlike(_RUN), F.split(text, _SPACE)).otherwise(F.array().cast("array<string>"))
+    words = F.when(text.rlike(_RUN) | text.rlike(SECRET_NAMES), F.split(text, _SPACE)).otherwise(F.array().cast("array<string>"))
     rows = documents.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("path"), words.alias("words"))
-    places = F.expr(f"filter(sequence(0, size(words) - 1), i -> words[i] rlike '{_RUN}' and words[i] rlike '[0-9]')")
+    places = F.filter(
+        F.sequence(F.lit(0), F.size("words") - 1),
+        lambda i: (F.get("words", i).rlike(_RUN) & F.get("words", i).rlike("[0-9]"))
+        | F.get("words", i).rlike(_NAMED_RUN)
+        | (F.get("words", i).rlike("[A-Za-z0-9+/_-]{8,}") & ((F.get("words", i - 1).rlike("^[=:]$") & F.get("words", i - 2).rlike(_NAME_BEFORE)) | F.get("words", i - 1).rlike(_NAME_BEFORE.replace("?$", "$")))),
+    )
     found = rows.where(F.size("words") > 0).select("doc_id", "path", "words", F.explode(places).alias("at"))
     near = lambda d: F.coalesce(F.get("words", F.col("at") + d), F.lit(""))
-    picked = found.select("doc_id", "path", "at", near(0).alias("word"), near(-1).alias("before"), near(-2).alias("before2"), near(1).alias("after"))
-    inline = F.regexp_extract("word", r"^[\"'{(]*([A-Za-z_-]{2,40})[=:]", 1)
-    spaced = F.when(F.col("before").rlike("^[=:]$"), F.col("before2")).when(F.col("before").rlike("[=:]$"), F.col("before"))
-    name = F.when(inline != "", inline).otherwise(F.coalesce(spaced, F.lit("")))
-    rest = F.when(inline != "", F.regexp_replace("word", r"^[\"'{(]*[A-Za-z_-]{2,40}[=:]", "")).otherwise(F.col("word"))
-    return picked.withColumn("name", name).withColumn("value", F.regexp_extract(rest, _RUN, 0)).where("value != ''")
+    word = F.get("words", F.col("at"))
+    pairs = F.arrays_zip(F.regexp_extract_all(word, F.lit(_PAIR), F.lit(1)).alias("name"), F.regexp_extract_all(word, F.lit(_PAIR), F.lit(2)).alias("value"))
+    picked = found.select(
+        "doc_id", "path", "at", F.right(near(-1), F.lit(_NEAR)).alias("before"), F.right(near(-2), F.lit(_NEAR)).alias("before2"), F.left(near(1), F.lit(_NEAR)).alias("after"),
+        word.rlike("://|@").alias("address"), word.rlike("[\"'`]").alias("quoted"), F.posexplode(pairs).alias("run", "pair"),
+    )
+    spaced = F.when(F.col("run") > 0, "").when(F.col("before").rlike("^[=:]$"), F.col("before2")).when(F.col("before").rlike("[=:]$"), F.col("before"))
+    name = F.when(F.col("pair.name") != "", F.col("pair.name")).otherwise(F.coalesce(spaced, F.lit("")))
+    value = F.col("value")
+    long = (F.length(F.regexp_replace(value, "=+$", "")) >= 16) & value.rlike("[0-9]")
+    return picked.withColumn("name", name).withColumn("value", F.col("pair.value")).drop("pair").where(long | F.col("name").rlike(SECRET_NAMES))
+
+
+def dictionary(documents: DataFrame, least: int = LEAST_USES) -> DataFrame:
+    """dictionary_word: the words of 4 to 24 letters (a-z) that all texts together use so often."""
+    words = F.split(F.translate(F.lower(F.coalesce(F.col("text"), F.lit(""))), ".,;:!?\n\t\r", "         "), " +")
+    counted = documents.select(F.explode(words).alias("dictionary_word")).where(F.col("dictionary_word").rlike("^[a-z]{4,24}$")).groupBy("dictionary_word").count()
+    return counted.where(F.col("count") >= least).select("dictionary_word")
 
 
 def certain_labels(found: DataFrame) -> DataFrame:
     """found with `label`: 1 or 0 where rules decide for sure, else null."""
     value, name = F.col("value"), F.col("name")
-    vendor = value.rlike(r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^xox[abprs]-|^AIza[A-Za-z0-9_-]{35}|^sk-[A-Za-z0-9_-]{20}")
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    vendor = value.rlike(VENDORS)
+    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.length(value) >= 8)
     around = F.concat_ws(" ", "before2", "before")
-    harmless = value.rlike(r"^[0-9_/+-]+$") | F.col("word").rlike(r"://|@") | (around.rlike(OTHER_NAMES) & ~name.rlike(SECRET_NAMES))
-    label = F.when(vendor | (name.rlike(SECRET_NAMES) & mixed), 1).when(harmless | ~mixed, 0)
+    harmless = value.rlike(r"^[0-9_/+-]+$") | F.col("address") | (around.rlike(OTHER_NAMES) & ~name.rlike(SECRET_NAMES))
+    label = F.when(vendor | (name.rlike(SECRET_NAMES) & mixed & ~F.col("address")), 1).when(harmless | (~mixed & ~name.rlike(SECRET_NAMES)), 0)
     return found.withColumn("label", label)
 
 
@@ -68,63 +99,76 @@ def _share(pattern: str) -> Column:
 def _pairs(found: DataFrame) -> DataFrame:
     """A row for each two neighbouring characters of each finding."""
     starts = F.sequence(F.lit(1), F.length("value") - 1)
-    return found.select("finding", "label", "trained", F.explode(F.transform(starts, lambda i: F.substring(F.col("value"), i, F.lit(2)))).alias("pair"))
+    return found.select("finding", "label", F.explode(F.transform(starts, lambda i: F.substring(F.col("value"), i, F.lit(2)))).alias("pair"))
 
 
+#: Features that the rules of certain_labels() read.
+NAMED = ("secret_name", "other_name", "secret_near", "vendor")
 FEATURES = (
     "length", "digits", "capitals", "small", "marks", "hexadecimal", "changes", "transitions", "dictionary", "test_path",
-    "secret_name", "other_name", "assigned", "quoted", "secret_near", "prose_near",
+    "assigned", "quoted_word", "prose_near", *NAMED,
 )
 
 
-def with_features(found: DataFrame) -> DataFrame:
-    """found (with finding, label, trained) and the columns of FEATURES."""
+def with_features(found: DataFrame, documents: DataFrame) -> DataFrame:
+    """found (with finding and label) and the columns of FEATURES."""
     around = F.concat_ws(" ", "before2", "before", "after")
     change = "|".join(("[0-9](?=[A-Za-z])", "[A-Za-z](?=[0-9])", "[a-z](?=[A-Z])", "[A-Z](?=[a-z])", "[+/_-](?=[A-Za-z0-9])"))
-    covered = F.length("value") - F.length(F.regexp_replace(F.lower("value"), "|".join(WORDS.split()), ""))
     plain = {
         "length": F.length("value"),
         "digits": _share("[0-9]"), "capitals": _share("[A-Z]"), "small": _share("[a-z]"), "marks": _share("[+/_=-]"), "hexadecimal": _share("[0-9a-f]"),
-        "changes": _share(change), "dictionary": covered / F.length("value"), "test_path": F.col("path").rlike(TEST_PATHS),
+        "changes": _share(change), "test_path": F.col("path").rlike(TEST_PATHS),
         "secret_name": F.col("name").rlike(SECRET_NAMES), "other_name": F.col("name").rlike(OTHER_NAMES), "assigned": F.col("name") != "",
-        "quoted": F.col("word").rlike("[\"'`]"), "secret_near": around.rlike(SECRET_NAMES), "prose_near": F.regexp_count(around, F.lit(r"\b\p{L}+\b")) / 3,
+        "quoted_word": F.col("quoted"), "secret_near": around.rlike(SECRET_NAMES), "prose_near": F.regexp_count(around, F.lit(r"\b\p{L}+\b")) / 3,
+        "vendor": F.col("value").rlike(VENDORS),
     }
     pairs = _pairs(found)
-    seen = pairs.where("trained").groupBy("pair").agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0"))
+    seen = pairs.where("label is not null").groupBy("pair").agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0"))
     # At most 66 * 66 pairs of characters.
     odds = written(seen.select(F.col("pair").alias("of"), F.log((F.col("n1") + 1) / (F.col("n0") + 1)).alias("odds")), "secret-pairs")
     typical = pairs.join(odds, pairs.pair == odds.of, "left").groupBy("finding").agg(F.avg(F.coalesce("odds", F.lit(0.0))).alias("transitions"))
+    runs = found.select("finding", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("([a-z]{4,24})"), F.lit(1))).alias("letters"))
+    covered = runs.join(dictionary(documents), F.col("letters") == F.col("dictionary_word")).groupBy("finding").agg(F.sum(F.length("letters")).alias("covered"))
+    measured = typical.withColumnRenamed("finding", "of").join(covered.withColumnRenamed("finding", "of2"), F.col("of") == F.col("of2"), "left").select("of", "transitions", "covered")
     out = found.select("*", *[c.cast("double").alias(n) for n, c in plain.items()])
-    return out.join(typical.withColumnRenamed("finding", "of"), F.col("finding") == F.col("of"), "left").drop("of").withColumn("transitions", F.coalesce("transitions", F.lit(0.0)))
+    out = out.join(measured, F.col("finding") == F.col("of"), "left").drop("of")
+    share = F.coalesce(F.col("covered") / F.length("value"), F.lit(0.0))
+    return out.withColumn("transitions", F.coalesce("transitions", F.lit(0.0))).withColumn("dictionary", share).drop("covered")
 
 
 def scanned(documents: DataFrame, labelled: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """Every finding: doc_id, at, value, name, score, is_secret.
+    """Every finding: doc_id, at, run, value, name, score, is_secret.
 
-    labelled has doc_id, at and label of findings that somebody judged; without it certain_labels() are the labels.
+    labelled has doc_id, at, label and perhaps run of findings that somebody judged; without it certain_labels() are the
+    labels.
     """
     found = certain_labels(candidates(documents))
+    features = [f for f in FEATURES if labelled is not None or f not in NAMED]
     if labelled is not None:
-        judged = labelled.select(F.col("doc_id").alias("of"), F.col("at").alias("of_at"), F.col("label").alias("judged"))
-        found = found.join(judged, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("at") == F.col("of_at")), "left").withColumn("label", F.col("judged")).drop("of", "of_at", "judged")
+        run = F.col("run") if "run" in labelled.columns else F.lit(None).cast("int")
+        judged = labelled.select(F.col("doc_id").alias("of"), F.col("at").alias("of_at"), run.alias("of_run"), F.col("label").alias("judged"))
+        same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("at") == F.col("of_at")) & (F.col("of_run").isNull() | (F.col("run") == F.col("of_run")))
+        found = found.join(judged, same, "left").withColumn("label", F.col("judged")).drop("of", "of_at", "of_run", "judged")
     found = written(found.withColumn("finding", F.monotonically_increasing_id()), "secret-findings")
     counts = {r[0]: r[1] for r in found.groupBy("label").count().collect()}
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
-    result = ["doc_id", "at", "value", "name", "score"]
+    result = ["doc_id", "at", "run", "value", "name", "score"]
     if not n1 or not n0:
         share = n1 / (n1 + n0) if n1 + n0 else None
-        judged = found.withColumn("score", F.lit(share).cast("double")).select(*result, (F.coalesce("label", F.lit(0)) == 1).alias("is_secret"))
-        return judged
+        return found.withColumn("score", F.lit(share).cast("double")).select(*result, (F.coalesce("label", F.lit(0)) == 1).alias("is_secret"))
     share = min(1.0, train_rows / (n1 + n0))
-    part = F.pmod(F.xxhash64("doc_id", "at"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)
-    found = found.withColumn("trained", F.col("label").isNotNull() & part)
-    rows = written(with_features(found), "secret-features")
+    part = F.pmod(F.xxhash64("doc_id", "at", "run"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)
+    rows = written(with_features(found, documents), "secret-features")
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=5)
-    model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(rows.where("trained"))
+    assembled = VectorAssembler(inputCols=features, outputCol="features")
+    model = Pipeline(stages=[assembled, forest]).fit(rows.where(F.col("label").isNotNull() & part))
     scores = model.transform(rows).withColumn("score", vector_to_array("probability")[1])
-    return scores.select(*result, (F.col("score") >= 0.5).alias("is_secret"))
+    return scores.select(*result, F.coalesce(F.col("label") == 1, F.col("score") >= 0.5).alias("is_secret"))
 
 
 def digest(result: DataFrame) -> DataFrame:
     """A result of scanned() without the values themselves: their SHA-256 and length."""
-    return result.select("doc_id", F.col("at").cast("long").alias("at"), F.sha2("value", 256).alias("value_sha256"), F.length("value").cast("long").alias("length"), F.round("score", 6).alias("score"), "is_secret")
+    return result.select(
+        "doc_id", F.col("at").cast("long").alias("at"), F.col("run").cast("long").alias("run"), F.sha2("value", 256).alias("value_sha256"),
+        F.length("value").cast("long").alias("length"), F.round("score", 6).alias("score"), "is_secret",
+    )
