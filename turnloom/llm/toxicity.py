@@ -1,8 +1,12 @@
 """Toxicity by weak supervision.
 
 1. Lexicon mining: words and word beginnings (4, 5 and 6 bytes) that labelled toxic documents have far more often than
-   labelled clean ones. Counts run over all labelled training rows.
-2. Voters: the mined entries, dealt into lexicon voters, and patterns of punctuation and repetition. A voter fires or not.
+   labelled clean ones. Counts run over all labelled training rows, and every value is tested: an entry is in at least
+   `least_documents` toxic documents, more often than chance would bring about one value to be, and is toxic in at least
+   the share `least_precision` of its documents (lower end of a 95 % interval). There is no limit on their number.
+2. Voters: lexicons of each kind of entry (words and the three beginnings), a kind's entries dealt into several of
+   different entries and about equal strength; patterns of punctuation and repetition; and the given labels. A voter
+   fires or not.
 3. Generative label model: EM over the voters' votes with one rate of firing for each class and voter, in which a
    voter's evidence is divided by one plus the correlations with the others that the classes leave unexplained.
 4. A linear classifier over the mined entries and patterns, fitted to the label model's posterior.
@@ -33,11 +37,15 @@ from turnloom.session import written
 FIT_ROWS = 60_000
 #: Labelled rows that tasks get as a table (16 bytes each); more are joined by a shuffle.
 MOST_SENT = 1_000_000
-LEXICON_VOTERS = 24
 #: Of the documents with an entry at least so many are toxic, at the lower end of a 95 % interval.
 LEAST_PRECISION = 0.5
+#: Fewer toxic documents never pass that test.
+LEAST_DOCUMENTS = 3
 THRESHOLD = 0.3
 _BEGINNINGS = (4, 5, 6)
+#: Each kind of entry has so many lexicons, of different entries.
+_LEXICONS = 6
+LEXICON_VOTERS = (1 + len(_BEGINNINGS)) * _LEXICONS
 _PATTERNS = ("!!", "???", "***", "###")
 _FILTER_BITS = 20
 
@@ -47,8 +55,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row of the batch and value of every word and word beginning, with repeats, piece by piece."""
+def _features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row of the batch, value and kind of every word and word beginning, with repeats, piece by piece."""
     for piece in pieces(column, ALNUM, lower=True):
         if not len(piece.starts):
             continue
@@ -62,7 +70,8 @@ def _features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             at = piece.starts[long]
             all_rows.append(rows[long])
             values.append(mixed((prefix[at + n] - prefix[at]) * down[at] + np.uint64(1 << 40 | n)))
-        yield np.concatenate(all_rows), np.concatenate(values)
+        kinds = np.repeat(np.arange(len(values), dtype=np.int8), list(map(len, values)))
+        yield np.concatenate(all_rows), np.concatenate(values), kinds
 
 
 class Index:
@@ -98,16 +107,16 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many toxic and clean documents of a piece each value is."""
     for batch in batches:
         toxic = batch.column("toxic").to_numpy() == 1
-        for rows, values in _features(batch.column("text")):
+        for rows, values, kinds in _features(batch.column("text")):
             order = np.lexsort((rows, values))
-            r, v = rows[order], values[order]
+            r, v, k = rows[order], values[order], kinds[order]
             new = np.ones(len(r), dtype=bool)
             new[1:] = (r[1:] != r[:-1]) | (v[1:] != v[:-1])
-            r, v = r[new], v[new]
+            r, v, k = r[new], v[new], k[new]
             first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
             c1 = np.add.reduceat(toxic[r].astype(np.int64), first)
             n = np.diff(np.append(first, len(v)))
-            yield pa.RecordBatch.from_arrays([pa.array(v[first].astype(np.int64)), pa.array(c1), pa.array(n - c1)], ["value", "c1", "c0"])
+            yield pa.RecordBatch.from_arrays([pa.array(v[first].astype(np.int64)), pa.array(k[first]), pa.array(c1), pa.array(n - c1)], ["value", "kind", "c1", "c0"])
 
 
 def _entries(values: np.ndarray, first: int):
@@ -117,7 +126,7 @@ def _entries(values: np.ndarray, first: int):
         index = Index(values)
         for batch in batches:
             rows, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for r, v in _features(batch.column("text")):
+            for r, v, _ in _features(batch.column("text")):
                 found, where = index.find(r, v)
                 rows.append(found)
                 at.append(where)
@@ -230,7 +239,7 @@ def _taught(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").join(F.broadcast(lessons) if few else lessons, "doc_id").select("doc_id", "text", "toxic")
 
 
-def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, least_precision: float = LEAST_PRECISION, least_documents: int = LEAST_DOCUMENTS) -> Model:
     """Mines entries, fits the label model and the classifier."""
     taught = _taught(documents, labels)
     kind = dict(taught.dtypes)["doc_id"]
@@ -238,20 +247,20 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mo
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return _constant(n1 / max(1, n1 + n0))
-    counts = taught.select("text", "toxic").mapInArrow(_counts, "value long, c1 long, c0 long")
-    # Fewer than three toxic documents never pass the second test.
-    counted = written(counts.groupBy("value").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")).where("c1 >= 3"), "toxic-counts")
+    counts = taught.select("text", "toxic").mapInArrow(_counts, "value long, kind tinyint, c1 long, c0 long")
+    counted = counts.groupBy("value", "kind").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")).where(F.col("c1") >= least_documents)
+    counted = written(counted, "toxic-counts")
     # Chance alone would let about one entry pass the first test. The second asks that the entry, wherever it stands, speaks
     # for toxicity: long clean texts have many entries that are only commoner in toxic ones.
     least = float(np.sqrt(2 * np.log(max(2, counted.count()))))
-    good = counted.withColumn("strength", _likelihood_ratio(n1, n0)).where((F.col("strength") > least) & (_surely() >= LEAST_PRECISION))
-    passed = good.select("value", "strength").toArrow()  # two numbers for each entry
-    found, strength = passed.column("value").to_numpy().view(np.uint64), passed.column("strength").to_numpy()
-    values = np.sort(found)
+    good = counted.withColumn("strength", _likelihood_ratio(n1, n0)).where((F.col("strength") > least) & (_surely() >= least_precision))
+    passed = good.select("value", "kind", "strength").toArrow().to_pandas()  # three numbers for each entry
+    passed = passed.assign(value=passed["value"].to_numpy().view(np.uint64)).drop_duplicates("value").sort_values("value")
+    values = passed["value"].to_numpy()
     size = len(values) + len(_PATTERNS) + 1
-    turn = np.zeros(size, dtype=np.int64)
-    turn[np.searchsorted(values, found[np.lexsort((found, -strength))])] = np.arange(len(found)) % LEXICON_VOTERS
-    turn[len(values) :] = LEXICON_VOTERS + np.arange(len(_PATTERNS) + 1)
+    rank = passed.sort_values(["strength", "value"], ascending=[False, True]).groupby("kind").cumcount().reindex(passed.index)
+    lexicon = passed["kind"].to_numpy().astype(np.int64) * _LEXICONS + rank.to_numpy() % _LEXICONS
+    turn = np.append(lexicon, LEXICON_VOTERS + np.arange(len(_PATTERNS) + 1))
     share = min(1.0, fit_rows / (n1 + n0))
     sampled = taught.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     sample = sampled.mapInArrow(_entries(values, len(values)), f"doc_id {kind}, toxic int, entries array<int>").select("toxic", "entries").toArrow().slice(0, fit_rows)
@@ -271,7 +280,7 @@ def _scores(model: Model):
         n = len(model.values)
         for batch in batches:
             score = np.full(batch.num_rows, weights[-1])
-            for rows, values in _features(batch.column("text")):
+            for rows, values, _ in _features(batch.column("text")):
                 found, at = index.find(rows, values)
                 score += np.bincount(found, weights[at], minlength=batch.num_rows)
             score += _patterns(batch.column("text").to_pylist()) @ weights[n:-1]
