@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,8 @@ MARK = "[REDACTED]"
 # Sensitive names (letters and digits only, lower case), endings, and names of environments.
 SENSITIVE = ("authorization", "clientsecret", "cookie", "credentials", "password", "passwd", "privatekey", "proxyauthorization", "secret", "setcookie", "signingkey", "token")
 SENSITIVE_ENDS = ("apikey", "accesskey", "password", "privatekey", "secret", "token")
+#: Every sensitive name has one of these once _ and - are gone.
+STEMS = ("authorization", "secret", "cookie", "credentials", "passw", "privatekey", "signingkey", "token", "apikey", "accesskey", "proxyauth")
 ENVIRONMENTS = ("env", "environment", "environmentvariables")
 
 # The patterns, for Java and Python alike. _S is white space, _B where a word begins, _V a value.
@@ -67,23 +70,45 @@ def _by_name(match: Column) -> Column:
     return F.when(is_sensitive(F.regexp_extract(match, _HEAD, 2)), F.concat(head, F.lit(MARK))).otherwise(match)
 
 
-def _named(text: Column, pattern: str, sign: str) -> Column:
-    """The conditional pass, skipped where the text lacks the sign that every match has."""
-    bound = F.transform(F.array(text), lambda x: F.when(F.contains(x, F.lit(sign)), replace_matches(x, pattern, _by_name)).otherwise(x))
-    return F.get(bound, 0)
+def by_name(text: Column, pattern: str, sign: str) -> Column:
+    """The pass of a named pattern alone, skipped where the text lacks the sign that every match has."""
+    return _pass(text, _has(text, sign), lambda t: replace_matches(t, pattern, _by_name))
+
+
+def _pass(text: Column, signed: Column, change: Callable[[Column], Column]) -> Column:
+    """A pass, skipped where the text as it came lacks a sign that every match has. No pass adds a sign."""
+    return F.get(F.transform(F.array(text), lambda x: F.when(signed, change(x)).otherwise(x)), 0)
+
+
+def _has(text: Column, *signs: str) -> Column:
+    found = [F.contains(text, F.lit(s)) for s in signs]
+    return reduce(Column.__or__, found)
 
 
 def redact_text(text: Column) -> Column:
-    """All passes over free text; null stays null."""
-    x = F.regexp_replace(text, PEM, "[REDACTED]")
-    x = F.regexp_replace(x, AUTHORIZATION, "$1[REDACTED]")
-    x = F.regexp_replace(x, API_HEADER, "$1[REDACTED]")
-    x = F.regexp_replace(x, FLAG, "$1$2[REDACTED]")
-    x = F.regexp_replace(x, USER, "$1$2$3[REDACTED]")
-    x = F.regexp_replace(x, URI, "$1$2:[REDACTED]@")
-    x = _named(x, ASSIGNMENT, "=")
-    x = _named(x, NAMED, ":")
-    return F.regexp_replace(x, VENDOR, "[REDACTED]")
+    """All passes over free text; null stays null. Searches for plain signs decide which passes a text needs."""
+
+    def passes(x: Column) -> Column:
+        small = F.lower(x)
+        close = F.translate(small, "_-", "")
+        named = _has(close, *STEMS)
+        plain = lambda pattern, put: lambda t: F.regexp_replace(t, pattern, put)
+        steps = (
+            (_has(x, "-----BEGIN "), plain(PEM, "[REDACTED]")),
+            (_has(small, "authorization"), plain(AUTHORIZATION, "$1[REDACTED]")),
+            (_has(small, "api-key", "x-auth-token"), plain(API_HEADER, "$1[REDACTED]")),
+            (_has(x, "--"), plain(FLAG, "$1$2[REDACTED]")),
+            (_has(x, "-u"), plain(USER, "$1$2$3[REDACTED]")),
+            (_has(x, "://"), plain(URI, "$1$2:[REDACTED]@")),
+            (named & _has(x, "="), lambda t: replace_matches(t, ASSIGNMENT, _by_name)),
+            (named & _has(x, ":"), lambda t: replace_matches(t, NAMED, _by_name)),
+            (_has(x, "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "AKIA", "AIza"), plain(VENDOR, "[REDACTED]")),
+        )
+        for signed, change in steps:
+            x = _pass(x, signed, change)
+        return x
+
+    return F.get(F.transform(F.array(text), passes), 0)
 
 
 #: Patterns by rule; named rules count matches whatever the name.
@@ -183,9 +208,10 @@ def _arguments_udf(texts: pd.Series) -> pd.Series:
 def redact_arguments(text: Column) -> Column:
     """Arguments that are JSON stay valid JSON; nested values go by their names; other text is redacted as text.
 
-    Only texts that begin like JSON objects, lists or strings go through Python.
+    Only texts that begin like JSON objects, lists or strings are read in Python; other rows cross as nulls.
     """
-    return F.when(text.rlike(r'^\s*[\[{"]'), _arguments_udf(text)).otherwise(redact_text(text))
+    like_json = text.rlike(r'^\s*[\[{"]')
+    return F.when(like_json, _arguments_udf(F.when(like_json, text))).otherwise(redact_text(text))
 
 
 def _shown(value: object) -> str:
@@ -213,7 +239,7 @@ def _rendered(text: str | None) -> str:
 
 @F.pandas_udf(StringType())
 def _rendered_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(_rendered)
+    return texts.map(_rendered, na_action="ignore")
 
 
 def render_arguments(text: Column) -> Column:

@@ -389,17 +389,17 @@ def changed_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""with {LOG}, calls as (select session_id, idx, event_id // 4 as call_id from log where event_id % 4 = 0),
-  results as (select session_id, event_id // 4 as call_id, arg_max(tool_name, idx) as answer from log where event_id % 4 in (1, 2) and tool_name <> 'error' group by 1, 2)
+  results as (select session_id, event_id // 4 as call_id, arg_max(tool_name, idx) as answer from log where event_id % 4 <> 0 and tool_name <> 'error' group by 1, 2)
   select session_id, idx, call_id, answer, answer is not null as result_recorded from calls left join results using (session_id, call_id)""")
 def call_result_pairing(spark: SparkSession, folder: str) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = table(spark, folder, "events").select(F.lit("events").alias("agent"), F.lit("").alias("home"), F.col("user_id").cast("string").alias("session_id"), (F.row_number().over(order) - 1).cast("long").alias("idx"), F.floor(F.col("event_id") / 4).alias("call_id"), "event_id", "event_type")
     calls = rows.where("event_id % 4 = 0").drop("event_id", "event_type")
-    results = rows.where("event_id % 4 in (1, 2) and event_type <> 'error'").select(*SESSION, "call_id", F.col("idx").alias("pos"), F.col("event_type").alias("answer"))
+    results = rows.where("event_id % 4 <> 0 and event_type <> 'error'").select(*SESSION, "call_id", F.col("idx").alias("pos"), F.col("event_type").alias("answer"))
     return pairing.paired(calls, results).select("session_id", "idx", "call_id", "answer", "result_recorded")
 
 
-@query(f"""with {LOG}, k as (select session_id, idx, case tool_name when 'signup' then 'item' when 'view' then 'call' when 'click' then 'message' else 'none' end as class from log where event_id % 3 = 0),
+@query(f"""with {LOG}, k as (select session_id, idx, case tool_name when 'signup' then 'item' when 'view' then 'call' when 'click' then 'message' else 'none' end as class from log),
   c as (select *, min(case when class = 'item' then idx end) over (partition by session_id) as cut from k),
   s as (select *, coalesce(bool_or(class = 'message' and idx < cut) over (partition by session_id), false) as spoken from c)
   select session_id, idx from s where class = 'call' and (cut is null or (spoken and idx < cut))""")
@@ -407,7 +407,7 @@ def mixed_era_scope(spark: SparkSession, folder: str) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     kind = F.when(F.col("event_type") == "signup", "item-call").when(F.col("event_type") == "view", "call").when(F.col("event_type") == "click", "message").otherwise("none")
     rows = table(spark, folder, "events").select(F.lit("events").alias("agent"), F.lit("").alias("home"), F.col("user_id").cast("string").alias("session_id"), (F.row_number().over(order) - 1).cast("long").alias("pos"), kind.alias("class"), "event_id")
-    return codex.in_scope(rows.where("event_id % 3 = 0")).where("class = 'call'").select("session_id", F.col("pos").alias("idx"))
+    return codex.in_scope(rows).where("class = 'call'").select("session_id", F.col("pos").alias("idx"))
 
 
 # Branches and files -----------------------------------------------------------------------------------------------------
@@ -499,7 +499,7 @@ def document_reader(spark: SparkSession, folder: str) -> DataFrame:
   (select doc_id, regexp_replace(text, '(password\\s*=\\s*)("[^"\\r\\n]*"|''[^''\\r\\n]*''|[^\\s;&|]+)', '\\1[REDACTED]', 'g') as text from documents)""")
 def redact_assignments(spark: SparkSession, folder: str) -> DataFrame:
     x = F.col("text")
-    return table(spark, folder, "documents").select("doc_id", redact._named(x, redact.ASSIGNMENT, "=").alias("text"))
+    return table(spark, folder, "documents").select("doc_id", redact.by_name(x, redact.ASSIGNMENT, "=").alias("text"))
 
 
 @query()
@@ -514,10 +514,15 @@ def redaction_report(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("source", "n_rows", "bytes", "assignment_hits", "vendor_hits")
 
 
-@query("select doc_id from documents where false")
+@query(r"""select doc_id, 'before' as stage from documents where doc_id % 3 <> 2 or regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') or regexp_matches(text, '(?i)[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@') or contains(text, '-----BEGIN ')""")
 def redaction_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    clean = table(spark, folder, "documents").select("doc_id", redact.redact_text(F.col("text")).alias("text"))
-    return redact.leaks(clean, "text").select("doc_id")
+    """Of documents with planted keys and logins, those that leak before redaction, and after it, which none may."""
+    key = F.upper(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 16))
+    planted = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" AKIA"), key)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" ftp://user:"), key, F.lit("@host/x"))).otherwise("")
+    rows = table(spark, folder, "documents").select("doc_id", F.concat("text", planted).alias("text"))
+    clean = rows.withColumn("text", redact.redact_text(F.col("text")))
+    found = [redact.leaks(x, "text").select("doc_id", F.lit(stage).alias("stage")) for x, stage in ((rows, "before"), (clean, "after"))]
+    return found[0].unionByName(found[1])
 
 
 # Snapshots ------------------------------------------------------------------------------------------------------------------
