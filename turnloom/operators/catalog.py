@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions.text import cut_after, cut_within, first_line, first_visible_line
+from turnloom.session import written
 
 SESSION = ["agent", "home", "session_id"]
 UNTITLED = "(untitled)"
@@ -34,10 +35,20 @@ def listing(catalog: DataFrame) -> DataFrame:
 
 
 def numbered(catalog: DataFrame, most: int | None = None) -> DataFrame:
-    """The rows of the listing with their numbers from 1; with `most`, only the first so many (a top-k, not a full sort)."""
+    """The rows of the listing with their numbers from 1; with `most`, only the first so many (a top-k, not a full sort).
+
+    The full listing is range-partitioned by its order: parts are numbered by themselves and shifted by the counts of
+    the parts before, one row for each part.
+    """
     order = [F.col("updated_at").desc_nulls_last(), *map(F.col, SESSION)]
-    rows = catalog.orderBy(*order).limit(most) if most else catalog
-    return rows.withColumn("number", F.row_number().over(Window.orderBy(*order)))
+    if most:
+        return catalog.orderBy(*order).limit(most).withColumn("number", F.row_number().over(Window.orderBy(*order)))
+    ranged = written(catalog.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "listing")
+    counts = ranged.groupBy(F.col("_part").alias("_of")).agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_of", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    inside = ranged.withColumn("number", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return inside.join(offsets, F.col("_part") == F.col("_of")).withColumn("number", (F.col("number") + F.col("_offset")).cast("int")).drop("_part", "_of", "_offset")
 
 
 def selected(catalog: DataFrame, number: int) -> DataFrame:

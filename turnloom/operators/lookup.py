@@ -13,16 +13,21 @@ MIN_PREFIX = 6
 def id_matches(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """(query, session columns, exact) for every match: whole ids, or prefixes of at least six characters.
 
-    The join key is the first six characters of the lower-cased id, so a batch of any size is an equi-join; shorter
-    queries can only be whole ids. Blank queries match nothing.
+    Whole ids are one equi-join. Prefixes are another for each length that queries have (few, as ids are short): ids are
+    cut to these lengths, so ids that only begin alike never meet. Queries of less than six characters can only be whole
+    ids. Blank queries match nothing.
     """
     wanted = F.lower(F.regexp_replace("query", f"^[{WIDE_SPACE}]+|[{WIDE_SPACE}]+$", ""))
     asked = queries.select("query", wanted.alias("_wanted")).where("_wanted != ''").distinct()
-    asked = asked.withColumn("_key", F.substring("_wanted", 1, MIN_PREFIX))
-    known = catalog.withColumns({"_id": F.lower("session_id"), "_key": F.substring(F.lower("session_id"), 1, MIN_PREFIX)})
-    exact = F.col("_id") == F.col("_wanted")
-    prefix = (F.length("_wanted") >= MIN_PREFIX) & F.col("_id").startswith(F.col("_wanted"))
-    return asked.join(known, "_key").where(exact | prefix).withColumn("exact", exact).drop("_key", "_id", "_wanted")
+    known = catalog.withColumn("_id", F.lower("session_id"))
+    whole = asked.join(known, F.col("_wanted") == F.col("_id")).withColumn("exact", F.lit(True))
+    lengths = [r[0] for r in asked.select(F.length("_wanted").alias("n")).where(f"n >= {MIN_PREFIX}").distinct().collect()]  # at most an id's length
+    if not lengths:
+        return whole.drop("_id", "_wanted")
+    shorter = F.filter(F.array(*map(F.lit, sorted(lengths))), lambda n: n < F.length("_id"))
+    cut = known.select("*", F.explode(shorter).alias("_n")).withColumn("_key", F.substring(F.col("_id"), F.lit(1), F.col("_n")))
+    begun = asked.join(cut, F.col("_wanted") == F.col("_key")).withColumn("exact", F.lit(False)).drop("_n", "_key")
+    return whole.unionByName(begun).drop("_id", "_wanted")
 
 
 def id_status(queries: DataFrame, catalog: DataFrame) -> DataFrame:
