@@ -69,10 +69,10 @@ def test_streams(spark, tmp_path):
     source = str(tmp_path / "turns")
     turns.repartition(5).write.parquet(source)
     stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    got = ingest.available_now(ingest.stream_catalog(stream), "catalog_test", str(tmp_path / "c1"), "complete")
+    got = ingest.available_now(ingest.stream_catalog(stream), str(tmp_path / "c1"), "complete")
     batch = catalog.sessions(turns)
     assert {(r.session_id, r.updated_at, r.turn_count) for r in got.collect()} == {(r.session_id, r.updated_at, r.turn_count) for r in batch.collect()}
-    clean = ingest.available_now(ingest.stream_redacted(stream), "redacted_test", str(tmp_path / "c2"))
+    clean = ingest.available_now(ingest.stream_redacted(stream), str(tmp_path / "c2"))
     assert clean.where("text <> 'token=[REDACTED]'").count() == 0 and clean.count() == 200
     versions = str(tmp_path / "versions")
     write = ingest.upsert_snapshots(versions)

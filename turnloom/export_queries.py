@@ -44,17 +44,18 @@ def _named(function, name: str):
 
 
 def _register() -> None:
-    sql = "{plans}, {open} select agent, session_id, cast(count(*) + {extra} as bigint) as n_lines, count(*) filter (role = 'user') as n_user, cast(0 as bigint) as n_defects from kept group by agent, session_id"
-    for layout, extra, name in (("claude-code", 1, "export_claude"), ("codex", 1, "export_codex"), ("pi", 2, "export_pi")):
+    sql = "{plans}, {open} select agent, session_id, cast(count(*) + {extra} as bigint) as n_lines, count(*) filter (role = 'user') as n_user, cast({defects} as bigint) as n_defects from kept group by agent, session_id"
+    unasked = "case when count(*) filter (role = 'user') = 0 then 1 else 0 end"  # only rollouts need a request
+    for layout, extra, name, defects in (("claude-code", 1, "export_claude", 0), ("codex", 1, "export_codex", unasked), ("pi", 2, "export_pi", 0)):
 
         def run(spark: SparkSession, folder: str, layout: str = layout) -> DataFrame:
             lines = written(_lines(spark, folder, layout), "export-lines")
-            wrong = validate.DEFECTS[layout](lines, export.item_counts(lines, layout)).where("message not like 'no non-empty user message%'").groupBy("new_id").agg(F.count("*").alias("n_defects"))
+            wrong = validate.DEFECTS[layout](lines, export.item_counts(lines, layout)).groupBy("new_id").agg(F.count("*").alias("n_defects"))
             asks = F.get_json_object("value", "$.payload.type") == "user_message" if layout == "codex" else F.get_json_object("value", "$.message.role") == "user"
             counts = lines.groupBy("agent", "session_id", "new_id").agg(F.count("*").alias("n_lines"), F.count_if(F.coalesce(asks, F.lit(False))).alias("n_user"))
             return counts.join(wrong, "new_id", "left").select("agent", "session_id", "n_lines", "n_user", F.coalesce("n_defects", F.lit(0)).cast("long").alias("n_defects"))
 
-        query(sql.format(plans=PLANS, open=OPEN, extra=extra))(_named(run, name))
+        query(sql.format(plans=PLANS, open=OPEN, extra=extra, defects=defects))(_named(run, name))
 
 
 _register()
@@ -78,15 +79,13 @@ def validate_defects(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"{PLANS}, {OPEN} select agent, session_id, count(*) as sent, count(*) - case when session_id in ('3', '4') then 1 else 0 end as stored, session_id not in ('3', '4') as ok from kept group by agent, session_id")
 def reconcile(spark: SparkSession, folder: str) -> DataFrame:
-    """Rollouts written as text and read back; of two sessions the last line is lost on the way."""
+    """Rollouts written to bundles and read back; of two sessions the last line is lost on the way."""
     lines = written(_lines(spark, folder, "codex"), "sent-lines")
     last = Window.partitionBy("new_id")
     lost = F.col("session_id").isin("3", "4") & (F.col("pos") == F.max("pos").over(last))
     target = new_folder(spark, "rollouts")
-    export.write_lines(lines.withColumn("lost", lost).where("not lost"), target)
-    order = Window.partitionBy("path").orderBy("block", "row")
-    stored = spark.read.text(target).select("path", "value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    stored = stored.select(F.regexp_extract("path", r"-([0-9a-f]{8}-[0-9a-f-]{27})\.jsonl$", 1).alias("new_id"), (F.row_number().over(order) - 1).alias("pos"), "value")
+    export.write_bundles(lines.withColumn("lost", lost).where("not lost"), target)
+    stored = spark.read.parquet(target).select(F.regexp_extract("path", r"-([0-9a-f]{8}-[0-9a-f-]{27})\.jsonl$", 1).alias("new_id"), "pos", "value")
     keys = lines.select("agent", "session_id", "new_id").distinct()
     return export.reconciled(lines, stored, "codex").join(keys, "new_id").select("agent", "session_id", "sent", "stored", "ok")
 
@@ -142,7 +141,8 @@ def commit_state(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("conv_id", line.alias("line"))
 
 
-@query()
+@query("""select cast(user_id as varchar) as session_id, strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as started_at, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as updated_at, count(*) as turn_count
+  from events group by user_id""")
 def stream_catalog(spark: SparkSession, folder: str) -> DataFrame:
     """The running catalog over a stream of events, all that is there; equals the batch catalog (tested)."""
     schema = table(spark, folder, "events").schema
@@ -151,8 +151,7 @@ def stream_catalog(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("events").alias("agent"), F.lit("").alias("home"), F.col("user_id").cast("string").alias("session_id"), F.struct("ts", "event_id").alias("idx"), F.lit("agent").alias("role"),
         F.lit("tool-call").alias("kind"), F.lit("").alias("text"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ts"),
     ))
-    name = "stream_catalog_" + new_folder(spark, "q").rsplit("-", 1)[1]
-    return ingest.available_now(ingest.stream_catalog(turns), name, new_folder(spark, "stream"), "complete").select("session_id", "started_at", "updated_at", "turn_count")
+    return ingest.available_now(ingest.stream_catalog(turns), new_folder(spark, "stream"), "complete").select("session_id", "started_at", "updated_at", "turn_count")
 
 
 def _parent(spark: SparkSession, folder: str) -> str:
@@ -162,17 +161,21 @@ def _parent(spark: SparkSession, folder: str) -> str:
     return target
 
 
-@query()
+@query("""with e as (select cast(user_id as varchar) as session_id, cast(event_id // 4 as varchar) as call_id, event_id, ts, event_type from events)
+  select c.session_id, c.call_id, r.event_id is not null as result_recorded, r.event_type as body from e c
+  left join e r on c.session_id = r.session_id and c.call_id = r.call_id and r.event_id % 4 <> 0 and r.ts between c.ts and c.ts + interval 1 hour where c.event_id % 4 = 0""")
 def stream_pairing(spark: SparkSession, folder: str) -> DataFrame:
-    """Calls and results of events joined as streams: each click's user's purchases within the hour."""
+    """Events joined as streams: of four that follow one another the first is a call and the others are results, which
+    are the call's if they are its user's and come within the hour."""
     schema = table(spark, folder, "events").schema
     source = _parent(spark, folder)
     keys = [F.lit("events").alias("agent"), F.lit("").alias("home"), F.col("user_id").cast("string").alias("session_id"), F.floor(F.col("event_id") / 4).cast("string").alias("call_id")]
     stream = lambda: spark.readStream.schema(schema).parquet(source)
-    calls = stream().where("event_id % 4 = 0").select(*keys, F.col("ts").cast("timestamp").alias("called_at"))
-    results = stream().where("event_id % 4 = 1").select(*keys, F.col("ts").cast("timestamp").alias("answered_at"), F.col("event_type").alias("body"))
-    name = "stream_pairing_" + new_folder(spark, "q").rsplit("-", 1)[1]
-    return ingest.available_now(ingest.stream_paired(calls, results), name, new_folder(spark, "stream")).select("session_id", "call_id", "result_recorded", "body")
+    called = lambda rows: rows.where("event_id % 4 = 0").select(*keys, F.col("ts").cast("timestamp").alias("called_at"))
+    calls = called(stream())
+    results = stream().where("event_id % 4 <> 0").select(*keys, F.col("ts").cast("timestamp").alias("answered_at"), F.col("event_type").alias("body"))
+    paired = ingest.available_now(ingest.stream_paired(calls, results), new_folder(spark, "stream"))
+    return ingest.with_open_calls(paired, called(spark.read.schema(schema).parquet(source))).select("session_id", "call_id", "result_recorded", "body")
 
 
 @query("select doc_id, cast(ceil(strlen(t) / 4.0) as bigint) + len(regexp_extract_all(t, '[\\x{10000}-\\x{10FFFF}]')) as cost from (select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(token\\s*=\\s*)\"[^\"]*\"', '\\1[REDACTED]', 'g'), '(password\\s*=\\s*)[^\\s;&|]+', '\\1[REDACTED]', 'g'), '\\bAKIA[0-9A-Z]{16}\\b', '[REDACTED]', 'g') as t from documents)")

@@ -152,6 +152,14 @@ def write_lines(lines: DataFrame, folder: str) -> None:
     placed.write.mode("errorifexists").partitionBy("path").text(folder)
 
 
+def write_bundles(lines: DataFrame, folder: str) -> None:
+    """Adds Parquet files (path, pos, value) of many sessions each, in the order of path and pos.
+
+    A listing of a million sessions is then one of few files; write_lines() gives each session its own.
+    """
+    lines.select("path", "pos", "value").repartitionByRange("path", "pos").sortWithinPartitions("path", "pos").write.mode("errorifexists").parquet(folder)
+
+
 def reconciled(lines: DataFrame, stored: DataFrame, layout: str) -> DataFrame:
     """One row per session: items sent, items stored, and whether they are the same and openable (its first line is there)."""
     sent = item_counts(lines, layout).withColumnRenamed("items", "sent")

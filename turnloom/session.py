@@ -27,12 +27,17 @@ def build_session(app: str = "turnloom", cores: str = "*", partitions: int = 8,
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is absent (tests, local mode) a new temporary folder is set.
+    Only where the setting is absent a new temporary folder is set, and only for a local master: on a cluster executors
+    would not share it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not base:
-        base = context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-turnloom-")
+        base = context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-turnloom-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(base)
     return base.rstrip("/")

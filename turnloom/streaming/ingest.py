@@ -14,9 +14,15 @@ SESSION = ["agent", "home", "session_id"]
 
 
 def stream_lines(spark: SparkSession, path: str, layout: str, files_per_trigger: int = 100) -> DataFrame:
-    """New lines below a path, with the file they came from and whether they are JSON objects."""
-    raw = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").text(path)
-    return raw.select(F.lit(layout).alias("agent"), F.col("_metadata.file_path").alias("file"), "value", is_object(F.col("value")).alias("good"))
+    """New files' lines with the columns of sources.lines.scan(), and whether they are JSON objects.
+
+    Files are taken whole (wholetext), as places of lines need; a file that grows later must come as a new one.
+    """
+    raw = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+    stamp = F.date_format(F.col("_metadata.file_modification_time"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    files = raw.select(F.lit(layout).alias("agent"), F.lit(path).alias("home"), F.col("_metadata.file_path").alias("file"), stamp.alias("file_time"), "value")
+    rows = files.select("agent", "home", "file", "file_time", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("pos", "value"))
+    return rows.withColumn("pos", F.col("pos").cast("long")).withColumn("good", is_object(F.col("value")))
 
 
 def stream_catalog(turns: DataFrame) -> DataFrame:
@@ -69,8 +75,32 @@ def upsert_snapshots(path: str):
     return run
 
 
-def available_now(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and returns the rows of its memory table (for tests and small results)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def with_open_calls(paired: DataFrame, calls: DataFrame) -> DataFrame:
+    """paired, a result of stream_paired(), with the calls that its watermark has not passed yet, as unanswered.
+
+    calls are the stream's calls as a table; results that matched have come out at once, so the rest has none so far.
+    """
+    keys = [*SESSION, "call_id"]
+    rest = calls.join(paired.select(*keys).distinct(), keys, "left_anti")
+    return paired.unionByName(rest.withColumn("result_recorded", F.lit(False)), allowMissingColumns=True)
+
+
+def available_now(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there into Parquet files below a new folder, and returns them as a table.
+
+    In complete mode each batch writes a whole version, and the last one counts.
+    """
+    spark, state = stream.sparkSession, {"version": None}
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+    def version(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/version={number}")
+        state["version"] = number
+
+    writer.foreachBatch(version).start().awaitTermination()
+    if state["version"] is None:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/version={state['version']}")
