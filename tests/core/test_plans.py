@@ -115,3 +115,23 @@ def test_drop_sentences(spark):
         "Nothing was dropped: the whole session crossed over.", "Dropped on import: 1 turn.", "Dropped on import: 2 turns; 1 tool result body; an incomplete trailing tool call.",
         "Dropped on import: 3 turns; 2 tool result bodies; 2 incomplete trailing tool calls.",
     ]
+
+
+def test_nothing_stored_is_written_again(spark):
+    from turnloom.plans import export
+
+    sessions = spark.createDataFrame([("a", "h", "1"), ("a", "h", "2")], "agent string, home string, session_id string")
+    named = export.new_ids(sessions, "t")
+    stored = named.where("session_id = '2'").select("new_id")
+    assert [r.session_id for r in export.not_yet_stored(named, stored).collect()] == ["1"]
+    assert sorted(r.new_id for r in named.collect()) == sorted(r.new_id for r in export.new_ids(sessions, "t").collect())
+
+
+def test_stored_tables(spark, tmp_path):
+    from turnloom.plans import store
+
+    turns = spark.createDataFrame([("a", "h", "1", 0, "x"), ("b", "h", "1", 0, "y"), ("a", "h", "1", 1, "z")], "agent string, home string, session_id string, idx long, text string")
+    store.write_tables(str(tmp_path / "s"), turns=turns, rejects=turns.limit(0))
+    back = store.read_table(spark, str(tmp_path / "s"), "turns")
+    assert sorted(map(tuple, back.select(turns.columns).collect())) == sorted(map(tuple, turns.collect()))
+    assert "PartitionFilters: [isnotnull(agent" in back.where("agent = 'a'")._jdf.queryExecution().toString()

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from turnloom.sources import claude, codex, pi, tables
-from turnloom.sources.lines import checked, identified, scan
+from turnloom.sources.lines import checked, identified, scan, unreadable
 
 SHAPE = "agent string, home string, session_id string, file string, pos long, value string, file_time string"
 NOW = "2026-01-01T00:00:00.000Z"
@@ -176,3 +176,37 @@ def test_deep_branches(spark, depth):
     chain.insert(depth // 2, claude_entry("dead", "n0", "user", "dead"))
     turns, _, rejects = claude.turns(lines(spark, "claude-code", chain))
     assert [t for *_, t in said(turns)["s0"]] == [f"t{i}" for i in range(depth)] and rejects.count() == 0
+
+
+def test_archives_times_and_files_that_cannot_be_read(spark, tmp_path):
+    import gzip
+    from datetime import datetime, timedelta
+
+    import zstandard
+
+    folder = tmp_path / "sessions" / "2026"
+    folder.mkdir(parents=True)
+    name = lambda n, end: folder / f"rollout-2026-01-02T03-04-05-id{n}.jsonl{end}"
+    name(1, "").write_text('{"a":1}\r\n{"b":2}\n\n{"c":3}')
+    name(2, ".zst").write_bytes(zstandard.ZstdCompressor().compress(b'{"a":1}\n{"b":2}\n'))
+    name(3, ".gz").write_bytes(gzip.compress(b'{"x":1}')[:9] + b"broken")
+    name(4, "").write_text("")
+    rows = scan(spark, str(tmp_path), "codex")
+    assert sorted((r.session_id, r.pos, r.value) for r in rows.collect() if r.session_id != "") == [("id1", 0, '{"a":1}'), ("id1", 1, '{"b":2}'), ("id1", 2, ""), ("id1", 3, '{"c":3}'), ("id2", 0, '{"a":1}'), ("id2", 1, '{"b":2}')]
+    lost = unreadable(spark, str(tmp_path), "codex", rows).collect()
+    assert [(r.agent, r.home) for r in lost] == [("codex", str(tmp_path))] and lost[0].reason.endswith("id3.jsonl.gz")
+    assert scan(spark, str(tmp_path), "codex", modified_after=datetime.now() + timedelta(days=2)).count() == 0
+
+
+def test_stream_of_files_is_the_scan(spark, tmp_path):
+    from turnloom.streaming import ingest
+
+    folder = tmp_path / "home" / "projects" / "p"
+    folder.mkdir(parents=True)
+    for n in range(3):
+        (folder / f"s{n}.jsonl").write_text("".join(f'{{"n":{i}}}\n' for i in range(n + 1)) + ("no json" if n == 1 else ""))
+    batch = scan(spark, str(tmp_path), "claude-code")
+    stream = ingest.available_now(ingest.stream_lines(spark, str(tmp_path), "claude-code", files_per_trigger=1), str(tmp_path / "out"))
+    assert stream.drop("good").columns == batch.columns
+    assert sorted(map(tuple, stream.drop("good").collect())) == sorted(map(tuple, batch.collect()))
+    assert [r.value for r in stream.where("not good").collect()] == ["no json"]

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnloom.operators import catalog
-from turnloom.plans import export, report, transfer, validate
-from turnloom.queries import BLOCKED, DROPPED, PLANS, SHARE, planned, query, table
+from turnloom.plans import export, report, store, transfer, validate
+from turnloom.queries import BLOCKED, CATALOG, DROPPED, PLANS, SHARE, log, planned, query, table, talk
 from turnloom.session import new_folder, written
 from turnloom.sources import claude, codex, pi, tables
 from turnloom.streaming import ingest
@@ -118,6 +118,17 @@ def round_trip_pi(spark: SparkSession, folder: str) -> DataFrame:
     return _round_trip(pi.turns(_reread(spark, folder, "pi"))[0])
 
 
+@query(f"""with {CATALOG}, t as (select agent, session_id, count(*) as n, sum(strlen(text)) as bytes from (select 'table' as agent, session_id, text from talk union all select 'events', session_id, '' from log) group by agent, session_id)
+  select agent, session_id, title, n as n_turns, cast(coalesce(bytes, 0) as bigint) as bytes from t join named using (agent, session_id)""")
+def stored_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Canonical turns and their catalog, written by agent and read back."""
+    target = new_folder(spark, "store")
+    turns = talk(spark, folder).unionByName(log(spark, folder))
+    store.write_tables(target, turns=turns, sessions=catalog.sessions(turns))
+    stored = store.read_table(spark, target, "turns").groupBy("agent", "session_id").agg(F.count("*").alias("n_turns"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
+    return stored.join(store.read_table(spark, target, "sessions").select("agent", "session_id", "title"), ["agent", "session_id"])
+
+
 @query(f"""{PLANS} select agent, session_id, '↻ Restored from ' || agent || ' ' || substr(session_id, 1, 8) || ' () · 2026-02-03 04:05Z' || chr(10) || '  /repo · main' || chr(10) ||
   kept_turns || case when kept_turns = 1 then ' turn' else ' turns' end || ' kept · ' || {DROPPED} as marker from (select *, {BLOCKED} as b from plans) where b is null""")
 def provenance_marker(spark: SparkSession, folder: str) -> DataFrame:

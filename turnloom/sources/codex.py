@@ -173,12 +173,13 @@ def catalog(rows: DataFrame) -> DataFrame:
         F.min_by("stamp", F.when(F.col("class") != "cut", F.col("pos"))).alias("first_stamp"),
         F.max_by("stamp", F.when(F.col("stamp").isNotNull(), F.col("pos"))).alias("last_stamp"),
         F.min_by("text", F.when((F.col("role") == "user") & F.col("class").isin("message", "item-message"), F.col("pos"))).alias("request"),
-        F.count_if(F.col("class") == "unknown").alias("skipped"), F.bool_or("cut_line").alias("truncated"),
+        F.count_if(F.col("class") == "unknown").alias("skipped"),
+        F.array_sort(F.collect_set(F.when(F.col("class") == "unknown", F.concat_ws("/", "type", "p.type")))).alias("skipped_types"), F.bool_or("cut_line").alias("truncated"),
     )
     started = F.coalesce(parsed_iso(F.col("meta.stamp")), "first_stamp")
     where = F.when(is_absolute(F.col("meta.cwd")), F.col("meta.cwd"))
     return facts.join(counted, SESSION, "left").select(
         *SESSION, "file", F.col("meta.id").alias("recorded_id"), cut_within(first_visible_line(redact_text(F.coalesce("request", F.lit("")))), 80).alias("title"),
         F.coalesce(started, F.lit("")).alias("started_at"), F.coalesce("last_stamp", started, F.lit("")).alias("updated_at"), F.coalesce("turn_count", F.lit(0)).alias("turn_count"),
-        where.alias("repo_path"), where.alias("start_directory"), F.col("meta.commit").alias("commit"), F.col("meta.branch").alias("branch"), "skipped", "truncated",
+        where.alias("repo_path"), where.alias("start_directory"), F.col("meta.commit").alias("commit"), F.col("meta.branch").alias("branch"), "skipped", "skipped_types", "truncated",
     ).where("recorded_id is not null")

@@ -22,22 +22,39 @@ LAYOUTS = {
 }
 
 
+def located(layout: str, home: str | None = None) -> list[Column]:
+    """agent, home, session_id, file and file_time of a row that was read from a file of a layout."""
+    _, identity, root = LAYOUTS[layout]
+    file = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
+    return [
+        F.lit(layout).alias("agent"), (F.lit(home) if home else F.regexp_extract(file, root, 1)).alias("home"), F.regexp_extract(file, identity, 1).alias("session_id"),
+        file.alias("file"), iso_utc(F.col("_metadata.file_modification_time")).alias("file_time"),
+    ]
+
+
 def scan(spark: SparkSession, path: str, layout: str, home: str | None = None, modified_after: datetime | None = None) -> DataFrame:
-    """The lines of every file of a layout below a path; unreadable files are skipped, .zst archives are read as they are."""
-    names, identity, root = LAYOUTS[layout]
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).option("ignoreCorruptFiles", "true")
+    """The lines of every file of a layout below a path; .zst archives are read as they are.
+
+    Files that can't be read are skipped; unreadable() names them.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", LAYOUTS[layout][0]).option("ignoreCorruptFiles", "true")
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after.strftime("%Y-%m-%dT%H:%M:%S"))
-    file = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
-    raw = reader.text(path).select(
-        F.lit(layout).alias("agent"),
-        (F.lit(home) if home else F.regexp_extract(file, root, 1)).alias("home"),
-        F.regexp_extract(file, identity, 1).alias("session_id"),
-        file.alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"),
-        "value", iso_utc(F.col("_metadata.file_modification_time")).alias("file_time"),
-    )
+    raw = reader.text(path).select(*located(layout, home), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), "value")
     order = Window.partitionBy("file").orderBy("_block", "_row")
-    return raw.withColumn("pos", (F.row_number().over(order) - 1).cast("long")).drop("_block", "_row")
+    return raw.withColumn("pos", (F.row_number().over(order) - 1).cast("long")).select("agent", "home", "session_id", "file", "value", "file_time", "pos")
+
+
+def unreadable(spark: SparkSession, path: str, layout: str, lines: DataFrame, home: str | None = None) -> DataFrame:
+    """Rejects (agent, home, session_id, reason) for the files below a path that are not empty but gave no line.
+
+    Only names and sizes are read: no file's content.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", LAYOUTS[layout][0])
+    files = reader.load(path).select(*located(layout, home), "length").where("length > 0")
+    read = lines.select(F.col("file").alias("_read")).distinct()
+    lost = files.join(read, F.col("file") == F.col("_read"), "left_anti")
+    return lost.select("agent", "home", "session_id", F.concat(F.lit("file could not be read: "), "file").alias("reason"))
 
 
 def scan_homes(spark: SparkSession, homes: list[tuple[str, str, str]]) -> tuple[DataFrame | None, DataFrame]:

@@ -8,21 +8,20 @@ from pyspark.sql import functions as F
 from turnloom.functions.redact import redact_text
 from turnloom.functions.tokens import turn_cost
 from turnloom.operators.catalog import newest
-from turnloom.sources.lines import is_object
+from turnloom.sources.lines import LAYOUTS, is_object, located
 
 SESSION = ["agent", "home", "session_id"]
 
 
-def stream_lines(spark: SparkSession, path: str, layout: str, files_per_trigger: int = 100) -> DataFrame:
+def stream_lines(spark: SparkSession, path: str, layout: str, home: str | None = None, files_per_trigger: int = 100) -> DataFrame:
     """New files' lines with the columns of sources.lines.scan(), and whether they are JSON objects.
 
     Files are taken whole (wholetext), as places of lines need; a file that grows later must come as a new one.
     """
-    raw = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
-    stamp = F.date_format(F.col("_metadata.file_modification_time"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    files = raw.select(F.lit(layout).alias("agent"), F.lit(path).alias("home"), F.col("_metadata.file_path").alias("file"), stamp.alias("file_time"), "value")
-    rows = files.select("agent", "home", "file", "file_time", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("pos", "value"))
-    return rows.withColumn("pos", F.col("pos").cast("long")).withColumn("good", is_object(F.col("value")))
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").option("pathGlobFilter", LAYOUTS[layout][0])
+    files = reader.text(path, wholetext=True).select(*located(layout, home), F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("_lines"))
+    rows = files.select("agent", "home", "session_id", "file", "file_time", F.posexplode("_lines").alias("pos", "value"))
+    return rows.select("agent", "home", "session_id", "file", "value", "file_time", F.col("pos").cast("long").alias("pos"), is_object(F.col("value")).alias("good"))
 
 
 def stream_catalog(turns: DataFrame) -> DataFrame:
