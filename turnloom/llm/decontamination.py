@@ -27,6 +27,8 @@ SPAN = 10
 GRAM = 5
 #: Benchmark fingerprints up to this many (8 bytes each, 16 MB) go to the tasks as an array; more are joined by a shuffle.
 MOST_SENT = 2_000_000
+#: Hashes of contaminated texts up to this many (about 100 bytes each) are sent to all executors; more are joined by a shuffle.
+MOST_LEAKS = 200_000
 _FILTER_BITS = 20
 
 
@@ -185,7 +187,8 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, span: int = SPAN
     found = contamination(named, benchmark, span, most_sent).where("n_hit > 0").select(F.col("doc_id").alias("leak")).distinct()
     leaks = written(found, "contaminated")
     packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.sha2("text", 256).alias("key"))
-    return packed.join(leaks, packed.key == leaks.leak, "left_anti").select("row.*")
+    few = leaks.count() <= MOST_LEAKS
+    return packed.join(F.broadcast(leaks) if few else leaks, F.col("key") == F.col("leak"), "left_anti").select("row.*")
 
 
 def digest(result: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ WIDE = 4
 #: A pair of similarity s agrees in a band with odds s**ROWS, and in any of them with 1 - (1 - s**ROWS)**BANDS: 0.97 at 0.8.
 BANDS, ROWS = 32, 10
 #: In groups of at most so many candidates all pairs are compared; in larger ones all members with so many at first.
-FEW = 8
+FEW = 2
 _SALTS = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 2048
 
@@ -206,8 +206,8 @@ def similar_links(prints: DataFrame, documents: DataFrame, shingle: int, similar
     """Pairs (a, b) of nodes whose sets of shingles have at least this Jaccard similarity.
 
     Members of a small bucket are all compared with each other, those of a large one with some of them (the same ones in
-    all buckets that have them). Members that are like none of these are compared anew with four times as many of their
-    own, until none is left.
+    all buckets that have them). Members that are like none of these are compared anew with four times as many of all
+    members, until each is like one or has met all.
     """
     distinct = prints.groupBy("node").agg(F.first("bands").alias("bands"))
     members = written(distinct.select("node", F.explode("bands").alias("bucket")).distinct(), "similar-members")
@@ -217,23 +217,27 @@ def similar_links(prints: DataFrame, documents: DataFrame, shingle: int, similar
     lines = documents.select("text").mapInArrow(_words_of, "node binary, line binary")
     lines = written(lines.join(wanted, F.col("node") == F.col("of"), "left_semi").groupBy("node").agg(F.first("line").alias("line")), "similar-lines")
     side = lambda name: lines.select(F.col("node").alias(name), F.col("line").alias(f"{name}_line"))
-    links, turn = None, 0
+    everyone, links, turn = live, None, 0
     while links is None or live.limit(1).count():
         place = F.xxhash64("node", F.lit(turn))
-        groups = written(live.groupBy("bucket").agg(F.count("*").alias("n"), F.min(place).alias("first")), "similar-groups")
+        open_ = live.select("bucket").distinct()
+        groups = everyone.join(open_, "bucket", "left_semi").groupBy("bucket").agg(F.count("*").alias("n"), F.min(place).alias("first"))
         share = F.lit(float(FEW * 4**turn)) / F.col("n")
-        ranked = live.join(groups.where("n > 1"), "bucket").withColumn("chosen", (place == F.col("first")) | (F.pmod(place, F.lit(1 << 30)) < share * (1 << 30)))
-        ranked = written(ranked.select("node", "bucket", "chosen"), "similar-ranked")
-        chosen = written(ranked.where("chosen").select("bucket", F.col("node").alias("b")), "similar-chosen")
-        met = ranked.join(chosen, "bucket").where("node != b and (not chosen or node > b)").select("bucket", "node", F.col("node").alias("a"), "b")
+        known = everyone.join(groups, "bucket").withColumn("all", share >= 1).withColumn("chosen", F.col("all") | (place == F.col("first")) | (F.pmod(place, F.lit(1 << 30)) < share * (1 << 30)))
+        known = written(known.where("chosen").select("bucket", F.col("node").alias("b"), "all"), "similar-chosen")
+        mine = live.join(known.select("bucket", F.col("b").alias("node"), F.lit(True).alias("chosen")), ["bucket", "node"], "left")
+        ranked = written(mine.select("node", "bucket", F.coalesce("chosen", F.lit(False)).alias("chosen")), "similar-ranked")
+        once = "node != b" if turn else "node != b and (not chosen or node > b)"
+        met = ranked.join(known, "bucket").where(once).select("bucket", "node", F.col("b").alias("other"), F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
         met = written(met, "similar-met")
         pairs = written(met.select("a", "b").distinct(), "similar-candidates")
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_line", "b_line")
         judged = written(both.mapInArrow(_compared(shingle, similarity), "a binary, b binary, good boolean"), "similar-judged")
         good = judged.where("good").select("a", "b")
         links = good if links is None else links.unionByName(good)
-        placed = met.join(good, ["a", "b"]).select("bucket", "node").distinct()
-        live = written(ranked.where("not chosen").select("node", "bucket").join(placed, ["node", "bucket"], "left_anti"), "similar-live")
+        linked = met.join(good, ["a", "b"])
+        placed = linked.select("bucket", "node").union(linked.select("bucket", "other")).union(known.where("all").select("bucket", "b")).distinct()
+        live = written(ranked.select("node", "bucket").join(placed, ["node", "bucket"], "left_anti"), "similar-live")
         turn += 1
     return links
 
