@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from itertools import combinations
 
@@ -124,6 +125,9 @@ BANDS, ROWS = 32, 10
 FEW = 2
 _SALTS = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 2048
+#: Up to so many pairs (32 bytes each), and lines of up to so many bytes in all, are sent to where the other lines are;
+#: more are joined by a shuffle. The links are the same.
+MOST_PAIRS, MOST_LINES = 200_000, 16 << 20
 
 
 def most_bits(similarity: float) -> int:
@@ -182,15 +186,14 @@ def _with_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compared(shingle: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, known = None, set()
+        # Neighbouring rows share a line on one of the sides.
+        known = lru_cache(maxsize=2)(lambda line: frozenset(shingles(line, shingle)))
         for batch in batches:
             good = []
-            for a, b in zip(batch.column("a_line").to_pylist(), batch.column("b_line").to_pylist(), strict=True):
-                if b != before:
-                    before, known = b, set(shingles(b, shingle))
-                own = set(shingles(a, shingle))
-                both = len(own & known)
-                good.append(both >= similarity * (len(own) + len(known) - both) - 1e-9)
+            for x, y in zip(batch.column("few_line").to_pylist(), batch.column("many_line").to_pylist(), strict=True):
+                few, many = known(x), known(y)
+                both = len(few & many)
+                good.append(both >= similarity * (len(few) + len(many) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(good, pa.bool_())], ["a", "b", "good"])
 
     return run
@@ -202,6 +205,16 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(map(_node, lines), pa.binary()), pa.array(lines, pa.binary())], ["node", "line"])
 
 
+def _judged(pairs: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) with `good`; of the columns few and many, the nodes of a pair, few has the fewer different ones."""
+    side = lambda name: lines.select(F.col("node").alias(name), F.col("line").alias(f"{name}_line"))
+    few = side("few").join(pairs.select("few").distinct(), "few", "left_semi")
+    light = pairs.count() <= MOST_PAIRS
+    short = light and few.agg(F.coalesce(F.sum(F.octet_length("few_line")), F.lit(0))).first()[0] <= MOST_LINES
+    both = side("many").join(F.broadcast(pairs) if light else pairs, "many").join(F.broadcast(few) if short else side("few"), "few")
+    return both.select("a", "b", "few_line", "many_line").mapInArrow(_compared(shingle, similarity), "a binary, b binary, good boolean")
+
+
 def similar_links(prints: DataFrame, documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes whose sets of shingles have at least this Jaccard similarity.
 
@@ -210,13 +223,12 @@ def similar_links(prints: DataFrame, documents: DataFrame, shingle: int, similar
     members, until each is like one or has met all.
     """
     distinct = prints.groupBy("node").agg(F.first("bands").alias("bands"))
-    members = written(distinct.select("node", F.explode("bands").alias("bucket")).distinct(), "similar-members")
+    members = written(distinct.select("node", F.explode(F.array_distinct("bands")).alias("bucket")), "similar-members")
     shared = written(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "similar-buckets")
     live = written(members.join(shared, "bucket").select("node", "bucket"), "similar-live")
     wanted = live.select(F.col("node").alias("of")).distinct()
     lines = documents.select("text").mapInArrow(_words_of, "node binary, line binary")
     lines = written(lines.join(wanted, F.col("node") == F.col("of"), "left_semi").groupBy("node").agg(F.first("line").alias("line")), "similar-lines")
-    side = lambda name: lines.select(F.col("node").alias(name), F.col("line").alias(f"{name}_line"))
     everyone, links, turn = live, None, 0
     while links is None or live.limit(1).count():
         place = F.xxhash64("node", F.lit(turn))
@@ -230,9 +242,10 @@ def similar_links(prints: DataFrame, documents: DataFrame, shingle: int, similar
         once = "node != b" if turn else "node != b and (not chosen or node > b)"
         met = ranked.join(known, "bucket").where(once).select("bucket", "node", F.col("b").alias("other"), F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
         met = written(met, "similar-met")
-        pairs = written(met.select("a", "b").distinct(), "similar-candidates")
-        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_line", "b_line")
-        judged = written(both.mapInArrow(_compared(shingle, similarity), "a binary, b binary, good boolean"), "similar-judged")
+        # At first few members are met by many others, later few are left that meet many.
+        found = met.groupBy("a", "b").agg(F.min("node" if turn else "other").alias("few"))
+        pairs = written(found.withColumn("many", F.when(F.col("few") == F.col("a"), F.col("b")).otherwise(F.col("a"))), "similar-candidates")
+        judged = written(_judged(pairs, lines, shingle, similarity), "similar-judged")
         good = judged.where("good").select("a", "b")
         links = good if links is None else links.unionByName(good)
         linked = met.join(good, ["a", "b"])
