@@ -125,8 +125,8 @@ BANDS, ROWS = 32, 10
 FEW = 2
 _SALTS = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 2048
-#: Up to so many pairs (32 bytes each), and lines of up to so many bytes in all, are sent to where the other lines are;
-#: more are joined by a shuffle. The links are the same.
+#: Up to so many pairs, nodes or buckets (32 bytes each at most), and lines or ids of up to so many bytes in all, are sent
+#: to where the other rows are; more are joined by a shuffle. The rows are the same.
 MOST_PAIRS, MOST_LINES = 200_000, 16 << 20
 
 
@@ -205,6 +205,11 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(map(_node, lines), pa.binary()), pa.array(lines, pa.binary())], ["node", "line"])
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """Rows of a few numbers or nodes, sent to all executors where they are few."""
+    return F.broadcast(rows) if rows.count() <= MOST_PAIRS else rows
+
+
 def _judged(pairs: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Pairs (a, b) with `good`; of the columns few and many, the nodes of a pair, few has the fewer different ones."""
     side = lambda name: lines.select(F.col("node").alias(name), F.col("line").alias(f"{name}_line"))
@@ -225,8 +230,8 @@ def similar_links(prints: DataFrame, documents: DataFrame, shingle: int, similar
     distinct = prints.groupBy("node").agg(F.first("bands").alias("bands"))
     members = written(distinct.select("node", F.explode(F.array_distinct("bands")).alias("bucket")), "similar-members")
     shared = written(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "similar-buckets")
-    live = written(members.join(shared, "bucket").select("node", "bucket"), "similar-live")
-    wanted = live.select(F.col("node").alias("of")).distinct()
+    live = written(members.join(_sent(shared), "bucket").select("node", "bucket"), "similar-live")
+    wanted = _sent(written(live.select(F.col("node").alias("of")).distinct(), "similar-wanted"))
     lines = documents.select("text").mapInArrow(_words_of, "node binary, line binary")
     lines = written(lines.join(wanted, F.col("node") == F.col("of"), "left_semi").groupBy("node").agg(F.first("line").alias("line")), "similar-lines")
     everyone, links, turn = live, None, 0
@@ -278,7 +283,9 @@ def representatives(documents: DataFrame, shingle: int = 5, similarity: float =
     """The documents without similar ones: one row of each group stays, that of the least doc_id (null last)."""
     groups = written(similar_groups(documents, shingle, similarity), "simhash-groups")
     if not groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count():
-        gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("of"))
+        gone = written(groups.where("doc_id != component_id").select(F.col("doc_id").alias("of")), "simhash-gone")
+        if gone.agg(F.coalesce(F.sum(F.octet_length(F.col("of").cast("string")) + 16), F.lit(0))).first()[0] <= MOST_LINES:
+            gone = F.broadcast(gone)
         packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "doc_id")
         return packed.join(gone, F.col("doc_id") == F.col("of"), "left_anti").select("row.*")
     # Ids that are null or repeat can't tell rows apart: rows are told apart by their words and text instead, which
