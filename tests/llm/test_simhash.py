@@ -109,6 +109,47 @@ def test_members_unlike_the_first_are_compared(spark):
     assert {(r.doc_id, r.component_id) for r in rows} == {(d, d // 2 * 2) for d, _ in docs}
 
 
+def test_components_of_a_wide_group_are_whole(spark):
+    """Of copies that differ from each other by more than from their origin, all links between candidates count."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    base, lines = [word() for _ in range(150)], []
+    for _ in range(120):
+        own = list(base)
+        for at in rng.sample(range(150), rng.choice((2, 3, 4))):
+            own[at] = word()
+        lines.append(" ".join(own))
+    sets = [set(S.shingles(x.encode(), 5)) for x in lines]
+    least = [S.least_hashes(x.encode(), 5) for x in lines]
+    buckets = [set(S.bands(x)) for x in least]
+    group, n_links = list(range(len(lines))), 0
+    for i in range(len(lines)):
+        for j in range(i):
+            if buckets[i] & buckets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                n_links += 1
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    rows = S.similar_groups(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(group))
+    assert n_links > 20 and len(set(group)) > 1
+
+
+def test_sketches(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    pairs = []
+    for g in range(60):
+        a, b = [word() for _ in range(90)], []
+        b = a[: 86 - g] + [word() for _ in range(4 + g)]
+        pairs.append([S.sketch(S.least_hashes(" ".join(x).encode(), 5)) for x in (a, b)])
+    frame = spark.createDataFrame(pairs, "a array<long>, b array<long>")
+    for r in frame.withColumn("n", S._unlike("a", "b")).collect():
+        planes = [[f"{x % 2**64:064b}" for x in side] for side in (r.a, r.b)]
+        value = lambda side, i: tuple(side[5 * k + i // 64][i % 64] for k in range(4))
+        assert r.n == sum(value(planes[0], i) != value(planes[1], i) for i in range(320))
+    assert S.most_unlike(1.0) == 0 and 60 < S.most_unlike(0.8) < 100
+
+
 def test_texts_that_share_an_id_stay(spark):
     docs = [(3, "a b c d e f g"), (3, "k l m n o p q"), (None, "t u v w x y z")]
     kept = S.representatives(spark.createDataFrame(docs, "doc_id long, text string")).collect()

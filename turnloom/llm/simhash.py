@@ -8,8 +8,8 @@ The links of one variant are a star over a clique, so no connection is lost. Gro
 
 near_duplicates() is that, exactly, at a small radius. similar_groups() looks for texts of a given similarity of word
 shingles, whose fingerprints are further apart than a ball can reach: texts that agree in a band of least hashes are
-candidates, and a link is kept only if the Jaccard similarity of the two sets of shingles, compared word by word, is
-at least the one asked for.
+candidates if sketches of all their least hashes are not too unlike, and a link is kept only if the Jaccard similarity of
+the two sets of shingles, compared word by word, is at least the one asked for.
 
 Defined results: null, empty and blank texts have fingerprint zero, which is linked like any other; a text of fewer
 words than a shingle has one shingle, all its words; equal texts always share a group; a null doc_id is a component's
@@ -21,13 +21,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
@@ -121,11 +121,12 @@ def digest(result: DataFrame) -> DataFrame:
 WIDE = 4
 #: A pair of similarity s agrees in a band with odds s**ROWS, and in any of them with 1 - (1 - s**ROWS)**BANDS: 0.97 at 0.8.
 BANDS, ROWS = 32, 10
-#: In groups of at most so many candidates all pairs are compared; in larger ones all members with so many at first.
-FEW = 2
+#: The number of members of a bucket that others are compared with grows by this factor each turn, from one to all.
+GROWTH = 8
 _SALTS = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 2048
-#: Up to so many pairs, nodes or buckets (32 bytes each at most), and lines or ids of up to so many bytes in all, are sent
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Up to so many pairs, nodes or buckets (200 bytes each at most), and lines or ids of up to so many bytes in all, are sent
 #: to where the other rows are; more are joined by a shuffle. The rows are the same.
 MOST_PAIRS, MOST_LINES = 200_000, 16 << 20
 
@@ -149,16 +150,43 @@ def shingles(line: bytes, shingle: int) -> list[bytes]:
     return [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
 
 
-def bands(line: bytes, shingle: int) -> list[int]:
-    """BANDS values, each of the least values of ROWS orders of the distinct shingles."""
+def least_hashes(line: bytes, shingle: int) -> np.ndarray:
+    """The least values of BANDS * ROWS orders of the distinct shingles."""
     hashes = np.array([xxh64_intdigest(x, _SEED) for x in set(shingles(line, shingle))], dtype=np.uint64)
     least = np.full(len(_SALTS), np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(hashes), _CHUNK):
         least = np.minimum(least, (_SALTS[:, None] * hashes[None, i : i + _CHUNK]).min(axis=1))
+    return least
+
+
+def bands(least: np.ndarray) -> list[int]:
+    """BANDS values, each of ROWS of the least hashes."""
     data, size = least.tobytes(), 8 * ROWS
     return [int(np.uint64(xxh64_intdigest(data[i * size : (i + 1) * size], i)).astype(np.int64)) for i in range(BANDS)]
 
 
+def sketch(least: np.ndarray) -> list[int]:
+    """Four bits of each of the least hashes: all first bits, all second bits and so on, in signed 64-bit numbers."""
+    bits = (least * _MIX >> np.uint64(60)).astype(np.uint8)
+    return np.concatenate([np.packbits(bits >> k & 1) for k in range(4)]).view(np.int64).tolist()
+
+
+def most_unlike(similarity: float) -> int:
+    """So many of the sketches' four-bit values may differ: four standard deviations over the mean at this similarity.
+
+    Values of equal least hashes agree, of others one in 16. Of the pairs of just this similarity 1 in 30,000 differs in more.
+    """
+    odds = (1 - similarity) * 15 / 16
+    return math.ceil(BANDS * ROWS * odds + 4 * math.sqrt(BANDS * ROWS * odds * (1 - odds)))
+
+
+def _unlike(a: str, b: str) -> Column:
+    """The number of four-bit values in which two sketches differ."""
+    n = BANDS * ROWS // 64
+    unlike = [F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))) for i in range(4 * n)]
+    return reduce(Column.__add__, [F.bit_count(reduce(Column.bitwiseOR, unlike[i::n])) for i in range(n)])
+
+
 def _lines(column: pa.Array) -> list[bytes]:
     at, data = strings(column)
     whole = data.tobytes()
@@ -173,8 +201,9 @@ def _banded(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines = _lines(batch.column("text"))
-            values = pa.array([bands(x, shingle) for x in lines], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_node, lines), pa.binary()), values], ["doc_id", "node", "bands"])
+            least = [least_hashes(x, shingle) for x in lines]
+            values, sketches = (pa.array(map(f, least), pa.list_(pa.int64())) for f in (bands, sketch))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_node, lines), pa.binary()), values, sketches], ["doc_id", "node", "bands", "sketch"])
 
     return run
 
@@ -220,51 +249,64 @@ def _judged(pairs: DataFrame, lines: DataFrame, shingle: int, similarity: float)
     return both.select("a", "b", "few_line", "many_line").mapInArrow(_compared(shingle, similarity), "a binary, b binary, good boolean")
 
 
-def similar_links(prints: DataFrame, documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of nodes whose sets of shingles have at least this Jaccard similarity.
+def _grown(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, label) of every node that has a link, from the labels before and the links (a, b) found since."""
+    return connected(links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+
+
+def similar_labels(prints: DataFrame, documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, label) of every node that has a link: components of the pairs that share a bucket and are that similar.
 
-    Members of a small bucket are all compared with each other, those of a large one with some of them (the same ones in
-    all buckets that have them). Members that are like none of these are compared anew with four times as many of all
-    members, until each is like one or has met all.
+    At first all members of a bucket are compared with one of them, the same one in all buckets that have it. A bucket
+    whose members are by then in one component is done. In the others, the members outside the bucket's largest component
+    are compared with a growing share of the members of other components, at last with all of them. So no pair of
+    one component is compared for nothing, and a bucket is done only when its members are in one component or all its pairs
+    between components have been compared: no link between components is lost. To be compared word by word, two
+    sketches may differ in no more than most_unlike() says.
     """
     distinct = prints.groupBy("node").agg(F.first("bands").alias("bands"))
     members = written(distinct.select("node", F.explode(F.array_distinct("bands")).alias("bucket")), "similar-members")
     shared = written(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "similar-buckets")
-    live = written(members.join(_sent(shared), "bucket").select("node", "bucket"), "similar-live")
+    live = written(members.join(_sent(shared), "bucket").select("bucket", "node"), "similar-live")
     wanted = _sent(written(live.select(F.col("node").alias("of")).distinct(), "similar-wanted"))
+    sketches = prints.select("node", "sketch").join(wanted, F.col("node") == F.col("of"), "left_semi")
+    sketches = sketches.groupBy("node").agg(F.first("sketch").alias("sketch"))
+    entries = written(live.join(sketches, "node").select("bucket", "node", F.col("node").alias("label"), "sketch"), "similar-entries")
     lines = documents.select("text").mapInArrow(_words_of, "node binary, line binary")
     lines = written(lines.join(wanted, F.col("node") == F.col("of"), "left_semi").groupBy("node").agg(F.first("line").alias("line")), "similar-lines")
-    everyone, links, turn = live, None, 0
-    while links is None or live.limit(1).count():
+    labels, turn = None, 0
+    while True:
         place = F.xxhash64("node", F.lit(turn))
-        open_ = live.select("bucket").distinct()
-        groups = everyone.join(open_, "bucket", "left_semi").groupBy("bucket").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-        share = F.lit(float(FEW * 4**turn)) / F.col("n")
-        known = everyone.join(groups, "bucket").withColumn("all", share >= 1).withColumn("chosen", F.col("all") | (place == F.col("first")) | (F.pmod(place, F.lit(1 << 30)) < share * (1 << 30)))
-        known = written(known.where("chosen").select("bucket", F.col("node").alias("b"), "all"), "similar-chosen")
-        mine = live.join(known.select("bucket", F.col("b").alias("node"), F.lit(True).alias("chosen")), ["bucket", "node"], "left")
-        ranked = written(mine.select("node", "bucket", F.coalesce("chosen", F.lit(False)).alias("chosen")), "similar-ranked")
-        once = "node != b" if turn else "node != b and (not chosen or node > b)"
-        met = ranked.join(known, "bucket").where(once).select("bucket", "node", F.col("b").alias("other"), F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
-        met = written(met, "similar-met")
+        sizes = entries.groupBy("bucket", "label").agg(F.count("*").alias("of_label"), F.min(place).alias("first"))
+        largest = F.max(F.struct("of_label", "label"))["label"].alias("largest")
+        buckets = sizes.groupBy("bucket").agg(F.sum("of_label").alias("n"), F.min("first").alias("first"), largest, F.count("*").alias("n_labels"))
+        buckets = written(buckets.where("n_labels > 1").drop("n_labels"), "similar-open")
+        if not buckets.limit(1).count():
+            return _grown(None, entries.limit(0).selectExpr("node as a", "label as b")) if labels is None else labels
+        share = F.lit(float(GROWTH**turn)) / F.col("n")
+        last = share >= 1 if turn else F.col("n") <= 2
+        chosen = (place == F.col("first")) | (last | (F.pmod(place, F.lit(1 << 30)) < share * (1 << 30)) if turn else F.lit(False))
+        outside = F.col("label") != F.col("largest") if turn else F.lit(True)
+        rows = entries.join(_sent(buckets), "bucket").select("bucket", "node", "label", "sketch", last.alias("last"), chosen.alias("chosen"), outside.alias("outside"))
+        rows = written(rows, "similar-rows")
+        some = rows.where("chosen").select("bucket", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("sketch").alias("other_sketch"))
+        met = rows.where("outside").join(_sent(some), "bucket").where("label != other_label").where(_unlike("sketch", "other_sketch") <= most_unlike(similarity))
         # At first few members are met by many others, later few are left that meet many.
-        found = met.groupBy("a", "b").agg(F.min("node" if turn else "other").alias("few"))
-        pairs = written(found.withColumn("many", F.when(F.col("few") == F.col("a"), F.col("b")).otherwise(F.col("a"))), "similar-candidates")
-        judged = written(_judged(pairs, lines, shingle, similarity), "similar-judged")
-        good = judged.where("good").select("a", "b")
-        links = good if links is None else links.unionByName(good)
-        linked = met.join(good, ["a", "b"])
-        placed = linked.select("bucket", "node").union(linked.select("bucket", "other")).union(known.where("all").select("bucket", "b")).distinct()
-        live = written(ranked.select("node", "bucket").join(placed, ["node", "bucket"], "left_anti"), "similar-live")
+        pair = met.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"), F.col("node" if turn else "other").alias("few"))
+        pairs = pair.groupBy("a", "b").agg(F.min("few").alias("few")).withColumn("many", F.when(F.col("few") == F.col("a"), F.col("b")).otherwise(F.col("a")))
+        pairs = written(pairs, "similar-candidates")
+        judged = written(_judged(pairs, lines, shingle, similarity).where("good").select("a", "b"), "similar-links")
+        labels = _grown(labels, judged)
+        named = rows.where("not last").select("bucket", "node", "sketch").join(_sent(labels.withColumnRenamed("node", "of")), F.col("node") == F.col("of"), "left")
+        entries = written(named.select("bucket", "node", F.coalesce("label", "node").alias("label"), "sketch"), "similar-entries")
         turn += 1
-    return links
 
 
 def _labelled(documents: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """doc_id and node of every row, and the label of every node that has links."""
     source = documents.select("doc_id", "text")
-    prints = written(source.mapInArrow(_banded(shingle), f"doc_id {dict(source.dtypes)['doc_id']}, node binary, bands array<long>"), "similar-bands")
-    labels = connected(similar_links(prints, documents, shingle, similarity))
+    prints = written(source.mapInArrow(_banded(shingle), f"doc_id {dict(source.dtypes)['doc_id']}, node binary, bands array<long>, sketch array<long>"), "similar-bands")
+    labels = similar_labels(prints, documents, shingle, similarity)
     return prints.select("doc_id", "node"), labels.select(F.col("node").alias("of"), "label")
 
 
