@@ -1,4 +1,4 @@
-"""Queries of the ten operators over the whole of their tables, and SQL for those that SQL can express."""
+"""Queries of the operators over the whole of their tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from turnloom.llm import decontamination, license_rules, mixing, mpeg_audio, repeats, secret_forest, sharding, simhash, token_orc, toxicity
+from turnloom.llm import decontamination, fill_middle, license_rules, lloyd, mixing, mpeg_audio, repeats, secret_forest, sharding, simhash, token_orc, top_k, toxicity
 
 #: Where the public tokenizers' files are; a parameter of the operator.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,8 +57,24 @@ def op10_suffix_trees(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.digest(_table(spark, folder, "documents"))
 
 
+def op11_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k.digest(top_k.nearest(_table(spark, folder, "embeddings")))
+
+
+def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.transformed(_table(spark, folder, "documents")))
+
+
+def op13_lloyd(spark: SparkSession, folder: str) -> DataFrame:
+    return lloyd.digest(lloyd.clustered(lloyd.quantised(_table(spark, folder, "embeddings"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_token_orc, op4_mpeg_audio, op5_secret_forest, op6_mixing, op7_sharding, op8_toxicity, op9_license_rules, op10_suffix_trees)}
+    found = [
+        op1_decontamination, op2_simhash, op3_token_orc, op4_mpeg_audio, op5_secret_forest, op6_mixing, op7_sharding, op8_toxicity, op9_license_rules, op10_suffix_trees,
+        op11_top_k, op12_fill_middle, op13_lloyd,
+    ]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -66,4 +82,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontamination.oracle_sql(), "op6_mixing": mixing.oracle_sql(),
         "op9_license_rules": license_rules.oracle_sql(), "op10_suffix_trees": repeats.oracle_sql(),
+        "op11_top_k": top_k.oracle_sql(), "op12_fill_middle": fill_middle.oracle_sql(), "op13_lloyd": lloyd.oracle_sql(),
     }
