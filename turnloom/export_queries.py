@@ -10,7 +10,7 @@ from turnloom.plans import export, report, store, transfer, validate
 from turnloom.queries import BLOCKED, CATALOG, DROPPED, PLANS, SHARE, log, planned, query, table, talk
 from turnloom.session import new_folder, written
 from turnloom.sources import claude, codex, pi, tables
-from turnloom.streaming import ingest
+from turnloom.streaming import eras, ingest, snapshots
 
 SESSION = ["agent", "home", "session_id"]
 NOW = "2026-02-03T04:05:06.000Z"
@@ -201,3 +201,56 @@ def redacted_cost(spark: SparkSession, folder: str) -> DataFrame:
 def newest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "events").select(F.lit("events").alias("agent"), F.lit("").alias("home"), F.col("user_id").cast("string").alias("session_id"), "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("updated_at"))
     return catalog.newest(rows).select("session_id", "event_id", "updated_at")
+
+
+# Streams over what grows ----------------------------------------------------------------------------------------------
+
+
+@query("""with k as (select cast(user_id as varchar) as session_id, row_number() over (partition by user_id order by ts, event_id) - 1 as idx, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as stamp,
+    case event_type when 'signup' then 'item-call' when 'view' then 'call' when 'click' then 'message' else 'none' end as class, event_type || ' ' || event_id as said from events),
+  c as (select *, min(case when class = 'item-call' then idx end) over (partition by session_id) as cut from k),
+  s as (select *, coalesce(bool_or(class = 'message' and idx < cut) over (partition by session_id), false) as spoken from c)
+  select session_id, min_by(said, idx) filter (class = 'message') as request, min_by(stamp, idx) as started_at, max_by(stamp, idx) as updated_at,
+    count(*) filter (class in ('message', 'item-call') or class = 'call' and (cut is null or spoken and idx < cut)) as turn_count, bool_or(cut is not null) as mixed from s group by session_id""")
+def stream_era_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as entries of both eras that come in three parts, folded into a catalog by a stream with state per session."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    kind = F.when(F.col("event_type") == "signup", "item-call").when(F.col("event_type") == "view", "call").when(F.col("event_type") == "click", "message").otherwise("none")
+    rows = table(spark, folder, "events").select(
+        F.lit("events").alias("agent"), F.lit("").alias("home"), F.col("user_id").cast("string").alias("session_id"), (F.row_number().over(order) - 1).cast("long").alias("pos"),
+        kind.alias("class"), F.lit("user").alias("role"), F.concat_ws(" ", "event_type", "event_id").alias("text"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("stamp"), F.ntile(3).over(order).alias("part"),
+    )
+    rows, work = written(rows, "era-entries"), new_folder(spark, "eras")
+    put = snapshots.upsert(f"{work}/table", buckets=8)
+    for part in (1, 2, 3):
+        rows.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{work}/in")
+        found = eras.running_catalog(spark.readStream.schema(rows.drop("part").schema).parquet(f"{work}/in"))
+        found.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return snapshots.read(spark, f"{work}/table", eras.CATALOG).select("session_id", "request", "started_at", "updated_at", "turn_count", "mixed")
+
+
+@query("select cast(user_id as varchar) as session_id, max(event_id) as event_id, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as updated_at from events group by user_id")
+def snapshot_feed(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest event of every user, from a change feed in four batches that rewrite only the buckets they touch."""
+    work = new_folder(spark, "feed")
+    rows = table(spark, folder, "events").select(F.lit("events").alias("agent"), F.lit("").alias("home"), F.col("user_id").cast("string").alias("session_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("updated_at"), "event_id")
+    rows.repartition(4).write.parquet(f"{work}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
+    stream.writeStream.foreachBatch(snapshots.upsert(f"{work}/table", buckets=8)).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    snapshots.vacuum(spark, f"{work}/table")
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    return snapshots.read(spark, f"{work}/table", schema).select("session_id", "event_id", "updated_at")
+
+
+@query("select cast(conv_id as varchar) as session_id, row_number() over (partition by conv_id order by turn) - 1 as pos, text from conversations")
+def growing_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations as one file each, half of them there at the first trigger of a stream of growing files."""
+    work = new_folder(spark, "growing")
+    rows = table(spark, folder, "conversations").select(F.col("conv_id").cast("string").alias("session"), "turn", F.to_json(F.struct("text")).alias("value"))
+    for half in (0, 1):
+        some = rows.where(F.pmod(F.xxhash64("session"), F.lit(2)) == half).repartition("session").sortWithinPartitions("session", "turn")
+        some.select("session", "value").write.partitionBy("session").mode("append").text(f"{work}/projects")
+        lines = ingest.stream_growing_lines(spark, f"{work}/projects", "claude-code", f"{work}/state", settle=0, names="part-*")
+        found = ingest.available_now(lines, work)
+    return found.select(F.regexp_extract("file", "/session=([^/]*)/", 1).alias("session_id"), "pos", F.get_json_object("value", "$.text").alias("text"))

@@ -22,13 +22,14 @@ LAYOUTS = {
 }
 
 
-def located(layout: str, home: str | None = None) -> list[Column]:
+def located(layout: str, home: str | None = None, file: Column | None = None, modified: Column | None = None) -> list[Column]:
     """agent, home, session_id, file and file_time of a row that was read from a file of a layout."""
     _, identity, root = LAYOUTS[layout]
-    file = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
+    file = F.regexp_replace(F.col("_metadata.file_path") if file is None else file, "^file:/*", "/")
+    modified = F.col("_metadata.file_modification_time") if modified is None else modified
     return [
         F.lit(layout).alias("agent"), (F.lit(home) if home else F.regexp_extract(file, root, 1)).alias("home"), F.regexp_extract(file, identity, 1).alias("session_id"),
-        file.alias("file"), iso_utc(F.col("_metadata.file_modification_time")).alias("file_time"),
+        file.alias("file"), iso_utc(modified).alias("file_time"),
     ]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnloom.functions.redact import redact_text
 from turnloom.functions.tokens import turn_cost
 from turnloom.operators.catalog import newest
+from turnloom.sources.growing import GrowingLines
 from turnloom.sources.lines import LAYOUTS, is_object, located
 
 SESSION = ["agent", "home", "session_id"]
@@ -16,7 +17,8 @@ SESSION = ["agent", "home", "session_id"]
 def stream_lines(spark: SparkSession, path: str, layout: str, home: str | None = None, files_per_trigger: int = 100) -> DataFrame:
     """New files' lines with the columns of sources.lines.scan(), and whether they are JSON objects.
 
-    Files are taken whole (wholetext), as places of lines need; a file that grows later must come as a new one.
+    Files are taken whole (wholetext), as places of lines need; a file that grows later must come as a new one. Files that
+    grow are followed by stream_growing_lines().
     """
     reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").option("pathGlobFilter", LAYOUTS[layout][0])
     files = reader.text(path, wholetext=True).select(*located(layout, home), F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n").alias("_lines"))
@@ -24,6 +26,19 @@ def stream_lines(spark: SparkSession, path: str, layout: str, home: str | None =
     return rows.select("agent", "home", "session_id", "file", "value", "file_time", F.col("pos").cast("long").alias("pos"), is_object(F.col("value")).alias("good"))
 
 
+def stream_growing_lines(spark: SparkSession, path: str, layout: str, state: str, home: str | None = None, settle: float | None = None, names: str | None = None) -> DataFrame:
+    """Lines as they are appended to files, with the columns of stream_lines(); see sources.growing.
+
+    `state` is a folder that driver and executors share and that belongs to the stream's checkpoint.
+    """
+    spark.dataSource.register(GrowingLines)
+    reader = spark.readStream.format("growing_lines").option("path", path).option("state", state).option("names", names or LAYOUTS[layout][0])
+    if settle is not None:
+        reader = reader.option("settle", str(settle))
+    rows = reader.load().select(*located(layout, home, F.col("file"), F.timestamp_micros("modified")), "pos", "value")
+    return rows.select("agent", "home", "session_id", "file", "value", "file_time", "pos", is_object(F.col("value")).alias("good"))
+
+
 def stream_catalog(turns: DataFrame) -> DataFrame:
     """Sessions as far as they have come: title from the first request, first and last times, number of turns.
 
