@@ -135,3 +135,30 @@ def test_stored_tables(spark, tmp_path):
     back = store.read_table(spark, str(tmp_path / "s"), "turns")
     assert sorted(map(tuple, back.select(turns.columns).collect())) == sorted(map(tuple, turns.collect()))
     assert "PartitionFilters: [isnotnull(agent" in back.where("agent = 'a'")._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize(("window", "recent", "range_rows"), [(600, 3, 1), (200, 0, 4), (3000, 5, 7), (90, 30, 3), (700, 2, 1000)])
+def test_ranges_equal_windows(spark, window, recent, range_rows):
+    rng = random.Random(window)
+    rows = [turn(f"s{n}", i * rng.choice([1, 1, 3]) if n % 2 else i, rng) for n in range(40) for i in range(rng.randint(1, 40))]
+    rows = list({(t[2], t[3]): t if n % 5 else (t[0], None, *t[2:]) for n, t in enumerate(rows)}.values())
+    frame = spark.createDataFrame(rows, SHAPE)
+    targets = spark.createDataFrame([("x", window), ("y", 2 * window)], "target string, window_tokens long")
+    kind = {"targets": targets, "pinned_recent": recent}
+    want = transfer.plan_turns(frame, **kind)
+    columns = sorted(want.columns)
+    key = lambda rows: sorted((tuple(map(str, r)) for r in rows))
+    want = key(want.select(columns).collect())
+    assert key(transfer.plan_long_turns(frame, range_rows=range_rows, **kind).select(columns).collect()) == want
+    assert key(transfer.plan_any_turns(frame, range_rows=range_rows, **kind).select(columns).collect()) == want
+
+
+def test_one_long_session(spark):
+    """A session of a million turns is planned in several tasks: no window holds more than a range of it."""
+    n, cost = 1_000_000, 5
+    turns = with_turn_columns(spark.range(n).select(F.lit("a").alias("agent"), F.lit("h").alias("home"), F.lit("one").alias("session_id"), F.col("id").alias("idx"), F.lit("user").alias("role"), F.lit("message").alias("kind"), F.lit("abc").alias("text")))
+    rows = transfer.plan_any_turns(turns, 1_000_000, budget_share=1.0, pinned_recent=2)
+    # 200,000 turns of 5 tokens fit: the first, and the last of the others.
+    by_task = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.count_if(F.col("drop_reason") == "budget").alias("gone"), F.max(F.when(F.col("drop_reason") == "budget", F.col("idx"))).alias("last")).collect()
+    assert sum(r.n for r in by_task) == n and sum(r.gone for r in by_task) == n - 1_000_000 // cost
+    assert max(r.last for r in by_task) == n - 1_000_000 // cost and len([r for r in by_task if r.n > n / 20]) > 1

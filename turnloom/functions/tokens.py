@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from turnloom.functions.envelope import counted
+
 FRAMING = 4
 EXACT_LIMIT = 262_144
 
@@ -35,6 +37,11 @@ def register_family(name: str, count: Callable[[Column], Column]) -> None:
     _FAMILIES[name] = bounded
 
 
+def register_encoder(name: str, path: str) -> None:
+    """Adds a family that is counted by an encoder's file; see functions.envelope. Its counts never fall as text is appended."""
+    _FAMILIES[name] = counted(path)
+
+
 def estimate(text: Column, family: str = "generic") -> Column:
     """The family's estimate; an unknown family counts by the heuristic, null text costs nothing."""
     return F.coalesce(_FAMILIES.get(family, heuristic)(text), F.lit(0).cast("long"))

@@ -128,6 +128,16 @@ def token_cost_by_lang(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").groupBy("lang", "source").agg(F.count("*").alias("n_docs"), F.sum(tokens.estimate(F.col("text"))).alias("tokens"))
 
 
+@query()
+def token_envelope(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents' tokens by an exact encoder whose counts never fall as text is appended; SQL has no such encoder."""
+    import public_tokenizers
+
+    tokens.register_encoder("byte-bpe", public_tokenizers.path("byte_bpe_50k.json"))
+    rows = table(spark, folder, "documents").select("doc_id", "text").repartition(4 * spark.sparkContext.defaultParallelism)
+    return rows.select("doc_id", tokens.estimate(F.col("text"), "byte-bpe").alias("estimate"), tokens.upper_bound(F.coalesce("text", F.lit(""))).alias("upper_bound"))
+
+
 @query(f"""with {TALK} select session_id, idx, regexp_replace(trim(regexp_replace(text, '[\\s]+', ' ', 'g')), '^(.{{80}}).+$', '\\1…') as claude_title_text,
   case when length(first) > 80 then substr(first, 1, 79) || '…' else first end as codex_title from
   (select *, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> '')[1], '') as first from talk)""")
@@ -149,6 +159,14 @@ def plan_drops(spark: SparkSession, folder: str) -> DataFrame:
     return planned(spark, folder).where("drop_reason is not null").select("agent", "session_id", "idx", "cost", "drop_reason")
 
 
+@query(f"{PLANS} select agent, session_id, idx, cost, drop_reason, pin from planned")
+def plan_long_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn's plan by ranges of eight turns, as for sessions too long for one window."""
+    turns = talk(spark, folder).unionByName(log(spark, folder))
+    rows = transfer.plan_long_turns(turns, WINDOW, budget_share=SHARE, pinned_recent=RECENT, range_rows=8)
+    return rows.select("agent", "session_id", "idx", "cost", "drop_reason", (F.size("pin_reasons") > 0).alias("pin"))
+
+
 TOTALS = ["agent", "session_id", "budget_tokens", "kept_turns", "dropped_turns", "budget_drops", "tail_drops", "bodies_dropped", "estimated_tokens", "pinned_tokens"]
 
 
