@@ -9,7 +9,8 @@ from turnloom.operators import catalog
 from turnloom.plans import export, report, store, transfer, validate
 from turnloom.queries import BLOCKED, CATALOG, DROPPED, PLANS, SHARE, log, planned, query, table, talk
 from turnloom.session import new_folder, written
-from turnloom.sources import claude, codex, pi, tables
+from turnloom.sources import claude, codex, integrity, pi, tables
+from turnloom.sources.lines import scan
 from turnloom.streaming import eras, ingest, snapshots
 
 SESSION = ["agent", "home", "session_id"]
@@ -254,3 +255,17 @@ def growing_lines(spark: SparkSession, folder: str) -> DataFrame:
         lines = ingest.stream_growing_lines(spark, f"{work}/projects", "claude-code", f"{work}/state", settle=0, names="part-*")
         found = ingest.available_now(lines, work)
     return found.select(F.regexp_extract("file", "/session=([^/]*)/", 1).alias("session_id"), "pos", F.get_json_object("value", "$.text").alias("text"))
+
+
+@query("""select cast(conv_id as varchar) as session_id, count(*) as n_lines, case when md5(cast(conv_id as varchar)) < '8' then 'cut line' else 'whole' end as state from conversations group by conv_id""")
+def partial_reads(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations as one file each, the last entry of some cut in the middle, and what the integrity pass says of each."""
+    work = new_folder(spark, "partial")
+    last = F.col("turn") == F.max("turn").over(Window.partitionBy("conv_id"))
+    cut = last & (F.md5(F.col("conv_id").cast("string").cast("binary")) < "8")
+    rows = table(spark, folder, "conversations").withColumn("json", F.to_json(F.struct("role", "text")))
+    rows = rows.select(F.col("conv_id").cast("string").alias("session"), "turn", F.when(cut, F.expr("left(json, length(json) - 1)")).otherwise(F.col("json")).alias("value"))
+    rows.repartition("session").sortWithinPartitions("session", "turn").select("session", "value").write.partitionBy("session").text(f"{work}/projects")
+    lines = scan(spark, f"{work}/projects", "claude-code", names="part-*")
+    files = integrity.partial_files(spark, f"{work}/projects", "claude-code", lines, names="part-*")
+    return files.select(F.regexp_extract("file", "/session=([^/]*)/", 1).alias("session_id"), "n_lines", "state")

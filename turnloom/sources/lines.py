@@ -33,12 +33,12 @@ def located(layout: str, home: str | None = None, file: Column | None = None, mo
     ]
 
 
-def scan(spark: SparkSession, path: str, layout: str, home: str | None = None, modified_after: datetime | None = None) -> DataFrame:
+def scan(spark: SparkSession, path: str, layout: str, home: str | None = None, modified_after: datetime | None = None, names: str | None = None) -> DataFrame:
     """The lines of every file of a layout below a path; .zst archives are read as they are.
 
-    Files that can't be read are skipped; unreadable() names them.
+    Files that can't be read are skipped; unreadable() names them, and integrity.partial_files() those read in part.
     """
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", LAYOUTS[layout][0]).option("ignoreCorruptFiles", "true")
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names or LAYOUTS[layout][0]).option("ignoreCorruptFiles", "true")
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after.strftime("%Y-%m-%dT%H:%M:%S"))
     raw = reader.text(path).select(*located(layout, home), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), "value")
