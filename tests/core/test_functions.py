@@ -78,3 +78,13 @@ def test_numbers_and_commits(spark):
     assert all(r.y == r.want for r in gaps.select("want", text.commit_gap(F.col("a"), F.col("b")).alias("y")).collect())
     ids = spark.range(1000).select(text.seeded_uuid(F.lit("s"), F.col("id")).alias("u"), text.id_shape(text.seeded_uuid(F.lit("s"), F.col("id"))).alias("s"))
     assert ids.distinct().count() == 1000 and ids.where("s <> 'v4'").count() == 0
+
+
+def test_staged_redaction(spark):
+    """The columns of redacted() are the expressions of redact_text(), whatever the other columns are called."""
+    signs = ["password=a", "token: x9", "-u me:you", "--token t", "https://a:b@c", "AKIA" + "A" * 16, "Authorization: Bearer abc", "x-api-key: q", "SECRET_KEY = 'x'", "plain", "é𝄞 _ - : =", "client-secret=1", "-----BEGIN PRIVATE KEY-----\nx\n-----END PRIVATE KEY-----"]
+    rng = __import__("random").Random(6)
+    texts = [None, "", *signs, *(rng.choice([" ", "\n", ";"]).join(rng.sample(signs, rng.randint(1, 5))) for _ in range(200))]
+    rows = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], ["a`b", "text", "x y"]).repartition(3)
+    want = sorted(map(tuple, rows.select("`a``b`", redact.redact_text(F.col("text")), redact.redact_text(F.col("x y"))).collect()))
+    assert sorted(map(tuple, redact.redacted(rows, "text", "x y").collect())) == want

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnloom.operators import catalog
 from turnloom.plans import export, report, store, transfer, validate
 from turnloom.queries import BLOCKED, CATALOG, DROPPED, PLANS, SHARE, log, planned, query, table, talk
-from turnloom.session import new_folder, written
+from turnloom.session import dealt, new_folder, written
 from turnloom.sources import claude, codex, integrity, pi, tables
 from turnloom.sources.lines import scan
 from turnloom.streaming import eras, ingest, snapshots
@@ -194,7 +194,7 @@ def stream_pairing(spark: SparkSession, folder: str) -> DataFrame:
 def redacted_cost(spark: SparkSession, folder: str) -> DataFrame:
     from turnloom.functions import redact, tokens
 
-    clean = table(spark, folder, "documents").select("doc_id", redact.redact_text(F.col("text")).alias("t"))
+    clean = redact.redacted(dealt(table(spark, folder, "documents").select("doc_id", F.col("text").alias("t"))), "t")
     return clean.select("doc_id", tokens.estimate(F.col("t")).alias("cost"))
 
 

@@ -85,32 +85,56 @@ def _has(text: Column, *signs: str) -> Column:
     return reduce(Column.__or__, found)
 
 
+def _steps(x: Column, small: Column, named: Column) -> list[tuple[Column, Callable[[Column], Column]]]:
+    """The passes in order, each with the sign that the text as it came must have: its lower case and whether it has a stem."""
+    plain = lambda pattern, put: lambda t: F.regexp_replace(t, pattern, put)
+    return [
+        (_has(x, "-----BEGIN "), plain(PEM, "[REDACTED]")),
+        (_has(small, "authorization"), plain(AUTHORIZATION, "$1[REDACTED]")),
+        (_has(small, "api-key", "x-auth-token"), plain(API_HEADER, "$1[REDACTED]")),
+        (_has(x, "--"), plain(FLAG, "$1$2[REDACTED]")),
+        (_has(x, "-u"), plain(USER, "$1$2$3[REDACTED]")),
+        (_has(x, "://"), plain(URI, "$1$2:[REDACTED]@")),
+        (named & _has(x, "="), lambda t: replace_matches(t, ASSIGNMENT, _by_name)),
+        (named & _has(x, ":"), lambda t: replace_matches(t, NAMED, _by_name)),
+        (_has(x, "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "AKIA", "AIza"), plain(VENDOR, "[REDACTED]")),
+    ]
+
+
 def redact_text(text: Column) -> Column:
-    """All passes over free text; null stays null. Searches for plain signs decide which passes a text needs."""
+    """All passes over free text; null stays null. Searches for plain signs decide which passes a text needs.
+
+    For one expression among others; for whole tables redacted() is several times faster.
+    """
 
     def passes(x: Column) -> Column:
         small = F.lower(x)
-        close = F.translate(small, "_-", "")
-        named = _has(close, *STEMS)
-        plain = lambda pattern, put: lambda t: F.regexp_replace(t, pattern, put)
-        steps = (
-            (_has(x, "-----BEGIN "), plain(PEM, "[REDACTED]")),
-            (_has(small, "authorization"), plain(AUTHORIZATION, "$1[REDACTED]")),
-            (_has(small, "api-key", "x-auth-token"), plain(API_HEADER, "$1[REDACTED]")),
-            (_has(x, "--"), plain(FLAG, "$1$2[REDACTED]")),
-            (_has(x, "-u"), plain(USER, "$1$2$3[REDACTED]")),
-            (_has(x, "://"), plain(URI, "$1$2:[REDACTED]@")),
-            (named & _has(x, "="), lambda t: replace_matches(t, ASSIGNMENT, _by_name)),
-            (named & _has(x, ":"), lambda t: replace_matches(t, NAMED, _by_name)),
-            (_has(x, "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "AKIA", "AIza"), plain(VENDOR, "[REDACTED]")),
-        )
-        for signed, change in steps:
+        named = _has(F.translate(small, "_-", ""), *STEMS)
+        for signed, change in _steps(x, small, named):
             x = _pass(x, signed, change)
         return x
 
     return F.get(F.transform(F.array(text), passes), 0)
 
 
+def redacted(rows: DataFrame, *names: str) -> DataFrame:
+    """rows with all passes over some text columns: the values of redact_text().
+
+    The signs are columns of one projection and every pass is a column of its own, so all is compiled and a text is
+    lower-cased and searched once.
+    """
+    columns = rows.columns
+    for name in names:
+        x = F.col(name)
+        rows = rows.withColumn("_redact_low", F.lower(x))
+        rows = rows.withColumn("_redact_named", F.translate("_redact_low", "_-", "").rlike("|".join(STEMS)))
+        steps = _steps(x, F.col("_redact_low"), F.col("_redact_named"))
+        rows = rows.withColumns({f"_redact_{i}": signed for i, (signed, _) in enumerate(steps)})
+        for i, (_, change) in enumerate(steps):
+            rows = rows.withColumn(name, F.when(F.col(f"_redact_{i}"), change(x)).otherwise(x))
+    return rows.select(*[F.col(f"`{c.replace('`', '``')}`") for c in columns])
+
+
 #: Patterns by rule; named rules count matches whatever the name.
 RULES = {"pem": PEM, "authorization": AUTHORIZATION, "api_header": API_HEADER, "flag": FLAG, "user": USER, "uri": URI, "vendor": VENDOR}
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from turnloom.functions import redact, text, tokens
 from turnloom.operators import branch, catalog, lookup, membership, pairing
 from turnloom.plans import report, transfer
+from turnloom.session import dealt
 from turnloom.sources import claude, codex, pi, tables
 
 SESSION = ["agent", "home", "session_id"]
@@ -134,7 +135,7 @@ def token_envelope(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     tokens.register_encoder("byte-bpe", public_tokenizers.path("byte_bpe_50k.json"))
-    rows = table(spark, folder, "documents").select("doc_id", "text").repartition(4 * spark.sparkContext.defaultParallelism)
+    rows = dealt(table(spark, folder, "documents").select("doc_id", "text"))
     return rows.select("doc_id", tokens.estimate(F.col("text"), "byte-bpe").alias("estimate"), tokens.upper_bound(F.coalesce("text", F.lit(""))).alias("upper_bound"))
 
 
@@ -522,7 +523,7 @@ def redact_assignments(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def redact_full(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", redact.redact_text(F.col("text")).alias("text"))
+    return redact.redacted(dealt(table(spark, folder, "documents").select("doc_id", "text")), "text")
 
 
 @query("""select source, count(*) as n_rows, cast(sum(strlen(text)) as bigint) as bytes, cast(sum(len(regexp_extract_all(text, '(?:token|password)\\s*=\\s*(?:"[^"\\r\\n]*"|''[^''\\r\\n]*''|[^\\s;&|]+)'))) as bigint) as assignment_hits,
@@ -538,7 +539,7 @@ def redaction_leaks(spark: SparkSession, folder: str) -> DataFrame:
     key = F.upper(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 16))
     planted = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" AKIA"), key)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" ftp://user:"), key, F.lit("@host/x"))).otherwise("")
     rows = table(spark, folder, "documents").select("doc_id", F.concat("text", planted).alias("text"))
-    clean = rows.withColumn("text", redact.redact_text(F.col("text")))
+    clean = redact.redacted(rows, "text")
     found = [redact.leaks(x, "text").select("doc_id", F.lit(stage).alias("stage")) for x, stage in ((rows, "before"), (clean, "after"))]
     return found[0].unionByName(found[1])
 

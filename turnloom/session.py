@@ -24,6 +24,15 @@ def build_session(app: str = "turnloom", cores: str = "*", partitions: int = 8,
     return builder.getOrCreate()
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a table that comes in fewer pieces than there are cores, dealt out to all; others as they are.
+
+    For heavy work on each row: a small table in one file would keep one core busy. A large one is not shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which driver and executors share.
 

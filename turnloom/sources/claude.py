@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.functions.redact import redact_text, render_arguments
+from turnloom.functions.redact import redacted, render_arguments
 from turnloom.functions.text import cut_after, first_line, is_absolute, parsed_iso, wide_trim
 from turnloom.operators.branch import active_path
 from turnloom.operators.catalog import distinct_in_order, first_known
@@ -110,14 +110,14 @@ def turns(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.coalesce("b.name", F.lit("unknown-tool")).alias("tool_name"), F.col("b.id").alias("call_id"), F.col("b.input").alias("input"),
     )
     everything = single.unionByName(texts).unionByName(calls, allowMissingColumns=True)
-    joined = everything.join(answers, [*SESSION, "call_id"], "left").withColumn("arguments_text", F.when(F.col("tool_name").isNotNull(), render_arguments(F.col("input"))))
+    joined = redacted(everything, "text").join(answers, [*SESSION, "call_id"], "left").withColumn("arguments_text", F.when(F.col("tool_name").isNotNull(), render_arguments(F.col("input"))))
     tool = F.col("tool_name").isNotNull()
     recorded = F.coalesce("recorded", F.lit(False))
     line, dropped = outcome_claude(F.concat("tool_name", F.lit("("), "arguments_text", F.lit(")")), F.col("body"), F.coalesce("present", F.lit(False)), F.coalesce("error", F.lit(False)), recorded)
     effect = effect_of(F.col("tool_name"), "claude-code")
     path_of = F.coalesce(*[F.get_json_object("input", f"$.{k}") for k in _PATHS])
     out = joined.select(
-        *SESSION, (F.row_number().over(order) - 1).cast("long").alias("idx"), "role", "kind", redact_text(F.col("text")).alias("text"), "tool_name", "arguments_text",
+        *SESSION, (F.row_number().over(order) - 1).cast("long").alias("idx"), "role", "kind", "text", "tool_name", "arguments_text",
         F.when(tool, line).alias("outcome_line"), effect.alias("effect"), F.when(tool, dropped).alias("body_dropped"), F.when(tool, recorded).alias("result_recorded"),
         F.col("stamp").alias("ts"), F.when(effect == "mutating", F.array_compact(F.array(path_of))).alias("changed_paths"),
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.functions.redact import redact_arguments, redact_text
+from turnloom.functions.redact import redact_arguments, redact_text, redacted
 from turnloom.functions.text import cut_within, first_visible_line, is_absolute, one_line, parsed_iso
 from turnloom.operators.pairing import effect_of, last_results, outcome_codex
 from turnloom.sources.lines import checked, is_blank
@@ -143,7 +143,7 @@ def turns(rows: DataFrame) -> DataFrame:
         "raw_arguments": F.when(is_call, F.coalesce(older, F.lit(""))).when(is_item, F.col("raw_arguments")),
         "output": F.when(is_call, F.col("answer")).otherwise(F.col("output")),
     })
-    kept = kept.withColumn("arguments_text", redact_arguments(F.col("raw_arguments")))
+    kept = redacted(kept, "text").withColumn("arguments_text", redact_arguments(F.col("raw_arguments")))
     head = _head(F.col("tool_name"), F.col("arguments_text"))
     line, dropped = outcome_codex(head, F.col("output"))
     outcome = F.when(F.col("stated").isNotNull() & is_item, redact_text(F.concat(head, F.lit(" → "), "stated"))).otherwise(line)
@@ -155,7 +155,7 @@ def turns(rows: DataFrame) -> DataFrame:
         *SESSION, (F.row_number().over(order) - 1).cast("long").alias("idx"),
         F.when(tool | (F.col("class") == "summary"), F.lit("agent")).otherwise(F.col("role")).alias("role"),
         F.when(tool, F.lit("tool-call")).when(F.col("class") == "summary", F.lit("summary")).otherwise(F.lit("message")).alias("kind"),
-        F.when(tool, F.lit("")).otherwise(redact_text(F.col("text"))).alias("text"), "tool_name", "arguments_text",
+        F.when(tool, F.lit("")).otherwise(F.col("text")).alias("text"), "tool_name", "arguments_text",
         F.when(tool, outcome).alias("outcome_line"), F.when(tool, effect).alias("effect"),
         F.when(tool, F.coalesce("item_dropped", dropped)).alias("body_dropped"), recorded.alias("result_recorded"), F.col("stamp").alias("ts"),
         F.when(is_call & (effect == "mutating"), patched_paths(F.col("raw_arguments"))).when(is_item, F.coalesce("item_paths", F.array().cast("array<string>"))).alias("changed_paths"),

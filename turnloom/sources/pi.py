@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.functions.redact import redact_arguments, redact_text
+from turnloom.functions.redact import redact_arguments, redact_text, redacted
 from turnloom.functions.text import cut_within, is_absolute, iso_utc, one_line, parsed_iso
 from turnloom.operators.branch import active_path, compacted
 from turnloom.operators.catalog import first_known
@@ -82,14 +82,14 @@ def turns(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.when(F.col("b.arguments").startswith("{"), F.col("b.arguments")).otherwise(F.lit("{}")).alias("input"),
     )
     rows = single.unionByName(texts).unionByName(calls, allowMissingColumns=True).join(answers, [*SESSION, "call_id"], "left")
-    rows = rows.withColumn("arguments_text", F.when(F.col("tool_name").isNotNull(), redact_arguments(F.col("input"))))
+    rows = redacted(rows, "text").withColumn("arguments_text", F.when(F.col("tool_name").isNotNull(), redact_arguments(F.col("input"))))
     tool, recorded = F.col("tool_name").isNotNull(), F.coalesce("recorded", F.lit(False))
     head = F.concat("tool_name", F.lit("("), cut_within(one_line(F.col("arguments_text")), 60), F.lit(")"))
     line, dropped = outcome_pi(head, F.col("body"), F.coalesce("present", F.lit(False)), F.coalesce("error", F.lit(False)), recorded)
     effect = effect_of(F.col("tool_name"), "pi")
     path_of = F.coalesce(*[F.nullif(F.trim(F.get_json_object("input", f"$.{k}")), F.lit("")) for k in _PATHS])
     out = rows.select(
-        *SESSION, (F.row_number().over(order) - 1).cast("long").alias("idx"), "role", "kind", redact_text(F.col("text")).alias("text"), "tool_name", "arguments_text",
+        *SESSION, (F.row_number().over(order) - 1).cast("long").alias("idx"), "role", "kind", "text", "tool_name", "arguments_text",
         F.when(tool, line).alias("outcome_line"), effect.alias("effect"), F.when(tool, dropped).alias("body_dropped"), F.when(tool, recorded).alias("result_recorded"),
         F.col("stamp").alias("ts"), F.when(effect == "mutating", F.array_compact(F.array(path_of))).alias("changed_paths"),
     )

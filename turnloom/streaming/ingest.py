@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.functions.redact import redact_text
+from turnloom.functions.redact import redacted
 from turnloom.functions.tokens import turn_cost
 from turnloom.operators.catalog import newest
 from turnloom.sources.growing import GrowingLines
@@ -56,7 +56,7 @@ def stream_catalog(turns: DataFrame) -> DataFrame:
 
 def stream_redacted(turns: DataFrame) -> DataFrame:
     """Turns with redacted text and their cost: the same expressions as in batch, row by row."""
-    return turns.withColumn("text", redact_text(F.col("text"))).withColumn("cost", turn_cost())
+    return redacted(turns, "text").withColumn("cost", turn_cost())
 
 
 def stream_paired(calls: DataFrame, results: DataFrame, wait: str = "1 hour", late: str = "10 minutes") -> DataFrame:
