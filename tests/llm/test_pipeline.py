@@ -40,7 +40,7 @@ def test_empty(spark):
 
 def test_clashing_names(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    names = ["my col", "a.b", "x:y", "of", "_of", "leak", "key", "row", "to_shard", "to_slot", "shard", "slot", "node", "group", "score", "digits", "bucket", "before", "rank", "best", "toxic"]
+    names = ["a`b", "my col", "a.b", "x:y", "of", "_of", "leak", "key", "row", "to_shard", "to_slot", "shard", "slot", "node", "group", "score", "digits", "bucket", "before", "rank", "best", "toxic"]
     wide = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
     for _, stage in P.STAGES[:-1]:
         out = stage(spark, wide, FOLDER)

@@ -5,6 +5,7 @@ import re
 
 import xxhash
 
+from turnloom.llm import components
 from turnloom.llm import simhash as S
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -54,6 +55,21 @@ def test_empty_and_null_ids(spark):
     assert sorted(map(str, (r.doc_id for r in S.representatives(frame).collect()))) == ["3", "None"]
 
 
+def test_links_through_rows_without_ids(spark):
+    """0 and 3, 3 and 15 differ by two bits: what links 5 to 9 is a row without an id."""
+    rows = [(5, 0), (None, 3), (9, 15), (None, 255 << 20), (None, (255 << 20) + 1), (7, -1), (8, 0x7777 << 40), (None, 0x7777 << 40)]
+    got = S.components(spark.createDataFrame(rows, "doc_id long, print long")).collect()
+    assert sorted(((r.doc_id, r.print, r.component_id) for r in got), key=repr) == sorted([(5, 0, 5), (None, 3, 5), (9, 15, 5), (None, 255 << 20, None), (None, (255 << 20) + 1, None), (7, -1, 7), (8, 0x7777 << 40, 8), (None, 0x7777 << 40, 8)], key=repr)
+
+
+def test_few_and_many_links(spark, monkeypatch):
+    rng = random.Random(9)
+    links = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(200)], "a long, b long")
+    few = sorted(map(tuple, components.connected(links).collect()))
+    monkeypatch.setattr(components, "FEW", 0)
+    assert sorted(map(tuple, components.connected(links).collect())) == few
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = brute([(r.doc_id, r.text) for r in docs.collect()])

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.llm.rows import packed_row
 from turnloom.llm.tokens_np import ALNUM, Piece, grams, mixed, pieces, whole_runs
 from turnloom.session import written
 
@@ -186,7 +187,7 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, span: int = SPAN
     named = documents.select(F.sha2("text", 256).alias("doc_id"), "text")
     found = contamination(named, benchmark, span, most_sent).where("n_hit > 0").select(F.col("doc_id").alias("leak")).distinct()
     leaks = written(found, "contaminated")
-    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.sha2("text", 256).alias("key"))
+    packed = documents.select(packed_row(documents), F.sha2("text", 256).alias("key"))
     few = leaks.count() <= MOST_LEAKS
     return packed.join(F.broadcast(leaks) if few else leaks, F.col("key") == F.col("leak"), "left_anti").select("row.*")
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.llm.prefix_sums import bucket_of, bucket_offsets, running_sums, total_buckets
+from turnloom.llm.rows import packed_row
 from turnloom.session import written
 
 WEIGHTS = (3, 1, 2)
@@ -90,7 +91,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     offsets = written(bucket_offsets(placed(thin), "source", F.col("size")), "mix-offsets")
     source = thin
     if keep_rows:
-        source = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "doc_id", "source", digits, word_count(F.col("text")).alias("size"))
+        source = documents.select(packed_row(documents), "doc_id", "source", digits, word_count(F.col("text")).alias("size"))
     sums = running_sums(placed(source), offsets, "source", ["key", "doc_id", "digits", "size"], F.col("size"), "before")
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
     copies = (F.col("epochs") + (F.col("before") < F.col("rest")).cast("long")).alias("copies")

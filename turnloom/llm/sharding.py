@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm.prefix_sums import bucket_of, bucket_offsets, running_sums, total_buckets
+from turnloom.llm.rows import packed_row
 from turnloom.session import written
 
 SHARDS = 8
@@ -55,7 +56,7 @@ def sharded(documents: DataFrame, weights: list[float] | None = None, grown: flo
     offsets = written(bucket_offsets(thin, "shard", F.lit(1)), "shard-offsets")
     rows = thin
     if keep_rows:
-        rows = placed(documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), *columns))
+        rows = placed(documents.select(packed_row(documents), *columns))
     sums = running_sums(rows, offsets, "shard", ["key", "doc_id"], F.lit(1), "slot")
     return sums.select("doc_id", "size", "text_crc32", "shard", "slot", "grown_shard", *["row"] * keep_rows)
 

@@ -12,9 +12,8 @@ candidates if sketches of all their least hashes are not too unlike, and a link
 the two sets of shingles, compared word by word, is at least the one asked for.
 
 Defined results: null, empty and blank texts have fingerprint zero, which is linked like any other; a text of fewer
-words than a shingle has one shingle, all its words; equal texts always share a group; a null doc_id is a component's
-id only where no row of that fingerprint has an id, and such fingerprints of near_duplicates() keep to themselves;
-similar_groups() tells texts apart by themselves, whatever their ids; other columns are ignored.
+words than a shingle has one shingle, all its words; equal texts always share a group; rows without a doc_id link others like
+any row, and a component's id is null only where no row of it has an id; similar_groups() tells texts apart by themselves, whatever their ids; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +32,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from turnloom.llm.components import connected
+from turnloom.llm.rows import packed_row
 from turnloom.llm.tokens_np import strings
 from turnloom.session import written
 
@@ -87,26 +87,31 @@ def _ball(half: int) -> list[int]:
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs (a, b) of nodes (rep, print), b the least of a's variant group; enough for all connections."""
+    """Pairs (a, b) of distinct prints, b the least of a's variant group; enough for all connections."""
     if radius % 2 or not 0 <= radius <= 4:
         raise ValueError("radius must be 0, 2 or 4: half of it is the size of each ball")
     masks = F.array(*[F.lit(m).cast("long") for m in _ball(radius // 2)])
-    spread = nodes.select("rep", "print", F.explode(masks).alias("mask")).select("rep", "print", F.expr("print ^ mask").alias("variant"))
-    least = F.min(F.struct("rep", "print")).over(Window.partitionBy("variant"))
-    met = spread.withColumn("least", least).where(F.col("rep") != F.col("least.rep"))
-    near = F.bit_count(F.expr("print ^ least.print")) <= radius
-    return met.where(near).select(F.col("rep").alias("a"), F.col("least.rep").alias("b")).distinct()
+    spread = nodes.select("print", F.explode(masks).alias("mask")).select("print", F.expr("print ^ mask").alias("variant"))
+    met = spread.withColumn("least", F.min("print").over(Window.partitionBy("variant"))).where("print != least")
+    return met.where(F.bit_count(F.expr("print ^ least")) <= radius).select(F.col("print").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, print, component_id (the least doc_id that links reach)."""
-    prints = written(fingerprints(documents, shingle), "simhash")
-    least = prints.groupBy("print").agg(F.min("doc_id").alias("rep"))
-    anonymous = least.where("rep is null").select("print")
-    nodes = written(least.where("rep is not null"), "simhash-nodes")
-    labels = connected(links(nodes, radius))
-    named = nodes.join(labels, nodes.rep == labels.node, "left").select(F.col("print").alias("of"), F.coalesce("label", "rep").alias("component_id"))
-    named = named.unionByName(anonymous.select(F.col("print").alias("of"), F.lit(None).cast(dict(named.dtypes)["component_id"]).alias("component_id")))
+    return components(written(fingerprints(documents, shingle), "simhash"), radius)
+
+
+def components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """prints (doc_id, print) with component_id, the least doc_id of all rows whose prints links reach."""
+    nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
+    labels = connected(links(nodes, radius))  # without the least node of each group
+    # Most prints have no link and are their own group; the others' groups are few rows beside them.
+    labels = labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
+    grouped = nodes.join(labels, nodes.print == labels.node)
+    least = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
+    linked = written(grouped.select("node", F.col("label").alias("of")).join(least, F.col("of") == F.col("label")).select("node", "component_id"), "simhash-linked")
+    named = nodes.join(linked, nodes.print == linked.node, "left")
+    named = named.select(F.col("print").alias("of"), F.when(F.col("node").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
     named = written(named, "simhash-components")
     return prints.join(named, prints.print == named.of, "left").select("doc_id", "print", "component_id")
 
@@ -328,11 +333,11 @@ def representatives(documents: DataFrame, shingle: int = 5, similarity: float =
         gone = written(groups.where("doc_id != component_id").select(F.col("doc_id").alias("of")), "simhash-gone")
         if gone.agg(F.coalesce(F.sum(F.octet_length(F.col("of").cast("string")) + 16), F.lit(0))).first()[0] <= MOST_LINES:
             gone = F.broadcast(gone)
-        packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "doc_id")
+        packed = documents.select(packed_row(documents), "doc_id")
         return packed.join(gone, F.col("doc_id") == F.col("of"), "left_anti").select("row.*")
     # Ids that are null or repeat can't tell rows apart: rows are told apart by their words and text instead, which
     # gives the same rows where ids do tell them apart.
-    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "text")
+    packed = documents.select(packed_row(documents), "text")
     shape = T.StructType([*packed.schema.fields, T.StructField("node", T.BinaryType())])
     group = groups.select(F.col("node").alias("of_node"), "group").distinct()
     rank = F.struct(F.col("row.doc_id").isNull().alias("unnamed"), F.col("row.doc_id").alias("id"), F.sha2("text", 256).alias("sha"))

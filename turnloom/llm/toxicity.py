@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnloom.llm.rows import packed_row
 from turnloom.llm.tokens_np import ALNUM, _powers, mixed, pieces
 from turnloom.llm.tokens_np import _BYTE_VALUE as BYTE_VALUE
 from turnloom.session import written
@@ -300,7 +301,7 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
 def clean_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is below the threshold, with all their columns."""
     model = fit(documents, labels)
-    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), "text")
+    packed = documents.select(packed_row(documents), "text")
     shape = T.StructType([*packed.schema.fields, T.StructField("score", T.DoubleType())])
     scores = packed.mapInArrow(_scores(model), shape)
     return scores.where(F.col("score") < THRESHOLD).select("row.*")
