@@ -282,7 +282,7 @@ def similar_labels(prints: DataFrame, documents: DataFrame, shingle: int, simila
     labels, turn = None, 0
     while True:
         place = F.xxhash64("node", F.lit(turn))
-        sizes = entries.groupBy("bucket", "label").agg(F.count("*").alias("of_label"), F.min(place).alias("first"))
+        sizes = entries.groupBy("bucket", "label").agg(F.count("*").alias("of_label"), F.min(F.struct(place.alias("place"), "node")).alias("first"))
         largest = F.max(F.struct("of_label", "label"))["label"].alias("largest")
         buckets = sizes.groupBy("bucket").agg(F.sum("of_label").alias("n"), F.min("first").alias("first"), largest, F.count("*").alias("n_labels"))
         buckets = written(buckets.where("n_labels > 1").drop("n_labels"), "similar-open")
@@ -290,12 +290,20 @@ def similar_labels(prints: DataFrame, documents: DataFrame, shingle: int, simila
             return _grown(None, entries.limit(0).selectExpr("node as a", "label as b")) if labels is None else labels
         share = F.lit(float(GROWTH**turn)) / F.col("n")
         last = share >= 1 if turn else F.col("n") <= 2
-        chosen = (place == F.col("first")) | (last | (F.pmod(place, F.lit(1 << 30)) < share * (1 << 30)) if turn else F.lit(False))
+        chosen = (F.col("node") == F.col("first.node")) | last | (F.pmod(place, F.lit(1 << 30)) < share * (1 << 30))
         outside = F.col("label") != F.col("largest") if turn else F.lit(True)
-        rows = entries.join(_sent(buckets), "bucket").select("bucket", "node", "label", "sketch", last.alias("last"), chosen.alias("chosen"), outside.alias("outside"))
+        rows = entries.join(_sent(buckets), "bucket").select("bucket", "node", "label", "sketch", F.col("first.node").alias("first"), last.alias("last"), chosen.alias("chosen"), outside.alias("outside"))
         rows = written(rows, "similar-rows")
-        some = rows.where("chosen").select("bucket", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("sketch").alias("other_sketch"))
-        met = rows.where("outside").join(_sent(some), "bucket").where("label != other_label").where(_unlike("sketch", "other_sketch") <= most_unlike(similarity))
+        if turn:
+            some = rows.where("chosen").select("bucket", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("sketch").alias("other_sketch"), F.col("outside").alias("other_outside"))
+            # Two that would meet each other both ways meet once.
+            met = rows.where("outside").join(_sent(some), "bucket").where("label != other_label and (node < other or not (chosen and other_outside))")
+        else:
+            # A node and the first of its buckets share many of them: each such pair is formed once.
+            pair = rows.where("node != first").groupBy("node", F.col("first").alias("other")).agg(F.first("sketch").alias("sketch"))
+            firsts = rows.where("node = first").groupBy(F.col("node").alias("of")).agg(F.first("sketch").alias("other_sketch"))
+            met = pair.join(_sent(written(firsts, "similar-firsts")), F.col("other") == F.col("of"))
+        met = met.where(_unlike("sketch", "other_sketch") <= most_unlike(similarity))
         # At first few members are met by many others, later few are left that meet many.
         pair = met.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"), F.col("node" if turn else "other").alias("few"))
         pairs = pair.groupBy("a", "b").agg(F.min("few").alias("few")).withColumn("many", F.when(F.col("few") == F.col("a"), F.col("b")).otherwise(F.col("a")))
