@@ -32,6 +32,7 @@ def printable_line(x: Column) -> Column:
 
 def safe_line(x: Column) -> Column:
     """One line without terminal escapes, control characters, invisible format marks and line separators."""
+    # Fixed value: the pattern of terminal escapes.
     escapes = "\x1b(?:\\][^\x07]*(?:\x07|\x1b\\\\)|\\[[0-?]*[ -/]*[@-~])"
     return one_line(F.regexp_replace(F.regexp_replace(x, escapes, " "), r"[\x00-\x1f\x7f-\x9f\p{Cf}\p{Zl}\p{Zp}]", " "))
 

@@ -56,7 +56,7 @@ def active_path(entries: DataFrame, label: str = "uuid") -> tuple[DataFrame, Dat
         jumps = written(jumps.where("up is not null").join(onward, [*SESSION, "up"]).select(*SESSION, "id", F.col("further").alias("up")), "branch-jumps")
     size = branched.groupBy(*SESSION).agg(F.count("*").alias("n"))
     # A path of more steps than the session has entries goes round in a cycle; an id that no entry has is missing.
-    round_ = path.join(size, SESSION).where("steps >= n").select(*SESSION, F.lit("entry graph contains a cycle").alias("reason")).distinct()
+    round_ = path.join(size, SESSION).where("steps >= n").select(*SESSION, F.lit("parents form a cycle").alias("reason")).distinct()
     known = branched.select(*SESSION, "id", "pos")
     lost = path.join(known, [*SESSION, "id"], "left_anti").groupBy(*SESSION).agg(F.min_by("id", "steps").alias("id"))
     lost = lost.join(round_.select(*SESSION), SESSION, "left_anti").select(*SESSION, F.concat(F.lit("an entry refers to missing parent "), "id").alias("reason"))

@@ -42,20 +42,20 @@ def claude_defects(lines: DataFrame, expected: DataFrame) -> DataFrame:
     has_message = whole & ~system & F.coalesce(F.col("e.message").startswith("{"), F.lit(False))
     role = F.when(agent, F.lit("assistant")).otherwise(F.lit("user"))
     rules = [
-        (~whole, "", "the line is not a JSON object"),
-        (whole & ~F.coalesce(F.col("e.type").isin("system", "user", "assistant"), F.lit(False)), "/type", "the entry's type is not one that is shown as a turn"),
-        (whole & ~_text(F.col("e.uuid")), "/uuid", "missing uuid; the transcript chain cannot be built"),
-        (whole & ~F.coalesce(F.col("e.timestamp").rlike(_STAMP), F.lit(False)), "/timestamp", "malformed timestamp; the resume list sorts on it"),
-        (whole & ~F.col("e.sessionId").eqNullSafe(F.col("new_id")), "/sessionId", "the entry's sessionId is not the session's"),
-        (whole & (F.col("pos") == 0) & F.col("e.parentUuid").isNotNull(), "/parentUuid", "the first entry must have a null parentUuid"),
-        (whole & (F.col("pos") > 0) & ~F.col("e.parentUuid").eqNullSafe(F.col("before")), "/parentUuid", "parentUuid does not point at the entry before it"),
-        (whole & system & F.col("e.content").isNull(), "/content", "the marker has no content"),
-        (whole & system & ~((F.col("e.subtype").eqNullSafe("informational")) & F.col("e.level").eqNullSafe("info") & F.col("e.isMeta").eqNullSafe(False)), "", "the marker is not informational"),
-        (no_message, "/message", "null or missing message body"),
-        (has_message & ~F.col("m.role").eqNullSafe(role), "/message/role", "the message's role does not match the entry's type"),
-        (has_message & (~_text(F.col("m.content")) | F.col("m.content").isin("[]", "null")), "/message/content", "empty message content; the turn would be invisible"),
-        (has_message & agent & ~F.coalesce(F.col("m.usage").startswith("{"), F.lit(False)), "/message/usage", "assistant message has no usage object"),
-        (has_message & agent & F.col("m.model").isNull(), "/message/model", "assistant message has no model"),
+        (~whole, "", "no JSON object"),
+        (whole & ~F.coalesce(F.col("e.type").isin("system", "user", "assistant"), F.lit(False)), "/type", "a type that shows no turn"),
+        (whole & ~_text(F.col("e.uuid")), "/uuid", "no uuid for later entries to point at"),
+        (whole & ~F.coalesce(F.col("e.timestamp").rlike(_STAMP), F.lit(False)), "/timestamp", "time not in the layout's form"),
+        (whole & ~F.col("e.sessionId").eqNullSafe(F.col("new_id")), "/sessionId", "belongs to another session"),
+        (whole & (F.col("pos") == 0) & F.col("e.parentUuid").isNotNull(), "/parentUuid", "first in the file, yet it has a parent"),
+        (whole & (F.col("pos") > 0) & ~F.col("e.parentUuid").eqNullSafe(F.col("before")), "/parentUuid", "its parent is not the line above"),
+        (whole & system & F.col("e.content").isNull(), "/content", "marker without text"),
+        (whole & system & ~((F.col("e.subtype").eqNullSafe("informational")) & F.col("e.level").eqNullSafe("info") & F.col("e.isMeta").eqNullSafe(False)), "", "marker of another kind than a notice"),
+        (no_message, "/message", "no message"),
+        (has_message & ~F.col("m.role").eqNullSafe(role), "/message/role", "role and type disagree"),
+        (has_message & (~_text(F.col("m.content")) | F.col("m.content").isin("[]", "null")), "/message/content", "message without content"),
+        (has_message & agent & ~F.coalesce(F.col("m.usage").startswith("{"), F.lit(False)), "/message/usage", "an answer without usage"),
+        (has_message & agent & F.col("m.model").isNull(), "/message/model", "an answer without its model"),
     ]
     return _exploded(rows, [(F.coalesce(bad, F.lit(False)), p, m) for bad, p, m in rules]).unionByName(_counted(lines, expected, F.count("*")))
 
@@ -67,19 +67,19 @@ def codex_defects(lines: DataFrame, expected: DataFrame) -> DataFrame:
     first, p = F.col("pos") == 0, F.col("e.payload")
     meta = F.col("e.type") == "session_meta"
     rules = [
-        (~F.col("good"), "", "the line is not a JSON object"),
-        (first & ~F.coalesce(meta, F.lit(False)), "", "the first entry must be session metadata"),
-        (first & meta & ~(p["id"].eqNullSafe(F.col("new_id")) & p["session_id"].eqNullSafe(F.col("new_id"))), "/payload/id", "session metadata names a different session"),
-        (first & meta & ~is_absolute(p["cwd"]), "/payload/cwd", "session metadata needs an absolute cwd"),
-        (first & meta & ~_text(p["originator"]), "/payload/originator", "session metadata needs originator"),
-        (first & meta & ~_text(p["cli_version"]), "/payload/cli_version", "session metadata needs cli_version"),
-        (first & meta & F.try_to_timestamp(p["timestamp"]).isNull(), "/payload/timestamp", "session metadata needs an ISO timestamp"),
-        (F.col("e.type") == "response_item", "", "model history entries are invisible"),
+        (~F.col("good"), "", "no JSON object"),
+        (first & ~F.coalesce(meta, F.lit(False)), "", "metadata does not come first"),
+        (first & meta & ~(p["id"].eqNullSafe(F.col("new_id")) & p["session_id"].eqNullSafe(F.col("new_id"))), "/payload/id", "metadata of another session"),
+        (first & meta & ~is_absolute(p["cwd"]), "/payload/cwd", "metadata without an absolute directory"),
+        (first & meta & ~_text(p["originator"]), "/payload/originator", "metadata without its originator"),
+        (first & meta & ~_text(p["cli_version"]), "/payload/cli_version", "metadata without a version"),
+        (first & meta & F.try_to_timestamp(p["timestamp"]).isNull(), "/payload/timestamp", "metadata whose time can't be read"),
+        (F.col("e.type") == "response_item", "", "history of the model, which shows no turn"),
     ]
     said = (F.col("e.type") == "event_msg") & p["type"].isin("user_message", "agent_message")
     per = rows.groupBy("new_id").agg(F.count_if(meta).alias("metas"), F.min_by(p["message"], F.when(said & (p["type"] == "user_message"), F.col("pos"))).alias("asked"))
-    many = per.where("metas <> 1").select("new_id", F.lit("items").alias("path"), F.lit("a rollout needs exactly one session metadata entry").alias("message"))
-    mute = per.where(F.col("asked").isNull() | is_blank(F.col("asked"))).select("new_id", F.lit("items").alias("path"), F.lit("no non-empty user message, so the thread would not be listed").alias("message"))
+    many = per.where("metas <> 1").select("new_id", F.lit("items").alias("path"), F.lit("metadata not exactly once").alias("message"))
+    mute = per.where(F.col("asked").isNull() | is_blank(F.col("asked"))).select("new_id", F.lit("items").alias("path"), F.lit("nothing that a user asked").alias("message"))
     counts = _counted(rows, expected, F.count_if(said))
     return _exploded(rows, [(F.coalesce(bad, F.lit(False)), a, m) for bad, a, m in rules]).unionByName(many).unionByName(mute).unionByName(counts)
 
@@ -96,16 +96,16 @@ def pi_defects(lines: DataFrame, expected: DataFrame) -> DataFrame:
     agent = entry & (F.col("e.type") == "message") & (F.col("m.role") == "assistant")
     keys = F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>"))
     rules = [
-        (~F.col("good"), "", "the line is not a JSON object"),
-        (first & ~((F.col("e.type") == "session") & _text(F.col("e.id"))), "", "the first line is not a session header"),
-        (first & (F.col("e.type") == "session") & (F.col("e.id") != F.col("new_id")), "/id", "the header's id is not the session's"),
-        (entry & ~_text(F.col("e.type")), "", "the entry has no type"),
-        (entry & ~_text(F.col("e.id")), "/id", "the entry has no id, so the tree breaks"),
-        (entry & ~F.array_contains(keys, "parentId"), "/parentId", "the entry has no parentId, so the tree breaks"),
-        (entry & F.try_to_timestamp("e.timestamp").isNull(), "/timestamp", "the entry has no ISO-8601 timestamp"),
-        (entry & (F.col("e.type") == "message") & ~F.coalesce(F.col("e.message").startswith("{"), F.lit(False)), "/message", "the message entry carries no message"),
-        (agent & ~has_usage, "/usage", "assistant message has no usage object"),
-        *[(agent & has_usage & number(n), f"/usage/{n.replace('.', '/')}", f"usage.{n} is not a number") for n in ("input", "output", "cacheRead", "cacheWrite", "totalTokens", "cost.total")],
+        (~F.col("good"), "", "no JSON object"),
+        (first & ~((F.col("e.type") == "session") & _text(F.col("e.id"))), "", "no header in the first line"),
+        (first & (F.col("e.type") == "session") & (F.col("e.id") != F.col("new_id")), "/id", "header of another session"),
+        (entry & ~_text(F.col("e.type")), "", "no type"),
+        (entry & ~_text(F.col("e.id")), "/id", "no id for later entries to hang on"),
+        (entry & ~F.array_contains(keys, "parentId"), "/parentId", "no field that names its parent"),
+        (entry & F.try_to_timestamp("e.timestamp").isNull(), "/timestamp", "time that can't be read"),
+        (entry & (F.col("e.type") == "message") & ~F.coalesce(F.col("e.message").startswith("{"), F.lit(False)), "/message", "type message, but none in it"),
+        (agent & ~has_usage, "/usage", "an answer without usage"),
+        *[(agent & has_usage & number(n), f"/usage/{n.replace('.', '/')}", f"no number") for n in ("input", "output", "cacheRead", "cacheWrite", "totalTokens", "cost.total")],
     ]
     return _exploded(rows, [(F.coalesce(bad, F.lit(False)), a, m) for bad, a, m in rules]).unionByName(_counted(lines, expected, F.count_if(F.col("pos") > 0)))
 
