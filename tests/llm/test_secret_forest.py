@@ -1,6 +1,7 @@
 """op5: findings against brute force, held-out accuracy, odd tables and a native plan."""
 
 import re
+import zlib
 
 import numpy as np
 
@@ -9,7 +10,7 @@ from turnloom.llm import secret_forest as S
 SHAPE = "doc_id long, text string, source string"
 
 
-PAIR = re.compile(r"""(?:([A-Za-z][A-Za-z0-9_-]{1,39})["'`]{0,2}[=:]["'`]{0,2})?([A-Za-z0-9+/_-]{8,}={0,2})""")
+PAIR = re.compile(r"""(?:([A-Za-z][A-Za-z0-9_-]+)["'`]{0,2}[=:]["'`]{0,2})?([A-Za-z0-9+/_-]{8,}={0,2})""")
 SECRET = re.compile(S.SECRET_NAMES)
 
 
@@ -91,6 +92,38 @@ def test_trained_on_given_labels(spark):
     assert len(own) == 400 and np.mean([r.is_secret == truth[r.doc_id] for r in own]) > 0.97
 
 
+def test_score_is_held_out(spark):
+    """No label reaches its own finding's answer: turning a fold's labels round leaves that fold's scores as they are."""
+    docs, truth = corpus()
+    frame = spark.createDataFrame(docs, SHAPE)
+    places = {d: i for d, i, _ in brute(docs)}
+    before = {r.doc_id: r for r in S.scanned(frame, spark.createDataFrame([(d, places[d], int(truth[d])) for d, _, _ in docs], "doc_id long, at int, label int")).collect()}
+    mine = {d for d, r in before.items() if zlib.crc32(r.value.encode()) % S.FOLDS == 0}
+    turned = [(d, places[d], int(truth[d]) ^ (d in mine)) for d, _, _ in docs]
+    after = S.scanned(frame, spark.createDataFrame(turned, "doc_id long, at int, label int")).collect()
+    assert len(mine) > 50
+    assert {r.doc_id: r.score for r in after if r.doc_id in mine} == {d: before[d].score for d in mine}
+
+
+def test_planted_without_names(spark):
+    """Secrets that no rule labels are told from wordy values by their characters."""
+    rng = np.random.default_rng(9)
+    key = lambda: "".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789"), 32)) + "7q"
+    wordy = lambda: "-".join(rng.choice(["chapter", "release", "notes", "update", "server", "index"], 4)) + f"-{rng.integers(100)}"
+    plain = "chapter release notes update server index "
+    docs = [(i, f"{plain} password={key()} here" if i % 2 else f"{plain} https://host/{wordy()} here", "s") for i in range(200)]
+    docs += [(1000 + i, f"{plain} it was {key() if i % 2 else wordy()} there", "s") for i in range(100)]
+    rows = [r for r in S.scanned(spark.createDataFrame(docs, SHAPE)).collect() if r.doc_id >= 1000]
+    assert len(rows) == 100 and all(r.label is None for r in rows)
+    assert np.mean([r.is_secret == bool(r.doc_id % 2) for r in rows]) > 0.95
+
+
+def test_long_names_keep_their_value(spark):
+    name = "service_" * 9 + "token"
+    rows = S.candidates(spark.createDataFrame([(1, f"x {name}=abcdefgh12 y", "s")], SHAPE)).collect()
+    assert [(r.name, r.value) for r in rows] == [(name, "abcdefgh12")]
+
+
 def test_odd_tables(spark):
     frame = spark.createDataFrame([(1, None, None), (2, "token=" + "a1" * 20, "p"), (2, "token=" + "a1" * 20, "p")], SHAPE)
     rows = S.digest(S.scanned(frame)).collect()
