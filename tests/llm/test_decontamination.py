@@ -72,3 +72,14 @@ def test_clean_rows_keep_although_ids_repeat(spark):
     for most in (D.MOST_SENT, 0):
         kept = D.clean_documents(frame, bench, most_sent=most)
         assert kept.columns == frame.columns and {tuple(r) for r in kept.collect()} == {docs[1], docs[3], docs[4]}
+
+
+def test_hot_windows(spark):
+    """A phrase that many items share and many documents repeat meets each document once, not once for each item and place."""
+    phrase = "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9"
+    docs = [(d, " ".join([phrase] * 20) + f" end{d}") for d in range(300)]
+    items = [(i, f"{phrase} item{i}") for i in range(200)] + [(900, phrase), (901, "other words")]
+    for most in (D.MOST_SENT, 0):
+        rows = ours(spark, docs, items, most_sent=most)
+        assert len(rows) == 300 and {(r[2], r[3]) for r in rows} == {(200, 201)}
+    assert ours(spark, docs[:3], items) == brute(docs[:3], items)

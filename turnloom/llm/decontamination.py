@@ -153,20 +153,26 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
     source = documents.select("doc_id", "text")
     shape = f"doc_id {dict(source.dtypes)['doc_id']}, n_words long, hits array<struct<start: long, length: int, window: string>>"
     if known.count() <= most_sent:
-        prints = np.array([r[0] for r in known.collect()], dtype=np.int64)
+        prints = known.toArrow()["print"].to_numpy()
         found = source.mapInArrow(_document_hits(lengths, prints), shape)
     else:
-        own = source.mapInArrow(_document_prints(lengths), f"doc_id {dict(source.dtypes)['doc_id']}, print long")
-        matched = own.join(known, "print", "left_semi").groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
-        matched = matched.withColumnRenamed("doc_id", "of")
-        joined = source.join(matched, F.col("doc_id").eqNullSafe(F.col("of")), "left").drop("of")
+        # Ids may be null or repeat; equal texts have equal fingerprints, so rows meet theirs by the text.
+        named = source.withColumn("key", F.sha2("text", 256))
+        own = named.select(F.col("key").alias("doc_id"), "text").mapInArrow(_document_prints(lengths), "doc_id string, print long")
+        matched = own.join(known, "print", "left_semi").groupBy("doc_id").agg(F.collect_set("print").alias("prints")).withColumnRenamed("doc_id", "of")
+        joined = named.join(matched, F.col("key") == F.col("of"), "left").drop("of", "key")
         found = joined.mapInArrow(_document_hits(lengths, None), shape)
     rows = written(found.withColumn("row", F.monotonically_increasing_id()), "document-hits")
     hits = rows.where(F.size("hits") > 0).select("row", F.explode("hits").alias("hit")).select("row", "hit.*")
-    pairs = hits.join(windows.select("length", "window", "item"), ["length", "window"])
-    items = pairs.select("row", "item").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    # Windows of one item set are one thing to a document: it meets each set once, however many windows and places it has.
+    shared = windows.groupBy("length", "window").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("set", F.sha2(F.to_json("items"), 256))
+    shared = written(shared, "benchmark-sets")
+    sets = shared.select(F.col("set").alias("of"), "items").dropDuplicates(["of"])
+    places = hits.join(shared.select("length", "window", "set"), ["length", "window"])
+    met = places.select("row", "set").distinct().join(sets, F.col("set") == F.col("of"))
+    items = met.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     spans = (
-        pairs.select("row", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
+        places.select("row", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
         .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     )
     covered = F.aggregate(
