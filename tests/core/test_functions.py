@@ -88,3 +88,13 @@ def test_staged_redaction(spark):
     rows = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], ["a`b", "text", "x y"]).repartition(3)
     want = sorted(map(tuple, rows.select("`a``b`", redact.redact_text(F.col("text")), redact.redact_text(F.col("x y"))).collect()))
     assert sorted(map(tuple, redact.redacted(rows, "text", "x y").collect())) == want
+
+
+def test_json_fingerprint(spark):
+    same = ['{"a":1,"b":{"x":[{"p":null,"q":""}],"y":"é"}}', '{ "b": {"y":"é", "x":[{"q":"","p":null}]},\n "a":1 }']
+    others = ['{"a":1,"b":{"x":[{"q":""}],"y":"é"}}', '{"a":1,"b":{"x":[{"p":"","q":""}],"y":"é"}}', '{"a":1,"b":{"x":[{"p":null,"q":null}],"y":"é"}}', "[1,2]", "[2,1]", "null", '""']
+    broken = ["{", "", None, '{"a":1} x', "1] , [2", "1,2"]
+    rows = spark.createDataFrame([(t,) for t in same + others + broken], "t string").select(text.json_fingerprint(F.col("t"))).collect()
+    prints = [r[0] for r in rows]
+    assert prints[0] == prints[1] and len(set(prints[: len(same + others)])) == len(others) + 1 and all(p.startswith("v1-sha256-") for p in prints[: len(same + others)])
+    assert prints[-len(broken) :] == [None] * len(broken)

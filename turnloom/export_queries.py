@@ -78,6 +78,49 @@ def validate_defects(spark: SparkSession, folder: str) -> DataFrame:
     return wrong.join(keys, "new_id").groupBy("agent", "session_id").agg(F.count("*").cast("int").alias("n_defects"))
 
 
+def _defects(lines: DataFrame, damaged: DataFrame, layout: str) -> DataFrame:
+    """agent, session_id and path of each defect of damaged lines, which should be as many as the sound ones."""
+    damaged = written(damaged, "damaged-lines")
+    keys = lines.select("agent", "session_id", "new_id").distinct()
+    return validate.DEFECTS[layout](damaged, export.item_counts(lines, layout)).join(keys, "new_id").select("agent", "session_id", "path")
+
+
+KEPT_COUNT = f"""{PLANS}, {OPEN}, n as (select agent, session_id, count(*) as n from kept group by agent, session_id)"""
+
+
+@query(f"""{KEPT_COUNT} select agent, session_id, path from n join (values ('items/1/sessionId', 1), ('items/2/uuid', 2), ('items/3/parentUuid', 3), ('items/4/timestamp', 4),
+    ('items/5', 5), ('items/6/parentUuid', 6), ('items/7/message/role', 7), ('itemCount', 9)) as d(path, least) on n >= least""")
+def damaged_claude(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of another session, without uuid, with a broken time, cut, with a wrong role, and lines that are lost: each
+    defect, and the broken links of the chain that follow from it."""
+    lines = written(_lines(spark, folder, "claude-code"), "sound-lines")
+    value, pos = F.col("value"), F.col("pos")
+    harm = (
+        F.when(pos == 1, F.regexp_replace(value, '"sessionId":"[^"]*"', '"sessionId":"other"')).when(pos == 2, F.regexp_replace(value, '"uuid":"[^"]*"', '"uuid":""'))
+        .when(pos == 4, F.regexp_replace(value, '"timestamp":"[^"]*"', '"timestamp":"yesterday"')).when(pos == 5, F.substring(value, 1, 20))
+        .when(pos == 7, F.regexp_replace(value, '"role":"[a-z]*"', '"role":"nobody"')).otherwise(value)
+    )
+    return _defects(lines, lines.withColumn("value", harm).where("pos < 9"), "claude-code")
+
+
+@query(f"""{KEPT_COUNT}, placed as (select agent, session_id, role, row_number() over (partition by agent, session_id order by idx) + 1 as pos from kept)
+  select agent, session_id, path from n join (values ('items/0/id', 1), ('items/2/id', 1), ('items/3/parentId', 2), ('items/4/timestamp', 3), ('items/5', 4), ('itemCount', 7)) as d(path, least) on n >= least
+  union all select agent, session_id, 'items/6/usage' from placed where pos = 6 and role <> 'user'
+  union all select agent, session_id, 'items/7/usage/cost/total' from placed where pos = 7 and role <> 'user'""")
+def damaged_pi(spark: SparkSession, folder: str) -> DataFrame:
+    """A header of another session, entries without id, without a parent's field, with a broken time, cut, answers without
+    usage or with a cost that is no number, and lines that are lost: each defect."""
+    lines = written(_lines(spark, folder, "pi"), "sound-lines")
+    value, pos = F.col("value"), F.col("pos")
+    harm = (
+        F.when(pos == 0, F.regexp_replace(value, '"id":"[^"]*"', '"id":"other"')).when(pos == 2, F.regexp_replace(value, '"id":"[^"]*"', '"id":""'))
+        .when(pos == 3, F.regexp_replace(value, '"parentId":', '"parent":')).when(pos == 4, F.regexp_replace(value, '"timestamp":"[^"]*"', '"timestamp":"never"'))
+        .when(pos == 5, F.substring(value, 1, 20)).when(pos == 6, F.regexp_replace(value, '"usage":', '"used":'))
+        .when(pos == 7, F.regexp_replace(value, '"total":[0-9.]+', '"total":"much"')).otherwise(value)
+    )
+    return _defects(lines, lines.withColumn("value", harm).where("pos < 8"), "pi")
+
+
 @query(f"{PLANS}, {OPEN} select agent, session_id, count(*) as sent, count(*) - case when session_id in ('3', '4') then 1 else 0 end as stored, session_id not in ('3', '4') as ok from kept group by agent, session_id")
 def reconcile(spark: SparkSession, folder: str) -> DataFrame:
     """Rollouts written to bundles and read back; of two sessions the last line is lost on the way."""

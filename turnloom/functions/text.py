@@ -149,3 +149,17 @@ def seeded_uuid(seed: Column, index: Column) -> Column:
 def fingerprint(*columns: Column) -> Column:
     """v1-sha256-<hex> of the values in the order given; null is the empty text."""
     return F.concat(F.lit("v1-sha256-"), F.sha2(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns]), 256))
+
+
+def canonical_json(json: Column) -> Column:
+    """JSON text with the keys of all objects sorted and no blanks, by way of VARIANT, whose objects are stored in key order.
+    A field that is null, one that is '' and one that is not there stay apart; text that is no JSON gives null."""
+    # Parsing stops after the first value, so the text is followed by its own digest, which nothing in it can foresee.
+    end = F.sha2(json, 256)
+    both = F.try_parse_json(F.concat(F.lit("["), json, F.lit(',"'), end, F.lit('"]')))
+    return F.when(F.try_variant_get(both, "$[1]", "string") == end, F.to_json(F.try_variant_get(both, "$[0]", "variant")))
+
+
+def json_fingerprint(json: Column) -> Column:
+    """v1-sha256-<hex> of the canonical JSON, so that the order of keys and blanks don't count; null without JSON."""
+    return F.concat(F.lit("v1-sha256-"), F.sha2(canonical_json(json), 256))

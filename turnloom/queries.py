@@ -222,6 +222,24 @@ def plan_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return transfer.plans(planned(spark, folder), SHARE).select("agent", "session_id", text.fingerprint(*parts).alias("fingerprint"))
 
 
+@query("""select conv_id, turn, 'v1-sha256-' || sha256('{' || case turn % 4 when 0 then '"note":null,' when 1 then '"note":"",' else '' end
+    || '"parts":[{"role":' || to_json(role) || ',"text":' || to_json(text) || '}],"session":{"id":' || conv_id || ',"turn":' || turn || '}}') as fingerprint
+  from conversations where text is not null and role is not null""")
+def json_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn as JSON whose keys come in two orders, with a note that is null, empty or not there."""
+    c = table(spark, folder, "conversations").where("text is not null and role is not null")
+    keep = {"ignoreNullFields": "false"}
+    note = F.when(F.col("turn") % 4 == 1, F.lit("")).alias("note")
+    one = [F.struct(F.col("turn"), F.col("conv_id").alias("id")).alias("session"), F.array(F.struct("text", "role")).alias("parts")]
+    two = [F.array(F.struct("role", "text")).alias("parts"), F.struct(F.col("conv_id").alias("id"), F.col("turn")).alias("session")]
+    noted, odd = F.col("turn") % 4 < 2, F.col("conv_id") % 2 == 1
+    shapes = (
+        F.when(noted & odd, F.to_json(F.struct(*one, note), keep)).when(noted, F.to_json(F.struct(note, *two), keep))
+        .when(odd, F.to_json(F.struct(*one), keep)).otherwise(F.to_json(F.struct(*two), keep))
+    )
+    return c.select("conv_id", "turn", text.json_fingerprint(shapes).alias("fingerprint"))
+
+
 @query(f"""with {TALK}, targets as (select * from (values ('claude-code', 200000, 1500), ('codex', 258400, null), ('pi', 200000, null)) t(agent, declared, override)),
   costs as (select session_id, cast(sum({HEURISTIC.format('text')} + 4) as bigint) as tokens from talk group by session_id)
   select session_id, agent as target, cast(coalesce(override, declared) as bigint) as window_tokens, cast(floor(0.3 * coalesce(override, declared)) as bigint) as budget_tokens, tokens as total_cost from costs, targets""")
