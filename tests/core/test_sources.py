@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from turnloom.operators import branch
 from turnloom.sources import claude, codex, pi, tables
 from turnloom.sources.lines import checked, identified, scan, unreadable
 
@@ -210,3 +211,21 @@ def test_stream_of_files_is_the_scan(spark, tmp_path):
     assert stream.drop("good").columns == batch.columns
     assert sorted(map(tuple, stream.drop("good").collect())) == sorted(map(tuple, batch.collect()))
     assert [r.value for r in stream.where("not good").collect()] == ["no json"]
+
+
+def test_entries_off_the_live_path(spark):
+    chain = [
+        claude_entry("a", None, "user", "root"), claude_entry("b", "a", "assistant", "dead end", 1), claude_entry("s", "a", "user", "aside", 2, isSidechain=True),
+        {"type": "summary", "summary": "no id"}, claude_entry("c", "a", "assistant", "live", 3), claude_entry("d", "c", "user", "leaf", 4),
+    ]
+    path, off = claude.paths(lines(spark, "claude-code", chain))
+    assert sorted(r.pos for r in path.collect()) == [0, 4, 5]
+    assert sorted((r.pos, r.type, r.reason) for r in off.collect()) == [(1, "assistant", "other branch"), (2, "user", "sidechain"), (3, "summary", "no id")]
+    assert [(r.skipped, r.types) for r in branch.skipped(off).collect()] == [(3, ["assistant", "summary", "user"])]
+    head = {"type": "session", "id": "s0", "timestamp": stamp(0), "cwd": "/repo"}
+    entry = lambda i, up, type_="message": {"type": type_, "id": i, "parentId": up, "timestamp": stamp(1), "message": {"role": "user", "content": i}}
+    path, off = pi.paths(lines(spark, "pi", [head, entry("a", None), entry("b", "a", "label"), entry("c", "a"), entry("d", "c")]))
+    assert sorted(r.pos for r in path.collect()) == [1, 3, 4]
+    assert [(r.pos, r.type, r.reason) for r in off.collect()] == [(2, "label", "other branch")]
+    path, off = claude.paths(lines(spark, "claude-code", [claude_entry("a", "gone", "user", "lost")]))
+    assert path.count() == 0 and [(r.pos, r.reason) for r in off.collect()] == [(0, "other branch")]

@@ -67,6 +67,24 @@ def active_path(entries: DataFrame, label: str = "uuid") -> tuple[DataFrame, Dat
     return simple.unionByName(found), wrong.unionByName(rejects)
 
 
+def off_path(entries: DataFrame, path: DataFrame) -> DataFrame:
+    """Entries that the live path leaves out: keys, pos, type, reason ("sidechain", "no id" or "other branch").
+
+    entries has the keys, pos, id, type and, where the layout has sidechains, `side`; path is the one of active_path().
+    Sessions without a path (rejected ones) have all their entries here.
+    """
+    side = F.coalesce(F.col("side"), F.lit(False)) if "side" in entries.columns else F.lit(False)
+    reason = F.when(side, F.lit("sidechain")).when(F.coalesce("id", F.lit("")) == "", F.lit("no id")).otherwise(F.lit("other branch"))
+    left = entries.join(path.select(*SESSION, "pos"), [*SESSION, "pos"], "left_anti")
+    return left.select(*SESSION, "pos", "type", reason.alias("reason"))
+
+
+def skipped(off: DataFrame) -> DataFrame:
+    """Per session how many entries off_path() gives, and their types in order (a type that is null counts as "")."""
+    counted = off.groupBy(*SESSION, F.coalesce("type", F.lit("")).alias("type")).agg(F.count("*").alias("n"))
+    return counted.groupBy(*SESSION).agg(F.sum("n").alias("skipped"), F.array_sort(F.collect_list("type")).alias("types"))
+
+
 def compacted(path: DataFrame) -> DataFrame:
     """What the last compaction of each path leaves, in order: `part` 0 the compaction, 1 kept or retained, 2 after it.
 

@@ -508,6 +508,36 @@ def claude_reader(spark: SparkSession, folder: str) -> DataFrame:
     return claude.turns(_lines(c, "claude-code", value))[0].select("session_id", "idx", "role", "kind", "text", "ts")
 
 
+# Of five entries the fourth is a sidechain and the fifth a branch from the second; a last fifth entry makes its branch live.
+FORKED = """with e as (select cast(conv_id as varchar) as session_id, turn, role, max(turn) filter (turn % 5 <> 3) over (partition by conv_id) as leaf from conversations),
+  s as (select session_id, turn as pos, case when role = 'assistant' then 'assistant' else 'user' end as type, case when turn % 5 = 3 then 'sidechain'
+    when case when leaf % 5 = 4 then turn = leaf or (turn % 5 <> 4 and turn <= leaf - 3) else turn % 5 <> 4 end then 'live' else 'other branch' end as reason from e)"""
+
+
+def _forked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    turn = F.col("turn")
+    back = F.when(turn % 5 == 4, 3).when((turn % 5 == 0) & (turn > 0), 3).when(turn > 0, 1)
+    value = F.to_json(F.struct(
+        F.when(F.col("role") == "assistant", F.lit("assistant")).otherwise(F.lit("user")).alias("type"), F.concat(F.lit("u"), turn.cast("string")).alias("uuid"),
+        F.concat(F.lit("u"), (turn - back).cast("string")).alias("parentUuid"), (turn % 5 == 3).alias("isSidechain"), _stamp().alias("timestamp"),
+        F.struct(F.col("role").alias("role"), F.col("text").alias("content")).alias("message"),
+    ), {"ignoreNullFields": "false"})
+    return claude.paths(_lines(table(spark, folder, "conversations"), "claude-code", value))
+
+
+@query(f"{FORKED} select session_id, pos, reason from s")
+def entry_states(spark: SparkSession, folder: str) -> DataFrame:
+    """Every entry of forked sessions: on the live path, or left out and why."""
+    path, off = _forked(spark, folder)
+    return path.select("session_id", "pos", F.lit("live").alias("reason")).unionByName(off.select("session_id", "pos", "reason"))
+
+
+@query(f"{FORKED} select session_id, count(*) as skipped, string_agg(distinct type, ',' order by type) as types from s where reason <> 'live' group by session_id")
+def skipped_entries(spark: SparkSession, folder: str) -> DataFrame:
+    found = branch.skipped(_forked(spark, folder)[1])
+    return found.select("session_id", "skipped", F.array_join("types", ",").alias("types"))
+
+
 @query(READ)
 def pi_reader(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "conversations")

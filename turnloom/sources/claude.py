@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.redact import redacted, render_arguments
 from turnloom.functions.text import cut_after, first_line, is_absolute, parsed_iso, wide_trim
-from turnloom.operators.branch import active_path
+from turnloom.operators.branch import active_path, off_path
 from turnloom.operators.catalog import distinct_in_order, first_known
 from turnloom.operators.pairing import effect_of, last_results, outcome_claude
 from turnloom.session import written
@@ -66,6 +66,13 @@ def entries(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, broken.withColumn("reason", F.lit("a line is not a JSON object"))
 
 
+def paths(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(live path as of active_path(), entries that it leaves out as of off_path()) of the files' lines."""
+    rows = written(entries(lines)[0], "claude-entries")
+    path, _ = active_path(rows.where(~F.col("broken") & ~F.col("side") & F.col("id").isNotNull()))
+    return path, off_path(rows, path)
+
+
 def turns(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(turns, catalog, rejects) of the files' lines."""
     rows, broken = entries(lines)
@@ -82,7 +89,7 @@ def turns(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     body = F.when(listed.isNull(), F.when(~F.coalesce(result["content"].startswith("{"), F.lit(False)), result["content"])).when(F.size(texts) > 0, F.array_join(texts, "\n"))
     present = F.when(listed.isNotNull(), F.size(listed) > 0).otherwise(F.coalesce(result["content"] != "", F.lit(False))) | F.col("structured")
     answers = results.where((result["type"] == "tool_result") & result["tool_use_id"].isNotNull()).select(
-        *SESSION, result["tool_use_id"].alias("call_id"), (F.col("depth") * 100_000 + F.col("n")).alias("pos"), body.alias("body"), present.alias("present"), F.coalesce(result["is_error"], F.lit(False)).alias("error"),
+        *SESSION, result["tool_use_id"].alias("call_id"), F.struct("depth", "n").alias("pos"), body.alias("body"), present.alias("present"), F.coalesce(result["is_error"], F.lit(False)).alias("error"),
     )
     answers = last_results(answers).withColumn("recorded", F.lit(True))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnloom.functions.redact import redact_arguments, redact_text, redacted
 from turnloom.functions.text import cut_within, is_absolute, iso_utc, one_line, parsed_iso
-from turnloom.operators.branch import active_path, compacted
+from turnloom.operators.branch import active_path, compacted, off_path
 from turnloom.operators.catalog import first_known
 from turnloom.operators.pairing import effect_of, last_results, outcome_pi
 from turnloom.session import written
@@ -42,6 +42,14 @@ def entries(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return heads, body, rejects
 
 
+def paths(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(live path as of active_path(), entries that it leaves out as of off_path()) of the files' lines."""
+    _, body, cut = entries(lines)
+    body = written(body, "pi-entries")
+    path, _ = active_path(body.join(cut.select(*SESSION), SESSION, "left_anti"), "id")
+    return path, off_path(body, path)
+
+
 def turns(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(turns, catalog, rejects) of the files' lines."""
     heads, body, cut = entries(lines)
