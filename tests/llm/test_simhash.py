@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 import xxhash
 
 from turnloom.llm import components
@@ -170,3 +171,68 @@ def test_texts_that_share_an_id_stay(spark):
     docs = [(3, "a b c d e f g"), (3, "k l m n o p q"), (None, "t u v w x y z")]
     kept = S.representatives(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept), key=str) == sorted(docs, key=str)
+
+
+def _brute(lines, similarity=0.8):
+    """The components of all pairs of that similarity, by union of sets."""
+    sets, group = [set(S.shingles(x.encode(), 5)) for x in lines], list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if group[i] != group[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    return dict(enumerate(group))
+
+
+def test_crowds_of_unlike_texts_meet_by_rare_shingles(spark, monkeypatch):
+    """Texts that share a long passage and a band, some of them alike beyond it: few pairs are formed, no link is lost."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    passage, lines = " ".join(word() for _ in range(150)), []
+    for g in range(500):
+        own = [word() for _ in range(50)]
+        lines.append(f"{passage} {' '.join(own)}")
+        if g % 10 == 0:
+            own[7] = word()
+            lines.append(f"{passage} {' '.join(own)}")
+    frame, n_pairs, judged = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), [], S._judged
+    monkeypatch.setattr(S, "_judged", lambda pairs, *rest: n_pairs.append(pairs.count()) or judged(pairs, *rest))
+    rows = {r.doc_id: r.component_id for r in S.similar_groups(frame).collect()}
+    assert rows == _brute(lines)
+    assert sum(n_pairs) < 4 * len(lines)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rare_buckets_hold_every_similar_pair(spark, seed):
+    rng = random.Random(20 + seed)
+    word = lambda: f"w{rng.randrange(12)}"
+    lines = [" ".join(word() for _ in range(rng.choice((0, 1, 4, 9, 60)))) for _ in range(20)]
+    for _ in range(60):
+        own = rng.choice(lines).split(" ")
+        own[rng.randrange(len(own))] = word()
+        lines.append(" ".join(own[: len(own) - rng.randrange(3)]))
+    lines = sorted(set(lines))
+    sets = [set(S.shingles(x.encode(), 5)) for x in lines]
+    frame = spark.createDataFrame([(x.encode(), x.encode()) for x in lines], "node binary, line binary")
+    buckets = {}
+    for r in S._rare_buckets(frame.select("node"), frame, 5, 0.8).collect():
+        buckets.setdefault(bytes(r.node).decode(), set()).add(r.bucket)
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                assert buckets[a] & buckets[b]
+
+
+def test_crowd_of_none_gives_all_links(spark, monkeypatch):
+    """Dealt again from the first member on, groups are those of brute force."""
+    monkeypatch.setattr(S, "CROWD", 0)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    base, lines = [word() for _ in range(150)], []
+    for _ in range(80):
+        own = list(base)
+        for at in rng.sample(range(150), rng.choice((1, 2, 4))):
+            own[at] = word()
+        lines.append(" ".join(own))
+    rows = S.similar_groups(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == _brute(lines)

@@ -128,6 +128,8 @@ WIDE = 4
 BANDS, ROWS = 32, 10
 #: The number of members of a bucket that others are compared with grows by this factor each turn, from one to all.
 GROWTH = 8
+#: A bucket with more members outside its largest component is dealt again by rare shingles instead of comparing them all.
+CROWD = 128
 _SALTS = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 2048
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -259,35 +261,55 @@ def _grown(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return connected(links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
 
 
-def similar_labels(prints: DataFrame, documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(node, label) of every node that has a link: components of the pairs that share a bucket and are that similar.
+def _tokens(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, line in zip(batch.column("node").to_pylist(), batch.column("line").to_pylist(), strict=True):
+                values = np.unique(np.array([xxh64_intdigest(x, _SEED) for x in set(shingles(line, shingle))], dtype=np.uint64)).view(np.int64)
+                for i in range(0, len(values), _PART):
+                    part = pa.array(values[i : i + _PART])
+                    yield pa.RecordBatch.from_arrays([pa.array([node] * len(part), pa.binary()), part, pa.array(np.full(len(part), len(values)))], ["node", "token", "size"])
 
-    At first all members of a bucket are compared with one of them, the same one in all buckets that have it. A bucket
-    whose members are by then in one component is done. In the others, the members outside the bucket's largest component
-    are compared with a growing share of the members of other components, at last with all of them. So no pair of
-    one component is compared for nothing, and a bucket is done only when its members are in one component or all its pairs
-    between components have been compared: no link between components is lost. To be compared word by word, two
-    sketches may differ in no more than most_unlike() says.
+    return run
+
+
+def _rare_buckets(crowd: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(bucket, node) of the nodes of a crowd, by their rarest shingles: each pair that is similar enough has a bucket in common.
+
+    Shingles are ordered by the number of the crowd's texts that have them, then by value. Of two sets of at least this
+    Jaccard similarity s, each has at least s times its size in common with the other, so the first shingle in common is
+    among the size - ceil(s * size) + 1 first ones of both. A passage that many texts share comes last in the order, so
+    texts that have nothing else in common don't meet. A shingle of one text alone is no bucket.
     """
-    distinct = prints.groupBy("node").agg(F.first("bands").alias("bands"))
-    members = written(distinct.select("node", F.explode(F.array_distinct("bands")).alias("bucket")), "similar-members")
-    shared = written(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "similar-buckets")
-    live = written(members.join(_sent(shared), "bucket").select("bucket", "node"), "similar-live")
-    wanted = _sent(written(live.select(F.col("node").alias("of")).distinct(), "similar-wanted"))
-    sketches = prints.select("node", "sketch").join(wanted, F.col("node") == F.col("of"), "left_semi")
-    sketches = sketches.groupBy("node").agg(F.first("sketch").alias("sketch"))
-    entries = written(live.join(sketches, "node").select("bucket", "node", F.col("node").alias("label"), "sketch"), "similar-entries")
-    lines = documents.select("text").mapInArrow(_words_of, "node binary, line binary")
-    lines = written(lines.join(wanted, F.col("node") == F.col("of"), "left_semi").groupBy("node").agg(F.first("line").alias("line")), "similar-lines")
-    labels, turn = None, 0
+    tokens = lines.join(_sent(crowd.select(F.col("node").alias("of"))), F.col("node") == F.col("of"), "left_semi").select("node", "line").mapInArrow(_tokens(shingle), "node binary, token long, size long")
+    tokens = written(tokens, "similar-tokens")
+    common = written(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "similar-common")
+    placed = tokens.join(_sent(common), "token", "left")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "token"))
+    first = placed.withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - F.lit(1e-9)) + 1)
+    return first.where("n is not null").select(F.col("token").alias("bucket"), "node")
+
+
+def _settled(entries: DataFrame, labels: DataFrame | None, lines: DataFrame, shingle: int, similarity: float, crowd: int | None) -> tuple[DataFrame | None, list[DataFrame]]:
+    """The labels (node, label) that links within the buckets of entries (bucket, node, label, sketch) lead to.
+
+    Buckets that after the first turn have more than `crowd` members outside their largest component are left; their nodes come back too.
+    """
+    turn, left = 0, []
     while True:
         place = F.xxhash64("node", F.lit(turn))
         sizes = entries.groupBy("bucket", "label").agg(F.count("*").alias("of_label"), F.min(F.struct(place.alias("place"), "node")).alias("first"))
-        largest = F.max(F.struct("of_label", "label"))["label"].alias("largest")
-        buckets = sizes.groupBy("bucket").agg(F.sum("of_label").alias("n"), F.min("first").alias("first"), largest, F.count("*").alias("n_labels"))
+        most = F.max(F.struct("of_label", "label"))
+        buckets = sizes.groupBy("bucket").agg(F.sum("of_label").alias("n"), F.min("first").alias("first"), most["label"].alias("largest"), most["of_label"].alias("most"), F.count("*").alias("n_labels"))
         buckets = written(buckets.where("n_labels > 1").drop("n_labels"), "similar-open")
+        if turn and crowd is not None:
+            crowded = buckets.where(F.col("n") - F.col("most") > crowd).select("bucket")
+            nodes = written(entries.join(_sent(crowded), "bucket", "left_semi").select("node").distinct(), "similar-crowd")
+            if nodes.limit(1).count():
+                left.append(nodes)
+                buckets = buckets.where(F.col("n") - F.col("most") <= crowd)
         if not buckets.limit(1).count():
-            return _grown(None, entries.limit(0).selectExpr("node as a", "label as b")) if labels is None else labels
+            return labels, left
         share = F.lit(float(GROWTH**turn)) / F.col("n")
         last = share >= 1 if turn else F.col("n") <= 2
         chosen = (F.col("node") == F.col("first.node")) | last | (F.pmod(place, F.lit(1 << 30)) < share * (1 << 30))
@@ -300,9 +322,9 @@ def similar_labels(prints: DataFrame, documents: DataFrame, shingle: int, simila
             met = rows.where("outside").join(_sent(some), "bucket").where("label != other_label and (node < other or not (chosen and other_outside))")
         else:
             # A node and the first of its buckets share many of them: each such pair is formed once.
-            pair = rows.where("node != first").groupBy("node", F.col("first").alias("other")).agg(F.first("sketch").alias("sketch"))
-            firsts = rows.where("node = first").groupBy(F.col("node").alias("of")).agg(F.first("sketch").alias("other_sketch"))
-            met = pair.join(_sent(written(firsts, "similar-firsts")), F.col("other") == F.col("of"))
+            pair = rows.where("node != first").groupBy("node", F.col("first").alias("other")).agg(F.first("label").alias("label"), F.first("sketch").alias("sketch"))
+            firsts = rows.where("node = first").groupBy(F.col("node").alias("of")).agg(F.first("label").alias("other_label"), F.first("sketch").alias("other_sketch"))
+            met = pair.join(_sent(written(firsts, "similar-firsts")), F.col("other") == F.col("of")).where("label != other_label")
         met = met.where(_unlike("sketch", "other_sketch") <= most_unlike(similarity))
         # At first few members are met by many others, later few are left that meet many.
         pair = met.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"), F.col("node" if turn else "other").alias("few"))
@@ -310,11 +332,52 @@ def similar_labels(prints: DataFrame, documents: DataFrame, shingle: int, simila
         pairs = written(pairs, "similar-candidates")
         judged = written(_judged(pairs, lines, shingle, similarity).where("good").select("a", "b"), "similar-links")
         labels = _grown(labels, judged)
-        named = rows.where("not last").select("bucket", "node", "sketch").join(_sent(labels.withColumnRenamed("node", "of")), F.col("node") == F.col("of"), "left")
-        entries = written(named.select("bucket", "node", F.coalesce("label", "node").alias("label"), "sketch"), "similar-entries")
+        entries = _relabelled(rows.where("not last").select("bucket", "node", "sketch"), labels)
         turn += 1
 
 
+def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (bucket, node, sketch) with their node's label."""
+    named = rows.join(_sent(labels.withColumnRenamed("node", "of")), F.col("node") == F.col("of"), "left")
+    return written(named.select("bucket", "node", F.coalesce("label", "node").alias("label"), "sketch"), "similar-entries")
+
+
+def similar_labels(prints: DataFrame, documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, label) of every node that has a link: components of the pairs that share a bucket and are that similar.
+
+    At first all members of a bucket are compared with one of them, the same one in all buckets that have it. A bucket
+    whose members are by then in one component is done. In the others, the members outside the bucket's largest component
+    are compared with a growing share of the members of other components, at last with all of them. So no pair of
+    one component is compared for nothing, and a bucket is done only when its members are in one component or all its pairs
+    between components have been compared: no link between components is lost. To be compared word by word, two
+    sketches may differ in no more than most_unlike() says.
+
+    Where more than CROWD members are outside a bucket's largest component, comparing all of them would grow with the
+    square of the bucket. Such buckets' members are dealt again into buckets of their rarest shingles, in which every pair
+    of that similarity meets, and settled in the same way.
+    """
+    distinct = prints.groupBy("node").agg(F.first("bands").alias("bands"))
+    members = written(distinct.select("node", F.explode(F.array_distinct("bands")).alias("bucket")), "similar-members")
+    shared = written(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "similar-buckets")
+    live = written(members.join(_sent(shared), "bucket").select("bucket", "node"), "similar-live")
+    wanted = _sent(written(live.select(F.col("node").alias("of")).distinct(), "similar-wanted"))
+    sketches = prints.select("node", "sketch").join(wanted, F.col("node") == F.col("of"), "left_semi")
+    sketches = sketches.groupBy("node").agg(F.first("sketch").alias("sketch"))
+    entries = written(live.join(sketches, "node").select("bucket", "node", F.col("node").alias("label"), "sketch"), "similar-entries")
+    lines = documents.select("text").mapInArrow(_words_of, "node binary, line binary")
+    lines = written(lines.join(wanted, F.col("node") == F.col("of"), "left_semi").groupBy("node").agg(F.first("line").alias("line")), "similar-lines")
+    labels, left = _settled(entries, None, lines, shingle, similarity, CROWD)
+    if labels is None:
+        return _grown(None, entries.limit(0).selectExpr("node as a", "label as b"))
+    if left:
+        buckets = written(_rare_buckets(reduce(DataFrame.unionByName, left).distinct(), lines, shingle, similarity), "similar-rare")
+        again = buckets.join(_sent(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")), "bucket", "left_semi")
+        sketches = prints.join(_sent(again.select(F.col("node").alias("of")).distinct()), F.col("node") == F.col("of"), "left_semi").groupBy(F.col("node").alias("of")).agg(F.first("sketch").alias("sketch"))
+        entries = _relabelled(again.join(sketches, F.col("node") == F.col("of")).select("bucket", "node", "sketch"), labels)
+        labels, _ = _settled(entries, labels, lines, shingle, similarity, None)
+    return labels
+
+
 def _labelled(documents: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """doc_id and node of every row, and the label of every node that has links."""
     source = documents.select("doc_id", "text")
