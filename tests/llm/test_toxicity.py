@@ -77,3 +77,40 @@ def test_rare_toxic_words_are_found_among_many_common_ones(spark):
     model = T.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
     beginnings = next(T._features(pa.array(["vilebad1"])))[1][1:]
     assert len(beginnings) == 3 and set(beginnings) <= set(model.values)
+
+
+def test_entries_beyond_what_is_sent_give_the_same_scores(spark, corpus, monkeypatch):
+    frame = spark.createDataFrame([d[:4] for d in corpus], "doc_id long, text string, lang string, score string")
+    labels = spark.createDataFrame([(d[0], d[4]) for d in corpus], "doc_id long, toxic int")
+    sent = T.fit(frame, labels)
+    monkeypatch.setattr(T, "MOST_SENT", 0)
+    joined = T.fit(frame, labels)
+    assert len(sent.values) and (sent.values == joined.values).all()
+    assert np.allclose(sent.weights, joined.weights, atol=1e-12)
+
+
+def test_counts_and_scores_by_brute_force(spark, corpus):
+    """Entries are recounted by plain loops, and scores are added up entry by entry."""
+    frame = spark.createDataFrame([d[:2] for d in corpus], "doc_id long, text string")
+    model = T.fit(frame, spark.createDataFrame([(d[0], d[4]) for d in corpus], "doc_id long, toxic int"))
+    taught = [d for d in corpus if zlib.crc32(str(d[0]).encode()) % 4 != 2]
+    of = {d[0]: {b.decode() for w in d[1].encode().split() for b in (b"=" + w, *(w[:n] for n in (4, 5, 6) if len(w) > n))} for d in corpus}
+    counts, totals = {}, [0, 0]
+    for d in taught:
+        totals[d[4]] += 1
+        for x in of[d[0]]:
+            counts.setdefault(x, [0, 0])[d[4]] += 1
+    tried = {x: c for x, c in counts.items() if c[1] >= T.LEAST_DOCUMENTS}
+    least = np.sqrt(2 * np.log(len(tried)))
+    good = {x for x, (c0, c1) in tried.items() if T.likelihood_ratio(np.float64(c1), np.float64(c0), totals[1], totals[0]) > least and T.surely(np.float64(c1), np.float64(c1 + c0)) >= T.LEAST_PRECISION}
+
+    def value(x):
+        values = next(T._features(pa.array([x[1:] if x[0] == "=" else x + "q"])))[1]
+        return values[0] if x[0] == "=" else values[len(x) - 3]
+
+    by_value = {int(value(x)): x for x in good}
+    assert set(by_value) == set(map(int, model.values))
+    weight = {by_value[int(v)]: w for v, w in zip(model.values, model.weights[: len(model.values)], strict=True)}
+    for r in T.scored(frame, model).collect():
+        odds = model.weights[-1] + sum(weight[x] for x in of[r.doc_id] if x in weight)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-9)

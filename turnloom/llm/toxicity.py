@@ -12,7 +12,8 @@
 4. A linear classifier over the mined entries and patterns, fitted to the label model's posterior.
 
 Training rows are those labels whose crc32 of doc_id mod 4 is not 2. Steps 3 and 4 fit on at most FIT_ROWS of them, taken
-by a hash of doc_id; everything else covers all rows. Scores use the text alone.
+by a hash of doc_id and text, rows that agree in both once; everything else covers all rows. Entries stay in a table, and
+the model has only those that the rows of the fit have (others would weigh nothing). Scores use the text alone.
 
 Defined results: null and empty texts have no entries and get the score of a text without any; null labels, null ids and
 labels without a document teach nothing; repeated rows are scored each; without any toxic or any clean training row
@@ -28,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from turnloom.llm.rows import packed_row
 from turnloom.llm.tokens_np import ALNUM, _powers, mixed, pieces
@@ -36,7 +36,8 @@ from turnloom.llm.tokens_np import _BYTE_VALUE as BYTE_VALUE
 from turnloom.session import written
 
 FIT_ROWS = 60_000
-#: Labelled rows that tasks get as a table (16 bytes each); more are joined by a shuffle.
+#: Labelled rows that tasks get as a table (16 bytes each), and mined entries that they get as an array (8 bytes each);
+#: more are joined by a shuffle, with the same results.
 MOST_SENT = 1_000_000
 #: Of the documents with an entry at least so many are toxic, at the lower end of a 95 % interval.
 LEAST_PRECISION = 0.5
@@ -120,27 +121,57 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(v[first].astype(np.int64)), pa.array(k[first]), pa.array(c1), pa.array(n - c1)], ["value", "kind", "c1", "c0"])
 
 
-def _entries(values: np.ndarray, first: int):
-    """Rows with the positions of the entries that their text has, and of patterns after them."""
+def _entries(values: np.ndarray | None):
+    """Rows with the values among these that their text has (all of its values if None), and its patterns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(values)
+        index = None if values is None else Index(values)
         for batch in batches:
-            rows, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for r, v, _ in _features(batch.column("text")):
-                found, where = index.find(r, v)
-                rows.append(found)
-                at.append(where)
-            marks = np.argwhere(_patterns(batch.column("text").to_pylist()))
-            rows, at = np.concatenate([*rows, marks[:, 0]]), np.concatenate([*at, marks[:, 1] + first])
-            order = np.argsort(rows, kind="stable")
-            offsets = np.searchsorted(rows[order], np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(offsets, at[order].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), lists], ["doc_id", "toxic", "entries"])
+                if index is not None:
+                    r, at = index.find(r, v)
+                    v = index.values[at]
+                rows.append(r)
+                found.append(v)
+            row, value = np.concatenate(rows), np.concatenate(found)
+            order = np.lexsort((value, row))
+            row, value = row[order], value[order]
+            new = np.ones(len(row), dtype=bool)
+            new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+            offsets = np.searchsorted(row[new], np.arange(batch.num_rows + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(offsets, value[new].view(np.int64))
+            marks = pa.array(_patterns(batch.column("text").to_pylist()).tolist(), pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("toxic"), lists, marks], ["key", "toxic", "entries", "patterns"])
 
     return run
 
 
+def _sampled(sampled: DataFrame, good: DataFrame) -> pa.Table:
+    """Of the sampled rows (key, text, toxic), those of one key once: toxic, the good entries that the text has, its patterns."""
+    shape = "key long, toxic int, entries array<long>, patterns array<boolean>"
+    if good.count() <= MOST_SENT:
+        rows = sampled.mapInArrow(_entries(good.select("value").toArrow().column("value").to_numpy().view(np.uint64)), shape)
+        rows = rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("toxic", "entries", "patterns")])
+    else:
+        rows = written(sampled.mapInArrow(_entries(None), shape).groupBy("key").agg(*[F.first(c).alias(c) for c in ("toxic", "entries", "patterns")]), "toxic-sample")
+        met = rows.select("key", F.explode("entries").alias("value")).join(good.select("value"), "value", "left_semi")
+        met = met.groupBy(F.col("key").alias("of")).agg(F.sort_array(F.collect_list("value")).alias("found"))
+        none = F.array().cast("array<bigint>")
+        rows = rows.join(met, F.col("key") == F.col("of"), "left").select("key", "toxic", F.coalesce("found", none).alias("entries"), "patterns")
+    return rows.toArrow().sort_by("key")
+
+
+def _strengths(good: DataFrame, values: np.ndarray):
+    """value, kind and strength of these entries, by ascending unsigned value."""
+    if good.count() > MOST_SENT:
+        wanted = good.sparkSession.createDataFrame(pa.table({"of": values.view(np.int64)}))
+        good = good.join(wanted, F.col("value") == F.col("of"), "left_semi")
+    rows = good.toArrow().to_pandas()  # three numbers for each entry
+    rows = rows[np.isin(rows["value"].to_numpy().view(np.uint64), values)]
+    return rows.iloc[np.argsort(rows["value"].to_numpy().view(np.uint64))].reset_index(drop=True)
+
+
 # -- models ----------------------------------------------------------------------------------------------------------
 
 
@@ -243,7 +274,6 @@ def _taught(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, least_precision: float = LEAST_PRECISION, least_documents: int = LEAST_DOCUMENTS) -> Model:
     """Mines entries, fits the label model and the classifier."""
     taught = _taught(documents, labels)
-    kind = dict(taught.dtypes)["doc_id"]
     totals = {r[0]: r[1] for r in taught.groupBy("toxic").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
@@ -255,19 +285,23 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, least
     # for toxicity: long clean texts have many entries that are only commoner in toxic ones.
     least = float(np.sqrt(2 * np.log(max(2, counted.count()))))
     good = counted.withColumn("strength", _likelihood_ratio(n1, n0)).where((F.col("strength") > least) & (_surely() >= least_precision))
-    passed = good.select("value", "kind", "strength").toArrow().to_pandas()  # three numbers for each entry
-    passed = passed.assign(value=passed["value"].to_numpy().view(np.uint64)).drop_duplicates("value").sort_values("value")
-    values = passed["value"].to_numpy()
+    good = written(good.groupBy("value").agg(F.min(F.struct("kind", "strength")).alias("of")).select("value", "of.kind", "of.strength"), "toxic-entries")
+    share = min(1.0, fit_rows / (n1 + n0))
+    key = F.xxhash64("doc_id", "text")
+    sampled = taught.where(F.pmod(key, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(key.alias("key"), "text", "toxic")
+    sample = _sampled(sampled, good).slice(0, fit_rows)
+    column = sample.column("entries").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    of, found = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())), column.flatten().to_numpy().view(np.uint64)
+    # An entry that no row of the sample has would get the weight 0, so the model grows with the sample alone.
+    passed = _strengths(good, np.unique(found))
+    values = passed["value"].to_numpy().view(np.uint64)
     size = len(values) + len(_PATTERNS) + 1
     rank = passed.sort_values(["strength", "value"], ascending=[False, True]).groupby("kind").cumcount().reindex(passed.index)
     lexicon = passed["kind"].to_numpy().astype(np.int64) * _LEXICONS + rank.to_numpy() % _LEXICONS
     turn = np.append(lexicon, LEXICON_VOTERS + np.arange(len(_PATTERNS) + 1))
-    share = min(1.0, fit_rows / (n1 + n0))
-    sampled = taught.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    sample = sampled.mapInArrow(_entries(values, len(values)), f"doc_id {kind}, toxic int, entries array<int>").select("toxic", "entries").toArrow().slice(0, fit_rows)
-    column = sample.column("entries").combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    of, at = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())), column.flatten().to_numpy()
+    marks = np.argwhere(np.array(sample.column("patterns").to_pylist(), dtype=bool).reshape(len(column), len(_PATTERNS) + 1))
+    of, at = np.concatenate([of, marks[:, 0]]), np.concatenate([np.searchsorted(values, found), marks[:, 1] + len(values)])
     votes = np.zeros((len(column), LEXICON_VOTERS + len(_PATTERNS) + 2), dtype=bool)
     votes[of, turn[at]] = True
     votes[:, -1] = sample.column("toxic").to_numpy() == 1
@@ -276,35 +310,33 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, least
 
 
 def _scores(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The scores of a column of texts; rows stay with Spark, only their texts go to Python."""
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index, weights = Index(model.values), model.weights
         n = len(model.values)
-        for batch in batches:
-            score = np.full(batch.num_rows, weights[-1])
-            for rows, values, _ in _features(batch.column("text")):
+        for column in texts:
+            score = np.full(len(column), weights[-1])
+            for rows, values, _ in _features(column):
                 found, at = index.find(rows, values)
-                score += np.bincount(found, weights[at], minlength=batch.num_rows)
-            score += _patterns(batch.column("text").to_pylist()) @ weights[n:-1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(score, -50, 50))))], [*batch.schema.names, "score"])
+                score += np.bincount(found, weights[at], minlength=len(column))
+            score += _patterns(column.to_pylist()) @ weights[n:-1]
+            yield pa.array(1 / (1 + np.exp(-np.clip(score, -50, 50))))
 
-    return run
+    return F.arrow_udf(run, "double")
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted for every row."""
-    source = documents.select("doc_id", "text")
-    kind = dict(source.dtypes)["doc_id"]
-    scores = source.mapInArrow(_scores(model), f"doc_id {kind}, text string, score double")
+    scores = documents.select("doc_id", _scores(model)(F.col("text").cast("string")).alias("score"))
     return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def clean_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is below the threshold, with all their columns."""
     model = fit(documents, labels)
-    packed = documents.select(packed_row(documents), "text")
-    shape = T.StructType([*packed.schema.fields, T.StructField("score", T.DoubleType())])
-    scores = packed.mapInArrow(_scores(model), shape)
-    return scores.where(F.col("score") < THRESHOLD).select("row.*")
+    packed = documents.select(packed_row(documents), _scores(model)(F.col("text").cast("string")).alias("score"))
+    return packed.where(F.col("score") < THRESHOLD).select("row.*")
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
