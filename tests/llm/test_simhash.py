@@ -197,7 +197,11 @@ def test_crowds_of_unlike_texts_meet_by_rare_shingles(spark, monkeypatch):
             lines.append(f"{passage} {' '.join(own)}")
     frame, n_pairs, judged = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), [], S._judged
     monkeypatch.setattr(S, "_judged", lambda pairs, *rest: n_pairs.append(pairs.count()) or judged(pairs, *rest))
+    dealt, rare = [], S._rare_buckets
+    monkeypatch.setattr(S, "_rare_buckets", lambda crowd, *rest: dealt.append(crowd.count()) or rare(crowd, *rest))
+    monkeypatch.setattr(S, "CROWD", 8)  # bands here have about 30 members
     rows = {r.doc_id: r.component_id for r in S.similar_groups(frame).collect()}
+    assert dealt[0] > 200
     assert rows == _brute(lines)
     assert sum(n_pairs) < 4 * len(lines)
 
