@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -31,7 +31,8 @@ ENVIRONMENTS = ("env", "environment", "environmentvariables")
 _S = f"[{WIDE_SPACE}]"
 _NS = f"[^{WIDE_SPACE}"
 _B = "(?<![A-Za-z0-9_])"
-_V = f"(?:\"[^\"\r\n]*\"|'[^'\r\n]*'|{_NS};&|]+)"
+UNQUOTED = f"{_NS};&|]+"
+_V = f"(?:\"[^\"\r\n]*\"|'[^'\r\n]*'|{UNQUOTED})"
 PEM = r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----[\s\S]*?-----END \1-----"
 AUTHORIZATION = f"(?i)({_B}(?:authorization|proxy-authorization){_S}*:{_S}*)(?:Bearer|Basic){_S}+{_NS},;]+"
 API_HEADER = f"(?i)({_B}(?:x-api-key|api-key|x-auth-token){_S}*:{_S}*){_NS},;]+"
@@ -44,6 +45,10 @@ NAMED = (
     f"({_S}*:{_S}*)(\"[^\"\r\n]*\"|'[^'\r\n]*'|{_NS},;}}]+(?=[,;}}]|[\r\n]|$)|{_NS},;}}]*[0-9]{_NS},;}}]*)"
 )
 VENDOR = f"{_B}(?:sk-(?:proj-|svcacct-)?[A-Za-z0-9_-]{{12,}}|gh[pousr]_[A-Za-z0-9]{{20,}}|github_pat_[A-Za-z0-9_]{{20,}}|xox[baprs]-[A-Za-z0-9-]{{12,}}|AKIA[0-9A-Z]{{16}}|AIza[0-9A-Za-z_-]{{30,}})(?![A-Za-z0-9_])"
+#: A sign that every match has, a pattern and what takes its place, for passes of one's own choice.
+Rule = tuple[str, str, str]
+_ASCII_SPACE = "\t\n\x0c\r "
+ACCESS_KEY: Rule = ("AKIA", f"{_B}AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9_])", MARK)
 _HEAD = f"^([\"']?)([A-Za-z_][A-Za-z0-9_-]*)\\1({_S}*[:=]{_S}*)"
 
 
@@ -117,8 +122,13 @@ def redact_text(text: Column) -> Column:
     return F.get(F.transform(F.array(text), passes), 0)
 
 
-def redacted(rows: DataFrame, *names: str) -> DataFrame:
-    """rows with all passes over some text columns: the values of redact_text().
+def assigned(name: str, value: str = _V) -> Rule:
+    """The rule of values assigned to one name as it is written, whatever stands before it; white space is that of ASCII."""
+    return name, f"({name}[{_ASCII_SPACE}]*=[{_ASCII_SPACE}]*){value.replace(WIDE_SPACE, _ASCII_SPACE)}", f"$1{MARK}"
+
+
+def redacted(rows: DataFrame, *names: str, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """rows with all passes over some text columns: the values of redact_text(). With rules, their passes alone, in order.
 
     The signs are columns of one projection and every pass is a column of its own, so all is compiled and a text is
     lower-cased and searched once.
@@ -126,6 +136,11 @@ def redacted(rows: DataFrame, *names: str) -> DataFrame:
     columns = rows.columns
     for name in names:
         x = F.col(name)
+        if rules is not None:
+            rows = rows.withColumns({f"_redact_{i}": _has(x, sign) for i, (sign, _, _) in enumerate(rules)})
+            for i, (_, pattern, put) in enumerate(rules):
+                rows = rows.withColumn(name, F.when(F.col(f"_redact_{i}"), F.regexp_replace(x, pattern, put)).otherwise(x))
+            continue
         rows = rows.withColumn("_redact_low", F.lower(x))
         rows = rows.withColumn("_redact_named", F.translate("_redact_low", "_-", "").rlike("|".join(STEMS)))
         steps = _steps(x, F.col("_redact_low"), F.col("_redact_named"))
