@@ -160,10 +160,14 @@ def sensitive_matches(text: Column, pattern: str) -> Column:
     return F.size(F.filter(names, is_sensitive))
 
 
-def redaction_report(rows: DataFrame, text: str, *keys: str) -> DataFrame:
-    """Per group: rows, bytes, rows that redaction changes, and matches of each rule (of sensitive names for named rules)."""
-    counts = {name: F.regexp_count(F.col(text), F.lit(p)) for name, p in RULES.items()}
-    counts |= {"assignment": sensitive_matches(F.col(text), ASSIGNMENT), "named": sensitive_matches(F.col(text), NAMED)}
+def redaction_report(rows: DataFrame, text: str, *keys: str, patterns: Mapping[str, str] | None = None) -> DataFrame:
+    """Per group: rows, bytes, rows that redaction changes, and matches of each rule (of sensitive names for named rules).
+
+    With patterns by name, their matches alone.
+    """
+    counts = {name: F.regexp_count(F.col(text), F.lit(p)) for name, p in (RULES if patterns is None else patterns).items()}
+    if patterns is None:
+        counts |= {"assignment": sensitive_matches(F.col(text), ASSIGNMENT), "named": sensitive_matches(F.col(text), NAMED)}
     narrow = rows.select(*keys, F.octet_length(text).alias("bytes"), *[F.coalesce(c, F.lit(0)).alias(f"{n}_hits") for n, c in counts.items()])
     hits = [F.col(f"{n}_hits") for n in counts]
     total = sum(hits[1:], hits[0])
