@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import decontamination, mixing, sharding, simhash, toxicity
-from turnloom.session import new_folder
+from turnloom.session import lean_workers, new_folder
 
 #: SQL cannot express the trained classifier of the first stage.
 ORACLE_SQL = None
@@ -18,16 +18,22 @@ ORACLE_SQL = None
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below its threshold."""
+    lean_workers(spark)
     return toxicity.clean_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are 0.8 alike or more: that of the least doc_id."""
+    """One document of each group whose five-word shingles are 0.8 alike or more: that of the least doc_id.
+
+    Candidates come from SimHash fingerprints by ball hashing and, beyond a ball's reach, from bands of least hashes.
+    """
+    lean_workers(spark)
     return simhash.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
+    lean_workers(spark)
     return decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -3,8 +3,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from turnloom.llm import components
 from turnloom.llm import simhash as S
@@ -240,3 +242,28 @@ def test_crowd_of_none_gives_all_links(spark, monkeypatch):
         lines.append(" ".join(own))
     rows = S.similar_groups(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in rows} == _brute(lines)
+
+
+def test_similar_texts_of_near_fingerprints_meet_without_a_band(spark):
+    words = [f"w{i}" for i in range(400)]
+    lines = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(f"v{i}" for i in range(400))]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    print_of = lambda x: S.fingerprint(x.encode(), 5)
+    assert bin((print_of(lines[0]) ^ print_of(lines[1])) & (1 << 64) - 1).count("1") <= S.RADIUS
+    shape = "doc_id long, node binary, print long, bands array<long>, sketch array<long>"
+    prints = docs.mapInArrow(S._banded(5), shape).withColumn("bands", F.array(F.col("doc_id")))
+    assert [r.print for r in prints.orderBy("doc_id").collect()] == [print_of(x) for x in lines]
+    found = S.similar_labels(prints, docs, 5, 0.8).collect()
+    assert {bytes(x) for r in found for x in (r.node, r.label)} == {S._node(x.encode()) for x in lines[:2]}
+
+
+def test_ball_buckets_hold_every_near_pair(spark):
+    rng = np.random.default_rng(3)
+    base = [int(x) for x in rng.integers(0, 1 << 62, 20)]
+    prints = [b ^ sum(1 << int(k) for k in rng.choice(62, n, replace=False)) for b in base for n in (0, 0, 1, 2, 3)]
+    rows = S.ball_buckets(spark.createDataFrame(list(enumerate(prints)), "node long, print long")).collect()
+    own = [{r.bucket for r in rows if r.node == i} for i in range(len(prints))]
+    for i, a in enumerate(prints):
+        for j, b in enumerate(prints[:i]):
+            if (a ^ b).bit_count() <= 2:
+                assert own[i] & own[j]

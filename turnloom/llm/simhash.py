@@ -7,9 +7,10 @@ as many as the ball has members, whatever the data) are linked to the least of t
 The links of one variant are a star over a clique, so no connection is lost. Groups are connected components.
 
 near_duplicates() is that, exactly, at a small radius. similar_groups() looks for texts of a given similarity of word
-shingles, whose fingerprints are further apart than a ball can reach: texts that agree in a band of least hashes are
-candidates if sketches of all their least hashes are not too unlike, and a link is kept only if the Jaccard similarity of
-the two sets of shingles, compared word by word, is at least the one asked for.
+shingles. Their candidates come from the same fingerprints and balls, and an exact check follows; texts of that similarity whose
+fingerprints are further apart than a ball can reach are candidates where they agree in a band of least hashes. Either way
+sketches of all least hashes must not be too unlike, and a link is kept only if the Jaccard similarity of the two sets of
+shingles, compared word by word, is at least the one asked for.
 
 Defined results: null, empty and blank texts have fingerprint zero, which is linked like any other; a text of fewer
 words than a shingle has one shingle, all its words; equal texts always share a group; rows without a doc_id link others like
@@ -53,14 +54,16 @@ def _majority(hashes: np.ndarray) -> int:
 def fingerprint(text: bytes, shingle: int) -> int:
     """The fingerprint of one text, as a signed 64-bit number."""
     words = text.lower().split()
-    if not words:
-        return 0
-    line = b" ".join(words)
+    return _majority(_hashes(b" ".join(words), words, shingle)) if words else 0
+
+
+def _hashes(line: bytes, words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of a line of words, repeats included."""
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     n = max(1, len(words) - shingle + 1)
     starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
     stops = ends[-n:].tolist()
-    return _majority(np.array([xxh64_intdigest(line[a:b], _SEED) for a, b in zip(starts, stops, strict=True)], dtype=">u8"))
+    return np.array([xxh64_intdigest(line[a:b], _SEED) for a, b in zip(starts, stops, strict=True)], dtype=">u8")
 
 
 def _fingerprints(shingle: int):
@@ -86,16 +89,30 @@ def _ball(half: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
+def _variants(nodes: DataFrame, radius: int) -> DataFrame:
+    """(print, variant) for the members of each print's ball."""
+    masks = F.array(*[F.lit(m).cast("long") for m in _ball(radius // 2)])
+    return nodes.select("print", F.explode(masks).alias("mask")).select("print", F.expr("print ^ mask").alias("variant"))
+
+
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs (a, b) of distinct prints, b the least of a's variant group; enough for all connections."""
     if radius % 2 or not 0 <= radius <= 4:
         raise ValueError("radius must be 0, 2 or 4: half of it is the size of each ball")
-    masks = F.array(*[F.lit(m).cast("long") for m in _ball(radius // 2)])
-    spread = nodes.select("print", F.explode(masks).alias("mask")).select("print", F.expr("print ^ mask").alias("variant"))
+    spread = _variants(nodes, radius)
     met = spread.withColumn("least", F.min("print").over(Window.partitionBy("variant"))).where("print != least")
     return met.where(F.bit_count(F.expr("print ^ least")) <= radius).select(F.col("print").alias("a"), F.col("least").alias("b")).distinct()
 
 
+def ball_buckets(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(node, bucket) of nodes (node, print): two whose prints are at most `radius` bits apart have a variant as a bucket in common."""
+    prints = written(nodes.groupBy("print").agg(F.count("*").alias("n_nodes")), "simhash-prints")
+    met = _variants(prints, radius).withColumn("n", F.count("*").over(Window.partitionBy("variant"))).where("n > 1").select("print", "variant")
+    own = prints.where("n_nodes > 1").select("print", F.col("print").alias("variant"))
+    of = written(met.unionByName(own).distinct().withColumnRenamed("print", "of"), "simhash-variants")
+    return nodes.join(of, F.col("print") == F.col("of")).select("node", F.xxhash64("variant", F.lit("ball")).alias("bucket"))
+
+
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, print, component_id (the least doc_id that links reach)."""
     return components(written(fingerprints(documents, shingle), "simhash"), radius)
@@ -132,6 +149,7 @@ GROWTH = 8
 CROWD = 128
 _SALTS = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 2048
+_ROWS_AT_ONCE = 512
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Up to so many pairs, nodes or buckets (200 bytes each at most), and lines or ids of up to so many bytes in all, are sent
 #: to where the other rows are; more are joined by a shuffle. The rows are the same.
@@ -159,7 +177,11 @@ def shingles(line: bytes, shingle: int) -> list[bytes]:
 
 def least_hashes(line: bytes, shingle: int) -> np.ndarray:
     """The least values of BANDS * ROWS orders of the distinct shingles."""
-    hashes = np.array([xxh64_intdigest(x, _SEED) for x in set(shingles(line, shingle))], dtype=np.uint64)
+    return _least(_hashes(line, line.split(b" "), shingle))
+
+
+def _least(hashes: np.ndarray) -> np.ndarray:
+    hashes = np.unique(hashes).astype(np.uint64)
     least = np.full(len(_SALTS), np.iinfo(np.uint64).max, dtype=np.uint64)
     for i in range(0, len(hashes), _CHUNK):
         least = np.minimum(least, (_SALTS[:, None] * hashes[None, i : i + _CHUNK]).min(axis=1))
@@ -196,21 +218,31 @@ def _unlike(a: str, b: str) -> Column:
 
 def _lines(column: pa.Array) -> list[bytes]:
     at, data = strings(column)
-    whole = data.tobytes()
+    whole = data[at[0] : at[-1]].tobytes()
+    at -= at[0]
     return [_line(whole[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of _ROWS_AT_ONCE, so that a worker holds little beside the batch itself."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, _ROWS_AT_ONCE):
+            yield batch.slice(i, _ROWS_AT_ONCE)
+
+
 def _node(line: bytes) -> bytes:
     return blake2b(line, digest_size=16).digest()
 
 
 def _banded(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             lines = _lines(batch.column("text"))
-            least = [least_hashes(x, shingle) for x in lines]
+            hashes = [_hashes(x, x.split(b" "), shingle) for x in lines]
+            prints = pa.array([_majority(h) if x else 0 for x, h in zip(lines, hashes, strict=True)], pa.int64())
+            least = [_least(h) for h in hashes]
             values, sketches = (pa.array(map(f, least), pa.list_(pa.int64())) for f in (bands, sketch))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_node, lines), pa.binary()), values, sketches], ["doc_id", "node", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(_node, lines), pa.binary()), prints, values, sketches], ["doc_id", "node", "print", "bands", "sketch"])
 
     return run
 
@@ -224,7 +256,7 @@ def _compared(shingle: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Neighbouring rows share a line on one of the sides.
         known = lru_cache(maxsize=2)(lambda line: frozenset(shingles(line, shingle)))
-        for batch in batches:
+        for batch in _slices(batches):
             good = []
             for x, y in zip(batch.column("few_line").to_pylist(), batch.column("many_line").to_pylist(), strict=True):
                 few, many = known(x), known(y)
@@ -236,7 +268,7 @@ def _compared(shingle: int, similarity: float):
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         lines = _lines(batch.column("text"))
         yield pa.RecordBatch.from_arrays([pa.array(map(_node, lines), pa.binary()), pa.array(lines, pa.binary())], ["node", "line"])
 
@@ -345,6 +377,8 @@ def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 def similar_labels(prints: DataFrame, documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(node, label) of every node that has a link: components of the pairs that share a bucket and are that similar.
 
+    Buckets are the variants of fingerprints, in which all within RADIUS bits meet, and the bands of least hashes.
+
     At first all members of a bucket are compared with one of them, the same one in all buckets that have it. A bucket
     whose members are by then in one component is done. In the others, the members outside the bucket's largest component
     are compared with a growing share of the members of other components, at last with all of them. So no pair of
@@ -356,8 +390,9 @@ def similar_labels(prints: DataFrame, documents: DataFrame, shingle: int, simila
     square of the bucket. Such buckets' members are dealt again into buckets of their rarest shingles, in which every pair
     of that similarity meets, and settled in the same way.
     """
-    distinct = prints.groupBy("node").agg(F.first("bands").alias("bands"))
-    members = written(distinct.select("node", F.explode(F.array_distinct("bands")).alias("bucket")), "similar-members")
+    distinct = written(prints.groupBy("node").agg(F.first("print").alias("print"), F.first("bands").alias("bands")), "similar-distinct")
+    banded = distinct.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
+    members = written(ball_buckets(distinct.select("node", "print")).unionByName(banded), "similar-members")
     shared = written(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "similar-buckets")
     live = written(members.join(_sent(shared), "bucket").select("bucket", "node"), "similar-live")
     wanted = _sent(written(live.select(F.col("node").alias("of")).distinct(), "similar-wanted"))
@@ -381,7 +416,7 @@ def similar_labels(prints: DataFrame, documents: DataFrame, shingle: int, simila
 def _labelled(documents: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """doc_id and node of every row, and the label of every node that has links."""
     source = documents.select("doc_id", "text")
-    prints = written(source.mapInArrow(_banded(shingle), f"doc_id {dict(source.dtypes)['doc_id']}, node binary, bands array<long>, sketch array<long>"), "similar-bands")
+    prints = written(source.mapInArrow(_banded(shingle), f"doc_id {dict(source.dtypes)['doc_id']}, node binary, print long, bands array<long>, sketch array<long>"), "similar-bands")
     labels = similar_labels(prints, documents, shingle, similarity)
     return prints.select("doc_id", "node"), labels.select(F.col("node").alias("of"), "label")
 
