@@ -59,3 +59,23 @@ def test_column(spark, monkeypatch):
     long = texts[4]
     cut = next(m.start() for m in envelope._SEGMENT.finditer(long) if m.start() >= envelope.LIMIT)
     assert got[4][0] == envelope.bpe(PATH).estimate(long[:cut]) + len(long[cut:])
+
+
+def test_words_cost_one_split_a_segment():
+    split = []
+
+    def ends(text):
+        split.append(text)
+        return [m.end() for m in re.finditer(r" ?\w+|\s+", text)]
+
+    count = lambda piece: abs(len(piece) - 4) + 1  # noqa: E731  falls and rises as a word grows
+    fixed = lambda piece: not piece[-1].isspace()
+
+    def word(piece):
+        return None if piece.isspace() else (max(count(piece[:k]) for k in range(1, len(piece) + 1)), count(piece))
+
+    text = " ".join(f"word{'x' * (i % 9)}{i}" for i in range(200))
+    whole = envelope.Encoder(ends, count, fixed).estimate(text)
+    split.clear()
+    assert envelope.Encoder(ends, count, fixed, word).estimate(text) == whole
+    assert sorted(x for x in split if not x.isspace()) == sorted(m[0] for m in envelope._SEGMENT.finditer(text))
