@@ -22,3 +22,10 @@ def test_redaction_of_odd_names(spark, tmp_path, name):
     sql.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     wanted = sql.execute(__spark_entry__.oracle_sql()[name]).fetchall()
     assert Counter(map(tuple, __spark_entry__.queries()[name](spark, str(tmp_path)).collect())) == Counter(wanted)
+
+
+def test_leaks_before_and_after_come_from_one_scan(spark, capsys):
+    found = __spark_entry__.queries()["redaction_leaks"](spark, "/root/testdata/sf0.001")
+    found.explain()
+    assert capsys.readouterr().out.count("FileScan parquet") == 1
+    assert {r.stage for r in found.collect()} == {"before"}

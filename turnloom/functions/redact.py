@@ -49,6 +49,7 @@ VENDOR = f"{_B}(?:sk-(?:proj-|svcacct-)?[A-Za-z0-9_-]{{12,}}|gh[pousr]_[A-Za-z0-
 Rule = tuple[str, str, str]
 _ASCII_SPACE = "\t\n\x0c\r "
 ACCESS_KEY: Rule = ("AKIA", f"{_B}AKIA[0-9A-Z]{{16}}(?![A-Za-z0-9_])", MARK)
+_VENDOR_SIGNS = ("sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "AKIA", "AIza")
 _HEAD = f"^([\"']?)([A-Za-z_][A-Za-z0-9_-]*)\\1({_S}*[:=]{_S}*)"
 
 
@@ -102,7 +103,7 @@ def _steps(x: Column, small: Column, named: Column) -> list[tuple[Column, Callab
         (_has(x, "://"), plain(URI, "$1$2:[REDACTED]@")),
         (named & _has(x, "="), lambda t: replace_matches(t, ASSIGNMENT, _by_name)),
         (named & _has(x, ":"), lambda t: replace_matches(t, NAMED, _by_name)),
-        (_has(x, "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "AKIA", "AIza"), plain(VENDOR, "[REDACTED]")),
+        (_has(x, *_VENDOR_SIGNS), plain(VENDOR, "[REDACTED]")),
     ]
 
 
@@ -179,7 +180,13 @@ def redaction_report(rows: DataFrame, text: str, *keys: str, patterns: Mapping[s
 
 def leaks(rows: DataFrame, text: str) -> DataFrame:
     """Rows in which a credential shape survives; none after redaction."""
-    return rows.where(F.col(text).rlike(VENDOR) | F.col(text).rlike(PEM) | F.col(text).rlike(URI.replace(f"({_NS}/@]+)@", f"(?!\\[REDACTED\\]@)({_NS}/@]+)@")))
+    return rows.where(leaking(F.col(text)))
+
+
+def leaking(x: Column) -> Column:
+    """Whether a credential shape survives in a text; a pattern is tried only where the text has its sign."""
+    login = URI.replace(f"({_NS}/@]+)@", f"(?!\\[REDACTED\\]@)({_NS}/@]+)@")
+    return (_has(x, *_VENDOR_SIGNS) & x.rlike(VENDOR)) | (_has(x, "-----BEGIN ") & x.rlike(PEM)) | (_has(x, "://") & x.rlike(login))
 
 
 # -- nested arguments: small Python helpers, a batch at a time -------------------------------------------------------
