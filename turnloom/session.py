@@ -33,17 +33,6 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-#: What Python workers are started with, so that arrays of more than 256 KB go back to the system when they are freed; else a
-#: worker that stays for the next stage keeps the most that it ever held.
-_LEAN = {"MALLOC_MMAP_THRESHOLD_": str(1 << 18), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
-
-
-def lean_workers(spark: SparkSession) -> None:
-    """Python functions made from now on run in workers that keep little memory between tasks."""
-    for name, value in _LEAN.items():
-        spark.sparkContext.environment.setdefault(name, value)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which driver and executors share.
 
