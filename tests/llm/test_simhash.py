@@ -267,3 +267,21 @@ def test_ball_buckets_hold_every_near_pair(spark):
         for j, b in enumerate(prints[:i]):
             if (a ^ b).bit_count() <= 2:
                 assert own[i] & own[j]
+
+
+def test_no_pair_is_compared_in_two_turns(spark, monkeypatch):
+    """Texts of one base, many of them not quite similar enough, that share many bands: each pair is formed once, no link is lost."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    base, lines = [word() for _ in range(150)], []
+    for _ in range(90):
+        own = list(base)
+        for at in rng.sample(range(150), rng.choice((1, 3, 4, 5))):
+            own[at] = word()
+        lines.append(" ".join(own))
+    met, judged = [], S._judged
+    monkeypatch.setattr(S, "_judged", lambda pairs, *rest: met.append([(bytes(r.a), bytes(r.b)) for r in pairs.collect()]) or judged(pairs, *rest))
+    rows = S.similar_groups(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == _brute(lines)
+    formed = [pair for turn in met for pair in turn]
+    assert len(met) > 2 and len(formed) < 1.1 * len(set(formed))

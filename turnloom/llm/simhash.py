@@ -326,10 +326,13 @@ def _settled(entries: DataFrame, labels: DataFrame | None, lines: DataFrame, shi
     """The labels (node, label) that links within the buckets of entries (bucket, node, label, sketch) lead to.
 
     Buckets that after the first turn have more than `crowd` members outside their largest component are left; their nodes come back too.
+    A node's place is the same in all buckets and turns, so the members chosen in a turn are chosen in the later ones too. The turns in
+    which a member was outside and chosen (bits of outs and choices) tell which pairs of a bucket were compared before.
     """
     turn, left = 0, []
+    place = F.xxhash64("node", F.lit(0))
+    entries = entries.withColumns({"outs": F.lit(0), "choices": F.lit(0)})
     while True:
-        place = F.xxhash64("node", F.lit(turn))
         sizes = entries.groupBy("bucket", "label").agg(F.count("*").alias("of_label"), F.min(F.struct(place.alias("place"), "node")).alias("first"))
         most = F.max(F.struct("of_label", "label"))
         buckets = sizes.groupBy("bucket").agg(F.sum("of_label").alias("n"), F.min("first").alias("first"), most["label"].alias("largest"), most["of_label"].alias("most"), F.count("*").alias("n_labels"))
@@ -346,32 +349,40 @@ def _settled(entries: DataFrame, labels: DataFrame | None, lines: DataFrame, shi
         last = share >= 1 if turn else F.col("n") <= 2
         chosen = (F.col("node") == F.col("first.node")) | last | (F.pmod(place, F.lit(1 << 30)) < share * (1 << 30))
         outside = F.col("label") != F.col("largest") if turn else F.lit(True)
-        rows = entries.join(_sent(buckets), "bucket").select("bucket", "node", "label", "sketch", F.col("first.node").alias("first"), last.alias("last"), chosen.alias("chosen"), outside.alias("outside"))
+        rows = entries.join(_sent(buckets), "bucket").select("bucket", "node", "label", "sketch", F.col("first.node").alias("first"), last.alias("last"), chosen.alias("chosen"), outside.alias("outside"), "outs", "choices")
+        if turn:
+            of_node = Window.partitionBy("node")
+            rows = rows.withColumns({f"{name}_in": F.collect_list(F.when(F.col(name), F.col("bucket"))).over(of_node) for name in ("outside", "chosen")})
         rows = written(rows, "similar-rows")
         if turn:
-            some = rows.where("chosen").select("bucket", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("sketch").alias("other_sketch"), F.col("outside").alias("other_outside"))
-            # Two that would meet each other both ways meet once.
-            met = rows.where("outside").join(_sent(some), "bucket").where("label != other_label and (node < other or not (chosen and other_outside))")
+            some = rows.where("chosen").select("bucket", *[F.col(c).alias("other" if c == "node" else f"other_{c}") for c in rows.columns if c not in ("bucket", "first", "last")])
+            fresh = "label != other_label and outs & other_choices = 0 and other_outs & choices = 0"
+            # Two that share several buckets, or would meet each other both ways, meet once: in the least such bucket of one way.
+            once = "array_min(array_intersect(outside_in, other_chosen_in)) = bucket and (node < other or not arrays_overlap(other_outside_in, chosen_in))"
+            met = rows.where("outside").join(_sent(some), "bucket").where(F.expr(fresh) & (_unlike("sketch", "other_sketch") <= most_unlike(similarity)) & F.expr(once))
         else:
             # A node and the first of its buckets share many of them: each such pair is formed once.
             pair = rows.where("node != first").groupBy("node", F.col("first").alias("other")).agg(F.first("label").alias("label"), F.first("sketch").alias("sketch"))
             firsts = rows.where("node = first").groupBy(F.col("node").alias("of")).agg(F.first("label").alias("other_label"), F.first("sketch").alias("other_sketch"))
             met = pair.join(_sent(written(firsts, "similar-firsts")), F.col("other") == F.col("of")).where("label != other_label")
-        met = met.where(_unlike("sketch", "other_sketch") <= most_unlike(similarity))
+            met = met.where(_unlike("sketch", "other_sketch") <= most_unlike(similarity))
         # At first few members are met by many others, later few are left that meet many.
         pair = met.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"), F.col("node" if turn else "other").alias("few"))
         pairs = pair.groupBy("a", "b").agg(F.min("few").alias("few")).withColumn("many", F.when(F.col("few") == F.col("a"), F.col("b")).otherwise(F.col("a")))
         pairs = written(pairs, "similar-candidates")
         judged = written(_judged(pairs, lines, shingle, similarity).where("good").select("a", "b"), "similar-links")
         labels = _grown(labels, judged)
-        entries = _relabelled(rows.where("not last").select("bucket", "node", "sketch"), labels)
+        # The first turn compares with the first member alone.
+        seen = {"outs": F.col("outside"), "choices": F.col("chosen") if turn else F.col("node") == F.col("first")}
+        kept = rows.where("not last").withColumns({c: F.col(c).bitwiseOR(now.cast("int") * (1 << turn)) for c, now in seen.items()})
+        entries = _relabelled(kept.select("bucket", "node", "sketch", *seen), labels)
         turn += 1
 
 
 def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (bucket, node, sketch) with their node's label."""
+    """Rows (bucket, node, sketch and others) with their node's label."""
     named = rows.join(_sent(labels.withColumnRenamed("node", "of")), F.col("node") == F.col("of"), "left")
-    return written(named.select("bucket", "node", F.coalesce("label", "node").alias("label"), "sketch"), "similar-entries")
+    return written(named.select(*rows.columns, F.coalesce("label", "node").alias("label")), "similar-entries")
 
 
 def similar_labels(prints: DataFrame, documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -382,7 +393,8 @@ def similar_labels(prints: DataFrame, documents: DataFrame, shingle: int, simila
     At first all members of a bucket are compared with one of them, the same one in all buckets that have it. A bucket
     whose members are by then in one component is done. In the others, the members outside the bucket's largest component
     are compared with a growing share of the members of other components, at last with all of them. So no pair of
-    one component is compared for nothing, and a bucket is done only when its members are in one component or all its pairs
+    one component is compared for nothing, a pair that shares several buckets is formed in one of them, a bucket forms no pair in
+    two turns, and a bucket is done only when its members are in one component or all its pairs
     between components have been compared: no link between components is lost. To be compared word by word, two
     sketches may differ in no more than most_unlike() says.
 
