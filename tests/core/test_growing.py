@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from turnloom.plans.export import write_small_files
 from turnloom.sources import growing
 from turnloom.sources.lines import scan
 from turnloom.streaming.ingest import stream_growing_lines
@@ -93,3 +94,26 @@ def test_long_lines(spark, tmp_path, monkeypatch):
     size = path.stat().st_size
     assert list(growing.lines_of(store, name, 0, size)) == ["é" * 11, "short", "y" * 11, "tail"]
     assert growing.whole_lines(store, name, size) == size - 4 and growing.count_lines(store, name, size) == 3
+
+
+def test_many_small_files_share_batches_and_spread_over_tasks(tmp_path, monkeypatch):
+    options = {"path": str(tmp_path / "in"), "state": str(tmp_path / "state"), "names": "*.jsonl"}
+    for i in range(60):
+        append(str(tmp_path / f"in/{i:02d}.jsonl"), b"a\nb\n")
+    reader = growing.GrowingReader(options)
+    first, last = reader.initialOffset(), reader.latestOffset()
+    rows = lambda parts: [[x.num_rows for x in reader.read(p)] for p in parts]
+    assert rows(reader.partitions(first, last)) == [[120]]
+    monkeypatch.setattr(growing, "_OPEN", 6 << 20, raising=False)
+    assert rows(reader.partitions(first, last)) == [[20]] * 6
+
+
+def test_small_files_hold_the_lines_in_order(spark, tmp_path):
+    rows = [(f"s/{i % 7}" if i % 5 else None, i, f'{{"é": {i}}}' if i % 11 else None) for i in range(70)]
+    frame = spark.createDataFrame(rows, "session string, pos long, value string").orderBy(F.rand(1))
+    assert write_small_files(frame, str(tmp_path / "out")) == 8
+    assert write_small_files(frame, str(tmp_path / "out")) == 8  # again, with the same result
+    found = {x: (tmp_path / "out" / x).iterdir() for x in os.listdir(tmp_path / "out")}
+    found = {x: [(f.name, f.read_text()) for f in files] for x, files in found.items()}
+    names = {s: f"session={'__HIVE_DEFAULT_PARTITION__' if s is None else s.replace('/', '%2F')}" for s, _, _ in rows}
+    assert found == {name: [("part-0", "".join(f"{v or ''}\n" for t, _, v in rows if t == s))] for s, name in names.items()}

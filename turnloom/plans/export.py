@@ -8,6 +8,13 @@ from one window over its turns.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from itertools import groupby
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,6 +159,44 @@ def write_lines(lines: DataFrame, folder: str) -> None:
     placed.write.mode("errorifexists").partitionBy("path").text(folder)
 
 
+def _put(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pafs.FileSystem.from_uri(folder)
+        session, name, out, n, mark = None, None, None, 0, uuid.uuid4().hex
+
+        def done() -> None:
+            if out is not None:
+                out.close()
+                store.move(f"{root}/session={name}/{mark}.tmp", f"{root}/session={name}/part-0")
+
+        for batch in batches:
+            rows = zip(batch.column("session").to_pylist(), batch.column("value").to_pylist(), strict=True)
+            for key, lines in groupby(rows, lambda row: row[0]):
+                if out is None or key != session:
+                    done()
+                    session, n = key, n + 1
+                    name = quote(session, safe="")
+                    store.create_dir(f"{root}/session={name}", recursive=True)
+                    out = store.open_output_stream(f"{root}/session={name}/{mark}.tmp")
+                out.write("".join(f"{value or ''}\n" for _, value in lines).encode())
+        done()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return run
+
+
+def write_small_files(lines: DataFrame, folder: str) -> int:
+    """Adds a file part-0 in a folder session=... for each session of lines (session, pos, value); returns their number.
+
+    Tasks write the files themselves, each under another name until it is whole, so a repeated task does no harm. Spark's
+    text writer takes tens of milliseconds of a core for each file. The folder is one that pyarrow.fs reads.
+    """
+    tasks = 4 * lines.sparkSession.sparkContext.defaultParallelism
+    named = lines.select(F.coalesce("session", F.lit("__HIVE_DEFAULT_PARTITION__")).alias("session"), "pos", "value")
+    placed = named.repartition(tasks, "session").sortWithinPartitions("session", "pos").select("session", "value")
+    return placed.mapInArrow(_put(folder), "n long").agg({"n": "sum"}).first()[0] or 0
+
+
 def write_bundles(lines: DataFrame, folder: str) -> None:
     """Adds Parquet files (path, pos, value) of many sessions each, in the order of path and pos.
 

@@ -36,6 +36,8 @@ from turnloom.sources.lines import MOST_LINE
 
 SCHEMA = "file string, modified long, pos long, value string"
 _STEP = 1 << 20
+#: Opening a file counts as so many bytes where files are dealt into tasks.
+_OPEN = 64 << 10
 _ROWS = pa.schema([("file", pa.string()), ("modified", pa.int64()), ("pos", pa.int64()), ("value", pa.string())])
 _FILES = pa.schema([("file", pa.string()), ("end", pa.int64()), ("size", pa.int64()), ("modified", pa.int64())])
 
@@ -155,7 +157,8 @@ class GrowingReader(DataSourceStreamReader):
         known = {x["file"]: x["lines"] for x in self._table(earlier[-1])} if earlier else {}
         # An older count holds only for a file that has not grown since it was made.
         before = self._manifest(earlier[-1].removesuffix(".lines")) if earlier else {}
-        known = {f: n for f, n in known.items() if before.get(f, {}).get("end") == self._manifest(start).get(f, {}).get("end")}
+        ends = self._manifest(start) if known else {}
+        known = {f: n for f, n in known.items() if before.get(f, {}).get("end") == ends.get(f, {}).get("end")}
         for x in there:
             if x.startswith(start) and x.endswith(".notes"):
                 with store.open_input_stream(f"{root}/{x}") as f:
@@ -178,28 +181,29 @@ class GrowingReader(DataSourceStreamReader):
             first = 0 if x["end"] < done else done
             if x["end"] == first:
                 continue
-            if not parts or held + x["end"] - first > self.partition_bytes:
+            cost = x["end"] - first + _OPEN
+            if not parts or held + cost > self.partition_bytes:
                 parts.append(Part([], f"{end['manifest']}.{len(parts)}.notes"))
                 held = 0
             parts[-1].files.append((file, x["modified"], first, x["end"], lines.get(file) if first else 0))
-            held += x["end"] - first
+            held += cost
         return parts
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         store, _ = _store(self.path)
         counts: dict[str, int] = {}
+        rows, held = [], 0
         for file, modified, first, end, before in partition.files:
             pos = count_lines(store, file, first) if before is None else before
-            rows, held = [], 0
             for line in lines_of(store, file, first, end):
                 rows.append({"file": file, "modified": modified, "pos": pos, "value": line})
                 pos, held = pos + 1, held + len(line)
                 if held > _STEP:
                     yield pa.RecordBatch.from_pylist(rows, schema=_ROWS)
                     rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=_ROWS)
             counts[file] = pos
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_ROWS)
         state, root = _store(self.state)
         with state.open_output_stream(f"{root}/{partition.notes}") as out:
             out.write(json.dumps(counts).encode())
