@@ -45,7 +45,7 @@ def entries(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def paths(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(live path as of active_path(), entries that it leaves out as of off_path()) of the files' lines."""
     _, body, cut = entries(lines)
-    body = written(body, "pi-entries")
+    body, cut = written(body, "pi-entries"), written(cut, "pi-rejects")
     path, _ = active_path(body.join(cut.select(*SESSION), SESSION, "left_anti"), "id")
     return path, off_path(body, path)
 
@@ -53,7 +53,7 @@ def paths(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def turns(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(turns, catalog, rejects) of the files' lines."""
     heads, body, cut = entries(lines)
-    body = written(body, "pi-entries")
+    body, cut = written(body, "pi-entries"), written(cut, "pi-rejects")
     sound = body.join(cut.select(*SESSION), SESSION, "left_anti")
     path, wrong = active_path(sound, "id")
     rejects = cut.unionByName(wrong)
