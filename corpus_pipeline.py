@@ -1,7 +1,8 @@
 """A pipeline over documents: toxic documents go, near-duplicates go, benchmark leaks go, sources are mixed, shards are dealt.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
-stage's docs. All stages but the last keep the columns of documents.
+stage's docs. All stages but the last keep the columns of documents. Stages that work in Python ask the session for small
+batches, as executors keep what the largest batches of all stages took.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import decontamination, mixing, sharding, simhash, toxicity
-from turnloom.session import new_folder
+from turnloom.session import BATCH_SETTING, new_folder, small_batches
 
 #: SQL cannot express the trained classifier of the first stage.
 ORACLE_SQL = None
@@ -18,6 +19,7 @@ ORACLE_SQL = None
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below its threshold."""
+    small_batches(spark)
     return toxicity.clean_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -26,11 +28,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Candidates come from SimHash fingerprints by ball hashing and, beyond a ball's reach, from bands of least hashes.
     """
+    small_batches(spark)
     return simhash.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
+    small_batches(spark)
     return decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -62,8 +66,13 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents below a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = new_folder(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    batches = spark.conf.get(BATCH_SETTING, None)
+    try:
+        for name, stage in STAGES:
+            path = new_folder(spark, f"pipeline-{name}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+    finally:
+        if batches is None:
+            spark.conf.unset(BATCH_SETTING)
     return docs

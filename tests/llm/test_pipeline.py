@@ -1,9 +1,13 @@
 """The pipeline: each stage on what the one before kept, against the operators' own results."""
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from turnloom.llm import decontamination, sharding, simhash, toxicity
+from turnloom.session import BATCH_BYTES, BATCH_SETTING
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -57,3 +61,29 @@ def test_rows_of_one_id_mix_alike(spark):
     docs = spark.createDataFrame([(None if i % 2 else 3, f"w{i} b c", "s" if i % 3 else None) for i in range(60)], "doc_id long, text string, source string")
     rows = lambda n: sorted(map(str, P.mix_sources(spark, docs.repartition(n), FOLDER).collect()))
     assert rows(1) == rows(7)
+
+
+def test_small_batches(spark):
+    """Long texts don't cross to Python all at once in the stages that work there, and a size that the session has stays."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    texts = spark.range(0, 600, 1, 1).select(F.repeat(F.lit("word "), 2000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    def counts(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for c in columns:
+            yield pa.array([len(c)] * len(c))
+
+    for _, stage in P.STAGES[:3]:
+        spark.conf.unset(BATCH_SETTING)
+        stage(spark, docs, FOLDER)
+        assert max(r.n for r in texts.mapInArrow(sizes, "n long").collect()) < BATCH_BYTES + 20_000
+        assert max(r[0] for r in texts.select(F.arrow_udf(counts, "long")("text")).collect()) < 60
+    spark.conf.set(BATCH_SETTING, "12345678")
+    P.run(spark, FOLDER)
+    assert spark.conf.get(BATCH_SETTING) == "12345678"
+    spark.conf.unset(BATCH_SETTING)
+    P.run(spark, FOLDER)
+    assert spark.conf.get(BATCH_SETTING, None) is None

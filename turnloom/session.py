@@ -33,6 +33,21 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+#: Bytes of rows that cross to Python at once, where a session that asks for small batches sets no size itself.
+BATCH_BYTES = 1 << 19
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows cross to Python in batches of BATCH_BYTES or one longer row; a size that the session has stays.
+
+    By default a batch is 10,000 rows or 64 MB, so of long texts it is a task's whole piece of a table, which then lies in
+    the executor's direct memory and, with arrays of several times its size, in the worker's.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which driver and executors share.
 
