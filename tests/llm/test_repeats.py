@@ -2,12 +2,15 @@
 
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from turnloom.llm import repeats as R
+from turnloom.llm import tokens_np
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -111,3 +114,31 @@ def test_whole_table(spark):
     want = brute([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted((tuple(r) for r in R.digest(docs).collect()), key=str) == want
     assert any(r[2] for r in want)
+
+
+def test_memory_is_bounded_where_all_is_shared(monkeypatch):
+    """A part and a group need a few bytes for each byte of text, even if each suffix is another part's too."""
+    monkeypatch.setattr(tokens_np, "PIECE_BYTES", 1 << 15)  # pieces are small beside a part
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 1 << 40, 1000).tolist())) for _ in range(60)]
+    parts = [pa.table({"doc_id": list(range(k * 60, k * 60 + 60)), "text": texts, "part": [k] * 60}) for k in range(2)]
+    size = sum(map(len, texts))
+    prefixes = R.Prefixes(np.ones((len(R.levels(13)), 4), dtype=np.int64), 10)
+
+    def measured(step, *tables):
+        step(*tables)  # tables of tokens_np stay
+        tracemalloc.start()
+        out = step(*tables)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 25 * size, (step, peak / size)
+        return out
+
+    sent = pa.concat_tables([measured(R._sent_values(13, 0), p) for p in parts])
+    shared = R._shared_values(sent)
+    of = lambda table, k: table.filter(pc.equal(table.column("part"), k))
+    leaves = [measured(R._leaves(13, 0, prefixes), p, of(shared, k)) for k, p in enumerate(parts)]
+    found = measured(lambda table: R._subtree(table, 13), leaves[1])
+    assert found.num_rows == 0
+    found = R._subtree(pa.concat_tables(leaves), 13)
+    assert [sum(measured(R._kept(13, False), p, of(found, k)).column("n_removed").to_pylist()) for k, p in enumerate(parts)] == [0, 60_000]

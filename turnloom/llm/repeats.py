@@ -13,11 +13,12 @@ the row, and three steps run over the parts, which all read one shuffle of the t
    sends equal suffixes once, for its least document, so a prefix of `span` words has at most one suffix of each part
    and can't be heavy. A group sorts its suffixes by their words; neighbours that agree in `span` words are leaves of
    one internal node of that depth, which is where the tree is cut: what lies deeper splits nodes that are repeats
-   already. Of a node, the leaves of greater documents than its least are repeats.
+   already. Of a node, the leaves of greater documents than its least are repeats. The order comes from that of the words
+   by doubling: runs of 2, 4 and 8 words are ordered by the places of their halves.
 3. Each part removes what the nodes and its own comparison name. Neighbouring repeats join to maximal ones (`spans`).
 
 Words are compared in steps 2 and 3, so no two different sequences are taken for one. A part's rows for the groups are
-parts times groups in number: for very large tables raise `part_bytes` and `group` together.
+parts times groups in number, and never more than there are stretches.
 
 Defined results: null, empty and short texts have nothing to remove; doc_ids are numbers (others end in a cast error);
 equal doc_ids never remove from each other; a null doc_id counts as greater than all ids, so rows without an id don't
@@ -28,8 +29,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import compress
-from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +36,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.tokens_np import VISIBLE, grams, mixed, pieces, strings, whole_runs
+from turnloom.llm.tokens_np import VISIBLE, grams, mixed, pieces, whole_runs
+from turnloom.session import small_batches
 
 SPAN = 13
-#: About so many bytes of text make a part, and so many suffixes at most a group.
-PART_BYTES = 24 << 20
-GROUP = 1 << 20
+#: About so many bytes of text make a part, and so many suffixes at most a group. A worker holds some ten times a part's
+#: bytes, or 50 bytes for each word of a group.
+PART_BYTES = 8 << 20
+GROUP = 1 << 19
 #: Bins of the census, at each length of prefixes, for each group.
 _BINS_A_GROUP = 16
 _NULL_ID = np.iinfo(np.int64).max
@@ -114,43 +115,69 @@ class Prefixes:
 # -- parts of documents ------------------------------------------------------------------------------------------------
 
 
+def _named(data: np.ndarray, cuts: np.ndarray) -> pa.DictionaryArray:
+    """Numbers of words, equal for equal words only; word i and one blank are data[cuts[i]:cuts[i + 1]]."""
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+
+
+def _classes(values: np.ndarray, names: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+    """Numbers of the suffixes at some places, equal if and only if their first `span` words are."""
+    order = np.argsort(values[at], kind="stable")
+    own = at[order]
+    new = np.concatenate(([True], np.diff(values[own]) != 0))[: len(own)]
+    label, least = np.cumsum(new) - 1, own[new]
+    wrong = np.zeros(len(own), dtype=bool)
+    for j in range(span):
+        wrong |= names[own + j] != names[least + j][label]
+    if wrong.any():  # different words of one value
+        some = np.flatnonzero(np.isin(label, label[wrong]))
+        _, inverse = np.unique(np.stack([names[own[some] + j] for j in range(span)], axis=1), axis=0, return_inverse=True)
+        label[some] = label[-1] + 1 + inverse.ravel()
+    out = np.empty(len(at), dtype=np.int64)
+    out[order] = label
+    return out
+
+
 class _Part:
-    """The documents of a part in the order of ids: their words' values, and the values of whole suffixes."""
+    """The documents of a part in the order of ids: their words' values, and the values of whole suffixes.
+
+    With `texts`, also the words, each with one blank behind it; memory is a small multiple of the part's size whatever is shared.
+    """
 
-    def __init__(self, table: pa.Table, span: int):
+    def __init__(self, table: pa.Table, span: int, texts: bool = True):
         order = pc.sort_indices(table.select(["doc_id", "text"]), sort_keys=[("doc_id", "ascending"), ("text", "ascending")])
-        table = table.take(order)
-        self.span, self.ids, column = span, table.column("doc_id"), table.column("text").combine_chunks()
-        self.ranks = self.ids.combine_chunks().fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
-        self.at, data = strings(column)
-        self.data = data.tobytes()
-        hashes, sizes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.span, self.ids = span, table.column("doc_id").combine_chunks().take(order)
+        self.ranks = self.ids.fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
+        column = table.column("text").combine_chunks().take(order)
+        hashes, sizes, counts, data = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
         for piece in pieces(column, VISIBLE):
             hashes.append(piece.hashes())
-            sizes.append(piece.ends - piece.starts)
             counts.append(np.diff(piece.words))
-        self.words, sizes = np.concatenate(hashes), np.concatenate(sizes)
+            if texts:
+                sizes.append(piece.ends - piece.starts + 1)
+                line = np.full(sizes[-1].sum(), 32, dtype=np.uint8)
+                inside = np.ones(len(line), dtype=bool)
+                inside[np.cumsum(sizes[-1]) - 1] = False
+                line[inside] = piece.data[VISIBLE[piece.data]]
+                data.append(line)
+        del column
+        self.words = np.concatenate(hashes)
         self.first = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
-        #: Where words begin and end in a document's line: its words with single blanks between.
-        ends = np.cumsum(sizes + 1)
-        base = np.concatenate(([0], ends))[self.first[:-1]]
-        of = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-        self.ends = ends - 1 - base[of]
-        self.starts = self.ends - sizes
+        if texts:
+            self.data, self.cuts = np.concatenate(data), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+        del hashes, sizes, data
         self.paths = grams(self.words, span)
+        of = np.repeat(np.arange(len(self.first) - 1, dtype=np.int32), np.diff(self.first))
         self.owner = of[: len(self.paths)]
         self.whole = np.flatnonzero(self.owner == of[span - 1 :]) if len(self.paths) else np.zeros(0, np.int64)
 
-    def split(self, document: int) -> list[bytes]:
-        return self.data[self.at[document] : self.at[document + 1]].split()
+    def classes(self, at: np.ndarray) -> np.ndarray:
+        """Numbers of the suffixes at some places, equal if and only if their first `span` words are."""
+        return _classes(self.paths, _named(self.data, self.cuts).indices.to_numpy(), at, self.span)
 
-    def windows(self, at: np.ndarray) -> Iterator[tuple[int, bytes, np.ndarray, list[bytes]]]:
-        """Document, its line, places and words of the suffixes at some places (ascending), document by document."""
-        cuts = np.searchsorted(at, self.first)
-        for document in np.flatnonzero(np.diff(cuts)).tolist():
-            own = at[cuts[document] : cuts[document + 1]]
-            line = b" ".join(self.split(document))
-            yield document, line, own, [line[a:b] for a, b in zip(self.starts[own].tolist(), self.ends[own + self.span - 1].tolist(), strict=True)]
+    def line(self, first: int, last: int) -> bytes:
+        """Words `first` to `last` - 1 with single blanks between."""
+        return self.data[self.cuts[first] : max(self.cuts[first], self.cuts[last] - 1)].tobytes()
 
     def among(self, values: np.ndarray, shift: int) -> np.ndarray:
         """Places of whole suffixes whose path value, without its last `shift` bits, is one of the values."""
@@ -187,7 +214,7 @@ def _sent_values(span: int, bits: int):
     """Step 1: the distinct path values of a part, by their top bits; `several` are those of more than one id."""
 
     def run(table: pa.Table) -> pa.Table:
-        number, part = table.column("part")[0].as_py(), _Part(table, span)
+        number, part = table.column("part")[0].as_py(), _Part(table, span, texts=False)
         paths, ranks = part.paths[part.whole], part.ranks[part.owner[part.whole]]
         order = np.argsort(paths, kind="stable")  # documents stay in the order of ids
         paths, ranks = paths[order], ranks[order]
@@ -225,8 +252,8 @@ _LEAVES = "group int, part long, words binary, docs binary, refs binary"
 
 def _spans(places: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the stretches that windows at some places (ascending) cover."""
-    heads = np.flatnonzero(np.concatenate(([True], np.diff(places) > span)))
-    return places[heads], places[np.append(heads[1:], len(places)) - 1] + span
+    heads = np.flatnonzero(np.concatenate(([True], np.diff(places) > span))[: len(places)])
+    return places[heads], places[np.append(heads[1:], len(places))[: len(heads)] - 1] + span
 
 
 def _leaves(span: int, bits: int, prefixes: Prefixes):
@@ -239,59 +266,75 @@ def _leaves(span: int, bits: int, prefixes: Prefixes):
         tops = shared.column("top").to_numpy().astype(np.uint64)
         values = [_unpacked(b).astype(np.uint64) | t << np.uint64(32) for b, t in zip(shared.column("paths").to_pylist(), tops, strict=True)]
         at = part.among(np.concatenate(values), 32 - bits)
+        label = part.classes(at)
+        least = np.zeros(label.max(initial=-1) + 1, dtype=np.int64)
+        least[label[::-1]] = at[::-1]  # the first place of each class stays
+        least, owner = part.owner[least][label], part.owner[at]
+        known = np.stack(_spans(at[part.ranks[least] < part.ranks[owner]], span), axis=1)
+        at = at[least == owner]
+        del label, least, owner
         groups, anchors = prefixes.groups_of(part.words, at, span)
-        seen: dict[bytes, int] = {}
-        lines, places, known, done = {}, [], [np.zeros((0, 2), np.int64)], 0
-        for document, line, own, windows in part.windows(at):
-            late, lines[document] = [], line
-            for n, window in enumerate(windows):
-                first = seen.setdefault(window, document)
-                if first == document:
-                    places.append(done + n)
-                elif part.ranks[first] < part.ranks[document]:
-                    late.append(n)
-            done += len(windows)
-            if late:
-                known.append(np.stack(_spans(own[late], span), axis=1))
-        places = np.array(places, dtype=np.int64)
         # neighbours of one anchor and group are one stretch
-        at, anchors, groups = at[places], anchors[places], groups[places]
         heads = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(anchors) != 0) | (np.diff(groups) != 0)))) if len(at) else at
         first, last, groups = at[heads], at[np.append(heads[1:], len(at)) - 1] if len(at) else at, groups[heads]
         owner = part.owner[first]
-        spots = zip(owner.tolist(), part.starts[first].tolist(), part.ends[last + span - 1].tolist(), strict=True)
-        stretches = [lines[document][a:b] for document, a, b in spots]
+        stretches = [part.line(a, b) for a, b in zip(first.tolist(), (last + span).tolist(), strict=True)]
         rows, docs = [], part.ranks[owner]
         for own in _pieces_by(groups):
             rows.append((int(groups[own[0]]), number, b"\n".join([stretches[i] for i in own.tolist()]), docs[own].tobytes(), first[own].astype(np.int32).tobytes()))
-        spans = np.concatenate(known)
-        if len(spans):
-            rows.append((number % prefixes.groups, number, None, None, spans.astype(np.int32).tobytes()))
+        if len(known):
+            rows.append((number % prefixes.groups, number, None, None, known.astype(np.int32).tobytes()))
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["group", "part", "words", "docs", "refs"])
 
     return run
 
 
-def repeated_leaves(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
-    """Which suffixes (cut at the depth of interest) are leaves of a node whose least document is a smaller one."""
-    order = sorted(range(len(texts)), key=texts.__getitem__)
-    ordered = [texts[i] for i in order]
-    heads = np.flatnonzero(np.fromiter(map(ne, ordered, [None, *ordered[:-1]]), dtype=bool, count=len(ordered)))
-    order = np.array(order, dtype=np.int64)
-    least = np.repeat(np.minimum.reduceat(docs[order], heads), np.diff(np.append(heads, len(order))))
-    out = np.zeros(len(order), dtype=bool)
-    out[order] = docs[order] > least
+def _ranked(keys: np.ndarray) -> np.ndarray:
+    """Equal keys' common place in their order."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    out = np.empty(len(keys), dtype=np.int32)
+    out[order] = np.cumsum(np.concatenate(([False], keys[1:] != keys[:-1]))[: len(keys)])
     return out
 
 
-def _windows(stretches: bytes, span: int) -> tuple[list[bytes], np.ndarray]:
-    """The first `span` words of each suffix of the stretches (one a line) that has so many, and how many each gives."""
-    data = np.frombuffer(stretches, np.uint8)
+def sorted_suffixes(data: np.ndarray, cuts: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+    """The place of each suffix in the order of their first `span` words, one for equal ones; word i and one blank are
+    data[cuts[i]:cuts[i + 1]]. Words are sorted first, then runs of 2, 4, ... words by the places of their halves."""
+    names = _named(data, cuts)
+    ranks = np.empty(len(names.dictionary), dtype=np.int32)
+    ranks[pc.sort_indices(names.dictionary).to_numpy()] = np.arange(len(ranks), dtype=np.int32)
+    ranks, length = ranks[names.indices.to_numpy()], 1
+    while 2 * length <= span:
+        keys = ranks.astype(np.int64) << 32
+        keys[:-length] |= ranks[length:]
+        ranks, length = _ranked(keys), 2 * length
+    return _ranked(ranks[at].astype(np.int64) << 32 | ranks[at + span - length])
+
+
+def repeated_leaves(ranks: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Which suffixes are leaves of a node whose least document is a smaller one; a node's suffixes have one rank."""
+    least = np.full(ranks.max(initial=-1) + 1, _NULL_ID)
+    np.minimum.at(least, ranks, docs)
+    return docs > least[ranks]
+
+
+def _suffixes(stretches: bytes, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of stretches (one a line): their words, each with one blank behind it, where these are cut, the places of suffixes
+    that have `span` words, and how many each stretch gives."""
+    data = np.frombuffer(stretches + b"\n", np.uint8).copy()
     gaps = np.flatnonzero((data == 32) | (data == 10))
-    starts, ends = np.concatenate(([0], gaps + 1)), np.append(gaps, len(data))
-    line = np.concatenate(([0], np.cumsum(data[gaps] == 10)))
-    at = np.flatnonzero(line[: len(line) - span + 1] == line[span - 1 :])
-    return [stretches[a:b] for a, b in zip(starts[at].tolist(), ends[at + span - 1].tolist(), strict=True)], np.bincount(line[at], minlength=line[-1] + 1)
+    new = data[gaps] == 10
+    line = np.cumsum(new, dtype=np.int32) - new
+    data[gaps] = 32
+    at = np.flatnonzero(line[: max(0, len(line) - span + 1)] == line[span - 1 :])
+    return data, np.concatenate(([0], gaps + 1)), at, np.bincount(line[at], minlength=line[-1] + 1)
+
+
+def _windows(stretches: bytes, span: int) -> tuple[list[bytes], np.ndarray]:
+    """The first `span` words of each suffix of the stretches that has so many, and how many each gives."""
+    data, cuts, at, sizes = _suffixes(stretches, span)
+    return [data[a : b - 1].tobytes() for a, b in zip(cuts[at].tolist(), cuts[at + span].tolist(), strict=True)], sizes
 
 
 def _subtree(table: pa.Table, span: int) -> pa.Table:
@@ -300,19 +343,19 @@ def _subtree(table: pa.Table, span: int) -> pa.Table:
     words = table.column("words").to_pylist()
     sent = [i for i, w in enumerate(words) if w is not None]
     if sent:
-        lists, sizes = zip(*(_windows(words[i], span) for i in sent), strict=True)
-        docs = [np.repeat(np.frombuffer(table.column("docs")[i].as_py(), np.int64), n) for i, n in zip(sent, sizes, strict=True)]
-        gone = repeated_leaves([t for some in lists for t in some], np.concatenate(docs))
-        upto = np.cumsum([0, *(n.sum() for n in sizes)])
-        for k, i in enumerate(sent):
-            before = np.cumsum(sizes[k]) - sizes[k]
-            own = np.flatnonzero(gone[upto[k] : upto[k + 1]])
-            if len(own):
-                of = np.searchsorted(before, own, "right") - 1
-                places = np.frombuffer(refs[i], np.int32)[of] + (own - before[of])
-                heads = np.flatnonzero(np.concatenate(([True], np.diff(places) != 1)))
-                runs = np.stack([places[heads], np.diff(np.append(heads, len(places)))], axis=1)
-                out.append((parts[i], False, runs.astype(np.int32).tobytes()))
+        data, cuts, at, sizes = _suffixes(b"\n".join(words[i] for i in sent), span)
+        docs = np.concatenate([np.frombuffer(table.column("docs")[i].as_py(), np.int64) for i in sent])
+        first = np.concatenate([np.frombuffer(refs[i], np.int32) for i in sent])
+        of = np.repeat(np.arange(len(sent)), [len(refs[i]) // 4 for i in sent])  # the row of each stretch
+        own = np.flatnonzero(repeated_leaves(sorted_suffixes(data, cuts, at, span), np.repeat(docs, sizes)))
+        before = np.cumsum(sizes) - sizes
+        stretch = np.searchsorted(before, own, "right") - 1
+        places, row = first[stretch] + (own - before[stretch]), of[stretch]
+        if len(own):
+            heads = np.flatnonzero(np.concatenate(([True], (np.diff(places) != 1) | (np.diff(row) != 0))))
+            runs = np.stack([places[heads], np.diff(np.append(heads, len(places)))], axis=1).astype(np.int32)
+            cut = np.flatnonzero(np.diff(row[heads])) + 1
+            out += [(parts[sent[k]], False, some.tobytes()) for k, some in zip(row[heads[np.append(0, cut)]].tolist(), np.split(runs, cut), strict=True)]
     out += [(parts[i], True, refs[i]) for i, w in enumerate(words) if w is None]
     return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 3, (pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["part", "covered", "refs"])
 
@@ -333,24 +376,24 @@ def _kept(span: int, texts: bool):
                 starts, sizes = values[::2], values[1::2]
                 places.append(np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum()))
         named = np.sort(np.concatenate(places))
-        gone = {window for _, _, _, windows in part.windows(named) for window in windows}
-        for _, _, own, windows in part.windows(part.among(part.paths[named], 0)):
-            hit = own[np.fromiter((w in gone for w in windows), dtype=bool, count=len(windows))]
-            change[hit] += 1
-            change[hit + span] -= 1
+        at = part.among(part.paths[named], 0)
+        label = part.classes(at)
+        gone = np.zeros(label.max(initial=-1) + 1, dtype=bool)
+        gone[label[np.searchsorted(at, named)]] = True
+        hit = at[gone[label]]
+        change[hit] += 1
+        change[hit + span] -= 1
+        del at, label, hit
         covered = np.cumsum(change[:-1]) > 0
         n_removed = np.diff(np.concatenate(([0], np.cumsum(covered)))[part.first])
+        stays = part.data[np.repeat(~covered, np.diff(part.cuts))]
+        ends = np.concatenate(([0], np.cumsum(np.where(covered, 0, np.diff(part.cuts)))))[part.first].tolist()
         out, spans = [], []
         for document in range(len(part.first) - 1):
-            line = part.split(document)
             own = covered[part.first[document] : part.first[document + 1]]
-            if n_removed[document]:
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
-                spans.append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
-                line = compress(line, (~own).tolist())
-            else:
-                spans.append([])
-            text = b" ".join(line)
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0])))) if n_removed[document] else np.zeros(0, np.int64)
+            spans.append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
+            text = stays[ends[document] : max(ends[document], ends[document + 1] - 1)].tobytes()
             out.append(text.decode() if texts else hashlib.sha256(text).hexdigest())
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table([part.ids, pa.array(np.diff(part.first)), pa.array(n_removed), pa.array(out, pa.string()), pa.array(spans, kind)], names=["doc_id", "n_words", "n_removed", "kept", "spans"])
@@ -361,12 +404,13 @@ def _kept(span: int, texts: bool):
 def without_repeats(documents: DataFrame, span: int = SPAN, part_bytes: int = PART_BYTES, group: int = GROUP, texts: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (the text that stays, or its SHA-256, with single spaces)
     and spans (start and end, in words, of each maximal stretch of repeats)."""
+    small_batches(documents.sparkSession)
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(partitions, size // part_bytes) | 1
     likely = size // 6  # words of usual length
-    bits = max(0, min(likely // group, likely // (1000 * parts), 1 << 24).bit_length())
+    bits = max(0, min(likely // group, likely // (250 * parts), 1 << 24).bit_length())
     least = max(1000, min(group, likely // partitions))
     bins = max(12, (_BINS_A_GROUP * (likely // group)).bit_length())
     counts = np.zeros((len(levels(span)), 1 << bins), dtype=np.int64)
