@@ -120,19 +120,29 @@ def _named(data: np.ndarray, cuts: np.ndarray) -> pa.DictionaryArray:
     return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
 
 
-def _classes(values: np.ndarray, names: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
-    """Numbers of the suffixes at some places, equal if and only if their first `span` words are."""
+def _classes(values: np.ndarray, data: np.ndarray, cuts: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+    """Numbers of the suffixes at some places, equal if and only if their first `span` words are; values: the suffixes' values."""
     order = np.argsort(values[at], kind="stable")
     own = at[order]
     new = np.concatenate(([True], np.diff(values[own]) != 0))[: len(own)]
     label, least = np.cumsum(new) - 1, own[new]
-    wrong = np.zeros(len(own), dtype=bool)
-    for j in range(span):
-        wrong |= names[own + j] != names[least + j][label]
-    if wrong.any():  # different words of one value
-        some = np.flatnonzero(np.isin(label, label[wrong]))
-        _, inverse = np.unique(np.stack([names[own[some] + j] for j in range(span)], axis=1), axis=0, return_inverse=True)
-        label[some] = label[-1] + 1 + inverse.ravel()
+    several = np.flatnonzero(~(new & np.append(new[1:], True)[: len(own)]))
+    if len(several):  # words of one value may be different
+        own, least = own[several], least[label[several]]
+        edges = np.zeros(len(cuts), dtype=np.int32)
+        np.add.at(edges, own, 1)
+        np.add.at(edges, own + span, -1)
+        inside = np.cumsum(edges[:-1], dtype=np.int32) > 0
+        sizes = np.diff(cuts)
+        names = np.zeros(len(inside), dtype=np.int32)
+        names[inside] = _named(data[np.repeat(inside, sizes)], np.concatenate(([0], np.cumsum(sizes[inside])))).indices.to_numpy()
+        wrong = np.zeros(len(own), dtype=bool)
+        for j in range(span):
+            wrong |= names[own + j] != names[least + j]
+        if wrong.any():
+            some = np.isin(label[several], label[several[wrong]])
+            _, inverse = np.unique(np.stack([names[own[some] + j] for j in range(span)], axis=1), axis=0, return_inverse=True)
+            label[several[some]] = label[-1] + 1 + inverse.ravel()
     out = np.empty(len(at), dtype=np.int64)
     out[order] = label
     return out
@@ -173,17 +183,18 @@ class _Part:
 
     def classes(self, at: np.ndarray) -> np.ndarray:
         """Numbers of the suffixes at some places, equal if and only if their first `span` words are."""
-        return _classes(self.paths, _named(self.data, self.cuts).indices.to_numpy(), at, self.span)
+        return _classes(self.paths, self.data, self.cuts, at, self.span)
 
-    def line(self, first: int, last: int) -> bytes:
-        """Words `first` to `last` - 1 with single blanks between."""
-        return self.data[self.cuts[first] : max(self.cuts[first], self.cuts[last] - 1)].tobytes()
+    def stretches(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """Words `first` to `last` - 1 with single blanks between, for each pair."""
+        data = self.data.tobytes()
+        return [data[a : b - 1] for a, b in zip(self.cuts[first].tolist(), self.cuts[last].tolist(), strict=True)]
 
     def among(self, values: np.ndarray, shift: int) -> np.ndarray:
         """Places of whole suffixes whose path value, without its last `shift` bits, is one of the values."""
         if not len(values):
             return self.whole[:0]
-        known = np.unique(values)
+        known = np.sort(values, kind="stable")  # mostly in runs that are sorted
         own = self.paths[self.whole] >> np.uint64(shift)
         table = np.zeros(1 << 20, dtype=bool)
         table[known & np.uint64((1 << 20) - 1)] = True
@@ -278,7 +289,7 @@ def _leaves(span: int, bits: int, prefixes: Prefixes):
         heads = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(anchors) != 0) | (np.diff(groups) != 0)))) if len(at) else at
         first, last, groups = at[heads], at[np.append(heads[1:], len(at)) - 1] if len(at) else at, groups[heads]
         owner = part.owner[first]
-        stretches = [part.line(a, b) for a, b in zip(first.tolist(), (last + span).tolist(), strict=True)]
+        stretches = part.stretches(first, last + span)
         rows, docs = [], part.ranks[owner]
         for own in _pieces_by(groups):
             rows.append((int(groups[own[0]]), number, b"\n".join([stretches[i] for i in own.tolist()]), docs[own].tobytes(), first[own].astype(np.int32).tobytes()))

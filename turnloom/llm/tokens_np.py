@@ -15,6 +15,7 @@ PIECE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
+_STEP = 1 << 15
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -126,12 +127,16 @@ def pieces(column: pa.Array, table: np.ndarray, lower: bool = False) -> Iterator
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:
     """A value for each run of n words, one for each start (none if there are fewer words); runs may cross documents."""
-    if len(words) < n:
-        return np.zeros(0, dtype=np.uint64)
-    out = words[: len(words) - n + 1].copy()
-    for j in range(1, n):
-        out = out * _GRAM + words[j : len(words) - n + 1 + j]
-    return mixed(out)
+    total = max(0, len(words) - n + 1)
+    out = np.empty(total, dtype=np.uint64)
+    for a in range(0, total, _STEP):  # so many at once stay in a core's cache
+        b = min(total, a + _STEP)
+        some = words[a:b].copy()
+        for j in range(1, n):
+            some *= _GRAM
+            some += words[a + j : b + j]
+        out[a:b] = mixed(some)
+    return out
 
 
 def whole_runs(piece: Piece, n: int) -> np.ndarray:
