@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.sources.lines import LAYOUTS, is_blank, is_object, located
+from turnloom.sources.listing import dealt_files, opened
 
 # The archive format's magic numbers and header sizes.
 _FRAME, _SKIPPED = 0xFD2FB528, 0x184D2A50
@@ -69,6 +70,26 @@ def _files(spark: SparkSession, path: str, names: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).option("ignoreCorruptFiles", "true").load(path)
 
 
+def _walked_at(path: str):
+    """_walked() of files by their names alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, before = opened(path)
+
+        def whole(file: str) -> bool | None:
+            try:
+                with store.open_input_file(file.removeprefix(before)) as f:
+                    return archive_is_whole(f.read())
+            except OSError:
+                return None
+
+        for batch in batches:
+            names = batch.column("_archive")
+            yield pa.RecordBatch.from_arrays([names, pa.array([whole(x) for x in names.to_pylist()], pa.bool_())], ["_archive", "_whole"])
+
+    return run
+
+
 def _state() -> Column:
     archived = F.col("file").endswith(".zst")
     return (
@@ -82,17 +103,27 @@ def _state() -> Column:
     )
 
 
-def partial_files(spark: SparkSession, path: str, layout: str, lines: DataFrame, home: str | None = None, names: str | None = None) -> DataFrame:
-    """agent, home, session_id, file, length, n_lines and state of every file of a layout below a path; lines as scan() gave them."""
-    names = names or LAYOUTS[layout][0]
-    files = _files(spark, path, names).select(*located(layout, home), "length")
-    archives = _files(spark, path, names).where(F.col("path").endswith(".zst") & (F.col("length") <= _MOST))
-    walked = archives.select(F.regexp_replace("_metadata.file_path", "^file:/*", "/").alias("_archive"), "content").mapInArrow(_walked, "_archive string, _whole boolean")
+def partial_files(spark: SparkSession, path: str, layout: str, lines: DataFrame, home: str | None = None, names: str | None = None, listing: DataFrame | None = None) -> DataFrame:
+    """agent, home, session_id, file, length, n_lines and state of every file of a layout below a path; lines as scan() gave them.
+
+    With a listing of the path, as of listing.listed(), its names are taken and the driver lists nothing.
+    """
+    names, plain = names or LAYOUTS[layout][0], lambda file: F.regexp_replace(file, "^file:/*", "/")
+    if listing is None:
+        files = _files(spark, path, names).select(*located(layout, home), "length")
+        archives = _files(spark, path, names).where(F.col("path").endswith(".zst") & (F.col("length") <= _MOST))
+        walked = archives.select(plain("_metadata.file_path").alias("_archive"), "content").mapInArrow(_walked, "_archive string, _whole boolean")
+    else:
+        files = listing.select(*located(layout, home, F.col("file"), F.timestamp_micros("modified")), "length")
+        archives = listing.where(F.col("file").endswith(".zst") & (F.col("length") <= _MOST))
+        walked = dealt_files(archives).select(F.col("file").alias("_archive")).mapInArrow(_walked_at(path.rstrip("/")), "_archive string, _whole boolean")
+        walked = walked.select(plain("_archive").alias("_archive"), "_whole")
     filled = ~is_blank(F.col("value"))
     came = lines.groupBy(F.col("file").alias("_file")).agg(
         F.count("*").alias("n_lines"), F.sum(F.octet_length("value")).alias("_bytes"), F.max_by(F.when(filled, is_object(F.col("value"))), F.when(filled, F.col("pos"))).alias("_sound"),
     )
-    rows = files.join(came, F.col("file") == F.col("_file"), "left").join(walked, F.col("file") == F.col("_archive"), "left")
+    # A row for each file: a table of names is small as it is stored, so its size must not have these sent to all.
+    rows = files.join(came.hint("merge"), F.col("file") == F.col("_file"), "left").join(walked.hint("merge"), F.col("file") == F.col("_archive"), "left")
     return rows.select("agent", "home", "session_id", "file", "length", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), _state().alias("state"))
 
 
