@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import __spark_entry__
 from turnloom.functions import envelope, tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -79,3 +80,12 @@ def test_words_cost_one_split_a_segment():
     split.clear()
     assert envelope.Encoder(ends, count, fixed, word).estimate(text) == whole
     assert sorted(x for x in split if not x.isspace()) == sorted(m[0] for m in envelope._SEGMENT.finditer(text))
+
+
+def test_query_counts_long_texts_to_their_end(spark, tmp_path):
+    head = "plain words, and more " * 11_916 + "x "  # 262,154 characters
+    texts = [head[: envelope.LIMIT], head + "𝄞 é\n\t tail's end 12345 " * 200, "short", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.estimate, r.upper_bound) for r in __spark_entry__.queries()["token_envelope"](spark, str(tmp_path)).collect()}
+    assert got == {n: (brute(x or "", len(x or "")), len((x or "").encode())) for n, x in enumerate(texts)}
+    assert got[1][0] < envelope.bpe(PATH).estimate(texts[1])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from turnloom.functions.envelope import counted
+from turnloom.functions.envelope import LIMIT, counted
 
 FRAMING = 4
 EXACT_LIMIT = 262_144
@@ -37,9 +37,12 @@ def register_family(name: str, count: Callable[[Column], Column]) -> None:
     _FAMILIES[name] = bounded
 
 
-def register_encoder(name: str, path: str) -> None:
-    """Adds a family that is counted by an encoder's file; see functions.envelope. Its counts never fall as text is appended."""
-    _FAMILIES[name] = counted(path)
+def register_encoder(name: str, path: str, limit: int | None = LIMIT) -> None:
+    """Adds a family that is counted by an encoder's file; see functions.envelope. Its counts never fall as text is appended.
+
+    Behind the first `limit` characters a text is charged by its bytes; with None the encoder counts all of it.
+    """
+    _FAMILIES[name] = counted(path, limit=limit)
 
 
 def estimate(text: Column, family: str = "generic") -> Column:
